@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from casewright.llm import url_labels
+from casewright.llm.bpe import encode
 from casewright.llm.common import table
 from casewright.llm.exact_dedup import exact_dedup
+from casewright.llm.packing import pack_documents
+from casewright.llm.simhash import simhash
 from casewright.llm.url_filter import url_filter
 
 
+def op3_pack_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -20,9 +28,20 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), url_labels.labelled(spark), list(url_labels.RULES))
 
 
+def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pack_cost": op3_pack_cost,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_bpe_codec": op7_bpe_codec,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
