@@ -13,6 +13,7 @@ from casewright.llm.common import table
 from casewright.llm.exact_dedup import exact_dedup
 from casewright.llm.packing import pack_documents
 from casewright.llm.simhash import simhash
+from casewright.llm.suffix_dedup import suffix_dedup
 from casewright.llm.url_filter import url_filter
 
 
@@ -36,12 +37,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack_cost": op3_pack_cost,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_simhash": op8_simhash,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
