@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casewright.llm import url_labels
+from casewright.llm import language_gru, quality_knn, url_labels
 from casewright.llm.bpe import encode
 from casewright.llm.common import table
 from casewright.llm.exact_dedup import exact_dedup
@@ -17,6 +17,16 @@ from casewright.llm.suffix_dedup import suffix_dedup
 from casewright.llm.url_filter import url_filter
 
 
+def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_knn.score(docs, quality_knn.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_gru.identify(docs, language_gru.train(docs))
+
+
 def op3_pack_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -42,6 +52,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_knn": op1_quality_knn,
+    "op2_language_gru": op2_language_gru,
     "op3_pack_cost": op3_pack_cost,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filter": op6_url_filter,
