@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casewright.llm import language_gru, quality_knn, url_labels
+from casewright.llm import ann_additive, language_gru, quality_knn, url_labels
 from casewright.llm.bpe import encode
 from casewright.llm.common import table
 from casewright.llm.exact_dedup import exact_dedup
@@ -51,6 +52,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_ann_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_additive.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_knn": op1_quality_knn,
     "op2_language_gru": op2_language_gru,
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe_codec": op7_bpe_codec,
     "op8_simhash": op8_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_ann_additive": op10_ann_additive,
 }
 
 ORACLE_SQL: dict[str, str] = {
