@@ -12,6 +12,7 @@ from casewright.llm import ann_additive, language_gru, quality_knn, url_labels
 from casewright.llm.bpe import encode
 from casewright.llm.common import table
 from casewright.llm.exact_dedup import exact_dedup
+from casewright.llm.line_dedup import line_dedup
 from casewright.llm.packing import pack_documents
 from casewright.llm.simhash import simhash
 from casewright.llm.suffix_dedup import suffix_dedup
@@ -32,6 +33,10 @@ def op3_pack_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_knn": op1_quality_knn,
     "op2_language_gru": op2_language_gru,
     "op3_pack_cost": op3_pack_cost,
+    "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_bpe_codec": op7_bpe_codec,
