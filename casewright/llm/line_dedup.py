@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casewright.llm.common import drop, keep
 
@@ -376,8 +377,8 @@ def removed_lines(texts: DataFrame) -> DataFrame:
     return out
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """A row per input row: ``doc_id, n_lines, n_removed, kept_sha256`` and, if asked for, ``text``.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
+    """A row per input row: ``doc_id, n_lines, n_removed, kept_sha256``, or with ``keep_columns`` all of ``docs`` with the text that is left.
 
     A line goes if an earlier one, by id and then place, has a Jaccard similarity of P/Q or more of
     their sets of words (lower-cased A-Z, cut at ASCII space); lines are judged on the input. Lines of fewer than
@@ -385,24 +386,30 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text count as one text and lose the same lines; null ids come first. An empty table gives an empty result.
     """
     blank = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    texts = docs.select(F.col(id_col).alias("doc_id"), blank.alias("text"), F.col(text_col).isNull().alias("none")).withColumn("row", F.xxhash64("doc_id", "text"))
-    gone = removed_lines(texts.select("row", "doc_id", "text")).groupBy("row").agg(F.collect_set("line").alias("gone"))
-    names = ["doc_id", "n_lines", "n_removed", "kept_sha256"] + ["text"] * with_text
-    kind = docs.schema[id_col].dataType
+    marks = {"_bytes": blank, "_none": F.col(text_col).isNull()}
+    rest = [F.col(c) for c in docs.columns if c != text_col] if keep_columns else [F.col(id_col).alias("doc_id")]
+    source = docs.withColumns(marks).withColumn("_row", F.xxhash64(id_col, "_bytes"))
+    gone = removed_lines(source.select(F.col("_row").alias("row"), F.col(id_col).alias("doc_id"), F.col("_bytes").alias("text")))
+    gone = gone.groupBy(F.col("row").alias("_row")).agg(F.collect_set("line").alias("_gone"))
+    source = source.select(*rest, *marks, "_row").join(gone, "_row", "left")
+    source = source.select(*(c for c in source.columns if c not in (*marks, "_row", "_gone")), *marks, "_gone")
+    made = ["_text"] if keep_columns else ["n_lines", "n_removed", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for text, none, gone in zip(*(b.column(c).to_pylist() for c in ("text", "none", "gone"))):
+            for text, none, gone in zip(*(b.column(c).to_pylist() for c in ("_bytes", "_none", "_gone"))):
                 all_ = [] if none else text.split(b"\n")
-                rest = text
+                kept = text
                 if gone:
                     lost = set(gone)
-                    rest = b"\n".join(x for k, x in enumerate(all_) if k not in lost)
-                for o, v in zip(out, (len(all_), len(gone or ()), hashlib.sha256(rest).hexdigest(), None if none else rest.decode("utf-8", "replace"))):
+                    kept = b"\n".join(x for k, x in enumerate(all_) if k not in lost)
+                for o, v in zip(out, (None if none else kept.decode("utf-8", "replace"), len(all_), len(gone or ()), "" if keep_columns else hashlib.sha256(kept).hexdigest())):
                     o.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(v, k) for v, k in list(zip(out, kinds))[: len(names) - 1])], names=names)
+            cols = [pa.array(v, k) for v, k in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], *(cols[:1] if keep_columns else cols[1:])], names=[*b.schema.names[:-3], *made])
 
-    schema = f"doc_id {kind.simpleString()}, n_lines long, n_removed long, kept_sha256 string" + ", text string" * with_text
-    return texts.join(gone, "row", "left").select("doc_id", "text", "none", "gone").mapInArrow(run, schema)
+    kinds = {"_text": T.StringType(), "n_lines": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
+    schema = T.StructType([*source.schema.fields[:-3], *(T.StructField(c, kinds[c]) for c in made)])
+    done = source.mapInArrow(run, schema)
+    return done.withColumnRenamed("_text", text_col).select(*docs.columns) if keep_columns else done

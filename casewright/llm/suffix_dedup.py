@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casewright.llm.common import drop, keep
 
@@ -321,31 +322,40 @@ def cut(text: bytes, spans: list[tuple[int, int]], length: int = LENGTH) -> tupl
     return b"".join(parts), runs
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """A row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``text``.
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
+    """A row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, or with ``keep_columns`` all of ``docs`` with the text that is left.
 
     A byte goes if a string of ``length`` bytes that also starts anywhere else, in the same
-    text or another, covers it; strings are judged on the input. Null counts as empty, and a
+    text or another, covers it; strings are judged on the input. Null counts as empty (and stays null as a text), and a
     text shorter than ``length`` stays whole. Of repeated rows each is a text of its own, so texts of
-    ``length`` bytes or more go from all of them. ``text`` is the rest as UTF-8, less the bytes of
+    ``length`` bytes or more go from all of them. The text that is left is UTF-8, less the bytes of
     characters that a removal cut through. An empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+    digests = {"_t1": F.xxhash64("_bytes"), "_t2": F.xxhash64(F.lit(1), "_bytes")}
+    source = docs.withColumn("_bytes", F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).withColumns(digests)
+    texts = source.select(F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col(id_col).alias("doc_id"), F.col("_bytes").alias("text"))
     spans, _ = repeated_spans(texts, length, gram, hot)
-    per_text = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * with_text
-    kind = docs.schema[id_col].dataType
+    per_text = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    if keep_columns:
+        rest = [c for c in docs.columns if c != text_col]
+        both = source.select(*rest, F.col(text_col).isNull().alias("_none"), "_bytes", F.col("_t1").alias("_a"), F.col("_t2").alias("_b"))
+        named = per_text.select(F.col("t1").alias("_a"), F.col("t2").alias("_b"), "_spans")
+        both = both.join(named, ["_a", "_b"], "left").select(*rest, "_none", "_bytes", "_spans")
+    else:
+        both = texts.join(per_text, ["t1", "t2"], "left").select("doc_id", F.lit(False).alias("_none"), F.col("text").alias("_bytes"), "_spans")
+    made = {"_text": T.StringType()} if keep_columns else {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for whole, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                rest, runs = cut(whole, [(s["lo"], s["hi"]) for s in spans], length) if spans else (whole, 0)
-                for o, v in zip(out, (len(whole), len(whole) - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None)):
+            out: list[list] = [[] for _ in made]
+            for none, whole, spans in zip(*(b.column(c).to_pylist() for c in ("_none", "_bytes", "_spans"))):
+                kept, runs = cut(whole, [(s["lo"], s["hi"]) for s in spans], length) if spans else (whole, 0)
+                values = (None if none else kept.decode("utf-8", "ignore"),) if keep_columns else (len(whole), len(whole) - len(kept), runs, hashlib.sha256(kept).hexdigest())
+                for o, v in zip(out, values):
                     o.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, k) for v, k in list(zip(out, kinds))[: len(names) - 1])], names=names)
+            kinds = [pa.string()] if keep_columns else [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], *(pa.array(v, k) for v, k in zip(out, kinds))], names=[*b.schema.names[:-3], *made])
 
-    schema = f"doc_id {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
-    return texts.join(per_text, ["t1", "t2"], "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    schema = T.StructType([*both.schema.fields[:-3], *(T.StructField(c, k) for c, k in made.items())])
+    done = both.mapInArrow(run, schema)
+    return done.withColumnRenamed("_text", text_col).select(*docs.columns) if keep_columns else done
