@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.common import keep
+from casewright.llm.common import hash_sample, keep
 
-#: Codebooks, words of each, beam, vectors the codebooks are fitted to, and rounds of their joint refit.
+#: Codebooks, words of each, beam, vectors the codebooks are fitted to, and rounds of their refit.
 BOOKS, WORDS, BEAM, SAMPLE, REFITS = 24, 256, 4, 8192, 1
 #: Candidates measured exactly for each query; coded vectors and queries that meet in one task.
 SHORTLIST, GROUP, QUERIES = 240, 16_384, 2048
@@ -62,7 +62,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
 
 
 def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, refits: int = REFITS, seed: int = 3) -> np.ndarray:
-    """Codebooks ``(books, words, dim)``: clusters of residuals, then least squares of all books together."""
+    """Codebooks ``(books, words, dim)``: clusters of residuals, then least squares of each book given the others."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
     words = max(1, min(words, len(x) // 4))
@@ -73,18 +73,14 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, refits: int = REF
         out.append(c)
     found = np.stack(out)
     for _ in range(refits):
-        codes, _ = encode(x, found)
-        at = codes.astype(np.int64) + np.arange(books) * words
-        gram = np.zeros((books * words, books * words), np.float64)
-        for i in range(books):
-            for j in range(books):
-                gram[i * words : (i + 1) * words, j * words : (j + 1) * words] = np.bincount(codes[:, i].astype(np.int64) * words + codes[:, j], minlength=words * words).reshape(words, words)
-        right = np.zeros((books * words, x.shape[1]))
-        for i in range(books):
-            np.add.at(right, at[:, i], x)
-        gram[np.diag_indices_from(gram)] += 0.1
-        right += 0.1 * found.reshape(books * words, -1)  # a word that no vector uses stays where it is
-        found = np.linalg.solve(gram, right).reshape(found.shape).astype(np.float32)
+        codes, _ = encode(x, found, 1)
+        off = x - sum(found[m][codes[:, m]] for m in range(books))
+        for m in range(books):
+            mine = off + found[m][codes[:, m]]
+            n = np.bincount(codes[:, m], minlength=words)
+            new = np.stack([np.bincount(codes[:, m], weights=mine[:, d], minlength=words) for d in range(x.shape[1])], axis=1) / np.maximum(n, 1)[:, None]
+            found[m] = np.where(n[:, None] > 0, new, found[m])  # a word that no vector uses stays where it is
+            off = mine - found[m][codes[:, m]]
     return found
 
 
@@ -123,7 +119,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, shortlist: int = S
     each. An empty table gives an empty result. ``is_query`` is evaluated on ``vectors``.
     """
     every = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    some = every.orderBy(F.xxhash64("vec_id"), "v").limit(sample).select("v").collect()
+    some = sorted(hash_sample(every, "vec_id", sample).select("v").limit(2 * sample).collect())
     schema = "query_id long, vec_id long, rough float"
     if not some:
         return every.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +49,16 @@ def drop(df: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver forget plans that are done, on which Spark deletes their shuffle files.
+
+    Spark cleans up after handles that the driver's garbage collector has found, which a driver that
+    does little may not run for half an hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Connected components of ``edges (a long, b long)`` as ``(node, component)``.
 
@@ -77,3 +92,25 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def hash_sample(df: DataFrame, key: str, size: int) -> DataFrame:
+    """About ``size`` rows of ``df``, the same ones each time: those whose key hashes below a threshold set by a count.
+
+    Unlike an ordered limit, no task sends more than its share.
+    """
+    n = df.count()
+    if n <= size:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < F.lit(-(-(size << 30) // n)))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of about ``most`` bytes of one column, so that what a task makes of them is bounded too."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size) // most
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
