@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewright.llm.common import hash_sample, slices
+
 #: Units of each direction; bytes of a window; windows read at once.
 HIDDEN, WINDOW, ROWS = 8, 128, 2048
-#: The fit sees at most SAMPLE labelled rows, and of each this many characters.
+#: The fit sees about SAMPLE labelled rows, never more than twice as many, and of each this many characters.
 SAMPLE, SAMPLE_CHARS = 2000, 4000
 STEPS, BATCH, RATE, SEED = 240, 192, 0.02, 7
 UNKNOWN = "und"
@@ -201,10 +203,10 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], dict]:
-    """Fit on the ``sample`` labelled rows that are not held out and come first by hash of their id."""
+    """Fit on about ``sample`` labelled rows that are not held out, chosen by hash of their id."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    rows = known.select(key.alias("k"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t"), F.col(lang_col).cast("string").alias("l")).orderBy("k", "t", "l").limit(sample).collect()
+    rows = hash_sample(known, id_col, sample).select(F.substring(text_col, 1, SAMPLE_CHARS).alias("t"), F.col(lang_col).cast("string").alias("l")).limit(2 * sample).collect()
+    rows.sort()  # the order in which tasks end does not count
     rows = [r for r in rows if _LETTER.search(r.t)]
     return fit([r.t.encode() for r in rows], [r.l for r in rows])
 
@@ -233,7 +235,7 @@ def identify(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_
     source = docs.select(*rest, F.col(text_col).cast("binary").alias("_bytes")) if keep_columns else docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("binary").alias("_bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "_bytes"):
             langs, scores = predict(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], *new])
 
