@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewright.llm.common import hash_sample, slices
+
 #: Hashed terms of each kind; latent dimensions; neighbours; power of the similarity; documents of one product.
 TERMS, DIMS, NEIGHBOURS, SHARPNESS, BLOCK = 1024, 48, 15, 12, 512
-#: The fit sees at most this many labelled rows: 4096 * (2 * TERMS + STYLE) * 4 bytes to the driver, 35 MB.
+#: The fit sees about this many labelled rows, never more than twice as many: 4096 * (2 * TERMS + STYLE) * 4 bytes to the driver, 35 MB.
 SAMPLE = 4096
 STYLE = 64
 THRESHOLD = 0.3
@@ -108,14 +110,14 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on the ``sample`` labelled rows that are not held out and come first by hash of their id."""
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    chosen = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"), key.alias("_k")).dropDuplicates(["_id"]).orderBy("_k", "label").limit(sample)
-    # at most `sample` rows of 20 bytes
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "_id").select("_k", "label", "text")
+    """Fit on about ``sample`` labelled rows that are not held out, chosen by hash of their id."""
+    known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
+    chosen = hash_sample(known, "_id", sample).groupBy("_id").agg(F.min("label").alias("label")).limit(2 * sample)
+    # at most 2 * sample rows of 20 bytes
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "_id").select(F.xxhash64(F.col("_id").cast("string")).alias("_k"), "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(t or b"").tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["k", "label", "terms"])
 
     got = sorted((r.k, r.label, bytes(r.terms)) for r in rows.mapInArrow(run, "k long, label int, terms binary").collect())[: 2 * sample]
@@ -133,7 +135,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: about 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             texts = b.column(2)
             s = np.concatenate([shared.value.score(np.stack([terms(t.as_py() or b"") for t in texts[at : at + BLOCK]])) for at in range(0, len(texts), BLOCK)]) if len(texts) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
