@@ -1 +1,125 @@
-"""casewright.functions"""
+"""Scalar functions of evidence work, as Spark expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Clocks: name, ticks per second, seconds from 1970 to their zero (fixed values).
+CLOCKS = (
+    ("unix_s", 1, 0), ("unix_ms", 1_000, 0), ("unix_us", 1_000_000, 0), ("unix_ns", 1_000_000_000, 0),
+    ("filetime", 10_000_000, -11_644_473_600), ("webkit", 1_000_000, -11_644_473_600),
+    ("apple_s", 1, 978_307_200), ("apple_ns", 1_000_000_000, 978_307_200), ("hfs", 1, -2_082_844_800),
+)
+
+
+def clock_micros(value: Column, ticks: int, zero: int) -> Column:
+    """Microseconds since 1970 of an exact count of ticks; whole numbers throughout."""
+    v = value.cast("decimal(38,0)")
+    scaled = F.floor(v * (1_000_000 // ticks)) if ticks <= 1_000_000 else F.floor(v / (ticks // 1_000_000))
+    return (scaled + F.lit(zero).cast("decimal(38,0)") * 1_000_000).cast("decimal(38,0)")
+
+
+def epoch_candidates(value: Column, lo_us: int = 0, hi_us: int = 4_102_444_800_000_000) -> Column:
+    """Array of (clock, micros, plausible): every reading, none of them chosen."""
+    rows = []
+    for name, ticks, zero in CLOCKS:
+        us = clock_micros(value, ticks, zero)
+        rows.append(F.struct(F.lit(name).alias("clock"), us.alias("micros"), us.between(lo_us, hi_us).alias("plausible")))
+    return F.array(*rows)
+
+
+def dos_datetime(word: Column) -> Column:
+    """A packed FAT date (high 16 bits) and time; null where the calendar has no such instant."""
+    d, t = F.shiftright(word, 16), word.bitwiseAND(F.lit(0xFFFF))
+    part = lambda x, s, m: F.shiftright(x, s).bitwiseAND(F.lit(m)).cast("int")
+    made = F.try_make_timestamp(part(d, 9, 127) + 1980, part(d, 5, 15), part(d, 0, 31), part(t, 11, 31), part(t, 5, 63), part(t, 0, 31) * 2)
+    return F.when(part(t, 0, 31) < 30, made)  # Spark takes second 60 for the next minute
+
+
+def ole_micros(days: Column) -> Column:
+    """OLE days to microseconds since 1970; the fraction of a negative day runs forward."""
+    whole = F.when(days >= 0, F.floor(days)).otherwise(F.ceil(days))
+    return F.rint((whole + F.abs(days - whole) - 25569) * 86_400_000_000).cast("long")
+
+
+def to_utc(raw: Column, assume_utc: bool = False) -> Column:
+    """Struct (micros, basis): an offset or Z is honoured; without one the time is null unless UTC is assumed, and says so."""
+    zoned = raw.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
+    t = F.unix_micros(F.try_to_timestamp(raw))
+    basis = F.when(t.isNull(), "invalid").when(zoned, "stated").otherwise("assumed" if assume_utc else "none")
+    return F.struct(F.when(zoned | F.lit(assume_utc), t).alias("micros"), basis.alias("basis"))
+
+
+def bit_flags(value: Column, names: Sequence[str]) -> Column:
+    """Names of the set bits, lowest first."""
+    return F.filter(F.array(*(F.when(value.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names))), lambda x: x.isNotNull())
+
+
+def rot13(col: Column) -> Column:
+    a, b = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(col, a + b, a[13:] + a[:13] + b[13:] + b[:13])
+
+
+def utf16_base64(col: Column) -> Column:
+    """An encoded command line: base64 of UTF-16LE."""
+    return F.decode(F.unbase64(col), "UTF-16LE")
+
+
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+
+
+def basename(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def ancestors(path: Column) -> Column:
+    """Every directory above a path, the highest first."""
+    p = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda i: F.array_join(F.slice(p, 1, i), "/"))
+
+
+def entropy(text: Column) -> Column:
+    """Bits per character."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    n = F.size(chars).cast("double")
+    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
+    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+
+
+def human_bytes(n: Column) -> Column:
+    return F.when(n >= 1 << 20, F.format_string("%.1f MB", n / (1 << 20))).when(n >= 1 << 10, F.format_string("%.1f KB", n / (1 << 10))).otherwise(F.format_string("%d B", n.cast("long")))
+
+
+def sanitise(col: Column) -> Column:
+    """Control characters become a full stop; nothing is cut."""
+    return F.regexp_replace(col, r"[\x00-\x1F\x7F]", ".")
+
+
+def csv_safe(col: Column) -> Column:
+    """A cell that a spreadsheet would take for a formula gets a quote in front."""
+    return F.when(col.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), col)).otherwise(col)
+
+
+def canonical_digest(entries: Column) -> Column:
+    """SHA-256 of a map as JSON with sorted keys."""
+    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries)))), 256)
+
+
+def leading_command(line: Column) -> Column:
+    """The program a command line starts: past assignments and sudo, without its directory."""
+    return F.regexp_extract(line, r"^\s*(?:[A-Za-z_]+=\S*\s+)*(?:sudo\s+)?(?:\S*/)?(\S+)", 1)
+
+
+def is_internal(addr: Column) -> Column:
+    """Whether an IPv4 address is private, loopback or link-local."""
+    return addr.rlike(r"^(10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
+
+
+def luhn(digits: Column) -> Column:
+    """Whether a number passes the check-digit rule of payment cards."""
+    values = F.transform(F.filter(F.split(F.reverse(digits), ""), lambda c: c != ""), lambda c, i: F.when(i % 2 == 1, F.expr("0") + F.when(c.cast("int") >= 5, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))
+    return F.aggregate(values, F.lit(0), lambda a, v: a + v) % 10 == 0
