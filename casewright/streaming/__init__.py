@@ -1 +1,103 @@
-"""casewright.streaming"""
+"""Structured Streaming forms of the batch computations: each takes and returns a streaming DataFrame.
+
+Watermarks bound the state; a row later than the delay is dropped by Spark and shows in the query's
+progress as ``numRowsDroppedByWatermark``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+
+def stream_register(spark: SparkSession, path: str, schema, fmt: str = "json", files: int = 100) -> DataFrame:
+    """Follow a growing folder of register files."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(fmt).load(path)
+
+
+def stream_counts(sdf: DataFrame, ts: str, keys: Sequence[str], width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
+    return sdf.withWatermark(ts, delay).groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+
+
+def stream_bursts(sdf: DataFrame, ts: str, keys: Sequence[str], width: str, slide: str, k: int, delay: str = "10 minutes") -> DataFrame:
+    n = sdf.withWatermark(ts, delay).groupBy(F.window(ts, width, slide), *keys).agg(F.count("*").alias("n"))
+    return n.where(F.col("n") >= k).select(F.col("window.start").alias("start"), *keys, "n")
+
+
+def stream_sessions(sdf: DataFrame, ts: str, keys: Sequence[str], gap: str, delay: str = "10 minutes") -> DataFrame:
+    s = sdf.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
+    return s.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
+
+
+def stream_dedupe(sdf: DataFrame, ts: str, id_col: str, delay: str = "1 hour") -> DataFrame:
+    return sdf.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id_col])
+
+
+def stream_interval_join(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str, within: str, delay: str = "10 minutes") -> DataFrame:
+    """Rows of ``right`` of the same key, at or after ``left`` and within a span of it."""
+    a, b = left.withWatermark(lt, delay).alias("a"), right.withWatermark(rt, delay).alias("b")
+    return a.join(b, F.expr(f"a.{key} = b.{key} AND b.{rt} >= a.{lt} AND b.{rt} <= a.{lt} + INTERVAL {within}"))
+
+
+def late_evidence(sdf: DataFrame, text: str, id_col: str, looked_for: DataFrame, word: str) -> DataFrame:
+    """New evidence against the words that answers looked for: a stream-static join, one row a hit."""
+    words = sdf.select(id_col, F.explode(F.array_distinct(F.split(F.lower(text), r"\W+"))).alias("_w"))
+    return words.join(looked_for.select(F.lower(F.col(word)).alias("_w"), F.col(word).alias("hit")), "_w").drop("_w")
+
+
+def stream_caps(sdf: DataFrame, key: str, value: str, cap: float) -> DataFrame:
+    """Running total of each key, and whether it has crossed the cap; the state is one number a key."""
+
+    def step(k, frames, state):
+        total = state.get[0] if state.exists else 0.0
+        n = 0
+        for f in frames:
+            total += float(f[value].sum())
+            n += len(f)
+        state.update((total,))
+        yield pd.DataFrame({key: [k[0]], "total": [total], "rows": [n], "over": [total > cap]})
+
+    kind = sdf.schema[key].dataType.simpleString()
+    return sdf.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, total double, rows long, over boolean", "total double", "update", GroupStateTimeout.NoTimeout)
+
+
+def liveness(sdf: DataFrame, key: str, ts: str, quiet_ms: int, delay: str = "10 minutes") -> DataFrame:
+    """``live`` when a key speaks, ``dark`` when event time has passed its last word by ``quiet_ms``; the state is one time a key."""
+
+    def step(k, frames, state):
+        if state.hasTimedOut:
+            last = state.get[0]
+            state.remove()
+            yield pd.DataFrame({key: [k[0]], "last_ms": [last], "state": ["dark"]})
+            return
+        last = state.get[0] if state.exists else 0
+        for f in frames:
+            last = max(last, int(pd.Timestamp(f[ts].max()).value // 1_000_000))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last + quiet_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [k[0]], "last_ms": [last], "state": ["live"]})
+
+    kind = sdf.schema[key].dataType.simpleString()
+    return sdf.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, last_ms long, state string", "last_ms long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_chain(sdf: DataFrame, key: str, order: str, prev: str, hash_col: str) -> DataFrame:
+    """Online check that each row names the hash of the row before; the state is the last hash of a register."""
+
+    def step(k, frames, state):
+        rows = pd.concat(list(frames)).sort_values(order)
+        last, broken = (state.get[0] if state.exists else None), []
+        for r in rows[[order, prev, hash_col]].itertuples(index=False):
+            named = None if pd.isna(r[1]) else r[1]
+            if named != last:
+                broken.append(r[0])
+            last = r[2]
+        state.update((last,))
+        yield pd.DataFrame({key: [k[0]] * len(broken), "broken_at": broken})
+
+    kinds = {c: sdf.schema[c].dataType.simpleString() for c in (key, order)}
+    return sdf.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, broken_at {kinds[order]}", "last string", "append", GroupStateTimeout.NoTimeout)
