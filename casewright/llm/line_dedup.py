@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casewright.llm.common import drop, keep
+from casewright.llm.common import drop, keep, release, slices
 
 #: Similarity as a fraction; lines with fewer different words are left alone.
 P, Q, LEAST_WORDS = 4, 5, 5
-#: A word is frequent from this count on, or from a 2^19th of all counts if that is more: then no
-#: more than 2^19 words are, which bounds what every task is told (5 MB).
-FREQUENT, MOST_FREQUENT = 128, 1 << 19
+#: A word is frequent from this count on, or from a 2^18th of all words if that is more: then no
+#: more than 2^18 words are, which bounds what every task is told (2 MB). The order of words is a matter of
+#: speed alone: any order that all lines share gives the same matches.
+FREQUENT, MOST_FREQUENT, LOSS = 128, 1 << 18, 1 << 19
 #: Rows of one word compared at once; partners named for a line and word before the rest is left to the second round.
 CHUNK, PARTNERS = 1 << 18, 4
 #: Classes that are sent to every task when tokens are fetched; more are joined by a shuffle.
@@ -44,31 +45,39 @@ class _Ranks(dict):
     """Rank of a word: a 63-bit hash, or above all of those its place among the frequent words by count."""
 
     def __init__(self, frequent: np.ndarray):
-        self.place = {h: _HEAVY + i for i, h in enumerate(frequent.tolist())}
+        self.order = np.argsort(frequent)
+        self.known = frequent[self.order]
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         h = xxhash.xxh64_intdigest(word) >> 1
-        out = self.place.get(h, h)
+        at = int(np.searchsorted(self.known, h))
+        out = _HEAVY + int(self.order[at]) if at < len(self.known) and self.known[at] == h else h
         if len(word) <= 64:
             self[word] = out
         return out
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """``(h, n)`` of every word of every line: its hash and how often it occurs."""
+    """``(h, n)``: hashes of words and how often they occur, over all lines.
+
+    Lossy counting: of every run of words a task leaves out those it met no more often than a LOSS-th of
+    the run, so a count is low by at most a LOSS-th of all words, half of what makes a word frequent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            h = np.array([xxhash.xxh64_intdigest(w) >> 1 for w in seen], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(seen.values()), pa.int64())], names=["h", "n"])
+            least = seen.total() // LOSS
+            often = {w: n for w, n in seen.items() if n > least}
+            h = np.array([xxhash.xxh64_intdigest(w) >> 1 for w in often], np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(often.values()), pa.int64())], names=["h", "n"])
 
         seen: Counter = Counter()
         for b in batches:
             for t in b.column("text"):
                 seen.update(t.as_py().lower().split())
-                if len(seen) > 400_000:
+                if len(seen) > 250_000:
                     yield out()
                     seen.clear()
         yield out()
@@ -99,7 +108,7 @@ def lines(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = _Ranks(shared.value)
         rank = ranks.__getitem__
-        for b in batches:
+        for b in slices(batches, "text"):
             owner, number, sizes, flat = [], [], [], []
             for i, t in enumerate(b.column("text")):
                 for k, line in enumerate(t.as_py().lower().split(b"\n")):
@@ -160,34 +169,38 @@ def keys(tokens: np.ndarray, rare: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """``(key, cls, ord, sig, size, at)``: each class under each of its keys; ``sig`` has a bit flipped for each word."""
+    """``(key, cls, ord, sig, sig2, size, at)``: each class under each of its keys; each word flips a bit of the 128 of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, at, n, sig, size = [], [], [], [], []
+            key, at, n, sig, sig2, size = [], [], [], [], [], []
             for t, r in zip(b.column("tokens").to_pylist(), b.column("rare").to_pylist()):
                 x = _unpack(t, r)
                 k, i = keys(x, r)
                 key.append(k)
                 at.append(i)
                 n.append(len(k))
-                sig.append(int(np.bitwise_xor.reduce(np.uint64(1) << ((x * _MIX) >> np.uint64(58)))))
+                place = (x * _MIX) >> np.uint64(57)
+                bit = np.uint64(1) << (place & np.uint64(63))
+                sig.append(int(np.bitwise_xor.reduce(bit[place < 64])))
+                sig2.append(int(np.bitwise_xor.reduce(bit[place >= 64])))
                 size.append(len(x))
             if not n:
                 continue
             each = np.repeat(np.arange(len(n)), n)
-            cols = [_sign(np.concatenate(key)), b.column("cls").take(pa.array(each)), b.column("ord").take(pa.array(each)), _sign(np.array(sig, np.uint64)[each]), pa.array(np.array(size, np.int32)[each]), pa.array(np.concatenate(at).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "cls", "ord", "sig", "size", "at"])
+            cols = [_sign(np.concatenate(key)), b.column("cls").take(pa.array(each)), b.column("ord").take(pa.array(each)), _sign(np.array(sig, np.uint64)[each]), _sign(np.array(sig2, np.uint64)[each]), pa.array(np.array(size, np.int32)[each]), pa.array(np.concatenate(at).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "cls", "ord", "sig", "sig2", "size", "at"])
 
-    return rows.select("cls", "ord", "rare", "tokens").mapInArrow(run, "key long, cls long, ord long, sig long, size int, at int")
+    return rows.select("cls", "ord", "rare", "tokens").mapInArrow(run, "key long, cls long, ord long, sig long, sig2 long, size int, at int")
 
 
-def _may_match(size_a, at_a, sig_a, size_b, at_b, sig_b) -> np.ndarray:
+def _may_match(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
     """Length, positional and signature filters; none of them drops a match at its first common word."""
-    both = size_a + size_b
-    most = np.minimum(size_a - at_a, size_b - at_b)  # the word itself and all after it
-    ok = (P * size_a <= Q * size_b) & (P * size_b <= Q * size_a) & ((P + Q) * most >= P * both)
-    return ok & ((P + Q) * np.bitwise_count(sig_a ^ sig_b).astype(np.int64) <= (Q - P) * both)
+    both = a["size"] + b["size"]
+    most = np.minimum(a["size"] - a["at"], b["size"] - b["at"])  # the word itself and all after it
+    ok = (P * a["size"] <= Q * b["size"]) & (P * b["size"] <= Q * a["size"]) & ((P + Q) * most >= P * both) & (a["cls"] != b["cls"])
+    off = np.bitwise_count(a["sig"] ^ b["sig"]).astype(np.int64) + np.bitwise_count(a["sig2"] ^ b["sig2"])
+    return ok & ((P + Q) * off <= (Q - P) * both)
 
 
 def _meet(posts: DataFrame) -> DataFrame:
@@ -203,7 +216,7 @@ def _meet(posts: DataFrame) -> DataFrame:
         live = np.flatnonzero(left > lag)
         while len(live):
             y, x = live, live + lag  # rows come in order, so the partner is the earlier one
-            ok = _may_match(c["size"][x], c["at"][x], c["sig"][x], c["size"][y], c["at"][y], c["sig"][y]) & (c["cls"][x] != c["cls"][y])
+            ok = _may_match({k: c[k][x] for k in tested}, {k: c[k][y] for k in tested})
             xs.append(x[ok])
             ys.append(y[ok])
             lag += 1
@@ -233,8 +246,7 @@ def _meet(posts: DataFrame) -> DataFrame:
             hit = np.zeros(len(open_), bool)
             for lo in range(0, len(open_), 4096):
                 x = open_[lo : lo + 4096]
-                ok = _may_match(c["size"][x][:, None], c["at"][x][:, None], c["sig"][x][:, None], ref["size"][y][None], ref["at"][y][None], ref["sig"][y][None])
-                ok &= (c["cls"][x][:, None] != ref["cls"][y][None]) & (c["ord"][x][:, None] >= ref["ord"][y][None])
+                ok = _may_match({k: c[k][x][:, None] for k in tested}, {k: ref[k][y][None] for k in tested}) & (c["ord"][x][:, None] >= ref["ord"][y][None])
                 some = ok.any(axis=1)
                 hit[lo : lo + 4096] = some
                 xs.append(c["cls"][x[some]])
@@ -245,7 +257,7 @@ def _meet(posts: DataFrame) -> DataFrame:
         x, y = np.concatenate(xs), np.concatenate(ys)
         return x, y, np.ones(len(x), bool)
 
-    names = ["key", "cls", "ord", "sig", "size", "at"]
+    names, tested = ["key", "cls", "ord", "sig", "sig2", "size", "at"], ("cls", "sig", "sig2", "size", "at")
 
     def batch(made: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
         t = pa.table({"x": made[0], "y": made[1], "more": made[2]}).group_by(["x", "y"]).aggregate([("more", "max")])
@@ -259,7 +271,7 @@ def _meet(posts: DataFrame) -> DataFrame:
             t = pa.Table.from_batches(bs)
             out = {k: t[k].to_numpy() for k in names}
             out["size"], out["at"] = out["size"].astype(np.int64), out["at"].astype(np.int64)
-            out["sig"] = out["sig"].view(np.uint64)  # bits of negative numbers are counted otherwise
+            out["sig"], out["sig2"] = out["sig"].view(np.uint64), out["sig2"].view(np.uint64)  # bits of negative numbers are counted otherwise
             return out
 
         def split(c: dict[str, np.ndarray], limit: int) -> Iterator[tuple]:
@@ -295,7 +307,7 @@ def _meet(posts: DataFrame) -> DataFrame:
                 yield batch(made)
             rest = {k: v[cut:] for k, v in c.items()}
             rest["size"], rest["at"] = rest["size"].astype(np.int32), rest["at"].astype(np.int32)
-            rest["sig"] = rest["sig"].view(np.int64)
+            rest["sig"], rest["sig2"] = rest["sig"].view(np.int64), rest["sig2"].view(np.int64)
             held = [pa.RecordBatch.from_arrays([pa.array(rest[k]) for k in names], names=names)]
             count = n - cut
 
@@ -345,24 +357,30 @@ def _earlier(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def removed_lines(texts: DataFrame) -> DataFrame:
     """``(row, doc_id, line)`` of every line that matches an earlier one, for ``texts (row, doc_id, text binary)``."""
-    all_rows = keep(lines(texts, frequent_words(texts)), "lines")
+    spark = texts.sparkSession
+    frequent = frequent_words(texts)
+    release(spark)
+    all_rows = keep(lines(texts, frequent), "lines")
     numeric = dict(texts.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
     rows = all_rows.where("tokens is not null").withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if numeric else F.col("row"))
     met = keep(_meet(postings(rows)), "met")
+    release(spark)
     later = keep(_earlier(met.where("x <> y"), rows), "later")
     # a line whose named partners are not earlier matches, and that has others, is compared with all of its keys
     open_ = keep(met.where("more").select(F.col("x").alias("cls")).distinct().join(later, "cls", "left_anti"), "open")
     if not open_.isEmpty():
-        a, b = (keep(postings(r), "again") for r in (rows.join(open_, "cls"), rows))
-        b = b.dropDuplicates(["key", "cls"])
-        a = a.dropDuplicates(["key", "cls"]).select("key", *(F.col(c).alias(f"{c}_x") for c in ("cls", "sig", "size", "at")))
+        a = keep(postings(rows.join(open_, "cls")).dropDuplicates(["key", "cls"]), "again")
+        asked = keep(a.select("key").distinct(), "asked")
+        hint = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
+        b = postings(rows).join(hint, "key", "left_semi").dropDuplicates(["key", "cls"])
+        a = a.select("key", *(F.col(c).alias(f"{c}_x") for c in ("cls", "sig", "sig2", "size", "at")))
         both = F.col("size") + F.col("size_x")
         near = (
             (F.col("cls") != F.col("cls_x"))
             & (P * F.col("size") <= Q * F.col("size_x"))
             & (P * F.col("size_x") <= Q * F.col("size"))
             & ((P + Q) * F.least(F.col("size") - F.col("at"), F.col("size_x") - F.col("at_x")) >= P * both)
-            & ((P + Q) * F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_x"))) <= (Q - P) * both)
+            & ((P + Q) * (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_x"))) + F.bit_count(F.col("sig2").bitwiseXOR(F.col("sig2_x")))) <= (Q - P) * both)
         )
         pairs = keep(a.join(b, "key").where(near).select(F.col("cls_x").alias("x"), F.col("cls").alias("y")).distinct(), "pairs")
         later = keep(later.unionByName(_earlier(pairs, rows)).distinct(), "later")
@@ -374,6 +392,7 @@ def removed_lines(texts: DataFrame) -> DataFrame:
     out = keep(out, "removed")
     for t in (all_rows, met, later, open_):
         drop(t)
+    release(spark)
     return out
 
 
@@ -396,7 +415,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = ["_text"] if keep_columns else ["n_lines", "n_removed", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "_bytes"):
             out: list[list] = [[], [], [], []]
             for text, none, gone in zip(*(b.column(c).to_pylist() for c in ("_bytes", "_none", "_gone"))):
                 all_ = [] if none else text.split(b"\n")
