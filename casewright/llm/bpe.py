@@ -21,8 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewright.llm.common import slices
+
 #: Pieces remembered by a worker, and their longest length: about 100 MB at the most.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 300_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -177,7 +179,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for b in batches:
+        for b in slices(batches, "text"):
             n, sha, back, ids = [], [], [], []
             for text in b.column(1).to_pylist():
                 got = own.ids((text or b"").decode("utf-8", "replace"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casewright.llm.common import drop, keep
+from casewright.llm.common import drop, keep, slices
 
 LENGTH, GRAM = 400, 100
 #: Bytes of one block, and segments of one anchor that one block takes; an anchor with more goes the way of
@@ -188,7 +188,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             h, s1, s2, owner, lo, hi = [], [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 if len(text) < length:
@@ -220,7 +220,7 @@ def _segments(found: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted segments of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             out: dict[str, list] = {c: [] for c in ("h", "s1", "s2", "n", "hot", "t1", "t2", "lo", "bytes")}
             for row in zip(*(b.column(c).to_pylist() for c in ("text", "t1", "t2", "want"))):
                 text, t1, t2, want = row
@@ -346,7 +346,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     made = {"_text": T.StringType()} if keep_columns else {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "_bytes"):
             out: list[list] = [[] for _ in made]
             for none, whole, spans in zip(*(b.column(c).to_pylist() for c in ("_none", "_bytes", "_spans"))):
                 kept, runs = cut(whole, [(s["lo"], s["hi"]) for s in spans], length) if spans else (whole, 0)
