@@ -53,13 +53,16 @@ def sweep_cidr(df: DataFrame, addr: str, ranges: DataFrame) -> DataFrame:
 def sweep_needles(texts: DataFrame, key: str, col: str, needles: DataFrame, needle_key: str, needle: str, gram: int = 16) -> DataFrame:
     """``(key, needle_key, at)``: the first place of each needle in each text.
 
-    Needles are joined on their first ``gram`` characters, which are looked up at every
-    place of a text that begins with one of the needles' first two words: an equi-join, never all pairs. Needles shorter than ``gram``
-    are not found.
+    A text is cut in blocks of ``gram`` characters; wherever a needle of ``2 * gram - 1`` characters or more lies, it covers
+    a whole block. So blocks are equi-joined to the needles' grams at all offsets, and the place
+    that follows is compared in full: a row a block, never all pairs. Shorter needles are not found; choose a shorter gram for them.
     """
-    heads = needles.where(F.length(needle) >= gram).select(needle_key, F.col(needle).alias("_needle"), F.substring(needle, 1, gram).alias("_head"))
-    places = texts.select(key, F.col(col).alias("_text"), F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - gram + 1, F.lit(1))), lambda i: F.substring(F.col(col), i, F.lit(gram)))).alias("_at", "_head"))
-    hits = places.join(small(heads), "_head").where(F.expr("substring(_text, _at + 1, length(_needle)) = _needle"))
+    n = needles.where(F.length(needle) >= 2 * gram - 1).select(needle_key, F.col(needle).alias("_needle"))
+    offsets = F.sequence(F.lit(0), F.length("_needle") - gram)
+    grams = n.select(needle_key, "_needle", F.explode(offsets).alias("_off")).withColumn("_gram", F.expr(f"substring(_needle, _off + 1, {gram})"))
+    blocks = texts.select(key, F.posexplode(F.regexp_extract_all(F.col(col), F.lit(f"(?s).{{{gram}}}"), F.lit(0))).alias("_block", "_gram"))
+    places = blocks.join(small(grams), "_gram").select(key, needle_key, "_needle", (F.col("_block") * gram - F.col("_off")).alias("_at")).where("_at >= 0").distinct()
+    hits = places.join(texts.select(key, F.col(col).alias("_text")), key).where(F.expr("substring(_text, _at + 1, length(_needle)) = _needle"))
     return hits.groupBy(key, needle_key).agg((F.min("_at") + 1).cast("long").alias("at"))
 
 
