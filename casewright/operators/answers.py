@@ -16,11 +16,6 @@ def status(df: DataFrame, read: Column, rejected: Column) -> DataFrame:
     return out.withColumns({"status": word, "basis": F.format_string("%d read, %d rejected", "read", "rejected")})
 
 
-def mad_sql(value: str) -> str:
-    """Median absolute deviation as one expression over a group's values."""
-    return f"median(abs({value} - median_of))"
-
-
 def brier(p: Column, truth: Column) -> Column:
     return F.avg(F.pow(p - truth, 2))
 

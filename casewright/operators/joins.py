@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,9 +149,37 @@ def first_producer(df: DataFrame, digest: Column, seq: str) -> DataFrame:
     return df.withColumn("_d", digest).join(first, "_d", "left").withColumn("first", F.when(F.col("_f") < F.col(seq), F.col("_f"))).drop("_d", "_f")
 
 
+def _composed(names: pd.Series) -> pd.Series:
+    return names.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+def composed(col: Column) -> Column:
+    """Unicode normal form C, which Spark has no expression for."""
+    return F.pandas_udf(_composed, "string")(col)
+
+
 def fold_key(col: Column) -> Column:
-    """Names that differ in case and white space only share a key."""
-    return F.lower(F.trim(F.regexp_replace(col, r"\s+", " ")))
+    """Names that differ in normal form, case and white space only share a key."""
+    return F.lower(F.trim(F.regexp_replace(composed(col), r"\s+", " ")))
+
+
+def groups(edges: DataFrame, keep, rounds: int = 50) -> DataFrame:
+    """``(node, group)`` of ``edges (a, b)``: the smallest node that each reaches.
+
+    Each round a node takes the least group among its neighbours' and its own, and then the group of that group, so
+    chains are halved; ``keep(df)`` cuts the lineage of a round.
+    """
+    both = keep(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    named = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("group")))
+    for _ in range(rounds):
+        near = both.join(named.select(F.col("node").alias("b"), F.col("group").alias("g")), "b").groupBy(F.col("a").alias("node")).agg(F.min("g").alias("g"))
+        low = named.join(near, "node").select("node", "group", F.least("group", "g").alias("low"))
+        up = named.select(F.col("node").alias("low"), F.col("group").alias("up"))
+        new = keep(low.join(up, "low", "left").select("node", F.col("group").alias("old"), F.least("low", "up").alias("group")))
+        named = new.select("node", "group")
+        if new.where("old <> group").isEmpty():
+            return named
+    raise RuntimeError("groups did not settle")
 
 
 def closure(edges: DataFrame, seeds: DataFrame, keep, max_depth: int = 16) -> DataFrame:

@@ -92,12 +92,12 @@ def d11(spark, d):
     return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("posts"), F.count_distinct("conv_id").alias("threads"), F.sum(F.length("text")).alias("chars"), F.min(F.length("text")).cast("long").alias("shortest"))
 
 
-@query("d12_mentions", "SELECT c.role AS who, r.role AS named, count(*)::BIGINT AS n FROM conversations c, (SELECT DISTINCT role FROM conversations) r WHERE c.role <> r.role AND contains(lower(c.text), left(r.role, 2)) GROUP BY 1, 2")
+@query("d12_mentions", "SELECT c.role AS who, r.role AS named, count(DISTINCT (conv_id, turn))::BIGINT AS n FROM (SELECT conv_id, turn, role, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM conversations) c JOIN (SELECT DISTINCT role FROM conversations) r ON c.w = left(r.role, 2) AND c.role <> r.role GROUP BY 1, 2")
 def d12(spark, d):
     posts = table(spark, d, "conversations")
-    roles = [r.role for r in posts.select("role").distinct().orderBy("role").limit(100).collect()]  # the members of a board
-    named = F.explode(F.filter(F.array(*(F.when((F.col("role") != r) & F.lower("text").contains(r[:2]), F.lit(r)) for r in roles)), lambda x: x.isNotNull()))
-    return posts.select(F.col("role").alias("who"), named.alias("named")).groupBy("who", "named").agg(F.count("*").alias("n"))
+    said = posts.select("conv_id", "turn", F.col("role").alias("who"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w"))
+    names = posts.select(F.col("role").alias("named")).distinct().withColumn("w", F.substring("named", 1, 2))
+    return said.join(names, "w").where("who <> named").groupBy("who", "named").agg(F.count_distinct("conv_id", "turn").alias("n"))
 
 
 @query("d13_artefacts", "SELECT p, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+[.][a-z]{2,}')) AS p FROM documents) WHERE length(p) >= 6 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")

@@ -10,6 +10,7 @@ from casewright.operators import texts as T
 from casewright.operators.joins import micros
 from casewright.plans.q_joins import NEEDLES
 from casewright.plans.registry import query, table
+from casewright.sources.scratch import keep
 
 NUM = "(event_id * 1000003 + 1704067200)"
 
@@ -128,13 +129,15 @@ def h16(spark, d):
 WORDSET = "SELECT id, w FROM (SELECT doc_id AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[0-9a-f]{8,}|[0-9]+', ' ', 'g'), '[^\\p{L}]+'), lambda x: x <> ''))) AS w FROM documents) WHERE len(w) >= 5"
 
 
-@query("j1_template_groups", None)
+PAIRS = f"WITH c AS (SELECT w, min(id) AS id FROM ({WORDSET}) GROUP BY 1) SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id < b.id AND len(a.w) >= 0.8 * len(b.w) AND len(b.w) >= 0.8 * len(a.w) WHERE len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))"
+
+
+@query("j1_template_groups", f"WITH RECURSIVE p AS ({PAIRS}), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS node, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.node) SELECT node, min(g) AS \"group\" FROM r GROUP BY 1")
 def j1(spark, d):
-    pairs = T.similar_pairs(table(spark, d, "documents"), "doc_id", "text")
-    return pairs.groupBy("a").agg(F.count("*").alias("links"), F.min("b").alias("first"))
+    return J.groups(T.similar_pairs(table(spark, d, "documents"), "doc_id", "text"), keep)
 
 
-@query("j2_similar_pairs", f"WITH c AS (SELECT w, min(id) AS id FROM ({WORDSET}) GROUP BY 1) SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id < b.id AND len(a.w) >= 0.8 * len(b.w) AND len(b.w) >= 0.8 * len(a.w) WHERE len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))")
+@query("j2_similar_pairs", PAIRS)
 def j2(spark, d):
     return T.similar_pairs(table(spark, d, "documents"), "doc_id", "text").select("a", "b")
 

@@ -85,6 +85,48 @@ def liveness(sdf: DataFrame, key: str, ts: str, quiet_ms: int, delay: str = "10
     return sdf.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, last_ms long, state string", "last_ms long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def stream_stall(sdf: DataFrame, key: str, ts: str, signal: str, window_ms: int) -> DataFrame:
+    """How long each key's signal has kept its value by its own samples: moving, or suspected_stall from ``window_ms`` on."""
+
+    def step(k, frames, state):
+        value, since, last = state.get if state.exists else (None, 0, 0)
+        for f in frames:
+            for t, v in f.sort_values(ts)[[ts, signal]].itertuples(index=False):
+                at = int(pd.Timestamp(t).value // 1_000_000)
+                if value is None or float(v) != value:
+                    value, since = float(v), at
+                last = max(last, at)
+        state.update((value, since, last))
+        yield pd.DataFrame({key: [k[0]], "still_ms": [last - since], "verdict": ["suspected_stall" if last - since >= window_ms else "moving"]})
+
+    kind = sdf.schema[key].dataType.simpleString()
+    return sdf.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, still_ms long, verdict string", "value double, since long, last long", "update", GroupStateTimeout.NoTimeout)
+
+
+def stream_offers(sdf: DataFrame, key: str, ts: str, kind_col: str, accept: str, ttl_ms: int, delay: str = "10 minutes") -> DataFrame:
+    """An offer is pending from its first row; it ends accepted by a row of that kind, or lapsed when event time passes its TTL."""
+
+    def step(k, frames, state):
+        if state.hasTimedOut:
+            state.update((state.get[0], "lapsed"))
+            yield pd.DataFrame({key: [k[0]], "status": ["lapsed"]})
+            return
+        made, status = state.get if state.exists else (None, "pending")
+        for f in frames:
+            for t, kind in f.sort_values(ts)[[ts, kind_col]].itertuples(index=False):
+                at = int(pd.Timestamp(t).value // 1_000_000)
+                made = at if made is None else made
+                if status == "pending":
+                    status = "lapsed" if at >= made + ttl_ms else "accepted" if kind == accept else status
+        state.update((made, status))
+        if status == "pending":
+            state.setTimeoutTimestamp(max(made + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [k[0]], "status": [status]})
+
+    kind = sdf.schema[key].dataType.simpleString()
+    return sdf.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, status string", "made long, status string", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def stream_chain(sdf: DataFrame, key: str, order: str, prev: str, hash_col: str) -> DataFrame:
     """Online check that each row names the hash of the row before; the state is the last hash of a register."""
 

@@ -90,3 +90,18 @@ def test_late_evidence(spark, days):
     looked = spark.createDataFrame([("signup",), ("absent",)], "word string")
     got = drain(K.late_evidence(stream(spark, days), "event_type", "event_id", looked, "word"), "k8", "append")
     assert got.count() == days[1].where("event_type = 'signup'").count()
+
+
+def test_stall(spark, days):
+    coarse = stream(spark, days).withColumn("value", F.when(F.col("user_id") % 2 == 0, F.lit(1.0)).otherwise(F.col("value")))
+    got = drain(K.stream_stall(coarse, "user_id", "ts", "value", 5 * 86_400_000), "k5", "update").groupBy("user_id").agg(F.max_by("verdict", "still_ms").alias("v")).collect()
+    spans = {r.user_id: r.s for r in days[1].groupBy("user_id").agg((F.max(F.unix_millis("ts")) - F.min(F.unix_millis("ts"))).alias("s")).collect()}
+    assert all((r.v == "suspected_stall") == (spans[r.user_id] >= 5 * 86_400_000) for r in got if r.user_id % 2 == 0)
+
+
+def test_offers(spark, days):
+    got = drain(K.stream_offers(stream(spark, days), "user_id", "ts", "event_type", "purchase", 86_400_000, "1 hour"), "k6", "update")
+    first = days[1].groupBy("user_id").agg(F.min("ts").alias("made"), F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("took"))
+    want = {r.user_id for r in first.where("took < made + interval 1 day").collect()}
+    assert {r.user_id for r in got.where("status = 'accepted'").collect()} == want
+    assert got.where("status = 'lapsed'").count() > 0
