@@ -77,6 +77,12 @@ def b6(spark, d):
     return dropped(spark, d).groupBy(F.coalesce("left_out", F.lit("kept")).alias("rule")).agg(F.count("*").alias("n"))
 
 
+@query("a13_timeline", f"SELECT seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, kind, value FROM ({DROPPED}) WHERE left_out IS NULL ORDER BY ts, seq")
+def a13(spark, d):
+    kept = dropped(spark, d).where("left_out is null").orderBy("ts", "seq")
+    return kept.select("seq", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "kind", "value")
+
+
 @query("b7_sensitivity", "SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN '[withheld]' ELSE regexp_replace(d.source, '[0-9]+', '[redacted]', 'g') END AS source FROM documents d LEFT JOIN labels l USING (doc_id)")
 def b7(spark, d):
     marked = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
