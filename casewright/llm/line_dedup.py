@@ -30,7 +30,7 @@ P, Q, LEAST_WORDS = 4, 5, 5
 #: speed alone: any order that all lines share gives the same matches.
 FREQUENT, MOST_FREQUENT, LOSS = 128, 1 << 18, 1 << 19
 #: Rows of one word compared at once; partners named for a line and word before the rest is left to the second round.
-CHUNK, PARTNERS = 1 << 18, 4
+CHUNK, PARTNERS, EARLIEST = 1 << 18, 4, 1 << 14
 #: Classes that are sent to every task when tokens are fetched; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 _HEAVY = 1 << 63
@@ -45,15 +45,13 @@ class _Ranks(dict):
     """Rank of a word: a 63-bit hash, or above all of those its place among the frequent words by count."""
 
     def __init__(self, frequent: np.ndarray):
-        self.order = np.argsort(frequent)
-        self.known = frequent[self.order]
+        self.place = {h: _HEAVY + i for i, h in enumerate(frequent.tolist())}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 250_000:
             self.clear()
         h = xxhash.xxh64_intdigest(word) >> 1
-        at = int(np.searchsorted(self.known, h))
-        out = _HEAVY + int(self.order[at]) if at < len(self.known) and self.known[at] == h else h
+        out = self.place.get(h, h)
         if len(word) <= 64:
             self[word] = out
         return out
@@ -172,23 +170,31 @@ def postings(rows: DataFrame) -> DataFrame:
     """``(key, cls, ord, sig, sig2, size, at)``: each class under each of its keys; each word flips a bit of the 128 of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, at, n, sig, sig2, size = [], [], [], [], [], []
-            for t, r in zip(b.column("tokens").to_pylist(), b.column("rare").to_pylist()):
-                x = _unpack(t, r)
-                k, i = keys(x, r)
-                key.append(k)
-                at.append(i)
-                n.append(len(k))
-                place = (x * _MIX) >> np.uint64(57)
-                bit = np.uint64(1) << (place & np.uint64(63))
-                sig.append(int(np.bitwise_xor.reduce(bit[place < 64])))
-                sig2.append(int(np.bitwise_xor.reduce(bit[place >= 64])))
-                size.append(len(x))
-            if not n:
-                continue
-            each = np.repeat(np.arange(len(n)), n)
-            cols = [_sign(np.concatenate(key)), b.column("cls").take(pa.array(each)), b.column("ord").take(pa.array(each)), _sign(np.array(sig, np.uint64)[each]), _sign(np.array(sig2, np.uint64)[each]), pa.array(np.array(size, np.int32)[each]), pa.array(np.concatenate(at).astype(np.int32))]
+        for b in slices(batches, "tokens", 2 << 20):
+            raw, rare = b.column("tokens").to_pylist(), b.column("rare").to_numpy().astype(np.int64)
+            n = rare + (np.array([len(t) for t in raw], np.int64) - 8 * rare) // 4
+            start = np.cumsum(n) - n
+            place = np.arange(n.sum()) - np.repeat(start, n)
+            few = place < np.repeat(rare, n)
+            x = np.empty(len(place), np.uint64)
+            x[few] = np.frombuffer(b"".join([t[: 8 * r] for t, r in zip(raw, rare.tolist())]), np.uint64)
+            x[~few] = np.frombuffer(b"".join([t[8 * r :] for t, r in zip(raw, rare.tolist())]), np.uint32).astype(np.uint64) + np.uint64(_HEAVY)
+            spot = (x * _MIX) >> np.uint64(57)
+            bit = np.uint64(1) << (spot & np.uint64(63))
+            none = np.uint64(0)
+            sig, sig2 = (np.bitwise_xor.reduceat(np.where(half, bit, none), start) for half in (spot < 64, spot >= 64))
+            first = n - -(-n * P // Q) + 1
+            single = np.minimum(first, rare)
+            chosen = place < np.repeat(single, n)
+            key, at, each = [x[chosen] << np.uint64(1)], [place[chosen]], [np.repeat(np.arange(len(n)), single)]
+            for k in np.flatnonzero(first > single).tolist():
+                own, i = keys(x[start[k] : start[k] + n[k]], int(rare[k]))
+                key.append(own[single[k] :])
+                at.append(i[single[k] :])
+                each.append(np.full(len(own) - single[k], k))
+            each = np.concatenate(each)
+            take = pa.array(each)
+            cols = [_sign(np.concatenate(key)), b.column("cls").take(take), b.column("ord").take(take), _sign(sig[each]), _sign(sig2[each]), pa.array(n.astype(np.int32)[each]), pa.array(np.concatenate(at).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["key", "cls", "ord", "sig", "sig2", "size", "at"])
 
     return rows.select("cls", "ord", "rare", "tokens").mapInArrow(run, "key long, cls long, ord long, sig long, sig2 long, size int, at int")
@@ -235,8 +241,8 @@ def _meet(posts: DataFrame) -> DataFrame:
         took = nth < PARTNERS
         return c["cls"][x[took]], c["cls"][y[took]], many[took]
 
-    def large(c: dict[str, np.ndarray], ref: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One key with many rows: each row against the earliest ones, until it has a partner; a row without one is left over."""
+    def large(c: dict[str, np.ndarray], ref: dict[str, np.ndarray], whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One key with many rows: each row against the earliest ones, until it has a partner. Unless they are the ``whole`` of the key, a row without one is left over."""
         n, width = len(c["key"]), 256
         open_, xs, ys = np.arange(n), [], []
         for at in range(0, len(ref["key"]), width):
@@ -252,8 +258,9 @@ def _meet(posts: DataFrame) -> DataFrame:
                 xs.append(c["cls"][x[some]])
                 ys.append(ref["cls"][y][ok[some].argmax(axis=1)])
             open_ = open_[~hit]
-        xs.append(c["cls"][open_])
-        ys.append(c["cls"][open_])  # itself: no partner yet
+        if not whole:
+            xs.append(c["cls"][open_])
+            ys.append(c["cls"][open_])  # itself: no partner among the earliest
         x, y = np.concatenate(xs), np.concatenate(ys)
         return x, y, np.ones(len(x), bool)
 
@@ -284,7 +291,7 @@ def _meet(posts: DataFrame) -> DataFrame:
                 yield solve({k: v[small] for k, v in c.items()})
             for s, n in zip(start[big].tolist(), length[big].tolist()):
                 one = {k: v[s : s + n] for k, v in c.items()}
-                yield large(one, {k: v[: 1 << 14] for k, v in one.items()})
+                yield large(one, {k: v[:EARLIEST] for k, v in one.items()}, n <= EARLIEST)
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, count, ref
@@ -294,13 +301,13 @@ def _meet(posts: DataFrame) -> DataFrame:
             if ref is not None:  # the key of the chunk before goes on
                 more = int(np.searchsorted(c["key"], ref["key"][0], side="right"))
                 if more:
-                    yield batch(large({k: v[:more] for k, v in c.items()}, ref))
+                    yield batch(large({k: v[:more] for k, v in c.items()}, ref, False))
                     c = {k: v[more:] for k, v in c.items()}
                     n, cut = n - more, max(0, cut - more)
                 ref = None
             if n and not cut and not last:  # one key fills the chunk
-                ref = {k: v[: 1 << 14] for k, v in c.items()}
-                yield batch(large(c, ref))
+                ref = {k: v[:EARLIEST] for k, v in c.items()}
+                yield batch(large(c, ref, False))
                 held, count = [], 0
                 return
             for made in split({k: v[:cut] for k, v in c.items()}, 512):
@@ -362,21 +369,23 @@ def removed_lines(texts: DataFrame) -> DataFrame:
     release(spark)
     all_rows = keep(lines(texts, frequent), "lines")
     numeric = dict(texts.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
-    rows = all_rows.where("tokens is not null").withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if numeric else F.col("row"))
+    rows = all_rows.where("tokens is not null").withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")) if numeric else F.lit(0).cast("long"))
     met = keep(_meet(postings(rows)), "met")
     release(spark)
     later = keep(_earlier(met.where("x <> y"), rows), "later")
     # a line whose named partners are not earlier matches, and that has others, is compared with all of its keys
     open_ = keep(met.where("more").select(F.col("x").alias("cls")).distinct().join(later, "cls", "left_anti"), "open")
     if not open_.isEmpty():
-        a = keep(postings(rows.join(open_, "cls")).dropDuplicates(["key", "cls"]), "again")
+        same = ("sig", "sig2", "size", "at")
+        a = postings(rows.join(open_, "cls")).groupBy("key", "cls").agg(F.min("ord").alias("ord_x"), *(F.first(c).alias(f"{c}_x") for c in same))
+        a = keep(a.withColumnRenamed("cls", "cls_x"), "again")
         asked = keep(a.select("key").distinct(), "asked")
         hint = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
-        b = postings(rows).join(hint, "key", "left_semi").dropDuplicates(["key", "cls"])
-        a = a.select("key", *(F.col(c).alias(f"{c}_x") for c in ("cls", "sig", "sig2", "size", "at")))
+        b = postings(rows).join(hint, "key", "left_semi").groupBy("key", "cls").agg(F.min("ord").alias("ord"), *(F.first(c).alias(c) for c in same))
         both = F.col("size") + F.col("size_x")
         near = (
             (F.col("cls") != F.col("cls_x"))
+            & (F.col("ord") <= F.col("ord_x"))  # only an earlier line counts
             & (P * F.col("size") <= Q * F.col("size_x"))
             & (P * F.col("size_x") <= Q * F.col("size"))
             & ((P + Q) * F.least(F.col("size") - F.col("at"), F.col("size_x") - F.col("at_x")) >= P * both)
