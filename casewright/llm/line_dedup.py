@@ -304,6 +304,9 @@ def _meet(posts: DataFrame) -> DataFrame:
                     yield batch(large({k: v[:more] for k, v in c.items()}, ref, False))
                     c = {k: v[more:] for k, v in c.items()}
                     n, cut = n - more, max(0, cut - more)
+                if not n:  # and may go on in the next
+                    held, count = [], 0
+                    return
                 ref = None
             if n and not cut and not last:  # one key fills the chunk
                 ref = {k: v[:EARLIEST] for k, v in c.items()}

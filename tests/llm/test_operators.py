@@ -223,6 +223,22 @@ def test_line_dedup_large_groups(spark, monkeypatch):
     assert got == {i: int(i > 0) for i in range(300)}
 
 
+@pytest.mark.parametrize("n", [148, 212, 276])
+def test_line_dedup_key_over_many_chunks(spark, monkeypatch, n):
+    """The last rows of a key meet the first ones, however many chunks lie between."""
+    monkeypatch.setattr(line_dedup, "CHUNK", 64)
+    rng, near = random.Random(n), 20
+    sigs = [rng.getrandbits(63) for _ in range(n - near)]
+    sigs += sigs[:near]
+    rows = [(7, i, i, s, s, 9, 0) for i, s in enumerate(sigs)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        met = line_dedup._meet(spark.createDataFrame(rows, "key long, cls long, ord long, sig long, sig2 long, size int, at int")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.x, r.y) for r in met if r.x != r.y} == {(n - near + i, i) for i in range(near)}
+
+
 @pytest.fixture(scope="module")
 def slow_ids():
     import tiktoken
