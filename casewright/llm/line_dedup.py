@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 
 from casewright.llm.common import drop, keep, release, slices
 
-#: Similarity as a fraction; lines with fewer different words are left alone.
-P, Q, LEAST_WORDS = 4, 5, 5
+#: Similarity as a fraction; lines with fewer different words, that is without one, are left alone.
+P, Q, LEAST_WORDS = 4, 5, 1
+#: Smaller sets match only their equals, which are one class already, so they are not joined.
+LEAST_JOINED = next(n for n in range(1, Q + 1) if n * Q // P > n)
 #: A word is frequent from this count on, or from a 2^18th of all words if that is more: then no
 #: more than 2^18 words are, which bounds what every task is told (2 MB). The order of words is a matter of
 #: speed alone: any order that all lines share gives the same matches.
@@ -97,9 +99,9 @@ def _sign(x: np.ndarray) -> pa.Array:
 
 
 def lines(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """A row per line of LEAST_WORDS different words or more: ``cls`` (of equal sets the same), ``row, doc_id, line, size, rare, tokens``.
+    """A row per line with a word: ``cls`` (of equal sets the same), ``row, doc_id, line, size, rare, tokens``.
 
-    ``tokens`` is there once per class and batch: 8 bytes for each rare word, then 4 for each frequent one, both in order of rarity.
+    ``tokens`` is there once per class and batch, from LEAST_JOINED words on: 8 bytes for each rare word, then 4 for each frequent one, both in order of rarity.
     """
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
@@ -135,7 +137,7 @@ def lines(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
                 c = xxhash.xxh3_64_intdigest(raw)
                 rows.append(k)
                 cls.append(c)
-                tokens.append(None if c in seen else raw[: 8 * r] + key[e - n + r : e].astype(np.uint32).tobytes())
+                tokens.append(None if n < LEAST_JOINED or c in seen else raw[: 8 * r] + key[e - n + r : e].astype(np.uint32).tobytes())
                 seen.add(c)
             rows = np.array(rows, np.int64)
             at = pa.array(np.array(owner, np.int64)[rows])
@@ -412,8 +414,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A row per input row: ``doc_id, n_lines, n_removed, kept_sha256``, or with ``keep_columns`` all of ``docs`` with the text that is left.
 
     A line goes if an earlier one, by id and then place, has a Jaccard similarity of P/Q or more of
-    their sets of words (lower-cased A-Z, cut at ASCII space); lines are judged on the input. Lines of fewer than
-    LEAST_WORDS different words stay. Null counts as empty: no line. Rows that repeat an id and a
+    their sets of words (lower-cased A-Z, cut at ASCII space); lines are judged on the input. Lines without
+    a word stay. Null counts as empty: no line. Rows that repeat an id and a
     text count as one text and lose the same lines; null ids come first. An empty table gives an empty result.
     """
     blank = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))

@@ -239,6 +239,16 @@ def test_line_dedup_key_over_many_chunks(spark, monkeypatch, n):
     assert {(r.x, r.y) for r in met if r.x != r.y} == {(n - near + i, i) for i in range(near)}
 
 
+@pytest.mark.parametrize("frequent", [1, 128])
+def test_line_dedup_short_lines(spark, monkeypatch, frequent):
+    """Copies of lines of one to four words go too, and four words match the same with a fifth; lines without a word stay."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+    texts = ["Share\nRead more\nall rights reserved\npost a b c\nmore read this page now", "\n \nread MORE\nrights all reserved\nshare", "post a b c d\nread more\n\npost a b\nb a post post", "this page read more", "e f g h i\nh g f e\nf g h i\ne f g x"]
+    got = line_dedup.line_dedup(spark.createDataFrame([(i, t, "zz", 5, 1.0) for i, t in enumerate(texts)], SCHEMA).repartition(3), keep_columns=True)
+    kept = ["Share\nRead more\nall rights reserved\npost a b c\nmore read this page now", "\n ", "\npost a b", "", "e f g h i\ne f g x"]
+    assert {r.doc_id: r.text for r in got.collect()} == dict(enumerate(kept))
+
+
 @pytest.fixture(scope="module")
 def slow_ids():
     import tiktoken
