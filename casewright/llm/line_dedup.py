@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,7 +102,7 @@ def _sign(x: np.ndarray) -> pa.Array:
 def lines(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
     """A row per line with a word: ``cls`` (of equal sets the same), ``row, doc_id, line, size, rare, tokens``.
 
-    ``tokens`` is there once per class and batch, from LEAST_JOINED words on: 8 bytes for each rare word, then 4 for each frequent one, both in order of rarity.
+    ``tokens`` is there once per class and batch, in the earliest line, from LEAST_JOINED words on: 8 bytes for each rare word, then 4 for each frequent one, both in order of rarity.
     """
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
@@ -109,6 +110,7 @@ def lines(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
         ranks = _Ranks(shared.value)
         rank = ranks.__getitem__
         for b in slices(batches, "text"):
+            b = b.take(pc.sort_indices(b.select(["doc_id", "row"]), [("doc_id", "ascending"), ("row", "ascending")], null_placement="at_start"))
             owner, number, sizes, flat = [], [], [], []
             for i, t in enumerate(b.column("text")):
                 for k, line in enumerate(t.as_py().lower().split(b"\n")):

@@ -249,6 +249,20 @@ def test_line_dedup_short_lines(spark, monkeypatch, frequent):
     assert {r.doc_id: r.text for r in got.collect()} == dict(enumerate(kept))
 
 
+@pytest.mark.parametrize("others", [0, 600])
+def test_line_dedup_descending_ids(spark, monkeypatch, others):
+    """A line is as early as the smallest id that has it, in whatever order rows come, in small keys and in large ones."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", 10**9)  # every word is rare, so a line is filed under words, not pairs
+    hot = min((f"hot{i}" for i in range(200_000)), key=lambda w: xxhash.xxh64_intdigest(w) >> 1)  # first in order of rarity
+    w = [f"w{k}" for k in range(8)]
+    c, d, e = (" ".join([hot, *x]) for x in (w, [*w[1:], "y"], ["x", *w[:-1]]))
+    rows = [(9, c), (3, c), (5, d), (1, e)]
+    rows = [(1000 - i, " ".join([hot, *(f"f{i}x{k}" for k in range(8))])) for i in range(others)] + rows
+    rows = [(i, t, "zz", 5, 1.0) for i, t in rows]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert {r.doc_id for r in got if r.n_removed} == {3, 5, 9} == {i for i, _ in slow_lines(rows)}
+
+
 @pytest.fixture(scope="module")
 def slow_ids():
     import tiktoken
