@@ -36,7 +36,7 @@ def a2(spark, d):
 
 @query("a3_zeek", "SELECT event_id AS uid, CASE WHEN event_id % 6 <> 0 THEN event_type END AS service FROM events")
 def a3(spark, d):
-    e = table(spark, d, "events").select("event_id", F.concat_ws("\t", F.col("event_id").cast("string"), F.when(F.col("event_id") % 6 == 0, "-").otherwise(F.col("event_type"))).alias("value"), (F.col("event_id") % 4).alias("file"))
+    e = table(spark, d, "events").select("event_id", F.concat_ws("\t", F.col("event_id").cast("string"), F.when(F.col("event_id") % 6 == 0, "-").otherwise(F.col("event_type"))).alias("value"), F.floor(F.col("event_id") / 10_000).alias("file"))  # files grow in number, not in size
     heads = e.select("file").distinct().select(F.lit(-1).cast("long").alias("event_id"), F.lit("#fields\tuid\tservice").alias("value"), "file")
     rows = R.parse_zeek(heads.unionByName(e), ["file"], "event_id")
     return rows.select(F.col("fields")["uid"].cast("long").alias("uid"), F.col("fields")["service"].alias("service"))
@@ -65,8 +65,8 @@ def a8(spark, d):
 
 @query("a9_audit_envelopes", "SELECT event_type AS name, event_id AS id FROM events")
 def a9(spark, d):
-    e = table(spark, d, "events").select((F.col("event_id") % 50).alias("file"), (F.floor(F.col("event_id") / 50) % 3).alias("form"), F.struct(F.col("event_type").alias("name"), F.col("event_id").alias("id")).alias("r"))
-    # a file holds the records of one form
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 50).alias("file"), (F.floor(F.col("event_id") / 50) % 3).alias("form"), F.struct(F.col("event_type").alias("name"), F.col("event_id").alias("id")).alias("r"))
+    # a file holds the records of one form, 50 ids of them however large the table
     files = e.groupBy("file", "form").agg(F.to_json(F.sort_array(F.collect_list("r"))).alias("a"))
     value = F.when(F.col("form") == 0, F.concat(F.lit('{"Records":'), F.col("a"), F.lit("}"))).otherwise(F.col("a"))
     return R.explode_records(files.select(value.alias("value")), "value", "name string, id long").select("name", "id")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewright.operators import answers
+from casewright.plans import all_queries
 from casewright.sources import readers as R
 
 
@@ -76,3 +77,19 @@ def test_entry_and_keys():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert json.dumps(sorted(e.queries()))
+
+
+def test_made_files_are_of_bounded_size(spark, tmp_path, monkeypatch):
+    """A larger table makes more files of events, not larger ones."""
+    n = 45_000
+    spark.range(n).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type")).write.parquet(f"{tmp_path}/events.parquet")
+    fed, zeek, records = {}, R.parse_zeek, R.explode_records
+    monkeypatch.setattr(R, "parse_zeek", lambda lines, *a: zeek(fed.setdefault("a3", lines), *a))
+    monkeypatch.setattr(R, "explode_records", lambda files, *a: records(fed.setdefault("a9", files), *a))
+    for name, column in (("a3_zeek", "uid"), ("a9_audit_envelopes", "id")):
+        got = all_queries()[name](spark, str(tmp_path)).agg(F.count("*"), F.count_distinct(column), F.min(column), F.max(column)).first()
+        assert tuple(got) == (n, n, 0, n - 1)
+    sizes = fed["a3"].groupBy("file").count()
+    assert sizes.agg(F.max("count"), F.count("*")).first()[:] == (10_001, 5)  # and a head
+    each = fed["a9"].select(F.size(F.split("value", '"id"')) - 1)
+    assert each.agg(F.max(each.columns[0]), F.count("*")).first()[:] == (50, 900)
