@@ -1,8 +1,8 @@
 """Removal of every byte that a repeated string of ``length`` bytes covers.
 
-Equal strings have the same least k-gram at the same place, so every window of ``length`` bytes
-is filed under the hash of its least k-gram, its anchor. The windows of one anchor lie in one
-segment of less than ``2 * length`` bytes. Anchors that occur once hold no repeat. Segments that
+Equal strings have the same least k-gram, so every window of ``length`` bytes
+is filed under the hash of its least k-gram, its anchor. A run of windows with one anchor is
+a segment of less than ``2 * length`` bytes. Anchors that occur once hold no repeat. Segments that
 occur more than once are repeats as a whole. What is left, different segments
 with a common anchor, is dealt by anchor into blocks of bounded size; in a block, the
 Burrows-Wheeler transform of the segments is taken and its common-prefix values are derived in
@@ -22,16 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casewright.llm.common import drop, keep, slices
+from casewright.llm.common import drop, keep, release, slices
 
 LENGTH, GRAM = 400, 100
 #: Bytes of one block, and segments of one anchor that one block takes; an anchor with more goes the way of
 #: :func:`_windows`, which needs no block.
-BLOCK, HOT = 1_500_000, 2048
+BLOCK, HOT = 1_000_000, 2048
 #: Windows of a text that are looked at in one go, which bounds memory for very long texts.
 _STEP = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POS = np.uint64(20)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -44,7 +43,11 @@ _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(anchor hash, first window, last window)`` of each run of windows with one anchor."""
+    """``(anchor hash, first window, last window)`` of each run of windows with one anchor.
+
+    A run has no more windows than one gram can lie in; where a periodic text has one anchor
+    throughout, that makes a run every few hundred bytes.
+    """
     n = len(text)
     if n < length:
         e = np.zeros(0, np.int64)
@@ -59,61 +62,63 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         part = data[at : at + _STEP + length - 1].astype(np.uint64) + np.uint64(1)
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(part * up[: len(part)], out=total[1:])
-        g = (total[gram:] - total[:-gram]) * down[: len(part) - gram + 1]
-        g ^= g >> np.uint64(29)
-        g *= np.uint64(0xBF58476D1CE4E5B9)
-        g ^= g >> np.uint64(32)
-        low = (g >> _POS << _POS) | np.arange(len(g), dtype=np.uint64)  # of equal ones the leftmost
+        low = (total[gram:] - total[:-gram]) * down[: len(part) - gram + 1]
+        del part, total
+        low ^= low >> np.uint64(29)
+        low *= np.uint64(0xBF58476D1CE4E5B9)
+        low ^= low >> np.uint64(32)
         wide = 1
         while wide * 2 <= span:
             low = np.minimum(low[: len(low) - wide], low[wide:])
             wide *= 2
         if span > wide:
             low = np.minimum(low[: len(low) - (span - wide)], low[span - wide :])
-        pos = (low & np.uint64((1 << 20) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1]]))
-        last = np.concatenate([first[1:] - 1, [len(pos) - 1]])
-        found.append((g[pos[first]], first + at, last + at))
+        begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        size = np.diff(np.append(begin, len(low)))
+        pieces = -(-size // span)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(begin, pieces) + nth * span
+        last = np.append(first[1:], len(low)) - 1
+        found.append((low[first], first + at, last + at))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def suffix_order(sym: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and its inverse, sorted by the first ``depth`` symbols at least.
+    """Suffix array and its inverse, sorted by the first ``depth`` symbols at least, of less than 2^31 symbols.
 
     The last symbol occurs once, so no tied suffix runs past the end.
     """
     n = len(sym)
-    key = sym.astype(np.int64)
-    bits = int(key.max()).bit_length()
+    bits = int(sym.max()).bit_length()
     held = 1
     while bits * (held + 1) <= 62:
         held += 1
     packed = np.zeros(n, np.int64)
     for i in range(held):
-        packed[: n - i] |= key[i:] << np.int64(bits * (held - 1 - i))
-    sa = np.argsort(packed, kind="stable")
+        packed[: n - i] |= sym[i:].astype(np.int64) << np.int64(bits * (held - 1 - i))
+    sa = np.argsort(packed).astype(np.int32)
     packed = packed[sa]
     new = np.concatenate([[True], packed[1:] != packed[:-1]])
-    at = np.arange(n)
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(new, at, 0))
+    del packed
+    at = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(new, at, np.int32(0)))
     have = held
     while have < depth:
-        tied = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))
+        tied = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
         if not len(tied):
             break
         p = sa[tied]
-        k = (rank[p] << np.int64(31)) | rank[p + have]
-        o = np.argsort(k, kind="stable")
+        k = (rank[p].astype(np.int64) << np.int64(31)) | rank[p + have]
+        o = np.argsort(k)
         p, k = p[o], k[o]
         sa[tied] = p
         fresh = np.concatenate([[True], k[1:] != k[:-1]])
         new[tied] = fresh
-        rank[p] = np.maximum.accumulate(np.where(fresh, tied, 0))
+        rank[p] = np.maximum.accumulate(np.where(fresh, tied, np.int32(0)))
         have *= 2
-    inverse = np.empty(n, np.int64)
-    inverse[sa] = at
-    return sa, inverse
+    rank[sa] = at
+    return sa, rank
 
 
 def long_prefixes(sym: np.ndarray, sa: np.ndarray, inverse: np.ndarray, length: int) -> np.ndarray:
@@ -125,24 +130,28 @@ def long_prefixes(sym: np.ndarray, sa: np.ndarray, inverse: np.ndarray, length:
     has reached it, has a common prefix of l symbols with the row before it.
     """
     n = len(sym)
-    back = sa - 1  # the transform of row i is sym[back[i]]; the row of that suffix is step[i]
-    step, char = inverse[back], sym[back].astype(np.int64)
+    back = sa - np.int32(1)  # the transform of row i is sym[back[i]]; the row of that suffix is step[i]
+    step, char = inverse[back], sym[back]
+    del back
     open_ = np.ones(n + 1, bool)
     open_[0] = open_[n] = False
     head = sym[sa]
     left = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
-    right = np.concatenate([left[1:] - 1, [n - 1]])
+    del head
+    right = np.append(left[1:] - 1, n - 1)
     open_[right + 1] = False  # value 0
     whose = np.empty(n, np.int64)
     for _ in range(1, length):
         if not len(left):
             break
         size = right - left + 1
-        rows = np.repeat(left - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        rows = np.repeat((left - np.cumsum(size) + size).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)
         image = step[rows]
         # of one interval and symbol, the images are neighbours
-        group = (np.repeat(np.arange(len(left)), size) << np.int64(32)) | char[rows]
-        if len(rows) * 16 > n:
+        group = np.repeat(np.arange(len(left)) << np.int64(32), size)
+        group |= char[rows]
+        del rows
+        if len(image) * 16 > n:
             whose.fill(-1)
             whose[image] = group
             image = np.flatnonzero(whose >= 0)
@@ -151,7 +160,7 @@ def long_prefixes(sym: np.ndarray, sa: np.ndarray, inverse: np.ndarray, length:
             o = np.argsort(image)
             image, group = image[o], group[o]
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        left, right = image[first], image[np.concatenate([first[1:] - 1, [len(image) - 1]])]
+        left, right = image[first].astype(np.int64), image[np.append(first[1:] - 1, len(image) - 1)].astype(np.int64)
         fresh = open_[right + 1]
         left, right = left[fresh], right[fresh]
         open_[right + 1] = False
@@ -163,7 +172,7 @@ def repeats_in_block(segments: list[bytes], length: int = LENGTH) -> tuple[np.nd
     count = len(segments)
     sizes = np.array([len(s) + 1 for s in segments], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    sym = np.frombuffer(b"".join(s + b"\0" for s in segments), np.uint8).astype(np.int64) + count
+    sym = np.frombuffer(b"".join(s + b"\0" for s in segments), np.uint8).astype(np.int32) + np.int32(count)
     sym[starts + sizes - 1] = np.arange(count)  # separators: smaller than any byte, all different
     sa, inverse = suffix_order(sym, length)
     same = long_prefixes(sym, sa, inverse, length)
@@ -272,8 +281,8 @@ def _blocks(segs: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, _SPAN)
 
 
-def _windows(segs: DataFrame, length: int) -> DataFrame:
-    """The same for an anchor with more segments than a block takes: a count of its windows by hash."""
+def _windows(segs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The same for an anchor with more segments than a block takes: a count of its windows by hash; and scratch tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -285,29 +294,38 @@ def _windows(segs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["w1", "w2", "h", "n", "t1", "t2", "at"])
 
     hot = segs.where("hot").dropDuplicates(["h", "s1", "s2"])
-    w = hot.mapInArrow(run, "w1 long, w2 long, h long, n long, t1 long, t2 long, at long")
-    twice = w.groupBy("h", "w1", "w2").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    return w.where("n = 1").join(twice, ["h", "w1", "w2"]).select("t1", "t2", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    w = keep(hot.mapInArrow(run, "w1 long, w2 long, h long, n long, t1 long, t2 long, at long"), "windows")
+    twice = keep(w.groupBy("h", "w1", "w2").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "twice")
+    return w.where("n = 1").join(twice, ["h", "w1", "w2"]).select("t1", "t2", F.col("at").alias("lo"), F.col("at").alias("hi")), [w, twice]
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, list[DataFrame]]:
-    """``(t1, t2, lo, hi)``: first bytes of repeated windows, for each different text; and scratch tables."""
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """``(t1, t2, spans array of (lo, hi))``: first bytes of repeated windows, for each different text that has any.
+
+    What is counted for a key is written before it is joined back, so that adaptive execution can split
+    a key that holds much of the table.
+    """
+    spark = texts.sparkSession
     rows = keep(_anchor_rows(texts, length, gram), "anchors")
     twice = rows.groupBy("h").agg(F.count("*").alias("k"), F.min("s1").alias("a"), F.max("s1").alias("b")).where("k > 1")
-    common = keep(rows.join(twice.select("h", (F.col("a") != F.col("b")).alias("several")), "h"), "common")
-    drop(rows)
+    twice = keep(twice.select("h", (F.col("a") != F.col("b")).alias("several")), "twice")
+    common = keep(rows.join(twice, "h"), "common")
+    drop(rows, twice)
     segs = common.groupBy("h", "s1", "s2", "several").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "doc_id", "lo", "hi")).alias("one"))
     segs = keep(segs, "segs")
     whole = common.join(segs.where("n > 1").select("h", "s1", "s2"), ["h", "s1", "s2"]).select("t1", "t2", "lo", "hi").distinct()
-    sizes = segs.where("several").groupBy("h").agg((F.count("*") > hot).alias("hot"))
+    sizes = keep(segs.where("several").groupBy("h").agg((F.count("*") > hot).alias("hot")), "sizes")
     want = segs.where("several").join(sizes, "h")
     want = want.groupBy("one.t1", "one.t2", "one.doc_id").agg(F.collect_list(F.struct("h", "s1", "s2", "n", "hot", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"))).alias("want"))
     want = want.withColumnRenamed("doc_id", "want_id")
-    # the same exchange of the texts serves this join and the one that cuts them
     found = texts.join(want, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("want_id")))
     pieces = keep(_segments(found, length), "pieces")
-    spans = whole.unionByName(_blocks(pieces, length)).unionByName(_windows(pieces, length))
-    return spans, [common, segs, pieces]
+    by_hash, more = _windows(pieces, length)
+    spans = whole.unionByName(_blocks(pieces, length)).unionByName(by_hash)
+    out = keep(spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    drop(common, segs, sizes, pieces, *more)
+    release(spark)
+    return out
 
 
 def cut(text: bytes, spans: list[tuple[int, int]], length: int = LENGTH) -> tuple[bytes, int]:
@@ -329,33 +347,30 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     text or another, covers it; strings are judged on the input. Null counts as empty (and stays null as a text), and a
     text shorter than ``length`` stays whole. Of repeated rows each is a text of its own, so texts of
     ``length`` bytes or more go from all of them. The text that is left is UTF-8, less the bytes of
-    characters that a removal cut through. An empty table gives an empty result.
+    characters that a removal cut through. An empty table gives an empty result; other columns, whatever their names, are
+    carried with ``keep_columns`` and else ignored. Very long texts are read in steps.
     """
-    digests = {"_t1": F.xxhash64("_bytes"), "_t2": F.xxhash64(F.lit(1), "_bytes")}
-    source = docs.withColumn("_bytes", F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).withColumns(digests)
-    texts = source.select(F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col(id_col).alias("doc_id"), F.col("_bytes").alias("text"))
-    spans, _ = repeated_spans(texts, length, gram, hot)
-    per_text = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    if keep_columns:
-        rest = [c for c in docs.columns if c != text_col]
-        both = source.select(*rest, F.col(text_col).isNull().alias("_none"), "_bytes", F.col("_t1").alias("_a"), F.col("_t2").alias("_b"))
-        named = per_text.select(F.col("t1").alias("_a"), F.col("t2").alias("_b"), "_spans")
-        both = both.join(named, ["_a", "_b"], "left").select(*rest, "_none", "_bytes", "_spans")
-    else:
-        both = texts.join(per_text, ["t1", "t2"], "left").select("doc_id", F.lit(False).alias("_none"), F.col("text").alias("_bytes"), "_spans")
-    made = {"_text": T.StringType()} if keep_columns else {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType()}
+    rest = [c for c in docs.columns if c != text_col]
+    whole = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    row = F.struct(*(F.col(f"`{c}`") for c in rest)) if keep_columns else F.col(id_col)  # the columns of the user, whatever their names
+    source = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.col(text_col).isNull().alias("none"), whole.alias("text"))
+    source = source.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+    spans = repeated_spans(source.select("t1", "t2", "doc_id", "text"), length, gram, hot)
+    both = source.join(spans, ["t1", "t2"], "left").select("row", "none", "text", "spans")
+    made = {"kept": T.StringType()} if keep_columns else {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_bytes"):
+        for b in slices(batches, "text"):
             out: list[list] = [[] for _ in made]
-            for none, whole, spans in zip(*(b.column(c).to_pylist() for c in ("_none", "_bytes", "_spans"))):
+            for none, whole, spans in zip(*(b.column(c).to_pylist() for c in ("none", "text", "spans"))):
                 kept, runs = cut(whole, [(s["lo"], s["hi"]) for s in spans], length) if spans else (whole, 0)
                 values = (None if none else kept.decode("utf-8", "ignore"),) if keep_columns else (len(whole), len(whole) - len(kept), runs, hashlib.sha256(kept).hexdigest())
                 for o, v in zip(out, values):
                     o.append(v)
             kinds = [pa.string()] if keep_columns else [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-3], *(pa.array(v, k) for v, k in zip(out, kinds))], names=[*b.schema.names[:-3], *made])
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(v, k) for v, k in zip(out, kinds))], names=["row", *made])
 
-    schema = T.StructType([*both.schema.fields[:-3], *(T.StructField(c, k) for c, k in made.items())])
-    done = both.mapInArrow(run, schema)
-    return done.withColumnRenamed("_text", text_col).select(*docs.columns) if keep_columns else done
+    done = both.mapInArrow(run, T.StructType([both.schema["row"], *(T.StructField(c, k) for c, k in made.items())]))
+    if keep_columns:
+        return done.select(*(F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))
+    return done.withColumnRenamed("row", "doc_id")
