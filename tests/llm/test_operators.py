@@ -194,6 +194,28 @@ def slow_lines(rows):
     return gone
 
 
+@pytest.mark.parametrize("piece", [1, 7, 64, 1 << 20])
+def test_words_of_lines(piece):
+    """Hashes of words as Python cuts and lowers them, wherever a text is cut into pieces."""
+    rng = random.Random(piece)
+    texts = [b"", b" ", b"\n", b"A\x0bb\x0c c\r\n\tD\x1cE\xa0", "Über ÉA漢\u2003x\u0085".encode(), b"z" * 70_000 + b" " + b"z" * 69_999 + b"y"] + [bytes(rng.choices(b"aAbB \n\t\r\x0b\x0c\x85\xc3", k=300)) for _ in range(20)]
+    seen = {}
+    for t in texts[:5] + texts[6:] + texts[5:6] * (piece > 1):
+        want = [(w, k) for k, line in enumerate(t.lower().split(b"\n")) for w in line.split()]
+        got = [x for h, k in line_dedup.word_hashes(t, piece) for x in zip(h.tolist(), k.tolist())]
+        assert [k for _, k in got] == [k for _, k in want]
+        for (h, _), (w, _) in zip(got, want):
+            assert seen.setdefault(h, w) == w
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_words_by_rarity(spark):
+    texts = spark.createDataFrame([(" ".join(f"w{n}" for n in (1, 2, 3, 4, 20, 200) for _ in range(n)).encode(),)], "text binary")
+    h = {n: next(line_dedup.word_hashes(f"w{n}".encode()))[0] for n in (1, 2, 3, 4, 20, 200)}
+    keys = {n: int(line_dedup.rarity(texts).keys(x)[0]) for n, x in h.items()}
+    assert [k >> 61 for k in keys.values()] == [0, 1, 1, 2, 3, 4] and keys[200] == 1 << 63
+
+
 @pytest.mark.parametrize("frequent", [2, 128])
 def test_line_dedup(spark, none, monkeypatch, frequent):
     monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
@@ -230,10 +252,10 @@ def test_line_dedup_key_over_many_chunks(spark, monkeypatch, n):
     rng, near = random.Random(n), 20
     sigs = [rng.getrandbits(63) for _ in range(n - near)]
     sigs += sigs[:near]
-    rows = [(7, i, i, s, s, 9, 0) for i, s in enumerate(sigs)]
+    rows = [(7, i, s, i << 40 | 9 << 20) for i, s in enumerate(sigs)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     try:
-        met = line_dedup._meet(spark.createDataFrame(rows, "key long, cls long, ord long, sig long, sig2 long, size int, at int")).collect()
+        met = line_dedup._meet(spark.createDataFrame(rows, "key long, cls long, sig long, rest long")).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(r.x, r.y) for r in met if r.x != r.y} == {(n - near + i, i) for i in range(near)}
@@ -253,7 +275,9 @@ def test_line_dedup_short_lines(spark, monkeypatch, frequent):
 def test_line_dedup_descending_ids(spark, monkeypatch, others):
     """A line is as early as the smallest id that has it, in whatever order rows come, in small keys and in large ones."""
     monkeypatch.setattr(line_dedup, "FREQUENT", 10**9)  # every word is rare, so a line is filed under words, not pairs
-    hot = min((f"hot{i}" for i in range(200_000)), key=lambda w: xxhash.xxh64_intdigest(w) >> 1)  # first in order of rarity
+    monkeypatch.setattr(line_dedup, "CLASSES", (1, 1, 1))  # and all are as rare, so their hashes alone order them
+    some = [f"hot{i}" for i in range(100_000)]
+    hot = some[int(np.argmin(np.concatenate([h for h, _ in line_dedup.word_hashes(" ".join(some).encode())])))]
     w = [f"w{k}" for k in range(8)]
     c, d, e = (" ".join([hot, *x]) for x in (w, [*w[1:], "y"], ["x", *w[:-1]]))
     rows = [(9, c), (3, c), (5, d), (1, e)]
