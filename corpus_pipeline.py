@@ -30,36 +30,54 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: a letter in the text, and a language likely enough."""
+    """Documents whose language is known: a letter in the text, and a language likely enough.
+
+    Null and empty texts, and texts without a letter, go. Where no document has a language to learn from, all others stay. Repeated rows
+    are judged alike; very long texts are read whole; an empty table stays empty; other columns, whatever their names, are carried.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("own"), "text")
     names, model = language_gru.train(docs)
-    named = language_gru.identify(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), (names, model), keep_columns=True)
+    named = language_gru.identify(own, (names, model), keep_columns=True)
     bare = (F.col("lang_pred") == language_gru.UNKNOWN) & (F.col("score") == 1)  # no letter
     doubtful = F.lit(bool(names)) & (F.col("score") < LEAST_LANGUAGE_SCORE)
-    kept = named.where(~bare & ~doubtful).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*docs.columns)
+    return named.where(~bare & ~doubtful).select(*(F.col(c) if c == "text" else F.col(f"own.`{c}`") for c in docs.columns))
 
 
 def line(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that match an earlier one."""
+    """All documents, without the lines that match an earlier one.
+
+    Null texts stay null and empty ones empty; rows that repeat id and text lose the same lines; an empty
+    table stays empty; other columns, whatever their names, are carried.
+    """
     return _counted(line_dedup(docs, keep_columns=True))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest id.
 
-    Texts without a word have one fingerprint, so one of them stays; rows that repeat the id that stays, stay.
+    Texts without a word, null ones too, have one fingerprint, so one of them stays; rows that repeat the id that stays, stay. Rows
+    with a null id stay. An empty table stays empty; other columns, whatever their names, are carried.
     """
     groups = simhash(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(groups, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings that also start anywhere else."""
+    """All documents, without the strings that also start anywhere else.
+
+    Null texts stay null; of repeated rows each is a text of its own, so what they share goes from all. An empty table stays
+    empty; other columns, whatever their names, are carried.
+    """
     return _counted(suffix_dedup(docs, keep_columns=True))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, in sequences."""
+    """The pieces of all documents, in sequences.
+
+    Null and empty texts are one token; repeated rows are packed each; very long texts are cut; an empty table has no piece; other
+    columns are ignored.
+    """
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
@@ -75,7 +93,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; what one returns is written and read again."""
+    """Apply the stages to ``documents``; what one returns is written and read again. An empty table gives no piece."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name)
