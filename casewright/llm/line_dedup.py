@@ -34,7 +34,7 @@ FREQUENT, MOST_FREQUENT = 128, 1 << 18
 #: words is a matter of speed alone: any order that all lines share gives the same matches.
 CLASSES, CELLS = (2, 4, 16), 1 << 26
 #: Rows of one word compared at once; partners named for a line and word before the rest is left to the second round.
-CHUNK, PARTNERS, EARLIEST = 1 << 18, 4, 1 << 14
+CHUNK, PARTNERS, EARLIEST = 1 << 18, 8, 1 << 14
 #: Classes that are sent to every task when tokens are fetched; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 _HEAVY = 1 << 63
@@ -164,9 +164,10 @@ def lines(texts: DataFrame, order: Order) -> DataFrame:
             if not found:
                 continue
             first = np.cumsum([0] + [t.count(b"\n") + 1 for t in all_])
-            word, of = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+            coded = pa.array(np.concatenate([x for x, _ in found])).dictionary_encode()
+            word, of = coded.dictionary.to_numpy(), coded.indices.to_numpy()
             line = np.concatenate([x for _, x in found])
-            del found
+            del found, coded
             key = shared.value.keys(word)
             by = np.argsort(key)
             code = np.empty(len(by), np.uint64)
@@ -219,22 +220,27 @@ def _pairs(words: np.ndarray, single: int, first: int) -> tuple[np.ndarray, np.n
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """``(key, cls, sig, rest)``: each class under each of its keys; each word flips a bit of the 64 of the signature.
+    """``(key, cls, sig, sig2, rest)``: each class under each of its keys; each word flips a bit of the 128 of the signature.
 
     ``rest`` packs earliness, words and place; beyond 2^20 words both are cut to what filters take for unknown.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "tokens", 2 << 20):
-            raw, rare = b.column("tokens").to_pylist(), b.column("rare").to_numpy().astype(np.int64)
-            n = rare + (np.array([len(t) for t in raw], np.int64) - 8 * rare) // 4
+            rare, tokens = b.column("rare").to_numpy().astype(np.int64), b.column("tokens")
+            begin = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64) // 4
+            units = np.frombuffer(tokens.buffers()[2], np.uint32)
+            n = np.diff(begin) - rare
             start = np.cumsum(n) - n
-            place = np.arange(n.sum()) - np.repeat(start, n)
-            few = place < np.repeat(rare, n)
-            x = np.empty(len(place), np.uint64)
-            x[few] = np.frombuffer(b"".join([t[: 8 * r] for t, r in zip(raw, rare.tolist())]), np.uint64)
-            x[~few] = np.frombuffer(b"".join([t[8 * r :] for t, r in zip(raw, rare.tolist())]), np.uint32).astype(np.uint64) + np.uint64(_HEAVY)
-            sig = np.bitwise_xor.reduceat(np.uint64(1) << ((x * _MIX) >> np.uint64(58)), start)
+            place, few = np.arange(n.sum()) - np.repeat(start, n), np.repeat(rare, n)
+            at = np.repeat(begin[:-1], n) + place + np.minimum(place, few)  # two units for each rare word
+            few = place < few
+            x = units[at].astype(np.uint64)
+            x[few] |= units[at[few] + 1].astype(np.uint64) << np.uint64(32)
+            x[~few] += np.uint64(_HEAVY)
+            spot = (x * _MIX) >> np.uint64(57)
+            bit, none = np.uint64(1) << (spot & np.uint64(63)), np.uint64(0)
+            sig, sig2 = (np.bitwise_xor.reduceat(np.where(half, bit, none), start) for half in (spot < 64, spot >= 64))
             first = n - -(-n * P // Q) + 1
             single = np.minimum(first, rare)
             chosen = (place < np.repeat(single, n)) & (x >= _TWICE)
@@ -252,22 +258,28 @@ def postings(rows: DataFrame) -> DataFrame:
                     each.append(np.repeat(part, len(i)))
             each = np.concatenate(each)
             rest = (b.column("ord").to_numpy()[each].astype(np.uint64) << np.uint64(_SIZE + _AT)) | (np.minimum(n, _FEW).astype(np.uint64)[each] << np.uint64(_AT)) | np.minimum(np.concatenate(at), _FEW).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([_sign(np.concatenate(key)), b.column("c1").take(pa.array(each)), _sign(sig[each]), _sign(rest)], names=["key", "cls", "sig", "rest"])
+            yield pa.RecordBatch.from_arrays([_sign(np.concatenate(key)), b.column("c1").take(pa.array(each)), _sign(sig[each]), _sign(sig2[each]), _sign(rest)], names=["key", "cls", "sig", "sig2", "rest"])
 
-    return rows.select("c1", "ord", "rare", "tokens").mapInArrow(run, "key long, cls long, sig long, rest long")
+    return rows.select("c1", "ord", "rare", "tokens").mapInArrow(run, "key long, cls long, sig long, sig2 long, rest long")
 
 
-def _may_match(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
-    """Length, positional and signature filters; none of them drops a match at its first common word."""
+def _sizes_match(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    """Length and positional filters; neither drops a match at its first common word."""
     both = a["size"] + b["size"]
     most = np.minimum(a["size"] - a["at"], b["size"] - b["at"])  # the word itself and all after it
     ok = (P * a["size"] <= Q * b["size"]) & (P * b["size"] <= Q * a["size"]) & ((P + Q) * most >= P * both)
-    ok &= (P + Q) * np.bitwise_count(a["sig"] ^ b["sig"]).astype(np.int64) <= (Q - P) * both
+    return ok | (a["size"] == _FEW) | (b["size"] == _FEW)
+
+
+def _signs_match(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    """The signatures differ in no more bits than the sets may differ in words."""
+    off = np.bitwise_count(a["sig"] ^ b["sig"]).astype(np.int32) + np.bitwise_count(a["sig2"] ^ b["sig2"])
+    ok = (P + Q) * off <= (Q - P) * (a["size"] + b["size"])
     return (ok | (a["size"] == _FEW) | (b["size"] == _FEW)) & (a["cls"] != b["cls"])
 
 
 def _meet(posts: DataFrame) -> DataFrame:
-    """``(x, y, more)``: for each line and key the first earlier lines that pass the filters; ``more`` if there may be others."""
+    """``(x, y, keys, more)``: for each line and key the first earlier lines that pass the filters, and under how many keys; ``more`` if there may be others."""
 
     def solve(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(c["key"])
@@ -279,7 +291,9 @@ def _meet(posts: DataFrame) -> DataFrame:
         live = np.flatnonzero(left > lag)
         while len(live):
             y, x = live, live + lag  # rows come in order, so the partner is the earlier one
-            ok = _may_match({k: c[k][x] for k in tested}, {k: c[k][y] for k in tested})
+            ok = _sizes_match({k: c[k][x] for k in sizes}, {k: c[k][y] for k in sizes})
+            x, y = x[ok], y[ok]
+            ok = _signs_match({k: c[k][x] for k in signs}, {k: c[k][y] for k in signs})
             xs.append(x[ok])
             ys.append(y[ok])
             lag += 1
@@ -309,7 +323,8 @@ def _meet(posts: DataFrame) -> DataFrame:
             hit = np.zeros(len(open_), bool)
             for lo in range(0, len(open_), 4096):
                 x = open_[lo : lo + 4096]
-                ok = _may_match({k: c[k][x][:, None] for k in tested}, {k: ref[k][y][None] for k in tested}) & (c["ord"][x][:, None] >= ref["ord"][y][None])
+                one, two = {k: c[k][x][:, None] for k in (*sizes, *signs)}, {k: ref[k][y][None] for k in (*sizes, *signs)}
+                ok = _sizes_match(one, two) & _signs_match(one, two) & (c["ord"][x][:, None] >= ref["ord"][y][None])
                 some = ok.any(axis=1)
                 hit[lo : lo + 4096] = some
                 xs.append(c["cls"][x[some]])
@@ -321,7 +336,7 @@ def _meet(posts: DataFrame) -> DataFrame:
         x, y = np.concatenate(xs), np.concatenate(ys)
         return x, y, np.ones(len(x), bool)
 
-    names, tested = ["key", "cls", "sig", "rest"], ("cls", "sig", "size", "at")
+    names, sizes, signs = ["key", "cls", "sig", "sig2", "rest"], ("size", "at"), ("cls", "sig", "sig2", "size")
 
     def batch(made: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
         t = pa.table({"x": made[0], "y": made[1], "more": made[2]}).group_by(["x", "y"]).aggregate([("more", "max")])
@@ -335,7 +350,7 @@ def _meet(posts: DataFrame) -> DataFrame:
             t = pa.Table.from_batches(bs)
             out = {k: t[k].to_numpy() for k in names}
             rest = out["rest"]
-            return out | {"sig": out["sig"].view(np.uint64), "ord": rest >> (_SIZE + _AT), "size": rest >> _AT & _FEW, "at": rest & _FEW}
+            return out | {"sig": out["sig"].view(np.uint64), "sig2": out["sig2"].view(np.uint64), "ord": rest >> (_SIZE + _AT), "size": (rest >> _AT & _FEW).astype(np.int32), "at": (rest & _FEW).astype(np.int32)}
 
         def split(c: dict[str, np.ndarray], limit: int) -> Iterator[tuple]:
             """Small keys together, each large one by itself."""
@@ -383,20 +398,22 @@ def _meet(posts: DataFrame) -> DataFrame:
             yield from flush(True)
 
     dealt = posts.repartition(F.col("key")).sortWithinPartitions("key", "rest", "cls")
-    return dealt.mapInArrow(run, "x long, y long, more boolean").groupBy("x", "y").agg(F.max("more").alias("more"))
+    return dealt.mapInArrow(run, "x long, y long, more boolean").groupBy("x", "y").agg(F.count("*").alias("keys"), F.max("more").alias("more"))
 
 
-def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(c1, c2, rare, tokens)``, a row per class, of the classes whose ``c1`` is ``wanted (cls)``."""
+def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(c1, c2, rare, tokens)``, a row per class, of the classes that ``pairs (x, y)`` name by ``c1``."""
+    wanted = keep(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "need")
     hint = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
-    return keep(rows.join(hint, F.col("c1") == F.col("cls")).select("c1", "c2", "rare", "tokens"), "sets").dropDuplicates(["c1", "c2"])
+    out = keep(rows.join(hint, F.col("c1") == F.col("cls")).select("c1", "c2", "rare", "tokens", F.struct("doc_id", "row", "line").alias("first")), "sets")
+    drop(wanted)
+    return out
 
 
-def _verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(x struct(c1, c2), y)`` of the pairs of ``c1`` whose sets are similar enough, counted word by word."""
-    need = keep(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "need")
-    sets = _sets(rows, need)
-    side = lambda c: sets.select(F.col("c1").alias(c), F.col("c2").alias(f"{c}2"), F.col("rare").alias(f"{c}r"), F.col("tokens").alias(f"{c}t"))
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(x, x2, y, y2)`` of the pairs of ``c1`` whose sets are similar enough, counted word by word."""
+    once = sets.dropDuplicates(["c1", "c2"])
+    side = lambda c: once.select(F.col("c1").alias(c), F.col("c2").alias(f"{c}2"), F.col("rare").alias(f"{c}r"), F.col("tokens").alias(f"{c}t"))
     both = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,15 +428,16 @@ def _verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.select("x", "x2", "y", "y2", "xr", "xt", "yr", "yt").mapInArrow(run, "x long, x2 long, y long, y2 long")
 
 
-def _earlier(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _earlier(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``c1, c2`` of the classes with a verified partner whose first line comes before their own."""
-    good = keep(_verify(pairs, rows), "verified")
-    need = good.select(F.explode(F.array(F.struct(F.col("x").alias("c1"), F.col("x2").alias("c2")), F.struct(F.col("y").alias("c1"), F.col("y2").alias("c2")))).alias("c")).select("c.*").distinct()
-    first = keep(rows.join(need, ["c1", "c2"]).groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "row", "line")).alias("first")), "first")
+    good = keep(_verify(pairs, sets), "verified")
+    first = keep(sets.groupBy("c1", "c2").agg(F.min("first").alias("first")), "first")
     side = lambda c: first.select(F.col("c1").alias(c), F.col("c2").alias(f"{c}2"), F.col("first").alias(f"{c}f"))
     placed = good.join(side("x"), ["x", "x2"]).join(side("y"), ["y", "y2"])
     late = F.col("xf") > F.col("yf")
-    return placed.select(F.when(late, F.col("x")).otherwise(F.col("y")).alias("c1"), F.when(late, F.col("x2")).otherwise(F.col("y2")).alias("c2")).distinct()
+    out = keep(placed.select(F.when(late, F.col("x")).otherwise(F.col("y")).alias("c1"), F.when(late, F.col("x2")).otherwise(F.col("y2")).alias("c2")).distinct(), "later")
+    drop(good, first)
+    return out
 
 
 def _earliness(texts: DataFrame) -> Column:
@@ -442,27 +460,35 @@ def removed_lines(texts: DataFrame) -> DataFrame:
     rows = all_rows.where("tokens is not null")
     met = keep(_meet(postings(rows)), "met")
     release(spark)
-    later = keep(_earlier(met.where("x <> y"), rows), "later")
+    pairs = met.where("x <> y")
+    sets = _sets(rows, pairs)
+    # the partner that shares most keys is tried first; only lines it does not settle try the others
+    best = keep(pairs.groupBy("x").agg(F.max_by("y", F.struct("keys", "y")).alias("y")), "best")
+    later = _earlier(best, sets)
+    release(spark)
+    settled = later.select(F.col("c1").alias("x"))
+    others = pairs.select("x", "y").join(best, ["x", "y"], "left_anti").join(settled, "x", "left_anti")
+    later = keep(later.unionByName(_earlier(others, sets)).distinct(), "later")
+    drop(sets, best)
+    release(spark)
     # a line whose named partners are not earlier matches, and that has others, is compared with all of its keys
     more = met.where("more").select(F.col("x").alias("c1")).distinct()
     open_ = keep(rows.join(more, "c1").select("c1", "c2").distinct().join(later, ["c1", "c2"], "left_anti"), "open")
     if not open_.isEmpty():
-        least = lambda: (F.min(F.struct("rest", "sig")).alias("m"),)
-        a = postings(rows.join(open_, ["c1", "c2"], "left_semi")).groupBy("key", "cls").agg(*least())
-        a = keep(a.select("key", F.col("cls").alias("cls_x"), F.col("m.rest").alias("rest_x"), F.col("m.sig").alias("sig_x")), "again")
-        asked = keep(a.select("key").distinct(), "asked")
-        hint = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
-        b = postings(rows).join(hint, "key", "left_semi").groupBy("key", "cls").agg(*least()).select("key", "cls", "m.rest", "m.sig")
+        asking = postings(rows.join(open_, ["c1", "c2"], "left_semi")).groupBy("key", "cls").agg(F.min(F.struct("rest", "sig", "sig2")).alias("m"))
+        a = keep(asking.select("key", F.col("cls").alias("cls_x"), F.col("m.rest").alias("rest_x"), F.col("m.sig").alias("sig_x"), F.col("m.sig2").alias("sig2_x")), "again")
+        hint = F.broadcast(a) if a.count() <= MOST_BROADCAST // 4 else a
         field = lambda c, low, few: F.shiftright(F.col(c), low).bitwiseAND(F.lit(few))
         size, size_x, at, at_x = (field(c, low, _FEW) for low in (_AT, 0) for c in ("rest", "rest_x"))
         close = (
             (P * size <= Q * size_x) & (P * size_x <= Q * size) & ((P + Q) * F.least(size - at, size_x - at_x) >= P * (size + size_x))
-            & ((P + Q) * F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_x"))) <= (Q - P) * (size + size_x))
+            & ((P + Q) * (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_x"))) + F.bit_count(F.col("sig2").bitwiseXOR(F.col("sig2_x")))) <= (Q - P) * (size + size_x))
         )
         near = (F.col("cls") != F.col("cls_x")) & (F.shiftright("rest", _SIZE + _AT) <= F.shiftright("rest_x", _SIZE + _AT)) & (close | (size == _FEW) | (size_x == _FEW))  # only an earlier line counts
-        pairs = keep(a.join(b, "key").where(near).select(F.col("cls_x").alias("x"), F.col("cls").alias("y")).distinct(), "pairs")
-        later = keep(later.unionByName(_earlier(pairs, rows)).distinct(), "later")
-        drop(a, asked, pairs)
+        again = keep(postings(rows).join(hint, "key").where(near).select(F.col("cls_x").alias("x"), F.col("cls").alias("y")).distinct(), "pairs")
+        sets = _sets(rows, again)
+        later = keep(later.unionByName(_earlier(again, sets)).distinct(), "later")
+        drop(a, again, sets)
     first = all_rows.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count("*").alias("n"))
     # a line that a third of the texts have: what is known of a class is written, so AQE can split the other side of the join
     state = keep(first.join(later.withColumn("gone", F.lit(True)), ["c1", "c2"], "left").where("gone or n > 1"), "state")

@@ -252,10 +252,10 @@ def test_line_dedup_key_over_many_chunks(spark, monkeypatch, n):
     rng, near = random.Random(n), 20
     sigs = [rng.getrandbits(63) for _ in range(n - near)]
     sigs += sigs[:near]
-    rows = [(7, i, s, i << 40 | 9 << 20) for i, s in enumerate(sigs)]
+    rows = [(7, i, s, s, i << 40 | 9 << 20) for i, s in enumerate(sigs)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     try:
-        met = line_dedup._meet(spark.createDataFrame(rows, "key long, cls long, sig long, rest long")).collect()
+        met = line_dedup._meet(spark.createDataFrame(rows, "key long, cls long, sig long, sig2 long, rest long")).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(r.x, r.y) for r in met if r.x != r.y} == {(n - near + i, i) for i in range(near)}
