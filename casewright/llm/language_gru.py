@@ -8,23 +8,25 @@ read whole, window after window.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from casewright.llm.common import hash_sample, slices
+from casewright.llm.common import slices
 
 #: Units of each direction; bytes of a window; windows read at once.
 HIDDEN, WINDOW, ROWS = 8, 128, 2048
-#: The fit sees about SAMPLE labelled rows, never more than twice as many, and of each this many characters.
-SAMPLE, SAMPLE_CHARS = 2000, 4000
+#: The fit sees about SAMPLE labelled rows of each language, never more than twice as many, of at most LANGUAGES
+#: languages; of each row PLACES windows at hashed places of the whole text.
+SAMPLE, LANGUAGES, PLACES = 500, 500, 32
 STEPS, BATCH, RATE, SEED = 240, 192, 0.02, 7
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -203,12 +205,25 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], dict]:
-    """Fit on about ``sample`` labelled rows that are not held out, chosen by hash of their id."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    rows = hash_sample(known, id_col, sample).select(F.substring(text_col, 1, SAMPLE_CHARS).alias("t"), F.col(lang_col).cast("string").alias("l")).limit(2 * sample).collect()
-    rows.sort()  # the order in which tasks end does not count
-    rows = [r for r in rows if _LETTER.search(r.t)]
-    return fit([r.t.encode() for r in rows], [r.l for r in rows])
+    """Fit on about ``sample`` labelled rows of each language that are not held out, chosen by hash of their id.
+
+    Windows are drawn from whole texts. Rows without a text, a language or a letter teach nothing; without any
+    such row the model knows no language.
+    """
+    known = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where(F.col("l").isNotNull() & (F.length("t") > 0) & ~held_out("i"))
+    counts = {r.l: r.n for r in known.groupBy("l").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not counts:
+        return fit([], [])
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 30, -(-(sample << 30) // n)))))
+    chosen = known.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < F.element_at(share, F.col("l")))
+    place = lambda k: F.substring("t", (F.pmod(F.xxhash64("i", k), F.greatest(F.lit(1), F.length("t") - (WINDOW - 1))) + 1).cast("int"), F.lit(WINDOW))
+    windows = F.transform(F.sequence(F.lit(1), F.lit(PLACES)), place)
+    rows = chosen.select("l", windows.alias("w")).limit(2 * sample * len(counts)).collect()
+    rows = sorted((r.l, list(r.w)) for r in rows)  # the order in which tasks end does not count
+    drawn = [(lang, w) for lang, ws in rows for w in ws if _LETTER.search(w)]
+    return fit([w.encode() for _, w in drawn], [lang for lang, _ in drawn])
 
 
 def identify(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
@@ -217,7 +232,7 @@ def identify(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_
     ``und`` (score 1) where the text is null, empty or has no letter, and for every text
     (score 0) if the model knows no language. Texts of any length are read whole. Repeated rows
     stay repeated; an empty table gives an empty result. With ``keep_columns``, columns of ``docs`` that have
-    the names of the new ones are replaced.
+    the names of the new ones are replaced; any other names are fine.
     """
     names, m = model
 
@@ -230,16 +245,19 @@ def identify(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_
             scores.append(float(row[k]) if t and names else float(not t))
         return langs, scores
 
-    new = ["lang_pred", "score"]
-    rest = [c for c in docs.columns if c not in new]
-    source = docs.select(*rest, F.col(text_col).cast("binary").alias("_bytes")) if keep_columns else docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("binary").alias("_bytes"))
+    rest = [c for c in docs.columns if c != text_col]
+    row = [F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row")] if keep_columns else [F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out")]
+    source = docs.select(*row, F.col(text_col).cast("binary").alias("bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_bytes"):
-            langs, scores = predict(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], *new])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(run, schema)
+        for b in slices(batches, "bytes"):
+            langs, scores = predict(b.column("bytes").to_pylist())
+            kept = b.columns if keep_columns else b.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[: len(kept)], "lang_pred", "score"])
+
+    schema = T.StructType([*(source.schema.fields if keep_columns else source.schema.fields[:-1]), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    done = source.mapInArrow(run, schema)
+    if keep_columns:
+        own = [F.col("bytes").cast("string").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+        done = done.select(*own, "lang_pred", "score")
+    return done
