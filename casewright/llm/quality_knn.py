@@ -46,7 +46,7 @@ def terms(text: bytes) -> np.ndarray:
     data = np.frombuffer(text, np.uint8)
     for at in range(0, len(data), _STEP):
         b = data[at : at + _STEP + 3]
-        x = b.astype(np.uint32)
+        x = b[: _STEP + 2].astype(np.uint32)
         if len(x) >= 3:
             raw += np.bincount((x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(22), minlength=TERMS)
         c = _CLASS[b]
@@ -120,7 +120,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(t or b"").tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["k", "label", "terms"])
 
-    got = sorted((r.k, r.label, bytes(r.terms)) for r in rows.mapInArrow(run, "k long, label int, terms binary").collect())[: 2 * sample]
+    # an id that rows repeat counts once, so no more rows than were chosen come to the driver
+    made = rows.mapInArrow(run, "k long, label int, terms binary").groupBy("k").agg(F.min(F.struct("label", "terms")).alias("one"))
+    got = sorted((r.k, r.one.label, bytes(r.one.terms)) for r in made.collect())
     matrix = np.frombuffer(b"".join(r[2] for r in got), np.float32).reshape(len(got), 2 * TERMS + STYLE)
     return Model(matrix, np.array([r[1] for r in got], np.float32))
 
@@ -129,7 +131,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
     """``doc_id, held_out, score, predicted``, a row per input row; the whole text is read, and nothing else.
 
     Null and empty texts have the share of label 1 in the sample as their score. Repeated
-    rows get equal scores; an empty table gives an empty result.
+    rows get equal scores; an empty table gives an empty result; very long texts are read in steps;
+    other columns are ignored, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: about 2 MB
