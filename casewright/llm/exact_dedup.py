@@ -54,7 +54,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when byte for byte the same; null counts as empty. The row with
     the largest id stays (a null id is the smallest; of rows with one id and one text a
-    single row stays). An empty table gives an empty result; other columns are ignored.
+    single row stays). Texts of any length are digested whole. An empty table gives an empty result; other
+    columns are ignored, whatever their names.
     """
     digests = keep(
         docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha")).withColumn("row", F.monotonically_increasing_id()),
@@ -67,7 +68,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     probed = probed.select("doc_id", "row", "sha", F.coalesce(_is_set(F.col("bits"), one) & _is_set(F.col("bits"), two), F.lit(False)).alias("maybe"))
     through = probed.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     maybe = probed.where("maybe").select("doc_id", "row", "sha")
-    groups = maybe.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count("*").alias("group_size"))
-    # A text that holds a third of all rows: one side has a row a key, so AQE may split the other.
-    same = maybe.join(groups, "sha").select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"), F.col("sha").alias("text_sha256"))
+    groups = maybe.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count("*").alias("group_size")).where("group_size > 1")
+    # A text that holds a third of all rows: groups are written, one row a key, so AQE can split the other side of the join.
+    groups = keep(groups, "groups")
+    alone = F.col("top").isNull()  # a false alarm of the filter
+    same = maybe.join(groups, "sha", "left").select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        (alone | (F.col("row") == F.col("top.row"))).alias("kept"), F.col("sha").alias("text_sha256"),
+    )
     return through.unionByName(same)
