@@ -119,10 +119,9 @@ def link(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
         (F.col("xp") != F.col("part")) & ((F.col("part") == F.col("hub_part")) | (F.col("x") < F.col("fp"))) & _near(F.col("x"), F.col("fp"), F.col("xe"), F.col("e"), distance)
     )
     more = rest.select(F.col("x").alias("a"), F.col("fp").alias("b")).distinct()
-    out = keep(components(stars.unionByName(more)), "linked")
-    for t in (top, shared, stars, parts, named):
-        drop(t)
-    return out.select(F.col("node").alias("fp"), "component")
+    out = keep(components(stars.unionByName(more)).select(F.col("node").alias("fp"), "component"), "linked")
+    drop(top, shared, stars, parts, named)
+    return out
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -131,12 +130,14 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     Null and empty texts, and texts without a word, have fingerprint zero and link like
     any other. ``component_id`` is the smallest id of the component; ids that are null never are
     it unless the component has no other. Repeated rows stay repeated; an empty table gives an empty
-    result. Other columns are ignored.
+    result. Other columns are ignored, whatever their names; very long texts are hashed in steps.
     """
     rows = keep(fingerprints(docs, id_col, text_col, shingle), "fps")
     points = keep(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), "points")
-    linked = points.join(link(points.select("fp", "n"), distance), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = linked.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = linked.join(least, "component").select("fp", "component_id")
+    parts = link(points.select("fp", "n"), distance)
+    linked = points.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = keep(linked.groupBy("component").agg(F.min("low").alias("component_id")), "least")
+    named = keep(linked.join(least, "component").select("fp", "component_id"), "named")
+    drop(points, parts, least)
     # a fingerprint that a third of all rows share: one side has a row a key, so AQE may split the other
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
