@@ -38,12 +38,19 @@ def features(host: Column, path: Column) -> Column:
 
 
 def train(labelled: DataFrame, reg: float = REG) -> tuple[list[float], float]:
-    """Weights and intercept from ``labelled (url string, label int)``, 1 for block."""
+    """Weights and intercept from ``labelled (url string, label int)``, 1 for block.
+
+    Rows with a null teach nothing. Without any row every score is 0; with one label only it is that label.
+    """
     host, path = split_url(F.col("url"))
-    cells = labelled.where("url is not null and label is not null").select(F.col("label").cast("double").alias("label"), features(host, path).alias("cells"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda d: F.size(F.filter("cells", lambda x: x == d)).cast("double"))
-    rows = cells.select("label", array_to_vector(F.transform(counts, lambda n: F.sqrt(n))).alias("features"))
-    model = LogisticRegression(regParam=reg, standardization=False, maxIter=100).fit(rows.coalesce(1))
+    known = labelled.where("url is not null and label is not null").distinct()
+    if known.isEmpty():
+        return [0.0] * DIM, float("-inf")
+    counts = known.select("url", F.col("label").cast("double").alias("label"), F.explode(features(host, path)).alias("cell")).groupBy("url", "label", "cell").agg(F.sqrt(F.count("*")).alias("w"))
+    sparse = counts.groupBy("url", "label").agg(F.map_from_entries(F.collect_list(F.struct("cell", "w"))).alias("at"))  # at most DIM entries
+    dense = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda d: F.coalesce(F.try_element_at("at", d), F.lit(0.0)))
+    rows = sparse.select("label", array_to_vector(dense).alias("features"))
+    model = LogisticRegression(regParam=reg, standardization=False, maxIter=100).fit(rows)
     return [float(w) for w in model.coefficients], float(model.intercept)
 
 
@@ -77,7 +84,9 @@ def url_filter(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str
     """``page_id, host, path, rule, verdict, score``, a row per page.
 
     A null or malformed url has empty host and path and is judged by the method like
-    any other. Repeated rows stay repeated; columns other than id and url are not read.
+    any other. Urls of any length are read whole. Repeated rows stay repeated, repeated labelled rows count once; columns other
+    than id and url are not read, whatever their names. An empty table gives an empty result; without labelled
+    rows every page that no rule fits is allowed.
     """
     weights, intercept = train(labelled)
     host, path = split_url(F.col(url_col))
