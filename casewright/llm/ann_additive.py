@@ -20,7 +20,7 @@ from casewright.llm.common import hash_sample, keep
 #: Codebooks, words of each, beam, vectors the codebooks are fitted to, and rounds of their refit.
 BOOKS, WORDS, BEAM, SAMPLE, REFITS = 24, 256, 4, 8192, 1
 #: Candidates measured exactly for each query; coded vectors and queries that meet in one task.
-SHORTLIST, GROUP, QUERIES = 240, 16_384, 2048
+SHORTLIST, GROUP, QUERIES = 240, 65_536, 2048
 _ROWS = 512
 
 
@@ -92,6 +92,11 @@ def lookup_scores(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, nor
     return out
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """In single precision; components beyond it, and so near-infinite ones, are cut to what codes can be made of."""
+    return np.clip(x, -1e15, 1e15).astype(np.float32)
+
+
 def _least(scores: np.ndarray, k: int) -> np.ndarray:
     """Columns of the ``k`` least scores of each row; of equal ones the first."""
     n = scores.shape[1]
@@ -116,22 +121,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, shortlist: int = S
     to the smaller id. A row with the query's own id is no candidate; with fewer candidates all are
     returned. Rows with a null id, or a vector that is null, zero, of another length than most, or holds a
     null or non-finite component take no part. Rows that repeat an id are candidates
-    each. An empty table gives an empty result. ``is_query`` is evaluated on ``vectors``.
+    each; of queries that do, one is asked. An empty table gives an empty result. ``is_query`` is evaluated on ``vectors``,
+    whose other columns are ignored. Codes are made in single precision, distances measured on the column as it is.
     """
-    every = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    every = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     some = sorted(hash_sample(every, "vec_id", sample).select("v").limit(2 * sample).collect())
     schema = "query_id long, vec_id long, rough float"
     if not some:
-        return every.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = np.bincount([len(r.v) for r in some])
     dim = int(np.argmax(sizes))
     every = every.where(F.size("v") == dim)
-    books = fit(np.array([r.v for r in some if len(r.v) == dim], np.float32))
+    books = fit(_small(np.array([r.v for r in some if len(r.v) == dim])))
     shared = vectors.sparkSession.sparkContext.broadcast(books)  # of fixed size: BOOKS * WORDS vectors
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            x = _small(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
             codes, norms = encode(x, shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "code", "norm"])
 
@@ -149,7 +155,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, shortlist: int = S
         if len(ids) and len(asked):
             codes = np.frombuffer(b"".join(coded["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
             norms = coded["norm"].to_numpy()
-            x = np.array(queries["v"].to_pylist(), np.float32)
+            x = _small(np.array(queries["v"].to_pylist()))
             step = max(1, min(256, (1 << 24) // len(ids)))
             for at in range(0, len(asked), step):
                 s = lookup_scores(x[at : at + step], shared.value, codes, norms)
@@ -163,8 +169,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, shortlist: int = S
     met = left.groupBy("g", "q").cogroup(right.groupBy("g", "q")).applyInArrow(meet, schema).where("query_id <> vec_id")
     by_query = Window.partitionBy("query_id")
     short = met.withColumn("n", F.row_number().over(by_query.orderBy("rough", "vec_id"))).where(F.col("n") <= shortlist).select("query_id", "vec_id").distinct()
-    wide = F.col("v").cast("array<double>")
-    pairs = short.join(every.select("vec_id", wide.alias("v")), "vec_id").join(asking.select(F.col("vec_id").alias("query_id"), wide.alias("w")).dropDuplicates(["query_id"]), "query_id")
+    original = every.select(F.col("vec_id").cast("long"), "v")
+    pairs = short.join(original, "vec_id").join(asking.select(F.col("vec_id").alias("query_id"), F.col("v").alias("w")).dropDuplicates(["query_id"]), "query_id")
     square = F.zip_with("v", "w", lambda a, b: (a - b) * (a - b))
     scored = pairs.select("query_id", "vec_id", F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, d: s + d)).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(by_query.orderBy("score", "vec_id"))).where(F.col("rank") <= k)
