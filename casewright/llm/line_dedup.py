@@ -88,18 +88,17 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            h, of = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            n = np.bincount(of, weights=np.concatenate([x for _, x in held])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
         held, count = [], 0
         for b in slices(batches, "text"):
-            for h, _ in word_hashes(b"\n".join(t or b"" for t in b.column("text").to_pylist()), 4 * _PIECE):
-                held.append(np.unique(h, return_counts=True))
-                count += len(held[-1][0])
-            if count > 1_000_000:
-                yield out()
-                held, count = [], 0
+            for h, _ in word_hashes(b"\n".join(t or b"" for t in b.column("text").to_pylist())):
+                held.append(h)
+                count += len(h)
+                if count > 4_000_000:
+                    yield out()
+                    held, count = [], 0
         if held:
             yield out()
 
