@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Clocks: name, ticks per second, seconds from 1970 to their zero (fixed values).
@@ -90,8 +90,19 @@ def entropy(text: Column) -> Column:
     return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
 
 
+def window_entropy(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """``(id, window, bits)``: bits per character of each window of ``width`` characters; the last may be shorter."""
+    windows = df.select(id_col, F.posexplode(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("window", "t"))
+    chars = windows.select(id_col, "window", F.explode(F.split("t", "")).alias("c")).where("c <> ''").groupBy(id_col, "window", "c").agg(F.count("*").cast("double").alias("n"))
+    # with sums of n and n log n, no second pass over the counts is needed
+    sums = chars.groupBy(id_col, "window").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    return sums.select(id_col, "window", (F.log2("t") - F.col("s") / F.col("t")).alias("bits"))
+
+
 def human_bytes(n: Column) -> Column:
-    return F.when(n >= 1 << 20, F.format_string("%.1f MB", n / (1 << 20))).when(n >= 1 << 10, F.format_string("%.1f KB", n / (1 << 10))).otherwise(F.format_string("%d B", n.cast("long")))
+    """Of two as near the even tenth, as C prints them."""
+    tenth = lambda x: F.bround(x.cast("decimal(38,10)"), 1).cast("double")
+    return F.when(n >= 1 << 20, F.format_string("%.1f MB", tenth(n / (1 << 20)))).when(n >= 1 << 10, F.format_string("%.1f KB", tenth(n / (1 << 10)))).otherwise(F.format_string("%d B", n.cast("long")))
 
 
 def sanitise(col: Column) -> Column:

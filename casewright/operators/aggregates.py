@@ -24,10 +24,10 @@ def busiest(volumes: DataFrame) -> DataFrame:
     return volumes.orderBy(F.desc("n"), "bucket_us").limit(1)
 
 
-def top_talkers(df: DataFrame, key: str, peer: str, size: str) -> DataFrame:
-    """Bytes and distinct peers of each endpoint, ranked by bytes."""
+def top_talkers(df: DataFrame, key: str, peer: str, size: str, n: int = 1000) -> DataFrame:
+    """Bytes and distinct peers of the ``n`` endpoints with most bytes, and their places; ties by key."""
     sums = df.groupBy(key).agg(F.round(F.sum(size), 4).alias("bytes"), F.count_distinct(peer).alias("peers"))
-    return sums.withColumn("place", F.rank().over(Window.orderBy(F.desc("bytes"))).cast("long"))
+    return ranked(sums, [F.desc("bytes"), key], n)
 
 
 def rare_pairs(df: DataFrame, a: str, b: str, k: int) -> DataFrame:
@@ -52,20 +52,33 @@ def against_own_history(df: DataFrame, key: str, bucket: Column, size: str, fact
     return spread.join(dev, key).where(F.col("bytes") > F.col("mid") + factor * F.col("mad")).select(key, "bucket", F.round("bytes", 4).alias("bytes"))
 
 
+#: Shapes of a periodicity, by the ratio of median deviation to median, and the share of intervals near the median that the first asks for (our choice: only the names are known).
+SHAPES, TIGHT_SHARE = (("tight_cluster", 0.1), ("clustered", 0.25), ("loose_cluster", 0.5)), 0.8
+
+
 def beacon_score(df: DataFrame, keys: Sequence[str], ts: str, min_events: int = 6, tolerance: float = 0.2) -> DataFrame:
     """How regular the events of a key are: a lead on shape, never a verdict.
 
-    Distinct seconds count once, repeats as duplicates. Columns: ``events, duplicates, median_s, mad_s, share`` (of intervals
-    within ``tolerance`` of the median) and ``shape``: regular, loose or irregular. Keys with fewer
-    distinct events than ``min_events`` are not scored.
+    Distinct seconds count once, repeats as duplicates; rows without a time are ``rejected``. Columns: ``events, duplicates, rejected,
+    median_s, mad_s, mad_over_median, share`` (of intervals within ``tolerance`` of the median), ``density`` (events against one
+    every median over the span), ``long_final_gap`` (the last interval is over four medians) and ``shape``: see SHAPES, else
+    dispersed, or unmeasurable where the median is zero. Keys with fewer distinct events than ``min_events`` are not scored.
     """
-    seconds = df.groupBy(*keys, F.floor(micros(ts) / 1_000_000).alias("s")).agg(F.count("*").alias("k"))
-    gaps = seconds.withColumn("gap", F.col("s") - F.lag("s").over(Window.partitionBy(*keys).orderBy("s")))
-    middle = gaps.groupBy(*keys).agg(F.count("*").alias("events"), (F.sum("k") - F.count("*")).alias("duplicates"), F.median("gap").alias("median_s")).where(F.col("events") >= min_events)
+    timed, without = df.where(F.col(ts).isNotNull()), df.groupBy(*keys).agg(F.count_if(F.col(ts).isNull()).alias("rejected"))
+    seconds = timed.groupBy(*keys, F.floor(micros(ts) / 1_000_000).alias("_s")).agg(F.count("*").alias("_k"))
+    gaps = seconds.withColumn("gap", F.col("_s") - F.lag("_s").over(Window.partitionBy(*keys).orderBy("_s")))
+    middle = gaps.groupBy(*keys).agg(
+        F.count("*").alias("events"), (F.sum("_k") - F.count("*")).alias("duplicates"), F.median("gap").alias("median_s"), (F.max("_s") - F.min("_s")).alias("span"), F.max_by("gap", "_s").alias("final"),
+    ).where(F.col("events") >= min_events)
     off = gaps.where("gap is not null").join(middle, list(keys)).withColumn("off", F.abs(F.col("gap") - F.col("median_s")))
-    out = off.groupBy(*keys, "events", "duplicates", "median_s").agg(F.median("off").alias("mad_s"), F.avg((F.col("off") <= tolerance * F.col("median_s")).cast("double")).alias("share"))
+    out = off.groupBy(*keys, "events", "duplicates", "median_s", "span", "final").agg(F.median("off").alias("mad_s"), F.avg((F.col("off") <= tolerance * F.col("median_s")).cast("double")).alias("share"))
     ratio = F.when(F.col("median_s") > 0, F.col("mad_s") / F.col("median_s"))
-    return out.withColumn("shape", F.when((ratio <= 0.1) & (F.col("share") >= 0.8), "regular").when(ratio <= 0.4, "loose").otherwise("irregular"))
+    shape = F.when(ratio.isNull(), "unmeasurable")
+    for i, (name, most) in enumerate(SHAPES):
+        shape = shape.when((ratio <= most) & (F.col("share") >= (0 if i else TIGHT_SHARE)), name)
+    density = F.when(F.col("median_s") > 0, F.col("events") / (F.col("span") / F.col("median_s") + 1))
+    out = out.withColumns({"mad_over_median": ratio, "density": density, "long_final_gap": F.col("final") > 4 * F.col("median_s"), "shape": shape.otherwise("dispersed")})
+    return out.join(without, list(keys)).drop("span", "final")
 
 
 def merge_runs(df: DataFrame, keys: Sequence[str], ts: str, gap_s: float, order: Sequence[str] = ()) -> DataFrame:
@@ -104,3 +117,8 @@ def calibration(df: DataFrame, level: str, truth: str, weights: dict[str, float]
 
 def census(df: DataFrame, keys: Sequence[str], **sums: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *(c.alias(k) for k, c in sums.items()))
+
+
+def ranked(df: DataFrame, order: Sequence, n: int) -> DataFrame:
+    """The first ``n`` rows with their ``place``; only those meet in one task."""
+    return df.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))

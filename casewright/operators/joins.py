@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if a count shows that it has no more rows than this.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if a look at it shows that it has no more rows and no more bytes than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to be small, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` with a broadcast hint if its rows, counted and measured, are few and short, else as it is."""
+    n, size = df.limit(most + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= most and (size or 0) <= BROADCAST_BYTES else df
 
 
 def micros(col: str | Column) -> Column:
@@ -52,20 +53,37 @@ def sweep_cidr(df: DataFrame, addr: str, ranges: DataFrame) -> DataFrame:
     return keyed.join(nets, ["bits", "_net"]).drop("_net")
 
 
-def sweep_needles(texts: DataFrame, key: str, col: str, needles: DataFrame, needle_key: str, needle: str, gram: int = 16) -> DataFrame:
-    """``(key, needle_key, at)``: the first place of each needle in each text.
+#: Blocks of a text that a sweep looks needles up by, and the least needle of each: it covers a whole block wherever it lies.
+GRAMS = ((16, 31), (8, 15), (4, 7), (2, 3), (1, 1))
 
-    A text is cut in blocks of ``gram`` characters; wherever a needle of ``2 * gram - 1`` characters or more lies, it covers
-    a whole block. So blocks are equi-joined to the needles' grams at all offsets, and the place
-    that follows is compared in full: a row a block, never all pairs. Shorter needles are not found; choose a shorter gram for them.
+
+def wide(needle: Column) -> Column:
+    """A needle as UTF-16LE shows in bytes read one by one: a zero after each character."""
+    return F.regexp_replace(needle, "(?s)(.)", "$1\u0000")
+
+
+def sweep_needles(texts: DataFrame, key: str, col: str, needles: DataFrame, needle_key: str, needle: str, utf16: bool = False) -> DataFrame:
+    """``(key, needle_key, at)``: every place (from 1) of each needle in each text, overlapping ones too; with ``utf16`` also those of its UTF-16LE form.
+
+    A text is cut in blocks of some characters; a needle covers a whole block wherever it lies. So blocks are equi-joined to the
+    needles' grams at all offsets, and the places that follow are compared in full: a row a block, never all pairs. The
+    shorter a needle, the shorter its blocks; a pass is made for each size in use. Empty needles and nulls match nothing.
     """
-    n = needles.where(F.length(needle) >= 2 * gram - 1).select(needle_key, F.col(needle).alias("_needle"))
-    offsets = F.sequence(F.lit(0), F.length("_needle") - gram)
-    grams = n.select(needle_key, "_needle", F.explode(offsets).alias("_off")).withColumn("_gram", F.expr(f"substring(_needle, _off + 1, {gram})"))
-    blocks = texts.select(key, F.posexplode(F.regexp_extract_all(F.col(col), F.lit(f"(?s).{{{gram}}}"), F.lit(0))).alias("_block", "_gram"))
-    places = blocks.join(small(grams), "_gram").select(key, needle_key, "_needle", (F.col("_block") * gram - F.col("_off")).alias("_at")).where("_at >= 0").distinct()
-    hits = places.join(texts.select(key, F.col(col).alias("_text")), key).where(F.expr("substring(_text, _at + 1, length(_needle)) = _needle"))
-    return hits.groupBy(key, needle_key).agg((F.min("_at") + 1).cast("long").alias("at"))
+    n = needles.where(F.length(needle) > 0).select(needle_key, F.col(needle).alias("_needle")).distinct()
+    if utf16:
+        n = n.unionByName(n.withColumn("_needle", wide(F.col("_needle")))).distinct()
+    n = n.withColumn("_gram_of", F.coalesce(*(F.when(F.length("_needle") >= least, F.lit(g)) for g, least in GRAMS)))
+    found = None
+    for g in sorted(r[0] for r in n.select("_gram_of").distinct().collect()):  # five sizes at the most
+        grams = n.where(F.col("_gram_of") == g).withColumn("_off", F.explode(F.sequence(F.lit(0), F.least(F.length("_needle") - g, F.lit(g - 1)))))
+        grams = grams.select(needle_key, "_needle", "_off", F.expr(f"substring(_needle, _off + 1, {g})").alias("_gram"))
+        blocks = texts.select(key, F.posexplode(F.regexp_extract_all(F.col(col), F.lit(f"(?s).{{{g}}}"), F.lit(0))).alias("_block", "_gram"))
+        places = blocks.join(small(grams), "_gram").select(key, needle_key, "_needle", (F.col("_block") * g - F.col("_off")).alias("_at")).where("_at >= 0")
+        found = places if found is None else found.unionByName(places)
+    if found is None:
+        return texts.select(key, F.lit(None).cast(n.schema[needle_key].dataType).alias(needle_key), F.lit(0).cast("long").alias("at")).limit(0)
+    hits = found.distinct().join(texts.select(key, F.col(col).alias("_text")), key).where(F.expr("substring(_text, _at + 1, length(_needle)) = _needle"))
+    return hits.select(key, needle_key, (F.col("_at") + 1).cast("long").alias("at")).distinct()
 
 
 def misses(left: DataFrame, hits: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -113,11 +131,21 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, r
     return l.join(r, [*keys, "_b"]).where(gap.between(lo_s * 1_000_000, hi_s * 1_000_000)).drop("_b")
 
 
-def overlap_pairs(df: DataFrame, keys: Sequence[str], id_col: str, start: str, end: str) -> DataFrame:
-    """``(a, b)`` with a < b of one key whose closed intervals meet; an open bound meets everything."""
-    a, b = df.select(*keys, F.col(id_col).alias("a"), F.col(start).alias("a_from"), F.col(end).alias("a_to")), df.select(*keys, F.col(id_col).alias("b"), F.col(start).alias("b_from"), F.col(end).alias("b_to"))
+def overlap_pairs(df: DataFrame, keys: Sequence[str], id_col: str, start: str, end: str, buckets: int = 256) -> DataFrame:
+    """``(a, b)`` with a < b of one key whose closed intervals meet; an open bound meets everything.
+
+    Time between the first and last bound is cut in ``buckets``; an interval is filed under those it covers, and two are compared in
+    the first that they share, so a busy key is split and intervals far apart never meet.
+    """
+    lo, hi = df.agg(F.least(F.min(micros(start)), F.min(micros(end))), F.greatest(F.max(micros(start)), F.max(micros(end)))).first()
+    lo, hi = lo or 0, hi or 0
+    place = lambda c, open_: F.coalesce(F.floor((micros(c) - lo) * F.lit(float(buckets)) / F.lit(float(hi - lo + 1))), F.lit(open_)).cast("int")
+    filed = df.select(*keys, F.col(id_col).alias("id"), F.col(start).alias("from"), F.col(end).alias("to"), place(start, 0).alias("first"), place(end, buckets - 1).alias("last")).where("first <= last")
+    filed = filed.withColumn("_bucket", F.explode(F.sequence("first", "last")))
+    side = lambda n: filed.select(*keys, "_bucket", F.col("id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("from", "to", "first")))
     meet = (F.col("a_from").isNull() | F.col("b_to").isNull() | (F.col("a_from") <= F.col("b_to"))) & (F.col("b_from").isNull() | F.col("a_to").isNull() | (F.col("b_from") <= F.col("a_to")))
-    return a.join(b, list(keys)).where((F.col("a") < F.col("b")) & meet)
+    both = side("a").join(side("b"), [*keys, "_bucket"]).where((F.col("a") < F.col("b")) & (F.col("_bucket") == F.greatest("a_first", "b_first")) & meet)
+    return both.drop("_bucket", "a_first", "b_first")
 
 
 def reconcile(expected: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:
@@ -182,18 +210,20 @@ def groups(edges: DataFrame, keep, rounds: int = 50) -> DataFrame:
     raise RuntimeError("groups did not settle")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, keep, max_depth: int = 16) -> DataFrame:
-    """``(node, depth)``: what is reached from ``seeds (node)`` along ``edges (src, dst)``, at the least depth.
+def closure(edges: DataFrame, seeds: DataFrame, keep, max_depth: int | None = None) -> tuple[DataFrame, bool]:
+    """``(node, depth)``: what is reached from ``seeds (node)`` along ``edges (src, dst)``, at the least depth; and whether ``max_depth`` cut it.
 
     A frontier join per level; ``keep(df)`` cuts the lineage of a level, for
-    example a checkpoint. A node that was reached is never entered again, so cycles end.
+    example a checkpoint. A node that was reached is never entered again, so cycles end. Without a bound all levels are walked.
     """
     seen = keep(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+    frontier, depth = seen, 0
+    while True:
         step = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        depth += 1
         frontier = keep(step.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
+            return seen, False
+        if max_depth is not None and depth > max_depth:
+            return seen, True
         seen = keep(seen.unionByName(frontier))
-    return seen

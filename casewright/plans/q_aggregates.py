@@ -28,7 +28,7 @@ def d2b(spark, d):
     return A.busiest(A.volume(table(spark, d, "events"), "ts", "hour"))
 
 
-@query("d3_top_talkers", "SELECT l_suppkey, round(sum(l_quantity), 4) AS bytes, count(DISTINCT l_partkey)::BIGINT AS peers, rank() OVER (ORDER BY round(sum(l_quantity), 4) DESC)::BIGINT AS place FROM lineitem GROUP BY 1")
+@query("d3_top_talkers", "SELECT l_suppkey, round(sum(l_quantity), 4) AS bytes, count(DISTINCT l_partkey)::BIGINT AS peers, row_number() OVER (ORDER BY round(sum(l_quantity), 4) DESC, l_suppkey)::BIGINT AS place FROM lineitem GROUP BY 1 QUALIFY place <= 1000")
 def d3(spark, d):
     return A.top_talkers(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity")
 
@@ -63,14 +63,16 @@ def d7(spark, d):
 
 
 BEACON = """WITH s AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, count(*) AS k FROM events GROUP BY 1, 2), g AS (SELECT *, s - lag(s) OVER (PARTITION BY user_id ORDER BY s) AS gap FROM s),
-    m AS (SELECT user_id, count(*) AS events, sum(k) - count(*) AS duplicates, median(gap) AS median_s FROM g GROUP BY 1 HAVING count(*) >= 6),
+    m AS (SELECT user_id, count(*) AS events, sum(k) - count(*) AS duplicates, median(gap) AS median_s, max(s) - min(s) AS span, arg_max(gap, s) AS final FROM g GROUP BY 1 HAVING count(*) >= 6),
     o AS (SELECT m.*, median(abs(gap - median_s)) AS mad_s, avg((abs(gap - median_s) <= 0.2 * median_s)::INT) AS share FROM g JOIN m USING (user_id) WHERE gap IS NOT NULL GROUP BY ALL)
-    SELECT user_id, events::BIGINT AS events, duplicates::BIGINT AS duplicates, median_s, mad_s, round(share, 4) AS share, CASE WHEN mad_s <= 0.1 * median_s AND share >= 0.8 THEN 'regular' WHEN mad_s <= 0.4 * median_s THEN 'loose' ELSE 'irregular' END AS shape FROM o"""
+    SELECT user_id, events::BIGINT AS events, duplicates::BIGINT AS duplicates, 0::BIGINT AS rejected, median_s, mad_s, round(mad_s / median_s, 4) AS mad_over_median, round(share, 4) AS share, round(events / (span / median_s + 1), 4) AS density, final > 4 * median_s AS long_final_gap,
+        CASE WHEN median_s = 0 THEN 'unmeasurable' WHEN mad_s / median_s <= 0.1 AND share >= 0.8 THEN 'tight_cluster' WHEN mad_s / median_s <= 0.25 THEN 'clustered' WHEN mad_s / median_s <= 0.5 THEN 'loose_cluster' ELSE 'dispersed' END AS shape FROM o"""
 
 
 @query("d8_beacon_score", BEACON)
 def d8(spark, d):
-    return A.beacon_score(table(spark, d, "events"), ["user_id"], "ts").withColumn("share", F.round("share", 4))
+    out = A.beacon_score(table(spark, d, "events"), ["user_id"], "ts")
+    return out.withColumns({c: F.round(c, 4) for c in ("share", "density", "mad_over_median")})
 
 
 def islands_sql(keys: str, gap_s: int, source: str = "events") -> str:
@@ -92,12 +94,12 @@ def d11(spark, d):
     return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("posts"), F.count_distinct("conv_id").alias("threads"), F.sum(F.length("text")).alias("chars"), F.min(F.length("text")).cast("long").alias("shortest"))
 
 
-@query("d12_mentions", "SELECT c.role AS who, r.role AS named, count(DISTINCT (conv_id, turn))::BIGINT AS n FROM (SELECT conv_id, turn, role, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM conversations) c JOIN (SELECT DISTINCT role FROM conversations) r ON c.w = left(r.role, 2) AND c.role <> r.role GROUP BY 1, 2")
+@query("d12_mentions", "WITH w AS (SELECT conv_id, turn, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z]+'))) AS w FROM conversations), n AS (SELECT w, min(conv_id) AS named FROM (SELECT conv_id, w FROM w WHERE turn = 0 AND length(w) >= 6) GROUP BY 1 HAVING count(DISTINCT conv_id) = 1) SELECT w.conv_id AS who, n.named, count(DISTINCT turn)::BIGINT AS n FROM w JOIN n ON w.w = n.w AND w.conv_id <> n.named GROUP BY 1, 2")
 def d12(spark, d):
-    posts = table(spark, d, "conversations")
-    said = posts.select("conv_id", "turn", F.col("role").alias("who"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w"))
-    names = posts.select(F.col("role").alias("named")).distinct().withColumn("w", F.substring("named", 1, 2))
-    return said.join(names, "w").where("who <> named").groupBy("who", "named").agg(F.count_distinct("conv_id", "turn").alias("n"))
+    """Threads that use, as a whole word, a word by which just one thread opens."""
+    said = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w"))
+    opens = said.where("turn = 0 and length(w) >= 6").groupBy("w").agg(F.min("conv_id").alias("named"), F.max("conv_id").alias("last")).where("named = last").drop("last")
+    return said.join(opens, "w").where("conv_id <> named").groupBy(F.col("conv_id").alias("who"), "named").agg(F.count_distinct("turn").alias("n"))
 
 
 @query("d13_artefacts", "SELECT p, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+[.][a-z]{2,}')) AS p FROM documents) WHERE length(p) >= 6 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -150,18 +152,22 @@ def d20(spark, d):
     return units.groupBy("r_name").agg(F.count("*").alias("units"), F.count("hit").alias("covered"), F.bool_and(F.col("hit").isNotNull()).alias("complete"))
 
 
-@query("d21_touch_coverage", "SELECT n_name, count(doc_id)::BIGINT AS touched FROM nation LEFT JOIN (SELECT doc_id, lower(left(w, 2)) AS w FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents)) ON w = lower(left(n_name, 2)) GROUP BY 1")
+@query("d21_touch_coverage", "WITH i AS (SELECT item_id, split_part(text, ' ', 2) AS w FROM benchmark), t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents) SELECT item_id, count(doc_id)::BIGINT AS touched, count(doc_id) > 0 AS covered FROM i LEFT JOIN t USING (w) GROUP BY 1")
 def d21(spark, d):
-    words = table(spark, d, "documents").select(F.explode(F.split("text", "[ \\n]+")).alias("w")).groupBy(F.lower(F.substring("w", 1, 2)).alias("k")).agg(F.count("*").alias("touched"))
-    names = table(spark, d, "nation").withColumn("k", F.lower(F.substring("n_name", 1, 2)))
-    return names.join(words, "k", "left").select("n_name", F.coalesce("touched", F.lit(0)).alias("touched"))
+    """Inputs by their name, a whole word, and the outputs that touch each."""
+    words = table(spark, d, "documents").select(F.explode(F.array_distinct(F.split("text", "[ \\n]+"))).alias("w")).groupBy("w").agg(F.count("*").alias("touched"))
+    inputs = table(spark, d, "benchmark").select("item_id", F.split_part("text", F.lit(" "), F.lit(2)).alias("w"))
+    return inputs.join(words, "w", "left").select("item_id", F.coalesce("touched", F.lit(0)).alias("touched"), F.col("touched").isNotNull().alias("covered"))
 
 
-@query("d22_grounding", "SELECT item_id, w IN (SELECT unnest(regexp_split_to_array(text, '[ \\n]+')) FROM documents WHERE doc_id % 3 = 0) AS grounded FROM (SELECT item_id, split_part(text, ' ', 3) AS w FROM benchmark)")
+@query("d22_grounding", "WITH c AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM benchmark), s AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents) SELECT item_id, count(*)::BIGINT AS words, count(s.w)::BIGINT AS grounded, CASE WHEN count(s.w) = count(*) THEN 'grounded' WHEN count(s.w) = 0 THEN 'ungrounded' ELSE 'partly' END AS status FROM c LEFT JOIN s USING (w) GROUP BY 1")
 def d22(spark, d):
-    claims = table(spark, d, "benchmark").select("item_id", F.split_part("text", F.lit(" "), F.lit(3)).alias("w"))
-    seen = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.explode(F.split("text", "[ \\n]+")).alias("w")).distinct().withColumn("hit", F.lit(True))
-    return claims.join(seen, "w", "left").select("item_id", F.col("hit").isNotNull().alias("grounded"))
+    """Each claim with how many of its words any document has."""
+    split = lambda t: F.explode(F.array_distinct(F.split(t, "[ \\n]+"))).alias("w")
+    claims = table(spark, d, "benchmark").select("item_id", split("text"))
+    seen = table(spark, d, "documents").select(split("text")).distinct().withColumn("hit", F.lit(1))
+    out = claims.join(seen, "w", "left").groupBy("item_id").agg(F.count("*").alias("words"), F.count("hit").alias("grounded"))
+    return out.withColumn("status", F.when(F.col("grounded") == F.col("words"), "grounded").when(F.col("grounded") == 0, "ungrounded").otherwise("partly"))
 
 
 @query("d23_answer_scoring", "SELECT lang, count(*) FILTER (regexp_matches(text, 'tion') AND NOT regexp_matches(text, '###'))::BIGINT AS found, count(*) FILTER (regexp_matches(text, '###'))::BIGINT AS contradicted, count(*) FILTER (NOT regexp_matches(text, 'tion') AND NOT regexp_matches(text, '###'))::BIGINT AS not_found FROM documents GROUP BY 1")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from casewright.operators import answers as L
 from casewright.operators import sequence as S
-from casewright.operators.aggregates import beacon_score
 from casewright.operators.joins import band_join, micros
 from casewright.plans.registry import query, table
 
@@ -49,12 +48,6 @@ def p2(spark, d):
     return both.groupBy("user_id", "event_type").agg(F.count_if(F.col("t") > F.col("first_us")).alias("later"))
 
 
-@query("p12_staging_bursts", "SELECT user_id, max(n)::BIGINT AS most FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOURS PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type IN ('click', 'purchase')) WHERE n >= 2 GROUP BY 1")
-def p12(spark, d):
-    rows = table(spark, d, "events").where("event_type in ('click', 'purchase')")
-    return S.bursts(rows, ["user_id"], "ts", 12 * 3600, 2).groupBy("user_id").agg(F.max("n").alias("most"))
-
-
 @query("p22_daily_activity", "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*)::BIGINT AS n, count(DISTINCT event_type)::BIGINT AS kinds FROM events GROUP BY 1, 2")
 def p22(spark, d):
     return table(spark, d, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"))
@@ -66,19 +59,8 @@ def p24(spark, d):
     return band_join(e.where("event_type = 'signup'"), e.where("event_type in ('view', 'click')"), ["user_id"], "ts", "ts", 0, 86_400).groupBy("event_id").agg(F.count("*").alias("requests"))
 
 
-@query("p33_pool_connections", "WITH s AS (SELECT user_id, epoch_us(ts) // 1000000 AS s FROM events GROUP BY 1, 2) SELECT user_id, count(*)::BIGINT AS events FROM s GROUP BY 1 HAVING count(*) >= 8")
-def p33(spark, d):
-    return beacon_score(table(spark, d, "events"), ["user_id"], "ts", 8).select("user_id", "events")
-
-
 @query("p36_two_captures", "SELECT coalesce(a.u, b.u) AS user_id, CASE WHEN b.u IS NULL THEN 'gone' WHEN a.u IS NULL THEN 'new' ELSE 'both' END AS state FROM (SELECT DISTINCT user_id AS u FROM events WHERE ts < TIMESTAMP '2024-01-10') a FULL JOIN (SELECT DISTINCT user_id AS u FROM events WHERE ts >= TIMESTAMP '2024-01-20') b ON a.u = b.u")
 def p36(spark, d):
     e, at = table(spark, d, "events"), lambda s: F.lit(s).cast("timestamp_ntz")
     seen = e.groupBy("user_id").agg(F.bool_or(F.col("ts") < at("2024-01-10")).alias("a"), F.bool_or(F.col("ts") >= at("2024-01-20")).alias("b")).where("a or b")
     return seen.select("user_id", F.when(~F.col("b"), "gone").when(~F.col("a"), "new").otherwise("both").alias("state"))
-
-
-@query("p44_use_over_time", "SELECT event_type, epoch_us(date_trunc('day', ts)) AS bucket_us, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
-def p44(spark, d):
-    day = micros(F.date_trunc("day", "ts"))
-    return table(spark, d, "events").groupBy("event_type", day.alias("bucket_us")).agg(F.count("*").alias("n"))

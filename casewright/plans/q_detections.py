@@ -8,7 +8,6 @@ from casewright.operators import aggregates as A
 from casewright.operators import joins as J
 from casewright.operators import sequence as S
 from casewright.operators.joins import micros
-from casewright.plans.q_aggregates import islands_sql
 from casewright.plans.registry import query, table
 
 
@@ -27,11 +26,6 @@ def p5(spark, d):
     return J.misses(table(spark, d, "orders").select("o_custkey").distinct(), held, ["o_custkey"])
 
 
-@query("p6_ticket_anomalies", "SELECT user_id, max(n)::BIGINT AS most FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 2 HOURS PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n >= 2 GROUP BY 1")
-def p6(spark, d):
-    return S.bursts(events(spark, d), ["user_id"], "ts", 7200, 2).groupBy("user_id").agg(F.max("n").alias("most"))
-
-
 @query("p8_copy_indicators", "SELECT a.event_id, count(*)::BIGINT AS near FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'error' AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 3600000000 GROUP BY 1")
 def p8(spark, d):
     e = events(spark, d).select("event_id", "user_id", "ts", "event_type")
@@ -55,11 +49,6 @@ def p14(spark, d):
     return events(spark, d).groupBy("event_type", F.hour("ts").cast("long").alias("h")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("bytes"))
 
 
-@query("p17_history_gaps", "SELECT user_id, epoch_us(ts) AS from_us, nxt AS to_us FROM (SELECT user_id, ts, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM events) WHERE nxt - epoch_us(ts) > 86400000000")
-def p17(spark, d):
-    return S.gaps(events(spark, d), ["user_id"], "ts", 86_400)
-
-
 @query("p19_two_time_sets", "SELECT o_orderkey, CASE WHEN f IS NULL THEN 'one_set' WHEN f < o_orderdate THEN 'before' WHEN f - o_orderdate > INTERVAL 100 DAY THEN 'far' ELSE 'agree' END AS finding FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS f FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def p19(spark, d):
     other = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("f"))
@@ -68,11 +57,6 @@ def p19(spark, d):
     return table(spark, d, "orders").join(other, "o_orderkey", "left").select("o_orderkey", finding.alias("finding"))
 
 
-@query("p20_delete_bursts", f"SELECT * FROM ({islands_sql('user_id', 7200, '(SELECT * FROM events WHERE event_type = ' + chr(39) + 'error' + chr(39) + ')')}) WHERE n >= 2")
-def p20(spark, d):
-    return A.runs(events(spark, d).where("event_type = 'error'"), ["user_id"], "ts", 7200).where("n >= 2")
-
-
 @query("p23_logon_sessions", "SELECT o_custkey, max(open)::BIGINT AS most FROM (SELECT o_custkey, sum(x) OVER (PARTITION BY o_custkey ORDER BY t, x ROWS UNBOUNDED PRECEDING) AS open FROM (SELECT o_custkey, o_orderdate AS t, 1 AS x FROM orders UNION ALL SELECT o_custkey, o_orderdate + INTERVAL 90 DAY, -1 FROM orders)) GROUP BY 1")
 def p23(spark, d):
     spans = table(spark, d, "orders").select("o_custkey", F.col("o_orderdate").alias("a"), (F.col("o_orderdate") + F.expr("interval 90 day")).alias("b"))
@@ -102,10 +86,3 @@ def p42(spark, d):
 
     nxt = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
     return table(spark, d, "conversations").select("role", nxt.alias("nxt")).where("nxt is not null").groupBy("role", "nxt").agg(F.count("*").alias("n"))
-
-
-@query("p46_changes_in_window", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-03-01' AND l_shipdate < TIMESTAMP '1997-04-01'")
-def p46(spark, d):
-    from casewright.operators.predicates import time_window
-
-    return time_window(table(spark, d, "lineitem"), "l_shipdate", "1997-03-01", "1997-03-31").select("l_orderkey", "l_linenumber")

@@ -41,9 +41,9 @@ def q5(spark, d):
     return Q.pair_sessions(table(spark, d, "events"), ["user_id"], "ts", "event_type", "signup", ["purchase", "error"])
 
 
-@query("q6_effective_view", "SELECT path, l AS layer, q AS l_quantity FROM (SELECT l_partkey % 50 AS path, l_linenumber AS l, max(l_quantity) AS q, bool_or(l_returnflag = 'R') AS w, row_number() OVER (PARTITION BY l_partkey % 50 ORDER BY l_linenumber DESC) AS r FROM lineitem WHERE l_orderkey % 97 = 1 GROUP BY 1, 2) WHERE r = 1 AND NOT w")
+@query("q6_effective_view", "SELECT path, l AS layer, q AS l_quantity FROM (SELECT l_partkey AS path, l_linenumber AS l, max(l_quantity) AS q, bool_or(l_returnflag = 'R') AS w, row_number() OVER (PARTITION BY l_partkey ORDER BY l_linenumber DESC) AS r FROM lineitem GROUP BY 1, 2) WHERE r = 1 AND NOT w")
 def q6(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey % 97 = 1").groupBy((F.col("l_partkey") % 50).alias("path"), "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.bool_or(F.col("l_returnflag") == "R").alias("w"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("path"), "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.bool_or(F.col("l_returnflag") == "R").alias("w"))
     return Q.effective_view(rows, "path", "l_linenumber", F.col("w"), ["l_quantity"])
 
 

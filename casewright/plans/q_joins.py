@@ -13,11 +13,12 @@ HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
 RANGES = "(SELECT 'a' AS name, 167772160 AS net, 8 AS bits UNION ALL SELECT 'b', 167903232, 16 UNION ALL SELECT 'c', 167772416, 24)"
 
 
-@query("c1_sweep_exact", "SELECT d.doc_id, b.item_id FROM documents d JOIN (SELECT item_id, md5(left(text, 60)) AS v FROM benchmark) b ON md5(left(d.text, 60)) = b.v")
+@query("c1_sweep_exact", "SELECT d.doc_id, b.doc_id AS known FROM documents d JOIN (SELECT doc_id, md5(text) AS v FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) b ON md5(d.text) = b.v")
 def c1(spark, d):
-    ev = table(spark, d, "documents").select("doc_id", F.md5(F.substring("text", 1, 60)).alias("value"), F.lit("md5").alias("type"))
-    ioc = table(spark, d, "benchmark").select("item_id", F.md5(F.substring("text", 1, 60)).alias("value"), F.lit("md5").alias("type"))
-    return J.sweep_exact(ev, ioc, ["type", "value"]).select("doc_id", "item_id")
+    """Texts that equal a known bad one, by digest of the whole."""
+    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("value"), F.lit("md5").alias("type"))
+    bad = docs.join(table(spark, d, "labels").where("toxic = 1").select("doc_id"), "doc_id").withColumnRenamed("doc_id", "known")
+    return J.sweep_exact(docs, bad, ["type", "value"]).select("doc_id", "known")
 
 
 @query("c2_sweep_domain", f"SELECT page_id, i.domain FROM (SELECT page_id, {HOST} AS h FROM pages) p JOIN (SELECT 'example.org' AS domain UNION ALL SELECT 'net') i ON p.h = i.domain OR p.h LIKE '%.' || i.domain")
@@ -33,13 +34,18 @@ def c3(spark, d):
     return J.sweep_cidr(e, "a", ranges.select("name", "bits", J.ipv4_number(F.col("cidr")).alias("net"))).select("event_id", "name")
 
 
-NEEDLES = "SELECT doc_id, item_id, instr(text, n)::BIGINT AS at FROM documents, (SELECT item_id, left(text, 60) AS n FROM benchmark WHERE length(text) >= 60) WHERE contains(text, n)"
+NEEDLES = "SELECT doc_id, item_id, \"at\" FROM (SELECT doc_id, item_id, text, n, unnest(range(1, length(text) - length(n) + 2)) AS \"at\" FROM documents, (SELECT item_id, text AS n FROM benchmark UNION ALL SELECT -doc_id - 1, left(text, 12) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND length(text) > 0) WHERE contains(text, n)) WHERE substring(text, \"at\", length(n)) = n"
 
 
-@query("c4_sweep_needles", NEEDLES)
+def needles(spark, d):
+    """Whole benchmark passages, and the first twelve characters of toxic texts under ids below zero."""
+    toxic = table(spark, d, "documents").join(table(spark, d, "labels").where("toxic = 1"), "doc_id").where("length(text) > 0")
+    return table(spark, d, "benchmark").select("item_id", F.col("text").alias("n")).unionByName(toxic.select((-F.col("doc_id") - 1).alias("item_id"), F.substring("text", 1, 12).alias("n")))
+
+
+@query("c4_sweep_needles", f"SELECT DISTINCT doc_id, item_id, \"at\" FROM ({NEEDLES})")
 def c4(spark, d):
-    needles = table(spark, d, "benchmark").where(F.length("text") >= 60).select("item_id", F.substring("text", 1, 60).alias("n"))
-    return J.sweep_needles(table(spark, d, "documents"), "doc_id", "text", needles, "item_id", "n")
+    return J.sweep_needles(table(spark, d, "documents"), "doc_id", "text", needles(spark, d), "item_id", "n")
 
 
 @query("c5_near_misses", f"WITH h AS (SELECT DISTINCT {HOST} AS h FROM pages), i AS (SELECT min(h) AS v FROM h) SELECT h.h AS host FROM h, i WHERE h.h <> i.v AND regexp_extract(h.h, '[^.]+\\.[^.]+$') = regexp_extract(i.v, '[^.]+\\.[^.]+$')")
@@ -101,11 +107,14 @@ def c10(spark, d):
     return J.overlap_pairs(spans(spark, d), ["c"], "k", "f", "t").select("a", "b")
 
 
-@query("c11_contradictions", "WITH q AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, l_returnflag AS r FROM lineitem WHERE l_returnflag IN ('A', 'R')) SELECT a.p AS premise, a.s AS assumed, b.s AS contradicted FROM q a JOIN q b ON a.p = b.p AND a.r = 'A' AND b.r = 'R' AND a.s <> b.s")
+@query("c11_contradictions", "WITH q AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, l_returnflag AS r FROM lineitem WHERE l_returnflag IN ('A', 'R')) SELECT a.p AS premise, a.s AS assumed, count(*)::BIGINT AS contradictions FROM q a JOIN q b ON a.p = b.p AND a.r = 'A' AND b.r = 'R' AND a.s <> b.s GROUP BY 1, 2")
 def c11(spark, d):
-    q = table(spark, d, "lineitem").select(F.col("l_partkey").alias("premise"), "l_suppkey", "l_returnflag").distinct()
-    a, b = q.where("l_returnflag = 'A'").select("premise", F.col("l_suppkey").alias("assumed")), q.where("l_returnflag = 'R'").select("premise", F.col("l_suppkey").alias("contradicted"))
-    return a.join(b, "premise").where("assumed <> contradicted")
+    """Each assumption with the number of findings on its premise that say otherwise; counted, never paired."""
+    q = table(spark, d, "lineitem").select(F.col("l_partkey").alias("premise"), F.col("l_suppkey").alias("assumed"), "l_returnflag").distinct()
+    against = q.where("l_returnflag = 'R'").select("premise", "assumed")
+    n, own = against.groupBy("premise").agg(F.count("*").alias("n")), against.withColumn("own", F.lit(1))
+    out = q.where("l_returnflag = 'A'").join(n, "premise").join(own, ["premise", "assumed"], "left")
+    return out.select("premise", "assumed", (F.col("n") - F.coalesce("own", F.lit(0))).alias("contradictions")).where("contradictions > 0")
 
 
 @query("c12_reconcile_manifest", "WITH a AS (SELECT o_orderkey AS k, (o_orderkey % 5)::BIGINT AS v FROM orders WHERE o_orderkey % 3 <> 0), e AS (SELECT DISTINCT l_orderkey AS k, (l_orderkey % 10)::BIGINT AS v FROM lineitem) SELECT coalesce(e.k, a.k) AS k, CASE WHEN a.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'added' WHEN a.v = e.v THEN 'matched' ELSE 'mismatch' END AS status FROM e FULL JOIN a ON e.k = a.k")
@@ -156,9 +165,9 @@ def c18(spark, d):
     return J.standing(ledger(spark, d), "seq", "supersedes").select("seq")
 
 
-@query("c19_similar_jobs", "WITH i AS (SELECT DISTINCT l_orderkey AS job, l_partkey AS obj FROM lineitem WHERE l_orderkey % 2 = 0 OR l_returnflag = 'R'), n AS (SELECT job, count(*) AS n FROM i GROUP BY 1), s AS (SELECT a.job AS a, b.job AS b, count(*) AS shared FROM i a JOIN i b ON a.obj = b.obj AND a.job < b.job GROUP BY 1, 2) SELECT s.a, s.b, shared::BIGINT AS shared, CASE WHEN shared = x.n AND shared = y.n THEN 'same' ELSE 'overlap' END AS kind FROM s JOIN n x ON x.job = s.a JOIN n y ON y.job = s.b WHERE shared >= 2")
+@query("c19_similar_jobs", "WITH i AS (SELECT DISTINCT l_orderkey AS job, l_partkey AS obj FROM lineitem ), n AS (SELECT job, count(*) AS n FROM i GROUP BY 1), s AS (SELECT a.job AS a, b.job AS b, count(*) AS shared FROM i a JOIN i b ON a.obj = b.obj AND a.job < b.job GROUP BY 1, 2) SELECT s.a, s.b, shared::BIGINT AS shared, CASE WHEN shared = x.n AND shared = y.n THEN 'same' ELSE 'overlap' END AS kind FROM s JOIN n x ON x.job = s.a JOIN n y ON y.job = s.b WHERE shared >= 2")
 def c19(spark, d):
-    i = table(spark, d, "lineitem").where("l_orderkey % 2 = 0 or l_returnflag = 'R'").select(F.col("l_orderkey").alias("job"), F.col("l_partkey").alias("obj")).distinct()
+    i = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_partkey").alias("obj")).distinct()
     n = i.groupBy("job").agg(F.count("*").alias("n"))
     s = i.withColumnRenamed("job", "a").join(i.withColumnRenamed("job", "b"), "obj").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2")
     both = s.join(n.select(F.col("job").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("job").alias("b"), F.col("n").alias("nb")), "b")
@@ -194,7 +203,7 @@ def c23(spark, d):
     o = table(spark, d, "orders")
     edges = o.where("o_orderkey > 0").select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") * 2).alias("dst")).union(o.select("o_orderkey", F.col("o_orderkey") + 100)).distinct()
     seeds = spark.range(1, 2).select(F.col("id").alias("node"))
-    return J.closure(edges, seeds, keep, 5)
+    return J.closure(edges, seeds, keep, 5)[0]
 
 
 @query("c24_corroborate", "SELECT a.event_id, count(b.event_id)::BIGINT AS n FROM (SELECT * FROM events WHERE event_type = 'error') a LEFT JOIN (SELECT * FROM events WHERE event_type <> 'error') b ON a.user_id = b.user_id AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 600000000 GROUP BY 1")
@@ -205,9 +214,16 @@ def c24(spark, d):
     return alerts.select("event_id").join(n, "event_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("c25_process_tree", "SELECT c.conv_id, c.turn, p.turn AS parent, c.turn::BIGINT AS depth FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1")
-def c25(spark, d):
-    from pyspark.sql import Window
+_PROCS = "(SELECT event_id, ts, event_id % 500 AS pid, (event_id * 3 + 1) % 500 AS ppid FROM events)"
 
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.lag("turn").over(w).alias("parent"), (F.row_number().over(w) - 1).cast("long").alias("depth"))
+
+@query("c25_process_tree", f"WITH p AS {_PROCS}, t AS (SELECT c.event_id, c.pid, q.event_id AS parent FROM p c ASOF LEFT JOIN p q ON c.ppid = q.pid AND c.ts >= q.ts), n AS (SELECT parent, count(*)::BIGINT AS children FROM t GROUP BY 1) SELECT t.event_id, t.pid, t.parent, g.parent AS grandparent, t.parent IS NULL AS orphan, coalesce(n.children, 0)::BIGINT AS children FROM t LEFT JOIN t g ON g.event_id = t.parent LEFT JOIN n ON n.parent = t.event_id")
+def c25(spark, d):
+    """Each process under the last one that had its parent's number when it began, since numbers are used again."""
+    p = table(spark, d, "events").select("event_id", "ts", (F.col("event_id") % 500).alias("pid"), ((F.col("event_id") * 3 + 1) % 500).alias("ppid"))
+    near = J.asof(p.select("event_id", "ts", F.col("pid").alias("own"), F.col("ppid").alias("pid")), p.select("pid", "ts", F.col("event_id").alias("id")), ["pid"], "ts", "id", "prev")
+    t = near.select("event_id", F.col("own").alias("pid"), F.col("near_value").alias("parent"))
+    up = t.select(F.col("event_id").alias("parent"), F.col("parent").alias("grandparent"))
+    n = t.where("parent is not null").groupBy(F.col("parent").alias("event_id")).agg(F.count("*").alias("children"))
+    out = t.join(up, "parent", "left").join(n, "event_id", "left")
+    return out.select("event_id", "pid", "parent", "grandparent", F.col("parent").isNull().alias("orphan"), F.coalesce("children", F.lit(0)).alias("children"))
\ No newline at end of file

@@ -8,7 +8,7 @@ from casewright import functions as X
 from casewright.operators import joins as J
 from casewright.operators import texts as T
 from casewright.operators.joins import micros
-from casewright.plans.q_joins import NEEDLES
+from casewright.plans.q_joins import NEEDLES, needles
 from casewright.plans.registry import query, table
 from casewright.sources.scratch import keep
 
@@ -85,14 +85,16 @@ def h9(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(h).cast("long").alias("chars"), F.size(F.split(h, r"\.")).cast("long").alias("labels"), F.round(F.length(F.regexp_replace(h, "[^0-9]", "")) / F.length(h), 4).alias("digits"))
 
 
-@query("h10_entropy", "SELECT doc_id, round(-sum(n / t * log2(n / t)), 4) AS bits FROM (SELECT doc_id, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS t FROM (SELECT doc_id, unnest(regexp_extract_all(left(text, 256), '(?s).')) AS c FROM documents) GROUP BY 1, 2) GROUP BY 1")
+@query("h10_entropy", "WITH c AS (SELECT doc_id, w, unnest(regexp_extract_all(t, '(?s).')) AS c FROM (SELECT doc_id, unnest(range(len(ws))) AS w, unnest(ws) AS t FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{1,256}') AS ws FROM documents))), n AS (SELECT doc_id, w, c, count(*) AS n FROM c GROUP BY 1, 2, 3), b AS (SELECT doc_id, w, -sum(n / t * log2(n / t)) AS bits FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, w) AS t FROM n) GROUP BY 1, 2) SELECT doc_id, count(*)::BIGINT AS windows, round(max(bits), 4) AS highest, round(avg(bits), 4) AS mean, count(*) FILTER (round(bits, 6) > 4.2)::BIGINT AS high FROM b GROUP BY 1")
 def h10(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(X.entropy(F.substring("text", 1, 256)), 4).alias("bits"))
+    """Entropy of every window of 256 characters of the whole text, and how many are high."""
+    bits = X.window_entropy(table(spark, d, "documents"), "doc_id", "text", 256)
+    return bits.groupBy("doc_id").agg(F.count("*").alias("windows"), F.round(F.max("bits"), 4).alias("highest"), F.round(F.avg("bits"), 4).alias("mean"), F.count_if(F.round("bits", 6) > 4.2).alias("high"))
 
 
-@query("h11_human_units", "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey * 1000 >= 1048576 THEN printf('%.1f MB', l_partkey * 1000 / 1048576.0) WHEN l_partkey * 1000 >= 1024 THEN printf('%.1f KB', l_partkey * 1000 / 1024.0) ELSE printf('%d B', l_partkey * 1000) END AS size FROM lineitem WHERE (l_partkey * 1000 * 10) % 1024 <> 512")
+@query("h11_human_units", "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey * 1000 >= 1048576 THEN printf('%.1f MB', l_partkey * 1000 / 1048576.0) WHEN l_partkey * 1000 >= 1024 THEN printf('%.1f KB', l_partkey * 1000 / 1024.0) ELSE printf('%d B', l_partkey * 1000) END AS size FROM lineitem")
 def h11(spark, d):
-    return table(spark, d, "lineitem").where("(l_partkey * 1000 * 10) % 1024 <> 512").select("l_orderkey", "l_linenumber", X.human_bytes(F.col("l_partkey") * 1000).alias("size"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.human_bytes(F.col("l_partkey") * 1000).alias("size"))
 
 
 @query("h12_sanitise", "SELECT doc_id, md5(regexp_replace(text, '[\\x00-\\x1F\\x7F]', '.', 'g')) AS clean FROM documents")
@@ -137,9 +139,13 @@ def j1(spark, d):
     return J.groups(T.similar_pairs(table(spark, d, "documents"), "doc_id", "text"), keep)
 
 
-@query("j2_similar_pairs", PAIRS)
+@query("j2_similar_pairs", f"SELECT a, b, 'similar' AS status FROM ({PAIRS}) UNION ALL SELECT doc_id, NULL, 'unavailable' FROM documents WHERE doc_id NOT IN (SELECT id FROM ({WORDSET}))")
 def j2(spark, d):
-    return T.similar_pairs(table(spark, d, "documents"), "doc_id", "text").select("a", "b")
+    """Pairs of similar texts, one text for each set of words; texts with too few words are unavailable."""
+    docs = table(spark, d, "documents")
+    pairs = T.similar_pairs(docs, "doc_id", "text").select("a", "b", F.lit("similar").alias("status"))
+    few = T.comparable(docs, "doc_id", "text").where("not comparable").select(F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit("unavailable").alias("status"))
+    return pairs.unionByName(few)
 
 
 @query("j3_lookalikes", "SELECT DISTINCT a.n AS name, b.n AS known FROM (SELECT right(c_name, 4) AS n FROM customer) a JOIN (SELECT right(s_name, 4) AS n FROM supplier) b ON a.n <> b.n AND levenshtein(a.n, b.n) <= 1")
@@ -157,19 +163,18 @@ def j4(spark, d):
     return found.groupBy("page_id", "name").agg(F.count("*").alias("n"))
 
 
-@query("j5_reverse_sweep", f"SELECT item_id, count(*)::BIGINT AS hits, count(*) FILTER (doc_id % 5 = item_id % 5)::BIGINT AS named FROM ({NEEDLES}) GROUP BY 1")
+@query("j5_reverse_sweep", f"SELECT item_id, count(*)::BIGINT AS hits, count(DISTINCT doc_id)::BIGINT AS outputs, count(*) FILTER (doc_id % 5 = item_id % 5)::BIGINT AS named FROM (SELECT DISTINCT doc_id, item_id, \"at\" FROM ({NEEDLES})) GROUP BY 1")
 def j5(spark, d):
-    needles = table(spark, d, "benchmark").where(F.length("text") >= 60).select("item_id", F.substring("text", 1, 60).alias("n"))
-    hits = J.sweep_needles(table(spark, d, "documents"), "doc_id", "text", needles, "item_id", "n")
-    return hits.groupBy("item_id").agg(F.count("*").alias("hits"), F.count_if(F.col("doc_id") % 5 == F.col("item_id") % 5).alias("named"))
+    hits = J.sweep_needles(table(spark, d, "documents"), "doc_id", "text", needles(spark, d), "item_id", "n")
+    return hits.groupBy("item_id").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("outputs"), F.count_if(F.col("doc_id") % 5 == F.col("item_id") % 5).alias("named"))
 
 
-@query("j6_leak_scan", "SELECT d.doc_id, count(DISTINCT w)::BIGINT AS words FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents) d WHERE w IN (SELECT w FROM (SELECT unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND doc_id < 100) WHERE length(w) >= 12) GROUP BY 1")
+@query("j6_leak_scan", "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents), m AS (SELECT w FROM w JOIN labels USING (doc_id) WHERE w <> '' GROUP BY 1 HAVING min(toxic) = 1) SELECT doc_id, count(*)::BIGINT AS words FROM w WHERE w IN (SELECT w FROM m) GROUP BY 1")
 def j6(spark, d):
-    docs = table(spark, d, "documents")
-    split = lambda df: df.select("doc_id", F.explode(F.split("text", "[ \\n]+")).alias("w"))
-    marked = split(docs.join(table(spark, d, "labels").where("toxic = 1 and doc_id < 100"), "doc_id")).where("length(w) >= 12").select("w").distinct()
-    return split(docs).join(marked, "w").groupBy("doc_id").agg(F.count_distinct("w").alias("words"))
+    """Every word of marked texts that no text marked clean has, looked for in all texts."""
+    docs = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \\n]+"))).alias("w"))
+    marked = docs.where("w <> ''").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id").groupBy("w").agg(F.min("toxic").alias("t")).where("t = 1").select("w")
+    return docs.join(marked, "w").groupBy("doc_id").agg(F.count("*").alias("words"))
 
 
 KINDS = {"email": "[a-z0-9._]+@[a-z0-9]+[.][a-z]+", "address": "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "number": "[0-9]{9,}"}

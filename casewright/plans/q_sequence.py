@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from casewright.operators.aggregates import ranked
 from casewright.operators import sequence as S
 from casewright.operators.aggregates import runs
 from casewright.operators.joins import micros
@@ -205,10 +206,10 @@ def f2(spark, d):
     return S.top_k(table(spark, d, "lineitem"), ["l_suppkey"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 5).select("l_suppkey", "l_orderkey", "l_linenumber", "place")
 
 
-@query("f3_rank_hosts", "SELECT c_nationkey, round(sum(c_acctbal), 4) AS weight, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS reasons, dense_rank() OVER (ORDER BY round(sum(c_acctbal), 4) DESC)::BIGINT AS place FROM customer GROUP BY 1")
+@query("f3_rank_hosts", "SELECT o_custkey, round(sum(o_totalprice), 2) AS weight, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS reasons, row_number() OVER (ORDER BY round(sum(o_totalprice), 2) DESC, o_custkey)::BIGINT AS place FROM orders GROUP BY 1 QUALIFY place <= 100")
 def f3(spark, d):
-    w = table(spark, d, "customer").groupBy("c_nationkey").agg(F.round(F.sum("c_acctbal"), 4).alias("weight"), F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("reasons"))
-    return w.withColumn("place", F.dense_rank().over(Window.orderBy(F.desc("weight"))).cast("long"))  # a row a host
+    w = table(spark, d, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("weight"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("reasons"))
+    return ranked(w, [F.desc("weight"), "o_custkey"], 100)
 
 
 @query("f4_page", "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 20 OFFSET 40")

@@ -8,6 +8,7 @@ from casewright.functions import csv_safe
 from casewright.plans.q_predicates import LEDGER, ledger
 from casewright.plans.registry import query, table
 from casewright.sources import readers as R
+from casewright.sources.scratch import scratch_path
 
 
 def _json_lines(spark, d):
@@ -48,14 +49,47 @@ def a5(spark, d):
     return R.parse_event_xml(table(spark, d, "events").select(xml.alias("xml")), "xml").select("record", "event_code", F.col("data")["kind"].alias("kind"))
 
 
-@query("a6_catalog", None)
+def evidence(spark, d):
+    """A folder of text files made of the documents, one folder a source."""
+    path = scratch_path(spark)
+    docs = table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("value"), "source")
+    docs.write.partitionBy("source").text(path)
+    return path
+
+
+@query("a6_catalog", "SELECT CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'timeline' ELSE 'filelist' END AS which, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, count(DISTINCT source)::BIGINT AS folders FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def a6(spark, d):
-    return R.catalog(R.census(spark, d, "*.parquet"), {"timeline": "events|orders", "filelist": "part[^/]*$", "text": "documents|pages"}).groupBy("which").agg(F.count("*").alias("files"))
+    """Files under their logical names."""
+    files = R.catalog(R.census(spark, evidence(spark, d), "*.txt"), {"timeline": r"source=src[0-9]/", "filelist": r"source=src[0-9]{2,}/"})
+    return files.groupBy("which").agg(F.sum("bytes").alias("bytes"), F.count_distinct(F.regexp_extract("path", "source=([^/]+)", 1)).alias("folders"))
 
 
-@query("a7_census", None)
+@query("a7_census", "SELECT source AS folder, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents GROUP BY 1")
 def a7(spark, d):
-    return R.census(spark, d).select("path", "bytes")
+    """Bytes of all files under a root, by folder, without reading them."""
+    return R.census(spark, evidence(spark, d), "*.txt").groupBy(F.regexp_extract("path", "source=([^/]+)", 1).alias("folder")).agg(F.sum("bytes").alias("bytes"))
+
+
+@query("a4_filelist", "SELECT p_name || '_' || p_partkey AS name, '/' || p_brand || '/' || p_partkey AS path, p_size::BIGINT AS size, p_size % 7 = 0 AS deleted, CASE WHEN p_size % 5 > 0 THEN '2024-01-0' || (p_size % 5) END AS created FROM part")
+def a4(spark, d):
+    """A listing in UTF-16 with tabs, written and read again."""
+    path = scratch_path(spark)
+    made = F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("2024-01-0"), (F.col("p_size") % 5).cast("string")))
+    rows = table(spark, d, "part").select(
+        F.concat_ws("_", "p_name", "p_partkey").alias("Filename"), F.concat(F.lit("/"), "p_brand", F.lit("/"), "p_partkey").alias("Full Path"), F.col("p_size").alias("Size (bytes)"),
+        made.alias("Created"), F.when(F.col("p_size") % 7 == 0, "yes").otherwise("no").alias("Is Deleted"),
+    )
+    rows.write.option("sep", "\t").option("header", True).option("encoding", "UTF-16").csv(path)
+    return R.read_filelist(spark, path).select(F.col("Filename").alias("name"), F.col("Full Path").alias("path"), F.col("Size (bytes)").cast("long").alias("size"), (F.col("Is Deleted") == "yes").alias("deleted"), F.col("Created").alias("created"))
+
+
+@query("a16_page_and_whole", "WITH w AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F') SELECT o_orderkey, (SELECT count(*) FROM w)::BIGINT AS matched, least((SELECT count(*) FROM w), 25)::BIGINT AS returned, (SELECT count(*) FROM w) > 25 AS truncated, (SELECT round(sum(o_totalprice), 2) FROM w) AS kept_total FROM w ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def a16(spark, d):
+    """A page of a result with the counts of the whole, which is kept beside it."""
+    path = scratch_path(spark)
+    page, counts = R.page_and_keep(table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 25, path)
+    whole = spark.read.parquet(path).agg(F.round(F.sum("o_totalprice"), 2).alias("kept_total"))
+    return page.select("o_orderkey").join(F.broadcast(counts)).join(F.broadcast(whole))  # a row each
 
 
 @query("a8_digest", "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, sha1(text) AS sha1, strlen(text)::BIGINT AS size FROM documents")
@@ -72,10 +106,16 @@ def a9(spark, d):
     return R.explode_records(files.select(value.alias("value")), "value", "name string, id long").select("name", "id")
 
 
-@query("a10_json_in_csv", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+@query("a10_json_in_csv", "SELECT event_id, event_type AS operation, json_extract_string(props, '$.k')::BIGINT AS k, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created, 1 + (event_id % 9 = 0)::INT::BIGINT AS copies FROM events")
 def a10(spark, d):
-    rows = table(spark, d, "events").select(F.to_json(F.struct("event_id", F.col("props").alias("AuditData"))).alias("value"))
-    return rows.select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), F.get_json_object(F.get_json_object("value", "$.AuditData"), "$.k").cast("long").alias("k")).dropDuplicates(["event_id"])
+    """A unified audit export, written as CSV with a record of JSON in each row, some of them twice."""
+    path = scratch_path(spark)
+    e = table(spark, d, "events")
+    record = F.to_json(F.struct(F.col("event_id").cast("string").alias("Id"), F.col("event_type").alias("Operation"), F.get_json_object("props", "$.k").cast("long").alias("ItemCount"), F.lit('a "quoted", name').alias("ObjectId")))
+    rows = e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("CreationDate"), F.explode(F.sequence(F.lit(1), F.lit(1) + (F.col("event_id") % 9 == 0).cast("int"))).alias("n"), record.alias("AuditData")).drop("n")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    got = R.read_audit_csv(spark, path, "AuditData", "Id string, Operation string, ItemCount long, ObjectId string", "Id", "CreationDate")
+    return got.where(F.col("ObjectId") == 'a "quoted", name').select(F.col("Id").cast("long").alias("event_id"), F.col("Operation").alias("operation"), F.col("ItemCount").alias("k"), F.col("CreationDate").alias("created"), "copies")
 
 
 @query("a11_vpc_flow", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'N' THEN l_partkey END AS bytes, CASE l_returnflag WHEN 'N' THEN 'NODATA' ELSE 'OK' END AS status FROM lineitem")

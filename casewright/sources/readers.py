@@ -107,6 +107,20 @@ def explode_records(df: DataFrame, col: str, record: str) -> DataFrame:
     return df.select(*rest, F.posexplode(F.coalesce(inside, bare, single)).alias("at", "_r")).select(*rest, "at", "_r.*")
 
 
+def read_audit_csv(spark: SparkSession, path: str, json_col: str, record: str, id_field: str, order: str) -> DataFrame:
+    """A CSV export whose rows carry a record as JSON: its fields, the other columns, and ``copies``.
+
+    A record that overlapping exports hold several times, by its id, counts once, as its first row by ``order``. A
+    record that does not parse, or has no id, keeps its row with nulls.
+    """
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rest = [c for c in rows.columns if c != json_col]
+    parsed = rows.withColumn("_r", F.from_json(json_col, record)).select(*rest, "_r.*")
+    known = parsed.where(F.col(id_field).isNotNull())
+    once = known.groupBy(id_field).agg(F.min_by(F.struct(*parsed.columns), F.struct(order, F.xxhash64(*parsed.columns))).alias("_r"), F.count("*").alias("copies")).select("_r.*", "copies")
+    return once.unionByName(parsed.where(F.col(id_field).isNull()).withColumn("copies", F.lit(1).cast("long")))
+
+
 def parse_vpc_flow(df: DataFrame, fields: list[str], col: str = "value") -> DataFrame:
     """Space-separated flow rows in a given order; ``status`` keeps NODATA and SKIPDATA apart from flows of zero."""
     p = F.split(F.col(col), " ")

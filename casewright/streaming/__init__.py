@@ -11,9 +11,27 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
+def run_available(sdf: DataFrame, mode: str, path: str) -> DataFrame:
+    """Run a stream over all that is there now, and return every row it gave out, with its ``batch``.
+
+    Each batch is written to ``path``, and a batch that is run again replaces itself, so a restart from the
+    checkpoint gives the same rows.
+    """
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{path}/out/{batch}")
+
+    spark, kind = sdf.sparkSession, T.StructType([*sdf.schema.fields, T.StructField("batch", T.LongType())])
+    spark.createDataFrame([], kind).write.parquet(f"{path}/out/none")
+    query = sdf.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(kind).parquet(f"{path}/out/*")
+
+
 def stream_register(spark: SparkSession, path: str, schema, fmt: str = "json", files: int = 100) -> DataFrame:
     """Follow a growing folder of register files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(fmt).load(path)

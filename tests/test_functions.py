@@ -9,6 +9,7 @@ from casewright.operators import aggregates as A
 from casewright.operators import joins as J
 from casewright.operators import predicates as P
 from casewright.operators import sequence as S
+from casewright.operators import texts as T
 from casewright.sources.scratch import keep
 
 
@@ -75,7 +76,11 @@ def test_intervals_are_half_open_and_may_stay_open(spark):
 
 def test_closure_and_groups_end_on_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (8, 9)], "src long, dst long")
-    assert sorted(map(tuple, J.closure(edges, spark.createDataFrame([(1,)], "node long"), keep).collect())) == [(1, 0), (2, 1), (3, 2)]
+    seeds = spark.createDataFrame([(1,)], "node long")
+    whole, cut = J.closure(edges, seeds, keep)
+    assert sorted(map(tuple, whole.collect())) == [(1, 0), (2, 1), (3, 2)] and not cut
+    part, cut = J.closure(edges, seeds, keep, 1)
+    assert sorted(map(tuple, part.collect())) == [(1, 0), (2, 1)] and cut
     assert sorted(map(tuple, J.groups(edges.toDF("a", "b"), keep).collect())) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
 
 
@@ -89,6 +94,64 @@ def test_names_fold_to_one_form(spark):
     assert one(spark, J.fold_key(F.lit("  École\t Nord "))) == "école nord"
 
 
+def test_needles_of_any_length(spark):
+    """Every place of every needle, overlapping and repeated, in letters of any plane and as UTF-16LE bytes."""
+    text = "aaaa evil.example.org aaaa 漢字😀x e\0v\0i\0l\0 evil" * 3
+    needles = ["a", "aa", "aaa", "evil", "漢字", "😀", "evil.example.org", " aaaa 漢字😀x", "absent", text, ""]
+    docs = spark.createDataFrame([(1, text), (2, "a"), (3, None)], "k long, t string")
+    asked = spark.createDataFrame([*enumerate(needles), (99, None)], "n long, needle string")
+    places = lambda t, w: {i + 1 for i in range(len(t) - len(w) + 1) if w and t[i : i + len(w)] == w}
+    want = {(k, n, i) for n, w in enumerate(needles) for k, t in ((1, text), (2, "a")) for i in places(t, w)}
+    assert {tuple(r) for r in J.sweep_needles(docs, "k", "t", asked, "n", "needle").collect()} == want
+    more = {(1, 3, i) for i in places(text, "e\0v\0i\0l\0")}
+    assert {tuple(r) for r in J.sweep_needles(docs, "k", "t", asked.where("n = 3"), "n", "needle", utf16=True).collect()} == {w for w in want if w[1] == 3} | more
+    assert J.sweep_needles(docs, "k", "t", asked.limit(0), "n", "needle").count() == 0
+
+
+def test_overlaps_by_bucket(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(2), i, rng.choice([None, rng.randrange(1000)]), None) for i in range(80)]
+    rows = [(k, i, f, None if rng.random() < 0.1 else (f or 0) + rng.choice([0, 3, 50, 900])) for k, i, f, _ in rows]
+    df = spark.createDataFrame(rows, "k int, i int, f long, t long").select("k", "i", F.col("f").cast("timestamp").alias("f"), F.col("t").cast("timestamp").alias("t"))
+    meet = lambda a, b: (a[2] is None or b[3] is None or a[2] <= b[3]) and (b[2] is None or a[3] is None or b[2] <= a[3])
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and meet(a, b)}
+    for buckets in (1, 7, 256):
+        got = [(r.a, r.b) for r in J.overlap_pairs(df, ["k"], "i", "f", "t", buckets).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_similar_pairs_by_hand(spark):
+    import random
+
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(40)]
+    base = [rng.sample(vocabulary, 14) for _ in range(6)]
+    rows = [(i, " ".join(rng.sample(b, len(b)) + rng.sample(vocabulary, rng.randrange(4)))) for i in range(90) for b in [rng.choice(base)]]
+    rows += [(200, "too few"), (201, None), (202, rows[0][1])]
+    got = {(r.a, r.b) for r in T.similar_pairs(spark.createDataFrame(rows, "i long, t string"), "i", "t").collect()}
+    first = {}
+    for i, t in rows:
+        s = frozenset((t or "").split())
+        if len(s) >= 5:
+            first.setdefault(s, i)
+    want = {(min(a, b), max(a, b)) for s, a in first.items() for u, b in first.items() if a < b and len(s & u) >= 0.8 * len(s | u)}
+    assert got == want and len(want) > 20
+
+
+def test_tenths_round_to_even(spark):
+    assert [one(spark, X.human_bytes(F.lit(n))) for n in (1280, 1792, 1536, 256 * 1024 * 5, 12)] == ["1.2 KB", "1.8 KB", "1.5 KB", "1.2 MB", "12 B"]
+
+
+def test_beacon_without_times_and_with_a_long_end(spark):
+    rows = [("a", t) for t in (0, 60, 120, 180, 240, 300, 1000)] + [("a", None), ("b", 5)]
+    df = spark.createDataFrame(rows, "k string, s long").select("k", F.col("s").cast("timestamp").alias("ts"))
+    r = A.beacon_score(df, ["k"], "ts").first()
+    assert (r.k, r.events, r.rejected, r.median_s, r.mad_s, r.long_final_gap, r["shape"]) == ("a", 7, 1, 60.0, 0.0, True, "tight_cluster")
+    assert abs(r.density - 7 / (1000 / 60 + 1)) < 1e-9
+
+
 def test_needles_at_every_offset(spark):
     text = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(60))
     needles = spark.createDataFrame([(i, text[i : i + 31]) for i in range(0, 60)], "n long, needle string")
