@@ -318,7 +318,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     want = segs.where("several").join(sizes, "h")
     want = want.groupBy("one.t1", "one.t2", "one.doc_id").agg(F.collect_list(F.struct("h", "s1", "s2", "n", "hot", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"))).alias("want"))
     want = want.withColumnRenamed("doc_id", "want_id")
-    found = texts.join(want, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("want_id")))
+    # arrays of places have no proven size, so they are never broadcast
+    found = texts.join(want.hint("merge"), ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("want_id")))
     pieces = keep(_segments(found, length), "pieces")
     by_hash, more = _windows(pieces, length)
     spans = whole.unionByName(_blocks(pieces, length)).unionByName(by_hash)
@@ -356,7 +357,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     source = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.col(text_col).isNull().alias("none"), whole.alias("text"))
     source = source.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
     spans = repeated_spans(source.select("t1", "t2", "doc_id", "text"), length, gram, hot)
-    both = source.join(spans, ["t1", "t2"], "left").select("row", "none", "text", "spans")
+    both = source.join(spans.hint("merge"), ["t1", "t2"], "left").select("row", "none", "text", "spans")
     made = {"kept": T.StringType()} if keep_columns else {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
