@@ -172,8 +172,9 @@ def codec(path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids``, a row per input row.
 
-    Each text is encoded whole and decoded again from its ids. Null counts as
-    empty: no ids. Nothing is shuffled, and repeated rows stay repeated.
+    Each text, of any length, is encoded whole and decoded again from its ids. Null counts as
+    empty: no ids. Nothing is shuffled, and repeated rows stay repeated. An empty table gives an empty result; other columns, whatever their
+    names, are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
