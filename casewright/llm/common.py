@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting for the removal of shuffle files at the end of a query.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,12 +37,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     A later stage that loses an executor rereads the files; it does not repeat
-    the Python work above them.
+    the Python work above them. Shuffle files of the write go as it ends: nothing reads them again, and else they
+    would lie about until the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/casewright-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
+    schema, before = df.schema, spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     return spark.read.schema(schema).parquet(path)
 
 
