@@ -31,6 +31,7 @@ BLOCK, HOT = 1_000_000, 2048
 #: Windows of a text that are looked at in one go, which bounds memory for very long texts.
 _STEP = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_POS = np.uint64(20)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -42,16 +43,17 @@ def _powers(n: int, base: int) -> np.ndarray:
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(anchor hash, first window, last window)`` of each run of windows with one anchor.
+def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(anchor hash, first window, last window, several)`` of each run of windows with one anchor.
 
     A run has no more windows than one gram can lie in; where a periodic text has one anchor
-    throughout, that makes a run every few hundred bytes.
+    throughout, that makes a run every few hundred bytes. ``several`` if the anchor lies at more than one place in the run, without
+    which no window occurs twice inside it.
     """
     n = len(text)
     if n < length:
         e = np.zeros(0, np.int64)
-        return e.astype(np.uint64), e, e
+        return e.astype(np.uint64), e, e, e.astype(bool)
     if not _TABLES:
         most = _STEP + 2 * LENGTH
         _TABLES[0] = (_powers(most, int(_BASE)), _powers(most, pow(int(_BASE), -1, 2**64)))
@@ -62,24 +64,29 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         part = data[at : at + _STEP + length - 1].astype(np.uint64) + np.uint64(1)
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(part * up[: len(part)], out=total[1:])
-        low = (total[gram:] - total[:-gram]) * down[: len(part) - gram + 1]
+        g = (total[gram:] - total[:-gram]) * down[: len(part) - gram + 1]
         del part, total
-        low ^= low >> np.uint64(29)
-        low *= np.uint64(0xBF58476D1CE4E5B9)
-        low ^= low >> np.uint64(32)
+        g ^= g >> np.uint64(29)
+        g *= np.uint64(0xBF58476D1CE4E5B9)
+        g ^= g >> np.uint64(32)
+        low = (g >> _POS << _POS) | np.arange(len(g), dtype=np.uint64)  # of equal ones the leftmost
         wide = 1
         while wide * 2 <= span:
             low = np.minimum(low[: len(low) - wide], low[wide:])
             wide *= 2
         if span > wide:
             low = np.minimum(low[: len(low) - (span - wide)], low[span - wide :])
-        begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        places = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        hashes = g[(low[places] & np.uint64((1 << 20) - 1)).astype(np.int64)]
+        same = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        begin = places[same]
         size = np.diff(np.append(begin, len(low)))
         pieces = -(-size // span)
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first = np.repeat(begin, pieces) + nth * span
         last = np.append(first[1:], len(low)) - 1
-        found.append((low[first], first + at, last + at))
+        several = np.searchsorted(places, last, "right") > np.searchsorted(places, first, "right")
+        found.append((np.repeat(hashes[same], pieces), first + at, last + at, several))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -198,11 +205,11 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            h, s1, s2, owner, lo, hi = [], [], [], [], [], []
+            h, s1, s2, owner, lo, hi, several = [], [], [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 if len(text) < length:
                     continue
-                x, p, q = anchors(text, length, gram)
+                x, p, q, more = anchors(text, length, gram)
                 both = [xxhash.xxh3_128_intdigest(text[f : t + length]) for f, t in zip(p.tolist(), q.tolist())]
                 h.append(x)
                 s1 += [d >> 64 for d in both]
@@ -210,16 +217,18 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 owner.append(np.full(len(x), i))
                 lo.append(p)
                 hi.append(q)
+                several.append(more)
             if not h:
                 continue
             owner = pa.array(np.concatenate(owner))
             cols = [_signed(np.concatenate(h)), _signed(np.array(s1, np.uint64)), _signed(np.array(s2, np.uint64))]
             cols += [b.column(c).take(owner) for c in ("t1", "t2", "doc_id")]
             cols += [pa.array(np.concatenate(x), pa.int64()) for x in (lo, hi)]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "s1", "s2", "t1", "t2", "doc_id", "lo", "hi"])
+            cols.append(pa.array(np.concatenate(several)))
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "s1", "s2", "t1", "t2", "doc_id", "lo", "hi", "own"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"h long, s1 long, s2 long, t1 long, t2 long, doc_id {kind}, lo long, hi long")
+    return texts.mapInArrow(run, f"h long, s1 long, s2 long, t1 long, t2 long, doc_id {kind}, lo long, hi long, own boolean")
 
 
 _SEG = "h long, s1 long, s2 long, n long, hot boolean, t1 long, t2 long, lo long, bytes binary"
@@ -307,9 +316,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     """
     spark = texts.sparkSession
     rows = keep(_anchor_rows(texts, length, gram), "anchors")
-    twice = rows.groupBy("h").agg(F.count("*").alias("k"), F.min("s1").alias("a"), F.max("s1").alias("b")).where("k > 1")
-    twice = keep(twice.select("h", (F.col("a") != F.col("b")).alias("several")), "twice")
-    common = keep(rows.join(twice, "h"), "common")
+    # anchors whose windows may repeat: they lie in several segments, or at several places of one
+    twice = rows.groupBy("h").agg(F.count("*").alias("k"), F.min("s1").alias("a"), F.max("s1").alias("b"), F.bool_or("own").alias("own")).where("k > 1 or own")
+    twice = keep(twice.select("h", (F.col("own") | (F.col("a") != F.col("b"))).alias("several")), "twice")
+    common = keep(rows.drop("own").join(twice, "h"), "common")
     drop(rows, twice)
     segs = common.groupBy("h", "s1", "s2", "several").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "doc_id", "lo", "hi")).alias("one"))
     segs = keep(segs, "segs")

@@ -177,11 +177,31 @@ def test_anchors_of_equal_windows_are_equal_across_steps(monkeypatch):
     cut = suffix_dedup.anchors(t, 400, 100)
 
     def spread(made):
-        return {i: h for h, lo, hi in zip(*(x.tolist() for x in made)) for i in range(lo, hi + 1)}
+        return {i: h for h, lo, hi, _ in zip(*(x.tolist() for x in made)) for i in range(lo, hi + 1)}
 
     assert spread(whole) == spread(cut) and len(spread(whole)) == 2601
 
 
+def test_repeats_inside_one_segment(spark, monkeypatch):
+    """Periods of every length: a window that occurs twice only inside one run of windows is found too."""
+    rng = random.Random(9)
+    texts = []
+    for period in (1, 2, 7, 50, 120, 250, 299, 300, 301, 302, 390, 399, 401, 700):
+        unit = "".join(rng.choice("abcdefgh ") for _ in range(period))
+        for size in (400, 401, 405, 450, 500, 640, 699, 700, 701, 710, 1200, 2500):
+            texts.append((unit * (size // period + 1))[:size] if rng.random() < 0.7 else "".join(rng.choice("xyz") for _ in range(30)) + (unit * (size // period + 1))[:size] + "tail" * 20)
+    for i, t in enumerate(texts):  # each by itself, so nothing but the text repeats
+        rows, want = suffix_dedup.anchors(t.encode(), 400, 100), slow_cut([t.encode()], 400)[0][1]
+        c = Counter(t[j : j + 400] for j in range(len(t) - 399))
+        twice = [j for j in range(len(t) - 399) if c[t[j : j + 400]] > 1]
+        times = Counter(rows[0].tolist())
+        assert all(times[h] > 1 or several for h, lo, hi, several in zip(*(x.tolist() for x in rows)) for j in twice if lo <= j <= hi)
+        assert bool(twice) == bool(want)
+    docs = spark.createDataFrame([(i, f"{i} " + t) for i, t in enumerate(texts[::7])], "doc_id long, text string")
+    got = sorted(tuple(r) for r in suffix_dedup.suffix_dedup(docs).collect())
+    assert got == [(i, *w) for i, w in enumerate(slow_cut([f"{i} {t}".encode() for i, t in enumerate(texts[::7])], 400))]
+
+
 def slow_lines(rows):
     seen, gone = [], set()
     for i, t in sorted(set((r[0], r[1]) for r in rows), key=lambda r: r[0]):
