@@ -14,6 +14,7 @@ from casewright.llm.common import table
 from casewright.llm.exact_dedup import exact_dedup
 from casewright.llm.line_dedup import line_dedup
 from casewright.llm.packing import pack_documents
+from casewright.llm.resampling import resample
 from casewright.llm.simhash import simhash
 from casewright.llm.suffix_dedup import suffix_dedup
 from casewright.llm.url_filter import url_filter
@@ -61,6 +62,10 @@ def op10_ann_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_additive.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_knn": op1_quality_knn,
     "op2_language_gru": op2_language_gru,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ann_additive": op10_ann_additive,
+    "op13_resample": op13_resample,
 }
 
 ORACLE_SQL: dict[str, str] = {
