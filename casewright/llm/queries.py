@@ -16,6 +16,7 @@ from casewright.llm.line_dedup import line_dedup
 from casewright.llm.packing import pack_documents
 from casewright.llm.resampling import resample
 from casewright.llm.simhash import simhash
+from casewright.llm.spelling import spelling_groups, words
 from casewright.llm.suffix_dedup import suffix_dedup
 from casewright.llm.url_filter import url_filter
 
@@ -62,6 +63,10 @@ def op10_ann_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_additive.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(words(table(spark, sf_dir, "documents"), slip=97))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ann_additive": op10_ann_additive,
+    "op12_spelling": op12_spelling,
     "op13_resample": op13_resample,
 }
 
