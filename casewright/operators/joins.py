@@ -90,16 +90,6 @@ def misses(left: DataFrame, hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(hits, list(keys), "left_anti")
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str, end: str, how: str = "inner") -> DataFrame:
-    """Points inside ``[start, end)``; an open end is null and never closes."""
-    p, i = points.alias("p"), intervals.alias("i")
-    cond = (F.col(f"p.{at}") >= F.col(f"i.{start}")) & (F.col(f"i.{end}").isNull() | (F.col(f"p.{at}") < F.col(f"i.{end}")))
-    for k in keys:
-        cond &= F.col(f"p.{k}") == F.col(f"i.{k}")
-    rest = [c for c in intervals.columns if c not in keys]
-    return p.join(i, cond, how).select("p.*", *(f"i.{c}" for c in rest))
-
-
 def asof(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, value: str, direction: str = "prev", tolerance: str | None = None) -> DataFrame:
     """``left`` with the value and time of the nearest row of ``right`` before (or after) it; one window, no range join.
 
@@ -131,23 +121,6 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, r
     return l.join(r, [*keys, "_b"]).where(gap.between(lo_s * 1_000_000, hi_s * 1_000_000)).drop("_b")
 
 
-def overlap_pairs(df: DataFrame, keys: Sequence[str], id_col: str, start: str, end: str, buckets: int = 256) -> DataFrame:
-    """``(a, b)`` with a < b of one key whose closed intervals meet; an open bound meets everything.
-
-    Time between the first and last bound is cut in ``buckets``; an interval is filed under those it covers, and two are compared in
-    the first that they share, so a busy key is split and intervals far apart never meet.
-    """
-    lo, hi = df.agg(F.least(F.min(micros(start)), F.min(micros(end))), F.greatest(F.max(micros(start)), F.max(micros(end)))).first()
-    lo, hi = lo or 0, hi or 0
-    place = lambda c, open_: F.coalesce(F.floor((micros(c) - lo) * F.lit(float(buckets)) / F.lit(float(hi - lo + 1))), F.lit(open_)).cast("int")
-    filed = df.select(*keys, F.col(id_col).alias("id"), F.col(start).alias("from"), F.col(end).alias("to"), place(start, 0).alias("first"), place(end, buckets - 1).alias("last")).where("first <= last")
-    filed = filed.withColumn("_bucket", F.explode(F.sequence("first", "last")))
-    side = lambda n: filed.select(*keys, "_bucket", F.col("id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("from", "to", "first")))
-    meet = (F.col("a_from").isNull() | F.col("b_to").isNull() | (F.col("a_from") <= F.col("b_to"))) & (F.col("b_from").isNull() | F.col("a_to").isNull() | (F.col("b_from") <= F.col("a_to")))
-    both = side("a").join(side("b"), [*keys, "_bucket"]).where((F.col("a") < F.col("b")) & (F.col("_bucket") == F.greatest("a_first", "b_first")) & meet)
-    return both.drop("_bucket", "a_first", "b_first")
-
-
 def reconcile(expected: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:
     """``(key, status)``: matched, mismatch, missing, added, digest_missing, duplicate."""
     side = lambda df, n: df.groupBy(key).agg(F.first(value, ignorenulls=True).alias(n), F.count("*").alias(f"{n}_n"))

@@ -91,14 +91,6 @@ def phases(df: DataFrame, keys: Sequence[str], order: str, kind: str) -> DataFra
     return df.withColumn("_n", new).withColumn("phase", F.sum("_n").over(w).cast("long")).groupBy(*keys, "phase", kind).agg(F.count("*").alias("rows"))
 
 
-def holding_intervals(events: DataFrame, keys: Sequence[str], ts: str, starts: Column, ends: Column, holder: str) -> DataFrame:
-    """``from_us, to_us`` of each holding: a start by the same holder changes nothing, any other start or end closes; open ends are null."""
-    w = _w(keys, ts)
-    rows = events.where(starts | ends).withColumn("_h", F.when(starts, F.col(holder)))
-    kept = rows.withColumn("_p", F.lag("_h").over(w)).where(~(F.col("_h").isNotNull() & F.col("_h").eqNullSafe(F.col("_p"))))
-    return kept.withColumn("to_us", F.lead(micros(ts)).over(w)).where("_h is not null").select(*keys, F.col("_h").alias("holder"), micros(ts).alias("from_us"), "to_us")
-
-
 def fold_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """The last row of each key by ``order``: an aggregation, not a sort."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
@@ -110,12 +102,6 @@ def offer_status(made: Column, seen: Column, ttl: int, max_age: int, accepted: C
     return F.when(accepted, "accepted").when(withdrawn, "withdrawn").when(now >= until, "lapsed").when(seen.isNotNull(), "live").otherwise("pending")
 
 
-def verify_chain(df: DataFrame, keys: Sequence[str], order: str, prev: str, hash_col: str) -> DataFrame:
-    """Per register: rows, and the first row whose ``prev`` is not the hash of the row before."""
-    before = F.lag(hash_col).over(_w(keys, order))
-    return df.withColumn("_broken", ~F.col(prev).eqNullSafe(before)).groupBy(*keys).agg(F.count("*").alias("rows"), F.min(F.when(F.col("_broken"), F.col(order))).alias("first_break"))
-
-
 def still_in_place(events: DataFrame, keys: Sequence[str], ts: str, act: str, create: Sequence[str], remove: Sequence[str]) -> DataFrame:
     """Keys whose last act among creations and removals is a creation."""
     last = events.where(F.col(act).isin(*create, *remove)).groupBy(*keys).agg(F.max_by(act, ts).alias("_a"))

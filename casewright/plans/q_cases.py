@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 from casewright.operators import aggregates as A
 from casewright.operators import families as Q
+from casewright.operators import intervals as I
 from casewright.operators import joins as J
 from casewright.operators import predicates as P
+from casewright.operators import scan as W
 from casewright.operators import sequence as S
 from casewright.operators.joins import micros
+from casewright.operators.texts import signature_scan
 from casewright.plans.registry import query, table
+from casewright.sources.scratch import keep
 
 DAY = 86_400_000_000
 K = "json_extract_string(props, '$.k')::BIGINT"
@@ -126,7 +130,7 @@ def p17(spark, d):
     """Gaps in the history with the cookies and cache entries that survive from inside them: none means nothing was done."""
     e = ev(spark, d)
     gaps = S.gaps(e.where("event_type = 'view'"), ["user_id"], "ts", 2 * 86_400)
-    inside = J.interval_join(e.where("event_type = 'click'").select("user_id", "t"), gaps, ["user_id"], "t", "from_us", "to_us")
+    inside = I.interval_join(e.where("event_type = 'click'").select("user_id", "t"), gaps, ["user_id"], "t", "from_us", "to_us")
     out = gaps.join(inside.groupBy("user_id", "from_us").agg(F.count("*").alias("survivors")), ["user_id", "from_us"], "left").withColumn("survivors", F.coalesce("survivors", F.lit(0)))
     return out.withColumn("reading", F.when(F.col("survivors") > 0, "cleared").otherwise("idle"))
 
@@ -291,16 +295,18 @@ def p40(spark, d):
     return out.where("documents >= 2").withColumn("langs", F.when(F.col("langs") != "", F.col("langs")))
 
 
-@query("p41_carvings", "WITH h AS (SELECT doc_id, name, strlen(split_part(text, sig, 1))::BIGINT AS \"at\", strlen(text) - strlen(split_part(text, sig, 1)) AS size FROM documents, (VALUES ('link', '://'), ('mail', '@'), ('list', '- ')) s(name, sig) WHERE contains(text, sig)) SELECT h.doc_id, name, h.\"at\", size::BIGINT AS size, epoch_us(ts) AS dated_us, row_number() OVER (PARTITION BY name ORDER BY ts NULLS LAST, h.doc_id) AS place FROM h LEFT JOIN events ON event_id = h.doc_id")
+@query("p41_carvings", "WITH h AS (SELECT doc_id, name, strlen(substring(text, 1, o::INT - 1))::BIGINT AS \"at\", text FROM (SELECT doc_id, name, sig, text, unnest(range(1, length(text) - length(sig) + 2)) AS o FROM documents, (VALUES ('link', '://'), ('mail', '@'), ('list', '- ')) s(name, sig) WHERE contains(text, sig)) WHERE substring(text, o::INT, length(sig)) = sig) SELECT h.doc_id, name, h.\"at\", coalesce(lead(h.\"at\") OVER (PARTITION BY h.doc_id, name ORDER BY h.\"at\"), strlen(text)) - h.\"at\" AS size, epoch_us(ts) AS dated_us, row_number() OVER (PARTITION BY name ORDER BY ts NULLS LAST, h.doc_id, h.\"at\") AS place FROM h LEFT JOIN events ON event_id = h.doc_id")
 def p41(spark, d):
-    """The first hit of each signature in each block, what follows it, and its place in time among those of its kind."""
-    from casewright.operators.texts import signature_scan
-
+    """Every hit of each signature in each block, up to the next one, and its place in time among all of its kind."""
     docs = table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
-    hits = signature_scan(docs, "doc_id", "raw", {"link": "3A2F2F", "mail": "40", "list": "2D20"}).groupBy("doc_id", "name").agg(F.min("at").alias("at"))
-    dated = hits.join(docs.select("doc_id", F.octet_length("raw").cast("long").alias("all")), "doc_id").join(table(spark, d, "events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id", "left")
-    place = F.row_number().over(Window.partitionBy("name").orderBy(F.col("ts").asc_nulls_last(), "doc_id"))
-    return dated.select("doc_id", "name", "at", (F.col("all") - F.col("at")).alias("size"), micros("ts").alias("dated_us"), place.cast("long").alias("place"))
+    hits = signature_scan(docs, "doc_id", "raw", {"link": "3A2F2F", "mail": "40", "list": "2D20"})
+    hits = hits.join(docs.select("doc_id", F.length("raw").cast("long").alias("whole")), "doc_id")
+    end = F.lead("at").over(Window.partitionBy("doc_id", "name").orderBy("at"))
+    dated = hits.withColumn("size", F.coalesce(end, "whole") - F.col("at")).join(table(spark, d, "events").select(F.col("event_id").alias("doc_id"), micros("ts").alias("dated_us")), "doc_id", "left")
+    order = ["undated", "dated_us", "doc_id", "at"]
+    # three kinds, so each is larger than a task
+    rows = W.ranged(dated.withColumn("undated", F.col("dated_us").isNull()), ["name"], order, keep)
+    return W.scan(rows, ["name"], order, number="place").select("doc_id", "name", "at", "size", "dated_us", "place")
 
 
 _LAT, _LON = "(event_id * 37) % 200 - 100", "(event_id * 53) % 360 - 180"

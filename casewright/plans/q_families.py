@@ -6,9 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casewright.operators import families as Q
-from casewright.operators.joins import interval_join, micros
+from casewright.operators.intervals import interval_join
+from casewright.operators.joins import micros
+from casewright.operators.scan import ranged, scan
 from casewright.plans.q_joins import HOLDINGS, SEATS, holdings
 from casewright.plans.registry import query, table
+from casewright.sources.scratch import keep
 
 
 @query("q1_normalise", "SELECT 'sign_in' AS provider, event_id::VARCHAR AS event_id, epoch_us(ts) AS time_us, user_id::VARCHAR AS principal, event_type AS action, NULL::VARCHAR AS resource, CASE WHEN event_type = 'error' THEN 'failure' END AS outcome FROM events UNION ALL SELECT 'ledger', o_orderkey::VARCHAR, epoch_us(o_orderdate), o_custkey::VARCHAR, o_orderpriority, NULL, o_orderstatus FROM orders")
@@ -181,7 +184,9 @@ def q27(spark, d):
 
 @query("q28_usage_intervals", "SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) AS covers_us FROM events")
 def q28(spark, d):
-    return table(spark, d, "events").select("event_id", (micros("ts") - F.lag(micros("ts")).over(Window.partitionBy("event_type").orderBy("ts"))).alias("covers_us"))
+    rows = table(spark, d, "events").select("event_id", "event_type", micros("ts").alias("at"))
+    near = scan(ranged(rows, ["event_type"], ["at"], keep), ["event_type"], ["at"], previous={"before": F.col("at")})
+    return near.select("event_id", (F.col("at") - F.col("before")).alias("covers_us"))
 
 
 @query("q29_address_owner", f"WITH h AS ({HOLDINGS}) SELECT e.event_id, h.lead AS owner FROM ({SEATS}) e JOIN h ON h.seat = e.seat AND h.f <= e.ts AND (h.t IS NULL OR e.ts < h.t) WHERE e.event_type = 'click'")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from casewright.operators import intervals as I
 from casewright.operators import joins as J
+from casewright.operators import scan as W
 from casewright.plans.q_predicates import LEDGER, ledger
 from casewright.plans.registry import query, table
 from casewright.sources.scratch import keep
@@ -70,15 +72,24 @@ def holdings(spark, d):
     e = table(spark, d, "events").withColumn("seat", F.col("user_id") % 20)
     opened = e.where("event_type = 'signup'").select(F.col("event_id").alias("lead"), "seat", "ts")
     closed = e.where("event_type in ('purchase', 'error')").select("seat", "ts", F.lit(1).alias("v"))
-    return J.asof(opened, closed, ["seat"], "ts", "v", "next").select("lead", "seat", F.col("ts").alias("f"), F.col("near_ts").alias("t"))
+    # twenty seats: few keys, so the window over each is larger than a task
+    return keep(W.asof(opened, closed, ["seat"], "ts", "v", keep, "next").select("lead", "seat", F.col("ts").alias("f"), F.col("near_ts").alias("t")))
 
 
-@query("c7_interval_attribution", f"WITH h AS ({HOLDINGS}), m AS (SELECT e.event_id, e.value, h.lead FROM ({SEATS}) e JOIN h ON h.seat = e.seat AND h.f <= e.ts AND (h.t IS NULL OR e.ts < h.t) WHERE e.event_type IN ('view', 'click')) SELECT lead, round(sum(value / n), 4) AS tokens FROM (SELECT *, count(*) OVER (PARTITION BY event_id) AS n FROM m) GROUP BY 1")
+SHARES = f"""h AS ({HOLDINGS}), c AS (SELECT event_id, value, event_type, ts, seat, CASE WHEN event_id % 3 = 0 THEN event_id - 1 END AS named FROM ({SEATS}) WHERE event_type IN ('view', 'click')),
+    m AS (SELECT c.event_id, h.lead FROM c JOIN h ON h.seat = c.seat AND h.f <= c.ts AND (h.t IS NULL OR c.ts < h.t)), n AS (SELECT event_id, count(*) AS n FROM m GROUP BY 1)"""
+
+
+@query("c7_interval_attribution", f"WITH {SHARES} SELECT basis, lead, round(sum(tokens), 4) AS tokens, count(*)::BIGINT AS calls FROM (SELECT 'held' AS basis, m.lead, c.value / n.n AS tokens FROM c JOIN m USING (event_id) JOIN n USING (event_id) UNION ALL SELECT CASE WHEN named IS NULL THEN 'unheld' ELSE 'named' END, named, value FROM c WHERE event_id NOT IN (SELECT event_id FROM n)) GROUP BY 1, 2")
 def c7(spark, d):
+    """Tokens of each call, split evenly over the leads that its seat held then; else those of the lead that it named; else unheld. No call is lost."""
     calls = table(spark, d, "events").where("event_type in ('view', 'click')").select("event_id", "ts", (F.col("user_id") % 20).alias("seat"), "value")
-    held = J.interval_join(calls, holdings(spark, d), ["seat"], "ts", "f", "t")
-    shares = held.join(held.groupBy("event_id").agg(F.count("*").alias("n")), "event_id")
-    return shares.groupBy("lead").agg(F.round(F.sum(F.col("value") / F.col("n")), 4).alias("tokens"))
+    calls = calls.withColumn("named", F.when(F.col("event_id") % 3 == 0, F.col("event_id") - 1))
+    held = keep(I.interval_join(calls, holdings(spark, d), ["seat"], "ts", "f", "t").select("event_id", "value", "lead"))
+    n = held.groupBy("event_id").agg(F.count("*").alias("n"))
+    shares = held.join(n, "event_id").select(F.lit("held").alias("basis"), "lead", (F.col("value") / F.col("n")).alias("tokens"))
+    rest = calls.join(n, "event_id", "left_anti").select(F.when(F.col("named").isNull(), "unheld").otherwise("named").alias("basis"), F.col("named").alias("lead"), F.col("value").alias("tokens"))
+    return shares.unionByName(rest).groupBy("basis", "lead").agg(F.round(F.sum("tokens"), 4).alias("tokens"), F.count("*").alias("calls"))
 
 
 def _sides(spark, d):
@@ -104,17 +115,23 @@ def spans(spark, d):
 
 @query("c10_interval_overlap", f"SELECT a.k AS a, b.k AS b FROM ({SPANS}) a JOIN ({SPANS}) b ON a.c = b.c AND a.k < b.k AND (b.t IS NULL OR a.f <= b.t) AND (a.t IS NULL OR b.f <= a.t)")
 def c10(spark, d):
-    return J.overlap_pairs(spans(spark, d), ["c"], "k", "f", "t").select("a", "b")
+    return I.overlap_pairs(spans(spark, d), ["c"], "k", "f", "t").select("a", "b")
+
+
+CITED = "SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS premise, l_returnflag AS stance, CASE WHEN l_linenumber <> 7 THEN l_shipdate END AS f, CASE WHEN l_orderkey % 13 <> 0 THEN l_shipdate + INTERVAL 20 DAY END AS t FROM lineitem WHERE l_returnflag IN ('A', 'R')"
 
 
-@query("c11_contradictions", "WITH q AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, l_returnflag AS r FROM lineitem WHERE l_returnflag IN ('A', 'R')) SELECT a.p AS premise, a.s AS assumed, count(*)::BIGINT AS contradictions FROM q a JOIN q b ON a.p = b.p AND a.r = 'A' AND b.r = 'R' AND a.s <> b.s GROUP BY 1, 2")
+@query("c11_contradictions", f"WITH q AS ({CITED}) SELECT a.premise, a.id AS assumed, b.id AS contradicted FROM q a JOIN q b ON a.premise = b.premise AND a.stance = 'A' AND b.stance = 'R' WHERE (a.f IS NULL OR b.t IS NULL OR a.f <= b.t) AND (b.f IS NULL OR a.t IS NULL OR b.f <= a.t)")
 def c11(spark, d):
-    """Each assumption with the number of findings on its premise that say otherwise; counted, never paired."""
-    q = table(spark, d, "lineitem").select(F.col("l_partkey").alias("premise"), F.col("l_suppkey").alias("assumed"), "l_returnflag").distinct()
-    against = q.where("l_returnflag = 'R'").select("premise", "assumed")
-    n, own = against.groupBy("premise").agg(F.count("*").alias("n")), against.withColumn("own", F.lit(1))
-    out = q.where("l_returnflag = 'A'").join(n, "premise").join(own, ["premise", "assumed"], "left")
-    return out.select("premise", "assumed", (F.col("n") - F.coalesce("own", F.lit(0))).alias("contradictions")).where("contradictions > 0")
+    """Answers that assume a premise beside those that contradict it over a scope that meets theirs; an open bound meets everything."""
+    rows = table(spark, d, "lineitem").where("l_returnflag in ('A', 'R')")
+    begin = F.col("l_shipdate")
+    cited = rows.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("premise"), F.col("l_returnflag").alias("stance"),
+        F.when(F.col("l_linenumber") != 7, begin).alias("f"), F.when(F.col("l_orderkey") % 13 != 0, begin + F.expr("INTERVAL 20 DAYS")).alias("t"),
+    )
+    met = I.overlap_join(cited.where("stance = 'A'"), cited.where("stance = 'R'"), ["premise"], "id", "f", "t")
+    return met.select("premise", F.col("a").alias("assumed"), F.col("b").alias("contradicted"))
 
 
 @query("c12_reconcile_manifest", "WITH a AS (SELECT o_orderkey AS k, (o_orderkey % 5)::BIGINT AS v FROM orders WHERE o_orderkey % 3 <> 0), e AS (SELECT DISTINCT l_orderkey AS k, (l_orderkey % 10)::BIGINT AS v FROM lineitem) SELECT coalesce(e.k, a.k) AS k, CASE WHEN a.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'added' WHEN a.v = e.v THEN 'matched' ELSE 'mismatch' END AS status FROM e FULL JOIN a ON e.k = a.k")

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casewright.operators.aggregates import ranked
+from casewright.operators import scan as W
 from casewright.operators import sequence as S
-from casewright.operators.aggregates import runs
 from casewright.operators.joins import micros
 from casewright.plans.q_aggregates import islands_sql
 from casewright.plans.registry import query, table
+from casewright.sources.scratch import keep
 
 U = "PARTITION BY user_id ORDER BY ts"
 
@@ -91,7 +92,7 @@ def e11(spark, d):
 @query("e12_holding_intervals", "WITH r AS (SELECT user_id % 20 AS seat, ts, CASE WHEN event_type = 'signup' THEN user_id END AS h FROM events WHERE event_type IN ('signup', 'purchase', 'error')), k AS (SELECT * FROM (SELECT *, lag(h) OVER (PARTITION BY seat ORDER BY ts) AS p FROM r) WHERE h IS NULL OR h IS DISTINCT FROM p) SELECT seat, h AS holder, f AS from_us, t AS to_us FROM (SELECT seat, h, epoch_us(ts) AS f, lead(epoch_us(ts)) OVER (PARTITION BY seat ORDER BY ts) AS t FROM k) WHERE h IS NOT NULL")
 def e12(spark, d):
     kind = F.col("event_type")
-    return S.holding_intervals(events(spark, d).withColumn("seat", F.col("user_id") % 20), ["seat"], "ts", kind == "signup", kind.isin("purchase", "error"), "user_id")
+    return W.holding_intervals(events(spark, d).withColumn("seat", F.col("user_id") % 20), ["seat"], "ts", kind == "signup", kind.isin("purchase", "error"), "user_id", keep)
 
 
 @query("e13_fold_latest", "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
@@ -112,15 +113,30 @@ def e15(spark, d):
     return S.fold_latest(acts, ["l_orderkey", "l_suppkey"], ["l_shipdate", "l_linenumber"], ["l_returnflag"]).where("l_returnflag = 'R'").drop("l_returnflag")
 
 
-CHAIN = "SELECT o_custkey, o_orderkey AS seq, sha256(o_orderkey || '|' || o_orderstatus) AS h, CASE WHEN o_orderkey % 101 = 0 THEN 'x' ELSE lag(sha256(o_orderkey || '|' || o_orderstatus)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS prev FROM orders"
+CHAIN = """SELECT register, seq, CASE WHEN o_orderkey % 211 = 0 THEN body || '?' ELSE body END AS body, CASE WHEN o_orderkey % 307 = 0 THEN 'x' ELSE lag(sha256(body)) OVER (PARTITION BY register ORDER BY seq) END AS prev, sha256(body) AS h, o_orderkey
+    FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE o_custkey END AS register, row_number() OVER (PARTITION BY CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE o_custkey END ORDER BY o_orderkey) AS seq, o_orderkey || '|' || o_orderstatus AS body, o_orderkey FROM orders)"""
+SEALS = "SELECT register, max(seq) - 1 AS seal, arg_max(h, seq) FILTER (seq < m) AS sealed FROM (SELECT *, max(seq) OVER (PARTITION BY register) AS m FROM c0) WHERE register % 3 = 0 GROUP BY register HAVING max(seq) > 1"
 
 
-@query("e16_verify_chain", f"SELECT o_custkey, count(*)::BIGINT AS rows, min(seq) FILTER (prev IS DISTINCT FROM b) AS first_break FROM (SELECT *, lag(h) OVER (PARTITION BY o_custkey ORDER BY seq) AS b FROM ({CHAIN})) GROUP BY 1")
+@query("e16_verify_chain", f"""WITH c0 AS ({CHAIN}), c AS (SELECT * FROM c0 WHERE o_orderkey % 173 <> 0), s AS (SELECT register, seal, CASE WHEN register % 5 = 0 AND register > 0 THEN 'y' ELSE sealed END AS sealed FROM ({SEALS})),
+    m AS (SELECT c.*, lag(seq) OVER w AS ps, lag(h) OVER w AS ph, seal, sealed FROM c LEFT JOIN s USING (register) WINDOW w AS (PARTITION BY register ORDER BY seq))
+    SELECT register, count(*)::BIGINT AS rows, min(seq) FILTER (seq <> coalesce(ps, 0) + 1) AS first_gap, min(seq) FILTER (prev IS DISTINCT FROM ph) AS first_break, min(seq) FILTER (h <> sha256(body)) AS first_altered,
+        CASE WHEN max(seal) IS NULL THEN 'none' WHEN bool_or(seq = seal AND h = sealed) THEN 'kept' ELSE 'broken' END AS seal, count(*) FILTER (seq > seal)::BIGINT AS after_seal FROM m GROUP BY 1""")
 def e16(spark, d):
-    h = F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus"), 256)
-    rows = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("seq"), h.alias("h"))
-    prev = F.when(F.col("seq") % 101 == 0, F.lit("x")).otherwise(F.lag("h").over(Window.partitionBy("o_custkey").orderBy("seq")))
-    return S.verify_chain(rows.withColumn("prev", prev), ["o_custkey"], "seq", "prev", "h")
+    """Registers, one with a tenth of all lines: numbers without a gap, each line on the one before, bodies as they were hashed, and what was sealed."""
+    k = F.col("o_orderkey")
+    lines = table(spark, d, "orders").select(F.when(k % 10 == 0, 0).otherwise(F.col("o_custkey")).cast("long").alias("register"), k.alias("k"), F.concat_ws("|", k.cast("string"), "o_orderstatus").alias("body"))
+    lines = lines.withColumn("h", F.sha2("body", 256))
+    rows = W.scan(W.ranged(lines, ["register"], ["k"], keep), ["register"], ["k"], previous={"prev": F.col("h")}, number="seq").drop("_part")
+    rows = keep(rows.withColumns({"prev": F.when(k_odd(307), F.lit("x")).otherwise(F.col("prev")), "body": F.when(k_odd(211), F.concat("body", F.lit("?"))).otherwise(F.col("body"))}))
+    most = rows.groupBy("register").agg(F.max("seq").alias("m")).where((F.col("m") > 1) & (F.col("register") % 3 == 0))
+    seals = rows.join(most, "register").where("seq = m - 1").select("register", "seq", F.when((F.col("register") % 5 == 0) & (F.col("register") > 0), F.lit("y")).otherwise(F.col("h")).alias("digest"))
+    return W.verify_chain(rows.where(~k_odd(173)), "register", "seq", "body", "prev", "h", seals, keep)
+
+
+def k_odd(n):
+    """Lines that the made register has wrong: every n-th key."""
+    return F.col("k") % n == 0
 
 
 STILL = "WITH s AS (SELECT user_id, ts, floor(value / 100) AS v FROM events), c AS (SELECT user_id, max(ts) AS last, arg_max(v, ts) AS v FROM s GROUP BY 1), m AS (SELECT c.user_id, c.last, max(s.ts) FILTER (s.v <> c.v) AS moved FROM c JOIN s USING (user_id) GROUP BY 1, 2)"
@@ -158,7 +174,7 @@ def e20(spark, d):
 
 @query("e21_collapse_bursts", islands_sql("event_type", 1200))
 def e21(spark, d):
-    return runs(events(spark, d), ["event_type"], "ts", 1200)
+    return W.islands(events(spark, d), ["event_type"], "ts", 1200, keep)
 
 
 @query("e22_journal_pairs", f"SELECT event_id AS old, nxt AS new FROM (SELECT event_id, event_type, lead(event_id) OVER ({U}) AS nxt, lead(event_type) OVER ({U}) AS kind FROM events) WHERE event_type = 'view' AND kind = 'click'")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casewright import functions as X
 from casewright.operators import aggregates as A
+from casewright.operators import intervals as I
 from casewright.operators import joins as J
 from casewright.operators import predicates as P
 from casewright.operators import sequence as S
@@ -69,7 +70,7 @@ def test_asof_takes_ties_and_leaves_gaps_null(spark):
 
 def test_intervals_are_half_open_and_may_stay_open(spark):
     holds = spark.createDataFrame([(1, 0, 5), (1, 5, None)], "k int, f int, t int")
-    got = J.interval_join(spark.createDataFrame([(1, 5), (1, 4), (2, 4)], "k int, at int"), holds, ["k"], "at", "f", "t").collect()
+    got = I.interval_join(spark.createDataFrame([(1, 5), (1, 4), (2, 4)], "k int, at int"), holds, ["k"], "at", "f", "t").collect()
     assert sorted((r.at, r.f) for r in got) == [(4, 0), (5, 5)]
     assert S.concurrent(holds.select("k", F.col("f").cast("timestamp").alias("f"), F.col("t").cast("timestamp").alias("t")), ["k"], "f", "t").first().most == 1
 
@@ -108,7 +109,7 @@ def test_needles_of_any_length(spark):
     assert J.sweep_needles(docs, "k", "t", asked.limit(0), "n", "needle").count() == 0
 
 
-def test_overlaps_by_bucket(spark):
+def test_overlaps_by_cells(spark):
     import random
 
     rng = random.Random(5)
@@ -117,9 +118,13 @@ def test_overlaps_by_bucket(spark):
     df = spark.createDataFrame(rows, "k int, i int, f long, t long").select("k", "i", F.col("f").cast("timestamp").alias("f"), F.col("t").cast("timestamp").alias("t"))
     meet = lambda a, b: (a[2] is None or b[3] is None or a[2] <= b[3]) and (b[2] is None or a[3] is None or b[2] <= a[3])
     want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and meet(a, b)}
-    for buckets in (1, 7, 256):
-        got = [(r.a, r.b) for r in J.overlap_pairs(df, ["k"], "i", "f", "t", buckets).collect()]
-        assert set(got) == want and len(got) == len(want)
+    got = [(r.a, r.b) for r in I.overlap_pairs(df, ["k"], "i", "f", "t").collect()]
+    assert set(got) == want and len(got) == len(want)
+    both = {(a[1], b[1]) for a in rows[:40] for b in rows[40:] if a[0] == b[0] and meet(a, b)}
+    got = [(r.a, r.b) for r in I.overlap_join(df.where("i < 40"), df.where("i >= 40"), ["k"], "i", "f", "t").collect()]
+    assert set(got) == both and len(got) == len(both)
+    odd = df.select("k", "i", F.col("t").alias("f"), F.col("f").alias("t")).where("f > t")
+    assert I.malformed(odd, "f", "t").count() == odd.count() > 0 and I.overlap_pairs(odd, ["k"], "i", "f", "t").count() == 0
 
 
 def test_similar_pairs_by_hand(spark):
