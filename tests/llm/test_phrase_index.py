@@ -63,7 +63,7 @@ def test_decontaminate(docs, items, window):
 
 def test_nothing_to_broadcast(monkeypatch, docs, items):
     """Tables past the bound are joined by shuffles, with the same result."""
-    monkeypatch.setattr(P, "MOST_ROWS", 0)
+    monkeypatch.setattr(P, "MOST_NUMBERS", 0)
     assert sorted((tuple(r) for r in P.decontaminate(docs, items, 4).collect()), key=str) == slow(DOCS, ITEMS, 4)
 
 
