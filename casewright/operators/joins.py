@@ -53,39 +53,6 @@ def sweep_cidr(df: DataFrame, addr: str, ranges: DataFrame) -> DataFrame:
     return keyed.join(nets, ["bits", "_net"]).drop("_net")
 
 
-#: Blocks of a text that a sweep looks needles up by, and the least needle of each: it covers a whole block wherever it lies.
-GRAMS = ((16, 31), (8, 15), (4, 7), (2, 3), (1, 1))
-
-
-def wide(needle: Column) -> Column:
-    """A needle as UTF-16LE shows in bytes read one by one: a zero after each character."""
-    return F.regexp_replace(needle, "(?s)(.)", "$1\u0000")
-
-
-def sweep_needles(texts: DataFrame, key: str, col: str, needles: DataFrame, needle_key: str, needle: str, utf16: bool = False) -> DataFrame:
-    """``(key, needle_key, at)``: every place (from 1) of each needle in each text, overlapping ones too; with ``utf16`` also those of its UTF-16LE form.
-
-    A text is cut in blocks of some characters; a needle covers a whole block wherever it lies. So blocks are equi-joined to the
-    needles' grams at all offsets, and the places that follow are compared in full: a row a block, never all pairs. The
-    shorter a needle, the shorter its blocks; a pass is made for each size in use. Empty needles and nulls match nothing.
-    """
-    n = needles.where(F.length(needle) > 0).select(needle_key, F.col(needle).alias("_needle")).distinct()
-    if utf16:
-        n = n.unionByName(n.withColumn("_needle", wide(F.col("_needle")))).distinct()
-    n = n.withColumn("_gram_of", F.coalesce(*(F.when(F.length("_needle") >= least, F.lit(g)) for g, least in GRAMS)))
-    found = None
-    for g in sorted(r[0] for r in n.select("_gram_of").distinct().collect()):  # five sizes at the most
-        grams = n.where(F.col("_gram_of") == g).withColumn("_off", F.explode(F.sequence(F.lit(0), F.least(F.length("_needle") - g, F.lit(g - 1)))))
-        grams = grams.select(needle_key, "_needle", "_off", F.expr(f"substring(_needle, _off + 1, {g})").alias("_gram"))
-        blocks = texts.select(key, F.posexplode(F.regexp_extract_all(F.col(col), F.lit(f"(?s).{{{g}}}"), F.lit(0))).alias("_block", "_gram"))
-        places = blocks.join(small(grams), "_gram").select(key, needle_key, "_needle", (F.col("_block") * g - F.col("_off")).alias("_at")).where("_at >= 0")
-        found = places if found is None else found.unionByName(places)
-    if found is None:
-        return texts.select(key, F.lit(None).cast(n.schema[needle_key].dataType).alias(needle_key), F.lit(0).cast("long").alias("at")).limit(0)
-    hits = found.distinct().join(texts.select(key, F.col(col).alias("_text")), key).where(F.expr("substring(_text, _at + 1, length(_needle)) = _needle"))
-    return hits.select(key, needle_key, (F.col("_at") + 1).cast("long").alias("at")).distinct()
-
-
 def misses(left: DataFrame, hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(hits, list(keys), "left_anti")
 

@@ -17,6 +17,7 @@ from casewright.operators import predicates as P
 from casewright.operators import scan as W
 from casewright.operators import sequence as S
 from casewright.operators.joins import micros
+from casewright.operators.sweep import sweep
 from casewright.operators.texts import signature_scan
 from casewright.plans.registry import query, table
 from casewright.sources.scratch import keep
@@ -516,7 +517,7 @@ def p61(spark, d):
 def p62(spark, d):
     """Each question with the texts that hold its answer in full, and how they were marked."""
     asked = table(spark, d, "benchmark").select("item_id", "text")
-    held = J.sweep_needles(table(spark, d, "documents"), "doc_id", "text", asked, "item_id", "text").select("item_id", "doc_id").distinct()
+    held = sweep(table(spark, d, "documents"), "doc_id", "text", asked, "item_id", "text", keep).select("item_id", "doc_id").distinct()
     marked = held.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").groupBy("item_id").agg(F.count("*").alias("answers"), F.count_distinct("quality").alias("said"), F.max("quality").alias("best"))
     out = asked.select("item_id").join(marked, "item_id", "left")
     standing = F.when(F.col("answers").isNull(), "open").when(F.col("said") > 1, "disputed").when(F.col("best") == 1, "confirmed").otherwise("answered")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casewright.operators import intervals as I
 from casewright.operators import joins as J
 from casewright.operators import scan as W
+from casewright.operators.sweep import sweep
 from casewright.plans.q_predicates import LEDGER, ledger
 from casewright.plans.registry import query, table
 from casewright.sources.scratch import keep
@@ -36,18 +37,20 @@ def c3(spark, d):
     return J.sweep_cidr(e, "a", ranges.select("name", "bits", J.ipv4_number(F.col("cidr")).alias("net"))).select("event_id", "name")
 
 
-NEEDLES = "SELECT doc_id, item_id, \"at\" FROM (SELECT doc_id, item_id, text, n, unnest(range(1, length(text) - length(n) + 2)) AS \"at\" FROM documents, (SELECT item_id, text AS n FROM benchmark UNION ALL SELECT -doc_id - 1, left(text, 12) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND length(text) > 0) WHERE contains(text, n)) WHERE substring(text, \"at\", length(n)) = n"
+NEEDLES = """SELECT doc_id, item_id, own, "at" FROM (SELECT doc_id, item_id, own, text, n, unnest(range(1, length(text) - length(n) + 2)) AS "at" FROM documents,
+    (SELECT item_id, item_id AS own, text AS n FROM benchmark UNION ALL SELECT -doc_id - 1, doc_id, text FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND length(text) > 0) WHERE contains(text, n)) WHERE substring(text, "at", length(n)) = n"""
 
 
 def needles(spark, d):
-    """Whole benchmark passages, and the first twelve characters of toxic texts under ids below zero."""
-    toxic = table(spark, d, "documents").join(table(spark, d, "labels").where("toxic = 1"), "doc_id").where("length(text) > 0")
-    return table(spark, d, "benchmark").select("item_id", F.col("text").alias("n")).unionByName(toxic.select((-F.col("doc_id") - 1).alias("item_id"), F.substring("text", 1, 12).alias("n")))
+    """Whole benchmark passages, whose object is the document of that number, and whole toxic texts, whose object is their own document, under ids below zero."""
+    toxic = table(spark, d, "documents").join(table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct(), "doc_id").where("length(text) > 0")
+    passages = table(spark, d, "benchmark").select("item_id", F.col("item_id").alias("own"), F.col("text").alias("n"))
+    return passages.unionByName(toxic.select((-F.col("doc_id") - 1).alias("item_id"), F.col("doc_id").alias("own"), F.col("text").alias("n")))
 
 
 @query("c4_sweep_needles", f"SELECT DISTINCT doc_id, item_id, \"at\" FROM ({NEEDLES})")
 def c4(spark, d):
-    return J.sweep_needles(table(spark, d, "documents"), "doc_id", "text", needles(spark, d), "item_id", "n")
+    return sweep(table(spark, d, "documents"), "doc_id", "text", needles(spark, d), "item_id", "n", keep).select("doc_id", "item_id", "at")
 
 
 @query("c5_near_misses", f"WITH h AS (SELECT DISTINCT {HOST} AS h FROM pages), i AS (SELECT min(h) AS v FROM h) SELECT h.h AS host FROM h, i WHERE h.h <> i.v AND regexp_extract(h.h, '[^.]+\\.[^.]+$') = regexp_extract(i.v, '[^.]+\\.[^.]+$')")

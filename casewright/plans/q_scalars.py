@@ -8,6 +8,7 @@ from casewright import functions as X
 from casewright.operators import joins as J
 from casewright.operators import texts as T
 from casewright.operators.joins import micros
+from casewright.operators.sweep import leak_scan, sweep
 from casewright.plans.q_joins import NEEDLES, needles
 from casewright.plans.registry import query, table
 from casewright.sources.scratch import keep
@@ -163,18 +164,51 @@ def j4(spark, d):
     return found.groupBy("page_id", "name").agg(F.count("*").alias("n"))
 
 
-@query("j5_reverse_sweep", f"SELECT item_id, count(*)::BIGINT AS hits, count(DISTINCT doc_id)::BIGINT AS outputs, count(*) FILTER (doc_id % 5 = item_id % 5)::BIGINT AS named FROM (SELECT DISTINCT doc_id, item_id, \"at\" FROM ({NEEDLES})) GROUP BY 1")
+@query("j5_reverse_sweep", f"SELECT item_id, count(*)::BIGINT AS hits, count(DISTINCT doc_id)::BIGINT AS outputs, count(*) FILTER (doc_id = own)::BIGINT AS named, CASE WHEN bool_or(doc_id <> own) THEN 'held' ELSE 'stands' END AS negative FROM (SELECT DISTINCT doc_id, item_id, own, \"at\" FROM ({NEEDLES})) GROUP BY 1")
 def j5(spark, d):
-    hits = J.sweep_needles(table(spark, d, "documents"), "doc_id", "text", needles(spark, d), "item_id", "n")
-    return hits.groupBy("item_id").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("outputs"), F.count_if(F.col("doc_id") % 5 == F.col("item_id") % 5).alias("named"))
-
-
-@query("j6_leak_scan", "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents), m AS (SELECT w FROM w JOIN labels USING (doc_id) WHERE w <> '' GROUP BY 1 HAVING min(toxic) = 1) SELECT doc_id, count(*)::BIGINT AS words FROM w WHERE w IN (SELECT w FROM m) GROUP BY 1")
+    """What each record looked for, over every output: a hit outside the object that the record names holds its negative."""
+    asked = needles(spark, d).select(F.struct("item_id", "own").alias("record"), "n")
+    hits = sweep(table(spark, d, "documents"), "doc_id", "text", asked, "record", "n", keep).select("doc_id", "record.item_id", "record.own")
+    outside = F.bool_or(F.col("doc_id") != F.col("own"))
+    return hits.groupBy("item_id").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("outputs"), F.count_if(F.col("doc_id") == F.col("own")).alias("named"), F.when(outside, "held").otherwise("stands").alias("negative"))
+
+
+def _run_sql(kind, least, more=""):
+    out = f"(regexp_extract(b, '([{kind}]*)$', 1) || regexp_extract(e, '^([{kind}]*)', 1))"
+    size = f"(length({out}) + length(w))"
+    marks = f"length(regexp_replace({out} || w, '[0-9A-Za-z]', '', 'g'))"
+    return f"(regexp_matches(w, '^[{kind}]+$') AND {size} >= {least} AND regexp_matches({out}, '[0-9]')" + (f" AND regexp_matches({out}, '[A-Za-z]') AND {marks} * 8 < {size})" if more else ")")
+
+
+#: Whether a short word ``w`` between ``b`` and ``e`` is a part of a longer number, hex string or base64 string.
+IN_RUN = f"(regexp_matches(right(b, 1) || left(w, 1), '^[0-9][0-9]$') OR regexp_matches(right(w, 1) || left(e, 1), '^[0-9][0-9]$') OR {_run_sql('0-9A-Fa-f', 16)} OR {_run_sql('0-9A-Za-z+/', 20, 'x')} OR {_run_sql('0-9A-Za-z_-', 20, 'x')})"
+WIDE = "regexp_replace({}, '(.)', '\\1' || chr(0), 'gs')"
+FILES = f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN {WIDE.format('t')} WHEN doc_id % 7 = 1 THEN replace(replace(replace(t, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') ELSE t END AS t FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' ' || upper(md5(text)) ELSE text END AS t FROM documents)"""
+LEAKS = f"""WITH w0 AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[ \n]+')) AS w FROM documents), words AS (SELECT w FROM w0 JOIN labels USING (doc_id) WHERE w <> '' AND (length(w) >= 10 OR (length(w) >= 6 AND regexp_matches(w, '[^\\p{{L}}\\s]'))) GROUP BY 1 HAVING min(toxic) = 1),
+    who AS (SELECT 'word' AS kind, w AS id, w, 'plain' AS form FROM words UNION ALL SELECT 'word', w, {WIDE.format('w')}, 'utf16' FROM words UNION ALL SELECT DISTINCT 'digest', doc_id::VARCHAR, md5(text), 'plain' FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 UNION ALL SELECT DISTINCT 'digest', doc_id::VARCHAR, upper(md5(text)), 'plain' FROM documents JOIN labels USING (doc_id) WHERE toxic = 1
+        UNION ALL SELECT DISTINCT 'digest', doc_id::VARCHAR, {WIDE.format('md5(text)')}, 'utf16' FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 UNION ALL SELECT DISTINCT 'digest', doc_id::VARCHAR, {WIDE.format('upper(md5(text))')}, 'utf16' FROM documents JOIN labels USING (doc_id) WHERE toxic = 1
+        UNION ALL SELECT 'word', w, replace(replace(w, '\\', '\\\\'), '"', '\\"'), 'json' FROM words WHERE contains(w, '"') OR contains(w, '\\')
+        UNION ALL SELECT 'word', w, array_to_string([CASE WHEN unicode(c) > 126 THEN '\\u' || lpad(lower(to_hex(unicode(c))), 4, '0') ELSE c END for c in string_split(replace(replace(w, '\\', '\\\\'), '"', '\\"'), '')], ''), 'json' FROM words WHERE regexp_matches(w, '[^ -~]')),
+    hit AS (SELECT doc_id, kind, id, form, w, t, unnest(range(1, length(t) - length(w) + 2)) AS "at" FROM ({FILES}) f, who WHERE (form = 'utf16') = (doc_id % 7 = 0) AND contains(t, w)),
+    place AS (SELECT doc_id, kind, id, form, "at", CASE WHEN kind = 'word' AND length(id) < 8 THEN id END AS w, CASE WHEN form = 'utf16' THEN replace(b, chr(0), '') ELSE b END AS b, CASE WHEN form = 'utf16' THEN replace(e, chr(0), '') ELSE e END AS e
+        FROM (SELECT *, substring(t, greatest(1, "at" - 64), least("at" - 1, 64)) AS b, substring(t, "at" + length(w), 64) AS e FROM hit WHERE substring(t, "at", length(w)) = w))"""
+
+
+@query("j6_leak_scan", f"{LEAKS} SELECT doc_id, kind, form, count(*)::BIGINT AS places, count(DISTINCT id)::BIGINT AS found, min(\"at\")::BIGINT AS first FROM place WHERE w IS NULL OR NOT {IN_RUN} GROUP BY 1, 2, 3")
 def j6(spark, d):
-    """Every word of marked texts that no text marked clean has, looked for in all texts."""
-    docs = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \\n]+"))).alias("w"))
-    marked = docs.where("w <> ''").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id").groupBy("w").agg(F.min("toxic").alias("t")).where("t = 1").select("w")
-    return docs.join(marked, "w").groupBy("doc_id").agg(F.count("*").alias("words"))
+    """Every secret-shaped word of marked texts that no text marked clean has, and every marked text's digest, in what is to be published: plain, UTF-16LE and JSON-escaped."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    labels = table(spark, d, "labels").select("doc_id", "toxic")
+    split = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \\n]+"))).alias("w"))
+    shaped = (F.length("w") >= 10) | ((F.length("w") >= 6) & F.col("w").rlike(r"[^\p{L}\s]"))
+    words = split.where("w <> ''").where(shaped).join(labels, "doc_id").groupBy("w").agg(F.min("toxic").alias("t")).where("t = 1").select("w")
+    digests = docs.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id").select("doc_id", F.md5("text").alias("h"))
+    k = F.col("doc_id")
+    t = F.when(k % 5 == 0, F.concat("text", F.lit(" "), F.upper(F.md5("text")))).otherwise(F.col("text"))
+    quoted = F.replace(F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    files = docs.select("doc_id", F.when(k % 7 == 0, F.regexp_replace(t, "(?s)(.)", "$1\u0000")).when(k % 7 == 1, quoted).otherwise(t).alias("t"))
+    found = leak_scan(files, "doc_id", "t", words, "w", "w", digests, "doc_id", "h", keep)
+    return found.groupBy("doc_id", "kind", "form").agg(F.count("*").alias("places"), F.count_distinct("id").alias("found"), F.min("at").alias("first"))
 
 
 KINDS = {"email": "[a-z0-9._]+@[a-z0-9]+[.][a-z]+", "address": "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "number": "[0-9]{9,}"}

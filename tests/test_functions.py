@@ -11,6 +11,7 @@ from casewright.operators import joins as J
 from casewright.operators import predicates as P
 from casewright.operators import sequence as S
 from casewright.operators import texts as T
+from casewright.operators.sweep import sweep
 from casewright.sources.scratch import keep
 
 
@@ -103,10 +104,13 @@ def test_needles_of_any_length(spark):
     asked = spark.createDataFrame([*enumerate(needles), (99, None)], "n long, needle string")
     places = lambda t, w: {i + 1 for i in range(len(t) - len(w) + 1) if w and t[i : i + len(w)] == w}
     want = {(k, n, i) for n, w in enumerate(needles) for k, t in ((1, text), (2, "a")) for i in places(t, w)}
-    assert {tuple(r) for r in J.sweep_needles(docs, "k", "t", asked, "n", "needle").collect()} == want
+    sw = lambda *a, **b: [(r.k, r.n, r.at) for r in sweep(*a, keep, **b).collect()]
+    got = sw(docs, "k", "t", asked, "n", "needle")
+    assert set(got) == want and len(got) == len(want)
+    assert set(sw(docs, "k", "t", asked, "n", "needle", portion=40)) == want
     more = {(1, 3, i) for i in places(text, "e\0v\0i\0l\0")}
-    assert {tuple(r) for r in J.sweep_needles(docs, "k", "t", asked.where("n = 3"), "n", "needle", utf16=True).collect()} == {w for w in want if w[1] == 3} | more
-    assert J.sweep_needles(docs, "k", "t", asked.limit(0), "n", "needle").count() == 0
+    assert set(sw(docs, "k", "t", asked.where("n = 3"), "n", "needle", forms=("plain", "utf16"))) == {w for w in want if w[1] == 3} | more
+    assert not sw(docs, "k", "t", asked.limit(0), "n", "needle")
 
 
 def test_overlaps_by_cells(spark):
@@ -160,5 +164,5 @@ def test_beacon_without_times_and_with_a_long_end(spark):
 def test_needles_at_every_offset(spark):
     text = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(60))
     needles = spark.createDataFrame([(i, text[i : i + 31]) for i in range(0, 60)], "n long, needle string")
-    got = J.sweep_needles(spark.createDataFrame([(1, text), (2, None), (3, "")], "k long, t string"), "k", "t", needles, "n", "needle").collect()
+    got = sweep(spark.createDataFrame([(1, text), (2, None), (3, "")], "k long, t string"), "k", "t", needles, "n", "needle", keep).select("k", "n", "at").collect()
     assert sorted((r.n, r.at) for r in got) == [(i, text.index(text[i : i + 31]) + 1) for i in range(0, 60)]
