@@ -3,7 +3,7 @@
 The index holds a posting, document and position, for each training word that a test item uses, and one for each document's
 end, which is its length. Postings stay where their text was read and are written once. A question is an equality join: a
 term at position ``q`` of an item, found at ``p``, says that the item may lie at offset ``p - q``. Of every window of
-an item the rarest term is looked up first; offsets that its next rarest terms do not have go, one rank after the other; what is
+an item the rarest term is looked up first; offsets at which the second rarest of the same window is not found go; what is
 left is intersected with the lists of all terms, and runs of enough consecutive positions are exact matches.
 
 Proximity: all words of an item, in any order, within a number of words; starts at postings of its terms, in blocks of that many
@@ -21,8 +21,6 @@ from casewright.llm.common import drop, keep
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
-#: Ranks of rarity that are intersected before all terms of an item are.
-RANKS = 3
 #: Terms, documents or offsets that are sent to all tasks: at most so many numbers, or so many bytes of words. Past it the join is a shuffle.
 MOST_NUMBERS, MOST_BYTES = 1 << 20, 32 << 20
 _END = -1
@@ -79,8 +77,8 @@ def build(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def _offsets(index: PhraseIndex, anchors: DataFrame) -> DataFrame:
-    """``(row, item, at)``: where the item's first word would be, maybe before the document's, for each posting of an anchor ``(item, q, term)``."""
-    return index.postings.join(_sent(anchors), "term").select("row", "item", (F.col("pos") - F.col("q")).alias("at"))
+    """``(row, item, at, rarest)``: where the item's first word would be, maybe before the document's, for each posting of an anchor ``(item, q, term, rarest)``."""
+    return index.postings.join(_sent(anchors), "term").select("row", "item", (F.col("pos") - F.col("q")).alias("at"), "rarest")
 
 
 def _narrowed(wide: DataFrame, by: DataFrame, on: list[str]) -> DataFrame:
@@ -95,22 +93,18 @@ def phrases(index: PhraseIndex, window: int = WINDOW) -> DataFrame:
     # each word votes in all windows over it, so no item is gathered whole
     start = F.explode(F.sequence(F.greatest(F.col("q") - F.col("size") + 1, F.lit(0)), F.least("q", F.col("n") - F.col("size"))))
     windows = rated.withColumn("s", start).groupBy("item", "s").agg(F.array_sort(F.collect_list(F.struct("df", "q", "term"))).alias("rare")).where("rare[0].df > 0")
-    ranks = [F.get("rare", F.least(F.lit(k), F.size("rare") - 1)).alias(f"r{k}") for k in range(RANKS)]  # a short window's last term again
-    windows = keep(windows.select("item", *ranks), "windows")
-    both = None
-    for k in range(RANKS):
-        found = _offsets(index, windows.select("item", f"r{k}.q", f"r{k}.term").distinct())
-        left = keep((found if both is None else _narrowed(found, both, ["row", "item", "at"])).distinct(), "offsets")
-        if both is not None:
-            drop(both)
-        both = left
+    two = F.get("rare", F.least(F.lit(1), F.size("rare") - 1))  # a window of one word: that word again
+    windows = keep(windows.select("item", F.col("rare")[0].alias("one"), two.alias("two")), "windows")
+    first = keep(_offsets(index, windows.select("item", "one.q", "one.term", F.col("one.q").alias("rarest")).distinct()), "first")
+    second = _offsets(index, windows.select("item", "two.q", "two.term", F.col("one.q").alias("rarest")).distinct())
+    both = keep(_narrowed(second, first, ["row", "item", "at", "rarest"]).select("row", "item", "at").distinct(), "both")
     need = both.join(asked, "item").select("row", (F.col("at") + F.col("q")).alias("pos"), "term", "item", "item_id", "at", "q", "size")
     near = _narrowed(index.postings, both.select("row").distinct(), ["row"]).select("row", "pos", "term")
     met = need.join(near, ["row", "pos", "term"])
     run = F.col("q") - F.row_number().over(Window.partitionBy("row", "item", "at").orderBy("q"))  # an item's words at the most
     runs = met.withColumn("run", run).groupBy("row", "item", "at", "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("size").alias("size"), F.first("item_id").alias("item_id"))
     out = keep(runs.where(F.col("last") - F.col("first") + 1 >= F.col("size")).select("row", "item", "item_id", "first", "last"), "spans")
-    drop(windows, both)
+    drop(windows, first, both)
     return out
 
 
