@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.operators.joins import micros
+from casewright.operators.quantiles import median, spread
+from casewright.operators.scan import ranged, scan
 
 
 def profile_by(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
@@ -39,39 +41,35 @@ def lone(df: DataFrame, by: str, peer: str) -> DataFrame:
     return df.groupBy(by).agg(F.min(peer).alias("only"), F.count_distinct(peer).alias("_n")).where("_n = 1").drop("_n")
 
 
-def mad(values: str, center: str) -> Column:
-    return F.median(F.abs(F.col(values) - F.col(center)))
-
-
-def against_own_history(df: DataFrame, key: str, bucket: Column, size: str, factor: float) -> DataFrame:
+def against_own_history(df: DataFrame, key: str, bucket: Column, size: str, factor: float, keep) -> DataFrame:
     """Buckets of a key whose sum lies over its own median by more than ``factor`` median deviations."""
-    sums = df.groupBy(key, bucket.alias("bucket")).agg(F.sum(size).alias("bytes"))
-    middle = sums.groupBy(key).agg(F.median("bytes").alias("mid"))
-    spread = sums.join(middle, key).withColumn("off", F.abs(F.col("bytes") - F.col("mid")))
-    dev = spread.groupBy(key).agg(F.median("off").alias("mad"))
-    return spread.join(dev, key).where(F.col("bytes") > F.col("mid") + factor * F.col("mad")).select(key, "bucket", F.round("bytes", 4).alias("bytes"))
+    sums = keep(df.groupBy(key, bucket.alias("bucket")).agg(F.sum(size).alias("bytes")))
+    own = spread(sums, [key], F.col("bytes"), keep, middle="mid")
+    return sums.join(own, key).where(F.col("bytes") > F.col("mid") + factor * F.col("mad")).select(key, "bucket", F.round("bytes", 4).alias("bytes"))
 
 
 #: Shapes of a periodicity, by the ratio of median deviation to median, and the share of intervals near the median that the first asks for (our choice: only the names are known).
 SHAPES, TIGHT_SHARE = (("tight_cluster", 0.1), ("clustered", 0.25), ("loose_cluster", 0.5)), 0.8
 
 
-def beacon_score(df: DataFrame, keys: Sequence[str], ts: str, min_events: int = 6, tolerance: float = 0.2) -> DataFrame:
+def beacon_score(df: DataFrame, keys: Sequence[str], ts: str, keep, min_events: int = 6, tolerance: float = 0.2) -> DataFrame:
     """How regular the events of a key are: a lead on shape, never a verdict.
 
     Distinct seconds count once, repeats as duplicates; rows without a time are ``rejected``. Columns: ``events, duplicates, rejected,
     median_s, mad_s, mad_over_median, share`` (of intervals within ``tolerance`` of the median), ``density`` (events against one
     every median over the span), ``long_final_gap`` (the last interval is over four medians) and ``shape``: see SHAPES, else
-    dispersed, or unmeasurable where the median is zero. Keys with fewer distinct events than ``min_events`` are not scored.
+    dispersed, or unmeasurable where the median is zero. Keys with fewer distinct events than ``min_events`` are not scored. A key may have any
+    number of events: its intervals are a scan over parts and its medians are selected, never held.
     """
     timed, without = df.where(F.col(ts).isNotNull()), df.groupBy(*keys).agg(F.count_if(F.col(ts).isNull()).alias("rejected"))
     seconds = timed.groupBy(*keys, F.floor(micros(ts) / 1_000_000).alias("_s")).agg(F.count("*").alias("_k"))
-    gaps = seconds.withColumn("gap", F.col("_s") - F.lag("_s").over(Window.partitionBy(*keys).orderBy("_s")))
-    middle = gaps.groupBy(*keys).agg(
-        F.count("*").alias("events"), (F.sum("_k") - F.count("*")).alias("duplicates"), F.median("gap").alias("median_s"), (F.max("_s") - F.min("_s")).alias("span"), F.max_by("gap", "_s").alias("final"),
-    ).where(F.col("events") >= min_events)
-    off = gaps.where("gap is not null").join(middle, list(keys)).withColumn("off", F.abs(F.col("gap") - F.col("median_s")))
-    out = off.groupBy(*keys, "events", "duplicates", "median_s", "span", "final").agg(F.median("off").alias("mad_s"), F.avg((F.col("off") <= tolerance * F.col("median_s")).cast("double")).alias("share"))
+    rows = ranged(seconds, keys, ["_s"], keep)
+    near = keep(scan(rows, keys, ["_s"], previous={"_before": F.col("_s")}).withColumn("gap", F.col("_s") - F.col("_before")).drop("_before", "_part"))
+    sums = near.groupBy(*keys).agg(F.count("*").alias("events"), (F.sum("_k") - F.count("*")).alias("duplicates"), (F.max("_s") - F.min("_s")).alias("span"), F.max_by("gap", "_s").alias("final")).where(F.col("events") >= min_events)
+    middle = keep(sums.join(median(near, keys, F.col("gap"), keep, "median_s"), list(keys)))
+    off = keep(near.where("gap is not null").join(middle.select(*keys, "median_s"), list(keys)).select(*keys, F.abs(F.col("gap") - F.col("median_s")).alias("off"), "median_s"))
+    share = off.groupBy(*keys).agg(F.avg((F.col("off") <= tolerance * F.col("median_s")).cast("double")).alias("share"))
+    out = middle.join(median(off, keys, F.col("off"), keep, "mad_s"), list(keys)).join(share, list(keys))
     ratio = F.when(F.col("median_s") > 0, F.col("mad_s") / F.col("median_s"))
     shape = F.when(ratio.isNull(), "unmeasurable")
     for i, (name, most) in enumerate(SHAPES):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casewright.operators import aggregates as A
 from casewright.operators.joins import micros
 from casewright.plans.registry import query, table
+from casewright.sources.scratch import keep
 
 
 @query("d1_profile", "SELECT user_id, count(*)::BIGINT AS n, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM events GROUP BY 1")
@@ -59,7 +60,7 @@ def d6(spark, d):
 @query("d7_against_own_history", "WITH s AS (SELECT l_suppkey, year(l_shipdate) * 100 + month(l_shipdate) AS bucket, sum(l_quantity) AS b FROM lineitem GROUP BY 1, 2), m AS (SELECT l_suppkey, median(b) AS mid FROM s GROUP BY 1), a AS (SELECT l_suppkey, median(abs(b - mid)) AS mad FROM s JOIN m USING (l_suppkey) GROUP BY 1) SELECT l_suppkey, bucket::BIGINT AS bucket, round(b, 4) AS bytes FROM s JOIN m USING (l_suppkey) JOIN a USING (l_suppkey) WHERE b > mid + 3 * mad")
 def d7(spark, d):
     month = (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("long")
-    return A.against_own_history(table(spark, d, "lineitem"), "l_suppkey", month, "l_quantity", 3)
+    return A.against_own_history(table(spark, d, "lineitem"), "l_suppkey", month, "l_quantity", 3, keep)
 
 
 BEACON = """WITH s AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, count(*) AS k FROM events GROUP BY 1, 2), g AS (SELECT *, s - lag(s) OVER (PARTITION BY user_id ORDER BY s) AS gap FROM s),
@@ -71,7 +72,7 @@ BEACON = """WITH s AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, count(*) AS
 
 @query("d8_beacon_score", BEACON)
 def d8(spark, d):
-    out = A.beacon_score(table(spark, d, "events"), ["user_id"], "ts")
+    out = A.beacon_score(table(spark, d, "events"), ["user_id"], "ts", keep)
     return out.withColumns({c: F.round(c, 4) for c in ("share", "density", "mad_over_median")})
 
 

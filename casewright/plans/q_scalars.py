@@ -8,6 +8,7 @@ from casewright import functions as X
 from casewright.operators import joins as J
 from casewright.operators import texts as T
 from casewright.operators.joins import micros
+from casewright.operators import quantiles as Z
 from casewright.operators.sweep import leak_scan, sweep
 from casewright.plans.q_joins import NEEDLES, needles
 from casewright.plans.registry import query, table
@@ -225,8 +226,19 @@ def j8(spark, d):
     return table(spark, d, "pages").groupBy(top.alias("path")).agg(F.min("page_id").alias("first")).where("first >= 3")
 
 
-@query("l3_named_aggregates", "SELECT event_type, round(median(abs(value - m)), 4) AS mad FROM events JOIN (SELECT event_type, median(value) AS m FROM events GROUP BY 1) USING (event_type) GROUP BY 1")
+L3 = """WITH m AS (SELECT event_type, median(value) AS m FROM events GROUP BY 1), c AS (SELECT event_type, value, sum(event_id % 7 + 1) OVER (PARTITION BY event_type ORDER BY value RANGE UNBOUNDED PRECEDING) AS upto, sum(event_id % 7 + 1) OVER (PARTITION BY event_type) AS whole FROM events),
+    wm AS (SELECT event_type, min(value) AS wm FROM c WHERE upto >= whole * 0.5 GROUP BY 1), o AS (SELECT event_type, abs(value - wm) AS off, event_id % 7 + 1 AS w FROM events JOIN wm USING (event_type)),
+    oc AS (SELECT event_type, off, sum(w) OVER (PARTITION BY event_type ORDER BY off RANGE UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY event_type) AS whole FROM o), wd AS (SELECT event_type, min(off) AS wd FROM oc WHERE upto >= whole * 0.5 GROUP BY 1),
+    e AS (SELECT event_type, -sum(p * log2(p)) AS bits FROM (SELECT event_type, count(*) / sum(count(*)) OVER (PARTITION BY event_type) AS p FROM events GROUP BY event_type, user_id % 50) GROUP BY 1)
+    SELECT event_type, round(median(abs(value - m)), 4) AS mad, round(any_value(wm), 4) AS weighted_median, round(any_value(wd), 4) AS weighted_mad, round(avg((least(value / 500, 1) - (user_id % 2)) ** 2), 4) AS brier, round(any_value(bits), 4) AS entropy FROM events JOIN m USING (event_type) JOIN wm USING (event_type) JOIN wd USING (event_type) JOIN e USING (event_type) GROUP BY 1"""
+
+
+@query("l3_named_aggregates", L3)
 def l3(spark, d):
-    e = table(spark, d, "events").select("event_type", "value")
-    middle = e.groupBy("event_type").agg(F.median("value").alias("m"))
-    return e.join(middle, "event_type").groupBy("event_type").agg(F.round(F.median(F.abs(F.col("value") - F.col("m"))), 4).alias("mad"))
+    """Median deviation, plain and weighted, Brier score and entropy of groups that may hold any share of the rows."""
+    e = table(spark, d, "events").select("event_type", "value", "user_id", (F.col("event_id") % 7 + 1).alias("w"))
+    plain = Z.spread(e, ["event_type"], F.col("value"), keep)
+    weighted = Z.spread(e, ["event_type"], F.col("value"), keep, F.col("w"), "weighted_median", "weighted_mad")
+    scores = e.groupBy("event_type").agg(F.round(Z.brier(F.least(F.col("value") / 500, F.lit(1.0)), F.col("user_id") % 2), 4).alias("brier"))
+    out = plain.join(weighted, "event_type").join(scores, "event_type").join(Z.entropy(e, ["event_type"], F.col("user_id") % 50), "event_type")
+    return out.select("event_type", "brier", *(F.round(c, 4).alias(c) for c in ("mad", "weighted_median", "weighted_mad", "entropy")))

@@ -9,6 +9,7 @@ from casewright.operators.aggregates import ranked
 from casewright.operators import scan as W
 from casewright.operators import sequence as S
 from casewright.operators.joins import micros
+from casewright.operators.quantiles import spread
 from casewright.plans.q_aggregates import islands_sql
 from casewright.plans.registry import query, table
 from casewright.sources.scratch import keep
@@ -165,11 +166,13 @@ def e19(spark, d):
     return e.withColumn("_k", F.lit(1)).join(ends, "_k").select("event_id", F.round(100.0 * (micros("ts") - F.col("lo")) / (F.col("hi") - F.col("lo")), 2).alias("percent"))
 
 
-@query("e20_clock_offset", "SELECT o_orderpriority, median(off) AS offset_days, round(avg(off), 4) AS mean FROM (SELECT o_orderpriority, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0 AS off FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY 1")
+@query("e20_clock_offset", "WITH o AS (SELECT o_orderpriority, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0 AS off FROM orders JOIN lineitem ON l_orderkey = o_orderkey), m AS (SELECT o_orderpriority, median(off) AS mid FROM o GROUP BY 1) SELECT o_orderpriority, mid AS offset_days, median(abs(off - mid)) AS spread_days, round(avg(off), 4) AS mean, count(*)::BIGINT AS anchors FROM o JOIN m USING (o_orderpriority) GROUP BY 1, 2")
 def e20(spark, d):
+    """Offset of one clock against the other, its spread and mean, by anchors that both have."""
     both = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    off = (micros("l_shipdate") - micros("o_orderdate")) / 86_400_000_000.0
-    return both.withColumn("off", off).groupBy("o_orderpriority").agg(F.median("off").alias("offset_days"), F.round(F.avg("off"), 4).alias("mean"))
+    off = keep(both.select("o_orderpriority", ((micros("l_shipdate") - micros("o_orderdate")) / 86_400_000_000.0).alias("off")))
+    own = spread(off, ["o_orderpriority"], F.col("off"), keep, middle="offset_days", name="spread_days")
+    return own.join(off.groupBy("o_orderpriority").agg(F.round(F.avg("off"), 4).alias("mean"), F.count("*").alias("anchors")), "o_orderpriority")
 
 
 @query("e21_collapse_bursts", islands_sql("event_type", 1200))

@@ -156,7 +156,7 @@ def test_tenths_round_to_even(spark):
 def test_beacon_without_times_and_with_a_long_end(spark):
     rows = [("a", t) for t in (0, 60, 120, 180, 240, 300, 1000)] + [("a", None), ("b", 5)]
     df = spark.createDataFrame(rows, "k string, s long").select("k", F.col("s").cast("timestamp").alias("ts"))
-    r = A.beacon_score(df, ["k"], "ts").first()
+    r = A.beacon_score(df, ["k"], "ts", keep).first()
     assert (r.k, r.events, r.rejected, r.median_s, r.mad_s, r.long_final_gap, r["shape"]) == ("a", 7, 1, 60.0, 0.0, True, "tight_cluster")
     assert abs(r.density - 7 / (1000 / 60 + 1)) < 1e-9
 
