@@ -35,12 +35,6 @@ def pair_sessions(df: DataFrame, keys: Sequence[str], ts: str, kind: str, start:
     return rows.where(F.col("_k") == start).select(*keys, "start_us", F.when(F.col("_n").isin(*ends), F.col("_t")).alias("end_us"))
 
 
-def effective_view(df: DataFrame, path: str, layer: str, whiteout: Column, cols: Sequence[str]) -> DataFrame:
-    """For each path the topmost layer that has it; a whiteout on top deletes it."""
-    top = df.groupBy(path).agg(F.max_by(F.struct(F.col(layer).alias("layer"), whiteout.alias("_w"), *cols), layer).alias("_r"))
-    return top.where(~F.col("_r._w")).select(path, "_r.layer", *(f"_r.{c}" for c in cols))
-
-
 def deletion_states(df: DataFrame, key: str, state: str, ts: str, states: Sequence[str]) -> DataFrame:
     """The first time of each of the states, which each need evidence of their own, and the furthest reached."""
     times = df.groupBy(key).agg(*(F.min(F.when(F.col(state) == s, micros(ts))).alias(s) for s in states))

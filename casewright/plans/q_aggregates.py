@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casewright.operators import aggregates as A
+from casewright.operators import trees as T
 from casewright.operators.joins import micros
 from casewright.plans.registry import query, table
 from casewright.sources.scratch import keep
@@ -146,11 +147,31 @@ def d19(spark, d):
     return out.where("uses > 1")
 
 
-@query("d20_coverage", "SELECT r_name, count(n_nationkey)::BIGINT AS units, count(*) FILTER (c.k IS NOT NULL)::BIGINT AS covered, bool_and(c.k IS NOT NULL) AS complete FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 3000) c ON c.k = n_nationkey GROUP BY 1")
+TREE = "SELECT 'r' || r_regionkey AS node, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer"
+SEARCHED = "SELECT 'c' || c_custkey AS node, 'object' AS how, CASE WHEN c_custkey % 7 = 0 THEN 'records rejected' END AS note FROM customer WHERE c_acctbal > 3000 UNION ALL SELECT 'n' || n_nationkey, 'container', CASE WHEN n_nationkey % 2 = 0 THEN 'stopped early' END FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'r4', 'container', NULL"
+
+
+def places(spark, d):
+    """Customers in nations in regions, and what was declared as searched: objects, and containers with all that lies in them."""
+    name = lambda letter, col: F.concat(F.lit(letter), F.col(col).cast("string"))
+    r, n, c = (table(spark, d, t) for t in ("region", "nation", "customer"))
+    tree = r.select(name("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"))
+    tree = tree.unionByName(n.select(name("n", "n_nationkey").alias("node"), name("r", "n_regionkey").alias("parent"))).unionByName(c.select(name("c", "c_custkey").alias("node"), name("n", "c_nationkey").alias("parent")))
+    objects = c.where("c_acctbal > 3000").select(name("c", "c_custkey").alias("node"), F.lit("object").alias("how"), F.when(F.col("c_custkey") % 7 == 0, "records rejected").alias("note"))
+    held = n.where("n_nationkey % 5 = 0").select(name("n", "n_nationkey").alias("node"), F.lit("container").alias("how"), F.when(F.col("n_nationkey") % 2 == 0, "stopped early").alias("note"))
+    return tree, objects.unionByName(held).unionByName(r.where("r_regionkey = 4").select(name("r", "r_regionkey").alias("node"), F.lit("container").alias("how"), F.lit(None).cast("string").alias("note")))
+
+
+@query("d20_coverage", f"""WITH t AS ({TREE}), m AS ({SEARCHED}), up AS (SELECT t.node, t.node AS above FROM t UNION ALL SELECT t.node, t.parent FROM t WHERE parent IS NOT NULL UNION ALL SELECT t.node, u.parent FROM t JOIN t u ON u.node = t.parent WHERE u.parent IS NOT NULL),
+    k AS (SELECT up.node, m.how, m.note FROM up JOIN m ON m.node = up.above AND (m.how = 'container' OR up.node = up.above)),
+    b AS (SELECT node, bool_or(note IS NULL) AS whole, max(note) AS note, bool_or(how = 'object') AS o, bool_or(how = 'container') AS c, bool_or(how = 'object' AND note IS NULL) AS ow, bool_or(how = 'container' AND note IS NULL) AS cw, max(note) FILTER (how = 'object') AS n_o, max(note) FILTER (how = 'container') AS n_c FROM k GROUP BY 1),
+    f AS (SELECT t.node, CASE WHEN o AND (NOT c OR ow > cw OR (ow = cw AND (ow OR n_o >= n_c))) THEN 'object' WHEN c THEN 'container' END AS how, coalesce(whole, false) AS whole, CASE WHEN whole THEN NULL ELSE note END AS note, t.node IN (SELECT parent FROM t WHERE parent IS NOT NULL) AS inner_ FROM t LEFT JOIN b USING (node)),
+    s AS (SELECT up.above AS node, count(*) AS units, count(how) AS covered, count(*) FILTER (whole) AS full_, list_sort(list(DISTINCT note) FILTER (note IS NOT NULL)) AS notes FROM up JOIN f ON f.node = up.node WHERE NOT inner_ GROUP BY 1)
+    SELECT s.node, f.how, units, covered, CASE WHEN full_ = units THEN 'complete' WHEN covered = 0 THEN 'none' ELSE 'partial' END AS cover, CASE WHEN full_ = units OR covered = 0 THEN '' ELSE concat_ws(';', nullif(array_to_string(notes, ';'), ''), CASE WHEN units > covered THEN (units - covered) || ' not searched' END) END AS reasons FROM s JOIN f ON f.node = s.node""")
 def d20(spark, d):
-    c = table(spark, d, "customer").where("c_acctbal > 3000").select(F.col("c_nationkey").alias("n_nationkey"), F.lit(True).alias("hit")).distinct()
-    units = table(spark, d, "nation").join(c, "n_nationkey", "left").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return units.groupBy("r_name").agg(F.count("*").alias("units"), F.count("hit").alias("covered"), F.bool_and(F.col("hit").isNotNull()).alias("complete"))
+    """Every object, and every container by the objects in it: searched wholly, in part and why, or not."""
+    tree, searched = places(spark, d)
+    return T.coverage(tree, "node", "parent", searched, False, keep).withColumn("reasons", F.array_join("reasons", ";"))
 
 
 @query("d21_touch_coverage", "WITH i AS (SELECT item_id, split_part(text, ' ', 2) AS w FROM benchmark), t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents) SELECT item_id, count(doc_id)::BIGINT AS touched, count(doc_id) > 0 AS covered FROM i LEFT JOIN t USING (w) GROUP BY 1")

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casewright.operators import families as Q
+from casewright.operators import trees as T
 from casewright.operators.intervals import interval_join
 from casewright.operators.joins import micros
 from casewright.operators.scan import ranged, scan
+from casewright.plans.q_aggregates import SEARCHED, TREE, places
 from casewright.plans.q_joins import HOLDINGS, SEATS, holdings
 from casewright.plans.registry import query, table
 from casewright.sources.scratch import keep
@@ -44,16 +46,38 @@ def q5(spark, d):
     return Q.pair_sessions(table(spark, d, "events"), ["user_id"], "ts", "event_type", "signup", ["purchase", "error"])
 
 
-@query("q6_effective_view", "SELECT path, l AS layer, q AS l_quantity FROM (SELECT l_partkey AS path, l_linenumber AS l, max(l_quantity) AS q, bool_or(l_returnflag = 'R') AS w, row_number() OVER (PARTITION BY l_partkey ORDER BY l_linenumber DESC) AS r FROM lineitem GROUP BY 1, 2) WHERE r = 1 AND NOT w")
+LAYERED = """SELECT '/' || l_partkey % 20 || '/' || l_suppkey % 10 || '/' || l_partkey AS path, (l_linenumber - 1)::INT AS layer, 'file' AS kind FROM lineitem WHERE l_linenumber <> 6 UNION SELECT '/' || l_partkey % 20 || '/' || l_suppkey % 10, (l_linenumber - 1)::INT, 'whiteout' FROM lineitem WHERE l_orderkey % 50 = 0 AND l_returnflag = 'R' AND l_linenumber <> 6
+    UNION SELECT '/' || l_partkey % 20 || '/' || l_suppkey % 10 || '/' || l_partkey, (l_linenumber - 1)::INT, 'whiteout' FROM lineitem WHERE l_orderkey % 9 = 1 AND l_returnflag = 'A' AND l_linenumber <> 6 UNION SELECT '/' || l_partkey % 20, (l_linenumber - 1)::INT, 'opaque' FROM lineitem WHERE l_orderkey % 61 = 0 AND l_linenumber <> 6"""
+
+
+@query("q6_effective_view", f"""WITH e AS ({LAYERED}), f AS (SELECT DISTINCT path, layer FROM e WHERE kind = 'file'), m AS (SELECT path AS above, layer AS lay, kind FROM e WHERE kind <> 'file'),
+    c AS (SELECT f.path, max(lay) AS cut FROM (SELECT DISTINCT path FROM f) f JOIN m ON starts_with(f.path, m.above || '/') OR (f.path = m.above AND m.kind = 'whiteout') GROUP BY 1), t AS (SELECT path, max(layer) FILTER (cut IS NULL OR layer >= cut) AS top, list_sort(list(layer)) AS a FROM f LEFT JOIN c USING (path) GROUP BY 1)
+    SELECT path, top AS layer, array_to_string(list_filter(a, lambda x: x < top), ',') AS hidden_in FROM t WHERE top IS NOT NULL UNION ALL SELECT NULL, g::INT, '' FROM (SELECT unnest(range(0, (SELECT max(layer) + 1 FROM e))) AS g) WHERE g NOT IN (SELECT layer FROM e)""")
 def q6(spark, d):
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("path"), "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.bool_or(F.col("l_returnflag") == "R").alias("w"))
-    return Q.effective_view(rows, "path", "l_linenumber", F.col("w"), ["l_quantity"])
+    """Paths of the topmost layer that supplies each, under whiteouts of files and directories and opaque directories, and the layer that is not there."""
+    rows = table(spark, d, "lineitem").where("l_linenumber <> 6").withColumn("layer", (F.col("l_linenumber") - 1).cast("int"))
+    top = F.concat(F.lit("/"), (F.col("l_partkey") % 20).cast("string"))
+    middle = F.concat(top, F.lit("/"), (F.col("l_suppkey") % 10).cast("string"))
+    whole = F.concat(middle, F.lit("/"), F.col("l_partkey").cast("string"))
+    entry = lambda cond, path, kind: rows.where(cond).select(path.alias("path"), "layer", F.lit(kind).alias("kind"))
+    entries = entry("true", whole, "file").unionByName(entry("l_orderkey % 50 = 0 and l_returnflag = 'R'", middle, "whiteout"))
+    entries = entries.unionByName(entry("l_orderkey % 9 = 1 and l_returnflag = 'A'", whole, "whiteout")).unionByName(entry("l_orderkey % 61 = 0", top, "opaque"))
+    return T.effective_view(entries, rows.select("layer"), keep).withColumn("hidden_in", F.array_join("hidden_in", ","))
+
 
+LINKS = """SELECT o_orderkey AS node, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent, CASE WHEN o_orderkey % 29 = 0 THEN 'mismatch' WHEN o_orderkey % 37 = 0 THEN 'not available' ELSE 'match' END AS said FROM orders"""
 
-@query("q7_chain_status", "SELECT conv_id, CASE WHEN count(*) <> max(turn) + 1 THEN 'broken' WHEN bool_or(role = 'system') THEN 'not_available' ELSE 'match' END AS status FROM conversations GROUP BY 1")
+
+@query("q7_chain_status", f"""WITH RECURSIVE l AS (SELECT * FROM ({LINKS}) WHERE node % 41 <> 0), leaf AS (SELECT node FROM l WHERE node NOT IN (SELECT parent FROM l WHERE parent IS NOT NULL)),
+    w AS (SELECT leaf.node AS leaf, l.node, l.parent, l.said, 0::BIGINT AS n FROM leaf JOIN l USING (node) UNION ALL SELECT w.leaf, l.node, l.parent, l.said, w.n + 1 FROM w JOIN l ON l.node = w.parent),
+    p AS (SELECT leaf, n, node, CASE WHEN parent IS NULL THEN NULL WHEN parent NOT IN (SELECT node FROM l) THEN 'parent missing' WHEN said <> 'match' THEN said END AS problem FROM w)
+    SELECT leaf, arg_max(node, n) AS base, max(n) AS links, coalesce(arg_min(problem, n), '') AS first_problem, min(n) FILTER (problem IS NOT NULL) AS "at", CASE arg_min(problem, n) WHEN 'mismatch' THEN 'broken' WHEN 'not available' THEN 'incomplete' WHEN 'parent missing' THEN 'incomplete' ELSE 'complete' END AS status FROM p GROUP BY 1""")
 def q7(spark, d):
-    status = F.when(F.count("*") != F.max("turn") + 1, "broken").when(F.bool_or(F.col("role") == "system"), "not_available").otherwise("match")
-    return table(spark, d, "conversations").groupBy("conv_id").agg(status.alias("status"))
+    """Each chain from its leaf down to its base: the first link that does not match, is not available or leads nowhere."""
+    k = F.col("o_orderkey")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    links = table(spark, d, "orders").select(k.alias("node"), before.alias("parent"), F.when(k % 29 == 0, "mismatch").when(k % 37 == 0, "not available").otherwise("match").alias("said")).where("node % 41 <> 0")
+    return T.chain_status(links, "node", "parent", F.col("said"), keep).withColumn("first_problem", F.coalesce("first_problem", F.lit("")))
 
 
 @query("q8_three_way", "SELECT k, CASE WHEN a AND b AND c THEN 'all' WHEN a AND NOT b THEN 'not_in_repository' WHEN b AND NOT a THEN 'not_in_catalogue' ELSE 'settings_differ' END AS state FROM (SELECT o_orderkey AS k, bool_or(s = 1) AS a, bool_or(s = 2) AS b, bool_or(s = 3) AS c FROM (SELECT o_orderkey, 1 AS s FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT l_orderkey, 2 FROM lineitem WHERE l_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 3 FROM orders WHERE o_orderstatus = 'F') GROUP BY 1)")
@@ -152,11 +176,28 @@ def q22(spark, d):
     return bare.unionByName(o.join(l.where("l_returnflag = 'R'"), "o_orderkey", "left_semi").withColumn("code", F.lit("disputed")))
 
 
-@query("q23_routes_examined", "SELECT n_nationkey, CASE WHEN s.k IS NOT NULL THEN 'object' WHEN n_regionkey = 1 THEN 'container' ELSE 'unexamined' END AS how FROM nation LEFT JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier) s ON s.k = n_nationkey")
+ROUTES = "SELECT 'n' || n_nationkey AS route, CASE WHEN n_nationkey % 6 = 5 THEN 'elsewhere' || n_nationkey ELSE 'n' || n_nationkey END AS target FROM nation UNION ALL SELECT 'c' || c_custkey, 'c' || c_custkey FROM customer"
+
+
+@query("q23_routes_examined", f"""WITH t AS ({TREE}), m AS ({SEARCHED}), r AS ({ROUTES}), s AS (SELECT DISTINCT 'n' || s_nationkey AS target FROM supplier WHERE s_suppkey % 3 = 0)
+    SELECT route, CASE WHEN t.node IS NULL THEN 'unexamined' WHEN o.node IS NOT NULL THEN 'object' WHEN c1.node IS NOT NULL OR c2.node IS NOT NULL OR c3.node IS NOT NULL THEN 'container' WHEN s.target IS NOT NULL THEN 'coverage record' ELSE 'unexamined' END AS how,
+        CASE WHEN t.node IS NULL THEN 'not tracked' WHEN o.node IS NULL AND c1.node IS NULL AND c2.node IS NULL AND c3.node IS NULL AND s.target IS NULL THEN 'never searched' END AS why
+    FROM r LEFT JOIN t ON t.node = r.target LEFT JOIN t u ON u.node = t.parent LEFT JOIN (SELECT node FROM m WHERE how = 'object') o ON o.node = t.node LEFT JOIN (SELECT node FROM m WHERE how = 'container') c1 ON c1.node = t.node
+        LEFT JOIN (SELECT node FROM m WHERE how = 'container') c2 ON c2.node = t.parent LEFT JOIN (SELECT node FROM m WHERE how = 'container') c3 ON c3.node = u.parent LEFT JOIN s ON s.target = r.target""")
 def q23(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.lit(True).alias("hit")).distinct()
-    how = F.when(F.col("hit"), "object").when(F.col("n_regionkey") == 1, "container").otherwise("unexamined")
-    return table(spark, d, "nation").join(s, "n_nationkey", "left").select("n_nationkey", how.alias("how"))
+    """Routes of the plan, examined by a declared object, a container above it or a coverage record; those that cannot be tracked stay unexamined."""
+    tree, searched = places(spark, d)
+    cover = T.coverage(tree, "node", "parent", searched.withColumn("note", F.lit(None).cast("string")), False, keep).select(F.col("node").alias("target"), "how")
+    n, c = table(spark, d, "nation"), table(spark, d, "customer")
+    name = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    lost = F.concat(F.lit("elsewhere"), F.col("n_nationkey").cast("string"))
+    routes = n.select(name.alias("route"), F.when(F.col("n_nationkey") % 6 == 5, lost).otherwise(name).alias("target"))
+    own = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    routes = routes.unionByName(c.select(own.alias("route"), own.alias("target")))
+    records = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("target"), F.lit(True).alias("record")).distinct()
+    met = routes.join(tree.select(F.col("node").alias("target"), F.lit(True).alias("held")), "target", "left").join(cover, "target", "left").join(records, "target", "left")
+    how = F.when(F.col("held").isNull(), "unexamined").when(F.col("how").isNotNull(), F.col("how")).when(F.col("record"), "coverage record").otherwise("unexamined")
+    return met.select("route", how.alias("how"), F.when(F.col("held").isNull(), "not tracked").when(F.col("how").isNull() & F.col("record").isNull(), "never searched").alias("why"))
 
 
 @query("q24_quick_negatives", f"WITH h AS ({HOLDINGS}) SELECT lead FROM h WHERE t IS NOT NULL AND epoch_us(t) - epoch_us(f) < 7200000000")

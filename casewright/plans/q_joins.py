@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casewright.operators import intervals as I
 from casewright.operators import joins as J
 from casewright.operators import scan as W
+from casewright.operators import trees as T
 from casewright.operators.sweep import sweep
 from casewright.plans.q_predicates import LEDGER, ledger
 from casewright.plans.registry import query, table
@@ -237,13 +238,15 @@ def c24(spark, d):
 _PROCS = "(SELECT event_id, ts, event_id % 500 AS pid, (event_id * 3 + 1) % 500 AS ppid FROM events)"
 
 
-@query("c25_process_tree", f"WITH p AS {_PROCS}, t AS (SELECT c.event_id, c.pid, q.event_id AS parent FROM p c ASOF LEFT JOIN p q ON c.ppid = q.pid AND c.ts >= q.ts), n AS (SELECT parent, count(*)::BIGINT AS children FROM t GROUP BY 1) SELECT t.event_id, t.pid, t.parent, g.parent AS grandparent, t.parent IS NULL AS orphan, coalesce(n.children, 0)::BIGINT AS children FROM t LEFT JOIN t g ON g.event_id = t.parent LEFT JOIN n ON n.parent = t.event_id")
+@query("c25_process_tree", f"""WITH RECURSIVE p AS {_PROCS}, t AS (SELECT c.event_id, c.pid, coalesce(q.event_id, -1) AS parent FROM p c ASOF LEFT JOIN p q ON c.ppid = q.pid AND c.ts >= q.ts),
+    r AS (SELECT event_id, pid, parent, event_id AS root, 0::BIGINT AS depth, pid::VARCHAR AS path, [event_id] AS above FROM t WHERE parent = -1 UNION ALL SELECT t.event_id, t.pid, t.parent, r.root, r.depth + 1, r.path || '/' || t.pid, list_append(r.above, t.event_id) FROM t JOIN r ON t.parent = r.event_id),
+    n AS (SELECT a, count(*) - 1 AS descendants FROM (SELECT unnest(above) AS a FROM r) GROUP BY 1), c AS (SELECT parent, count(*)::BIGINT AS children FROM t GROUP BY 1)
+    SELECT r.event_id, r.pid, r.parent, root, depth, path, descendants, coalesce(children, 0)::BIGINT AS children, CASE WHEN depth = 0 THEN 'orphan' ELSE 'child' END AS state FROM r JOIN n ON n.a = r.event_id LEFT JOIN c ON c.parent = r.event_id""")
 def c25(spark, d):
-    """Each process under the last one that had its parent's number when it began, since numbers are used again."""
+    """Each process under the last one that had its parent's number when it began, since numbers are used again: root, depth, the way down to it and what hangs below it."""
     p = table(spark, d, "events").select("event_id", "ts", (F.col("event_id") % 500).alias("pid"), ((F.col("event_id") * 3 + 1) % 500).alias("ppid"))
     near = J.asof(p.select("event_id", "ts", F.col("pid").alias("own"), F.col("ppid").alias("pid")), p.select("pid", "ts", F.col("event_id").alias("id")), ["pid"], "ts", "id", "prev")
-    t = near.select("event_id", F.col("own").alias("pid"), F.col("near_value").alias("parent"))
-    up = t.select(F.col("event_id").alias("parent"), F.col("parent").alias("grandparent"))
-    n = t.where("parent is not null").groupBy(F.col("parent").alias("event_id")).agg(F.count("*").alias("children"))
-    out = t.join(up, "parent", "left").join(n, "event_id", "left")
-    return out.select("event_id", "pid", "parent", "grandparent", F.col("parent").isNull().alias("orphan"), F.coalesce("children", F.lit(0)).alias("children"))
\ No newline at end of file
+    # every process names a parent: one that is not held, by its number and time, leaves an orphan
+    t = keep(near.select("event_id", F.col("own").alias("pid"), F.coalesce("near_value", F.lit(-1)).alias("parent")))
+    made = T.forest(t, "event_id", "parent", F.col("pid"), keep).withColumnRenamed("node", "event_id").drop("parent")
+    return made.join(t, "event_id")
