@@ -88,6 +88,37 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, r
     return l.join(r, [*keys, "_b"]).where(gap.between(lo_s * 1_000_000, hi_s * 1_000_000)).drop("_b")
 
 
+def assign(pairs: DataFrame, a: str, b: str, cost: str, keep) -> DataFrame:
+    """``(a, b, cost)``: one-to-one, the cheapest pair first, and so on among those left; ties to the smaller ``a``, then ``b``.
+
+    Each round takes all pairs that are the best of both their ends, which is what the cheapest first would take too, and drops the pairs of those
+    ends. Rounds are few unless costs form long chains; what they take is written by ``keep``.
+    """
+    left = keep(pairs.select(a, b, cost))
+    taken = None
+    while not left.isEmpty():
+        order = F.struct(cost, a, b)
+        first, second = left.groupBy(a).agg(F.min(order).alias("_o")).select("_o.*"), left.groupBy(b).agg(F.min(order).alias("_o")).select("_o.*")
+        both = keep(first.join(second, [cost, a, b], "left_semi").select(a, b, cost))
+        taken = both if taken is None else taken.unionByName(both)
+        left = keep(left.join(both.select(a), a, "left_anti").join(both.select(b), b, "left_anti"))
+    return left if taken is None else taken
+
+
+def match_transfers(staged: DataFrame, out: DataFrame, keys: Sequence[str], id_col: str, size: str, ts: str, percent: float, within_s: int, keep) -> DataFrame:
+    """``(transfer, staged, off, status)``: transfers matched to items staged before them, within ``within_s`` seconds and ``percent`` of their size.
+
+    No item serves two transfers; unmatched ones of both sides are listed.
+    """
+    near = band_join(out.select(*keys, ts, F.col(id_col).alias("transfer"), F.col(size).alias("_sent")), staged.select(*keys, ts, F.col(id_col).alias("item"), F.col(size).alias("held")), keys, ts, ts, -within_s, 0)
+    off = F.abs(F.col("_sent") - F.col("r_held"))
+    fit = near.where(off <= F.col("_sent") * percent / 100).select("transfer", F.col("r_item").alias("staged"), F.round(off, 4).alias("off"))
+    taken = keep(assign(fit, "transfer", "staged", "off", keep))
+    rest = out.select(F.col(id_col).alias("transfer")).join(taken, "transfer", "left_anti").withColumn("status", F.lit("unmatched transfer"))
+    spare = staged.select(F.col(id_col).alias("staged")).join(taken, "staged", "left_anti").withColumn("status", F.lit("unmatched item"))
+    return taken.withColumn("status", F.lit("matched")).unionByName(rest, allowMissingColumns=True).unionByName(spare, allowMissingColumns=True)
+
+
 def reconcile(expected: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:
     """``(key, status)``: matched, mismatch, missing, added, digest_missing, duplicate."""
     side = lambda df, n: df.groupBy(key).agg(F.first(value, ignorenulls=True).alias(n), F.count("*").alias(f"{n}_n"))

@@ -81,7 +81,7 @@ def apply_sensitivity(df: DataFrame, mark: str, cols: Sequence[str], mode: str =
 
 
 #: Query names whose values are credentials (fixed values).
-SECRET_NAMES = ("access_token", "api_key", "auth", "key", "password", "passwd", "ref", "secret", "sig", "token", "utm_source")
+SECRET_NAMES = ("access_token", "api_key", "auth", "key", "password", "passwd", "secret", "sig", "token")
 
 
 def mask_urls(url: Column, names: Sequence[str] = SECRET_NAMES) -> Column:
@@ -90,6 +90,12 @@ def mask_urls(url: Column, names: Sequence[str] = SECRET_NAMES) -> Column:
     return F.regexp_replace(user, rf"([?&#](?:{'|'.join(names)})=)[^&#]*", "$1***")
 
 
+def withheld_names(url: Column, names: Sequence[str] = SECRET_NAMES) -> Column:
+    """What :func:`mask_urls` withholds of a url, by name, each once and in order: ``user-info`` for a password before the host."""
+    user = F.when(url.rlike(r"://[^/?#@:]*:[^/?#]*@"), F.array(F.lit("user-info"))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.concat(user, F.regexp_extract_all(url, F.lit(rf"[?&#]({'|'.join(names)})=[^&#]+"), F.lit(1)))))
+
+
 def flag_phrases(col: Column, phrases: Sequence[str]) -> Column:
     """The phrases that a text uses as whole words, in the given order."""
     return F.filter(F.array(*(F.when(col.rlike(rf"(?i)\b{re.escape(p)}\b"), F.lit(p)) for p in phrases)), lambda x: x.isNotNull())

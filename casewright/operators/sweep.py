@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 Keep = Callable[[DataFrame], DataFrame]
 
 #: Bytes of needles sent at a time, and bytes of texts that are looked at together.
-PORTION, BLOCK = 32 << 20, 2 << 20
+PORTION, BLOCK = 32 << 20, 1 << 18
 #: Lengths looked up one by one.
 SHORT = 32
 #: Characters kept before and behind a place, for rules about what a needle stands in.
@@ -51,9 +51,13 @@ class _Table:
         self.seen = np.zeros(1 << bits, bool)
         self.seen[(self.hashes * _C) >> self.shift] = True
 
+    def maybe(self, h: np.ndarray) -> np.ndarray:
+        """Places whose hash may be one of the needles'."""
+        return np.flatnonzero(self.seen[(h * _C) >> self.shift])
+
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(place, needle)`` of each needle with the hash at a place."""
-        at = np.flatnonzero(self.seen[(h * _C) >> self.shift])
+        at = self.maybe(h)
         lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
         n = hi - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
@@ -69,10 +73,14 @@ class Needles:
         self.short: dict[int, _Table] = {}
         self.long: dict[int, _Table] = {}
         self.last = np.zeros(len(self.bytes), np.uint64)
-        for n in np.unique(self.size[self.size > 0]).tolist():
+        heads: dict[int, list[np.ndarray]] = {}
+        for n in np.unique(self.size[(self.size > 0) & (self.size <= SHORT)]).tolist():
             which = np.flatnonzero(self.size == n)
-            if n <= SHORT:
-                self.short[n] = _Table(_both(*self._ends(which, n)), which)
+            first, last = self._ends(which, n)
+            self.short[n] = _Table(_both(first, last), which)
+            heads.setdefault(1 << (n.bit_length() - 1), []).append(first)
+        # first windows of all short needles of one class, so that most places are passed over once for all its lengths
+        self.heads = {g: _Table(h := np.unique(np.concatenate(x)), np.arange(len(h))) for g, x in heads.items()}
         power = np.where(self.size > SHORT, 2 ** np.floor(np.log2(np.maximum(self.size, 1))).astype(np.int64), 0)
         for g in np.unique(power[power > 0]).tolist():
             which = np.flatnonzero(power == g)
@@ -100,9 +108,11 @@ class Needles:
         w, g, found = data.astype(np.uint64) + np.uint64(1), 1, []
         most = max([*self.short, *self.long], default=0)
         while len(w) and g <= most:
+            begin = self.heads[g].maybe(w) if g in self.heads else None
             for n in (n for n in self.short if g <= n < 2 * g and n <= len(data)):
-                m = len(data) - n + 1
-                at, which = self.short[n].look(_both(w[:m], w[n - g : n - g + m]))
+                near = begin[begin <= len(data) - n]
+                at, which = self.short[n].look(_both(w[near], w[near + n - g]))
+                at = near[at]
                 same = np.ones(len(at), bool)
                 rows = np.frombuffer(b"".join(self.bytes[i] for i in which.tolist()), np.uint8).reshape(-1, n)
                 for k in range(n):

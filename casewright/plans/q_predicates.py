@@ -89,9 +89,19 @@ def b7(spark, d):
     return P.apply_sensitivity(marked, "toxic", ["source"], "withhold", ["[0-9]+"]).select("doc_id", "source")
 
 
-@query("b8_mask_urls", "SELECT page_id, regexp_replace(regexp_replace(url, '(://[^/?#@:]*):[^/?#@]*@', '\\1:***@', 'g'), '([?&#](?:access_token|api_key|auth|key|password|passwd|ref|secret|sig|token|utm_source)=)[^&#]*', '\\1***', 'g') AS masked FROM pages")
+_NAMES = "access_token|api_key|auth|key|password|passwd|secret|sig|token"
+CARRIED = "SELECT page_id, CASE page_id % 9 WHEN 1 THEN url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'token=t' || page_id || '&sig=s' WHEN 2 THEN replace(url, '://', '://user:pw' || page_id || '@') WHEN 3 THEN url || '#access_token=a' || page_id || '&key=' ELSE url END AS u FROM pages"
+
+
+@query("b8_mask_urls", f"SELECT page_id, regexp_replace(regexp_replace(u, '(://[^/?#@:]*):[^/?#]*@', '\\1:***@', 'g'), '([?&#](?:{_NAMES})=)[^&#]*', '\\1***', 'g') AS masked, array_to_string(list_sort(list_distinct(CASE WHEN regexp_matches(u, '://[^/?#@:]*:[^/?#]*@') THEN ['user-info'] ELSE [] END || regexp_extract_all(u, '[?&#]({_NAMES})=[^&#]+', 1))), ',') AS withheld FROM ({CARRIED})")
 def b8(spark, d):
-    return table(spark, d, "pages").select("page_id", P.mask_urls(F.col("url")).alias("masked"))
+    """Urls, some with credentials in them, masked; and what was withheld of each."""
+    k, url = F.col("page_id"), F.col("url")
+    mark = F.when(url.contains("?"), "&").otherwise("?")
+    carried = F.when(k % 9 == 1, F.concat(url, mark, F.lit("token=t"), k.cast("string"), F.lit("&sig=s"))).when(k % 9 == 2, F.replace(url, F.lit("://"), F.concat(F.lit("://user:pw"), k.cast("string"), F.lit("@"))))
+    carried = carried.when(k % 9 == 3, F.concat(url, F.lit("#access_token=a"), k.cast("string"), F.lit("&key="))).otherwise(url)
+    rows = table(spark, d, "pages").select("page_id", carried.alias("u"))
+    return rows.select("page_id", P.mask_urls(F.col("u")).alias("masked"), F.array_join(P.withheld_names(F.col("u")), ",").alias("withheld"))
 
 
 @query("b9_classify_event", "SELECT event_type, CASE WHEN event_type IN ('signup','error') THEN 'infrastructure' WHEN event_type = 'purchase' THEN 'operator' ELSE 'agent' END AS category, event_type = 'error' OR value > 400 AS failed, count(*)::BIGINT AS n FROM events GROUP BY 1, 2, 3")

@@ -9,6 +9,7 @@ from casewright.operators import joins as J
 from casewright.operators import texts as T
 from casewright.operators.joins import micros
 from casewright.operators import quantiles as Z
+from casewright.operators import zones as Zn
 from casewright.operators.sweep import leak_scan, sweep
 from casewright.plans.q_joins import NEEDLES, needles
 from casewright.plans.registry import query, table
@@ -41,10 +42,24 @@ def h2o(spark, d):
     return table(spark, d, "part").select("p_partkey", X.ole_micros(F.expr("(p_size - 25) * 100 + cast(p_partkey % 8 as double) / 8.0")).alias("us"))
 
 
-@query("h3_to_utc", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000000 * 1000000 WHEN event_id % 3 = 1 THEN epoch_us(ts) // 1000000 * 1000000 - 7200000000 END AS us, CASE WHEN event_id % 3 < 2 THEN 'stated' ELSE 'none' END AS basis FROM events")
+#: Changes of local time in 2024 (fixed values): zone, from, to (UTC), hours ahead of UTC in between.
+ZONES_2024 = """(VALUES ('Europe/Berlin', TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-31 01:00', 1.0), ('Europe/Berlin', '2024-03-31 01:00', '2024-10-27 01:00', 2), ('Europe/Berlin', '2024-10-27 01:00', '2025-01-01', 1),
+    ('America/New_York', '2024-01-01', '2024-03-10 07:00', -5), ('America/New_York', '2024-03-10 07:00', '2024-11-03 06:00', -4), ('America/New_York', '2024-11-03 06:00', '2025-01-01', -5), ('Asia/Kolkata', '2024-01-01', '2025-01-01', 5.5)) z(zone, f, t, h)"""
+WALL = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Europe/Berlin' WHEN 1 THEN 'America/New_York' WHEN 2 THEN 'Asia/Kolkata' END AS zone,
+    CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 8 = 0 THEN TIMESTAMP '2024-03-31 00:30' ELSE TIMESTAMP '2024-10-27 00:30' END WHEN 1 THEN CASE WHEN event_id % 8 = 1 THEN TIMESTAMP '2024-03-10 00:30' ELSE TIMESTAMP '2024-11-03 00:30' END ELSE date_trunc('minute', ts) END + to_minutes(CASE WHEN event_id % 4 < 2 THEN event_id % 240 ELSE 0 END) AS wall FROM events"""
+
+
+@query("h3_to_utc", f"WITH w AS ({WALL}), m AS (SELECT w.event_id, count(z.h) AS n, min(epoch_us(wall) - (h * 3600000000)::BIGINT) AS a, max(epoch_us(wall) - (h * 3600000000)::BIGINT) AS b FROM w LEFT JOIN {ZONES_2024} ON z.zone = w.zone AND epoch_us(wall) - (h * 3600000000)::BIGINT >= epoch_us(f) AND epoch_us(wall) - (h * 3600000000)::BIGINT < epoch_us(t) GROUP BY 1) SELECT event_id, CASE WHEN n >= 1 THEN a END AS us, CASE WHEN n = 2 THEN b END AS or_us, CASE WHEN zone IS NULL THEN 'no zone' WHEN n = 0 THEN 'non-existent' WHEN n = 2 THEN 'ambiguous' ELSE 'converted' END AS basis FROM w JOIN m USING (event_id)")
 def h3(spark, d):
-    raw = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 3 == 0, "Z").when(F.col("event_id") % 3 == 1, "+02:00").otherwise(""))
-    return table(spark, d, "events").select("event_id", X.to_utc(raw).alias("u")).select("event_id", F.col("u.micros").alias("us"), "u.basis")
+    """Wall-clock times around the changes of two zones, and of one without any; a time without a zone is named, never read as UTC."""
+    k = F.col("event_id")
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    base = F.when(k % 8 == 0, at("2024-03-31 00:30:00")).when(k % 4 == 0, at("2024-10-27 00:30:00")).when(k % 8 == 1, at("2024-03-10 00:30:00")).when(k % 4 == 1, at("2024-11-03 00:30:00"))
+    minutes = F.when(base.isNull(), 0).otherwise(k % 240).cast("int")
+    wall = F.coalesce(base, F.date_trunc("minute", "ts").cast("timestamp_ntz")) + F.make_dt_interval(F.lit(0), F.lit(0), minutes, F.lit(0).cast("decimal(18,6)"))
+    zone = F.when(k % 4 == 0, "Europe/Berlin").when(k % 4 == 1, "America/New_York").when(k % 4 == 2, "Asia/Kolkata")
+    rows = table(spark, d, "events").select("event_id", zone.alias("zone"), wall.alias("wall"))
+    return Zn.local_to_utc(rows, "event_id", "wall", "zone", Zn.transitions(spark, rows.select("zone"), 2024, 2024), keep)
 
 
 @query("h4_date_order", "SELECT o_orderpriority, CASE WHEN max(day(o_orderdate)) > 12 AND max(month(o_orderdate)) <= 12 THEN 'day_first' ELSE 'unproved' END AS date_order FROM orders GROUP BY 1")
@@ -136,18 +151,25 @@ WORDSET = "SELECT id, w FROM (SELECT doc_id AS id, list_sort(list_distinct(list_
 PAIRS = f"WITH c AS (SELECT w, min(id) AS id FROM ({WORDSET}) GROUP BY 1) SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id < b.id AND len(a.w) >= 0.8 * len(b.w) AND len(b.w) >= 0.8 * len(a.w) WHERE len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))"
 
 
-@query("j1_template_groups", f"WITH RECURSIVE p AS ({PAIRS}), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS node, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.node) SELECT node, min(g) AS \"group\" FROM r GROUP BY 1")
+MEMBERS = f"m AS (SELECT s.id, c.id AS class, c.n FROM ({WORDSET}) s JOIN (SELECT w, min(id) AS id, count(*) AS n FROM ({WORDSET}) GROUP BY 1) c ON s.w = c.w)"
+
+
+@query("j1_template_groups", f"WITH RECURSIVE p AS ({PAIRS}), {MEMBERS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS node, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.node), g AS (SELECT node, min(g) AS g FROM r GROUP BY 1) SELECT m.id AS node, coalesce(g.g, m.class) AS \"group\" FROM m LEFT JOIN g ON g.node = m.class WHERE g.g IS NOT NULL OR m.n > 1")
 def j1(spark, d):
-    return J.groups(T.similar_pairs(table(spark, d, "documents"), "doc_id", "text"), keep)
+    """Every text of a template, copies too, under the smallest id of the group."""
+    members, classes = T.word_classes(table(spark, d, "documents"), "doc_id", "text", keep)
+    linked = J.groups(T.similar_classes(classes, keep), keep).withColumnRenamed("node", "class")
+    met = members.join(linked, "class", "left").where("group is not null or size > 1")
+    return met.select(F.col("id").alias("node"), F.coalesce("group", "class").alias("group"))
 
 
-@query("j2_similar_pairs", f"SELECT a, b, 'similar' AS status FROM ({PAIRS}) UNION ALL SELECT doc_id, NULL, 'unavailable' FROM documents WHERE doc_id NOT IN (SELECT id FROM ({WORDSET}))")
+@query("j2_similar_pairs", f"WITH p AS ({PAIRS}), {MEMBERS}, l AS (SELECT a AS class, sum(n) AS others FROM (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) JOIN (SELECT DISTINCT class AS b, n FROM m) USING (b) GROUP BY 1) SELECT m.id AS doc_id, m.class, m.n - 1 AS copies, (m.n - 1 + coalesce(others, 0))::BIGINT AS links, 'compared' AS status FROM m LEFT JOIN l USING (class) UNION ALL SELECT doc_id, NULL, NULL, NULL, 'unavailable' FROM documents WHERE doc_id NOT IN (SELECT id FROM ({WORDSET}))")
 def j2(spark, d):
-    """Pairs of similar texts, one text for each set of words; texts with too few words are unavailable."""
+    """Every text with its class of equal word sets and its number of similar texts; texts with too few words are unavailable."""
     docs = table(spark, d, "documents")
-    pairs = T.similar_pairs(docs, "doc_id", "text").select("a", "b", F.lit("similar").alias("status"))
-    few = T.comparable(docs, "doc_id", "text").where("not comparable").select(F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit("unavailable").alias("status"))
-    return pairs.unionByName(few)
+    out = T.similar_texts(docs, "doc_id", "text", keep).withColumnRenamed("id", "doc_id").withColumn("status", F.lit("compared"))
+    few = T.comparable(docs, "doc_id", "text").where("not comparable").select("doc_id", F.lit("unavailable").alias("status"))
+    return out.unionByName(few, allowMissingColumns=True)
 
 
 @query("j3_lookalikes", "SELECT DISTINCT a.n AS name, b.n AS known FROM (SELECT right(c_name, 4) AS n FROM customer) a JOIN (SELECT right(s_name, 4) AS n FROM supplier) b ON a.n <> b.n AND levenshtein(a.n, b.n) <= 1")

@@ -43,10 +43,18 @@ def a3(spark, d):
     return rows.select(F.col("fields")["uid"].cast("long").alias("uid"), F.col("fields")["service"].alias("service"))
 
 
-@query("a5_event_xml", "SELECT event_id AS record, (event_id % 5000)::INT AS event_code, event_type AS kind FROM events")
+@query("a5_event_xml", "SELECT event_id AS at, CASE WHEN event_id % 97 <> 5 THEN event_id END AS record, CASE WHEN event_id % 97 <> 5 THEN (event_id % 5000)::INT END AS event_code, CASE WHEN event_id % 97 <> 5 THEN event_type END AS kind, CASE WHEN event_id % 97 <> 5 THEN props || ' <' || user_id || ' & co>' END AS props, CASE WHEN event_id % 97 <> 5 THEN 4 ELSE 0 END::INT AS fields, CASE WHEN event_id % 97 <> 5 THEN 'Sec & Co' END AS provider, event_id % 97 = 5 AS rejected FROM events")
 def a5(spark, d):
-    xml = F.format_string("<Event><System><Provider Name='Sec'/><EventID>%d</EventID><EventRecordID>%d</EventRecordID></System><EventData><Data Name='kind'>%s</Data></EventData></Event>", F.col("event_id") % 5000, F.col("event_id"), F.col("event_type"))
-    return R.parse_event_xml(table(spark, d, "events").select(xml.alias("xml")), "xml").select("record", "event_code", F.col("data")["kind"].alias("kind"))
+    """Records with entities, CDATA, a name that repeats, an element without a name; those cut short are named."""
+    esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    e = table(spark, d, "events")
+    xml = F.concat(
+        F.format_string("<Event xmlns='urn:e'><System><Provider Name='Sec &amp; Co'/><EventID Qualifiers='0'>%d</EventID><EventRecordID>%d</EventRecordID></System><EventData><Data Name='kind'>first</Data><Data>bare</Data><Data Name='kind'>", F.col("event_id") % 5000, F.col("event_id")),
+        esc(F.col("event_type")), F.lit("</Data><Data Name='props'><![CDATA["), "props", F.lit(" <]]>"), F.col("user_id").cast("string"), F.lit(" &amp; co></Data></EventData></Event>"),
+    )
+    xml = F.when(F.col("event_id") % 97 == 5, F.left(xml, F.lit(120))).otherwise(xml)
+    got = R.parse_event_xml(e.select(F.col("event_id").alias("at"), xml.alias("xml")), "xml")
+    return got.select("at", "record", "event_code", F.col("named")["kind"].alias("kind"), F.col("named")["props"].alias("props"), F.size("data").alias("fields"), "provider", F.col("rejected").isNotNull().alias("rejected"))
 
 
 def evidence(spark, d):

@@ -73,12 +73,25 @@ def read_filelist(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", "\t").option("header", True).option("encoding", "UTF-16").option("multiLine", True).csv(path)
 
 
+#: Event records as Spark's XML reader takes them; what is optional or repeats stays so.
+_EVENT = "System struct<Provider:struct<_Name:string>,EventID:struct<_VALUE:string>,TimeCreated:struct<_SystemTime:string>,EventRecordID:string>, EventData struct<Data:array<struct<_Name:string,_VALUE:string>>>, _rejected string"
+
+
 def parse_event_xml(df: DataFrame, col: str) -> DataFrame:
-    """Event records in XML: id, time, record number, provider, and the named data as a map."""
-    x = F.col(col)
-    at = lambda p: F.nullif(F.regexp_extract(x, p, 1), F.lit(""))
-    names, values = (F.regexp_extract_all(x, F.lit(r"<Data Name=['\"]([^'\"]+)['\"]>([^<]*)</Data>"), F.lit(i)) for i in (1, 2))
-    return df.select("*", at(r"<EventID[^>]*>(\d+)</EventID>").cast("int").alias("event_code"), at(r"SystemTime=['\"]([^'\"]+)['\"]").alias("time_raw"), at(r"<EventRecordID>(\d+)</EventRecordID>").cast("long").alias("record"), at(r"<Provider Name=['\"]([^'\"]+)['\"]").alias("provider"), F.map_from_entries(F.array_distinct(F.arrays_zip(names.alias("k"), values.alias("v")))).alias("data"))
+    """Event records in XML: ``event_code, time_raw, record, provider, data, named, rejected``.
+
+    ``data`` is every Data element in order, as ``(name, value)``, those without a name or with one that repeats too; ``named`` the last value of each name.
+    Entities and CDATA are read as XML. ``rejected`` is the text of what is not well-formed; null and well-formed records have none.
+    """
+    read = F.from_xml(F.col(col), _EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_rejected", "ignoreSurroundingSpaces": "false"})
+    data = F.transform(F.coalesce(F.col("_x.EventData.Data"), F.array().cast("array<struct<_Name:string,_VALUE:string>>")), lambda x: F.struct(x["_Name"].alias("name"), F.coalesce(x["_VALUE"], F.lit("")).alias("value")))
+    rows = df.withColumn("_x", read).withColumn("data", data)
+    after = lambda i: F.slice("data", i + 2, F.size("data"))
+    last = F.filter("data", lambda x, i: x["name"].isNotNull() & ~F.exists(after(i), lambda y: y["name"].eqNullSafe(x["name"])))
+    return rows.select(
+        *df.columns, F.trim("_x.System.EventID._VALUE").try_cast("int").alias("event_code"), F.col("_x.System.TimeCreated._SystemTime").alias("time_raw"), F.trim("_x.System.EventRecordID").try_cast("long").alias("record"),
+        F.col("_x.System.Provider._Name").alias("provider"), "data", F.map_from_entries(last).alias("named"), F.col("_x._rejected").alias("rejected"),
+    )
 
 
 def census(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

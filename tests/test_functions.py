@@ -139,7 +139,9 @@ def test_similar_pairs_by_hand(spark):
     base = [rng.sample(vocabulary, 14) for _ in range(6)]
     rows = [(i, " ".join(rng.sample(b, len(b)) + rng.sample(vocabulary, rng.randrange(4)))) for i in range(90) for b in [rng.choice(base)]]
     rows += [(200, "too few"), (201, None), (202, rows[0][1])]
-    got = {(r.a, r.b) for r in T.similar_pairs(spark.createDataFrame(rows, "i long, t string"), "i", "t").collect()}
+    df = spark.createDataFrame(rows, "i long, t string")
+    members, classes = T.word_classes(df, "i", "t", keep)
+    got = {(r.a, r.b) for r in T.similar_classes(classes, keep).collect()}
     first = {}
     for i, t in rows:
         s = frozenset((t or "").split())
@@ -147,6 +149,53 @@ def test_similar_pairs_by_hand(spark):
             first.setdefault(s, i)
     want = {(min(a, b), max(a, b)) for s, a in first.items() for u, b in first.items() if a < b and len(s & u) >= 0.8 * len(s | u)}
     assert got == want and len(want) > 20
+    # every text has a row, copies too, and no link is lost
+    sets = {i: frozenset((t or "").split()) for i, t in rows if len(set((t or "").split())) >= 5}
+    near = lambda s, u: len(s & u) >= 0.8 * len(s | u)
+    links = {(i, first[s], sum(u == s for u in sets.values()) - 1, sum(near(s, u) for u in sets.values()) - 1) for i, s in sets.items()}
+    assert {tuple(r) for r in T.similar_texts(df, "i", "t", keep).collect()} == links
+
+
+def test_assignment_is_that_of_the_cheapest_first(spark):
+    import random
+
+    rng = random.Random(2)
+    pairs = sorted({(a, rng.randrange(25)): rng.randrange(12) for a in [rng.randrange(30) for _ in range(200)]}.items(), key=lambda p: (p[1], p[0]))
+    want, used = set(), (set(), set())
+    for (a, b), c in pairs:
+        if a not in used[0] and b not in used[1]:
+            want.add((a, b, c))
+            used[0].add(a), used[1].add(b)
+    df = spark.createDataFrame([(a, b, c) for (a, b), c in pairs], "a int, b int, c int")
+    assert {tuple(r) for r in J.assign(df, "a", "b", "c", keep).collect()} == want
+    assert J.assign(df.limit(0), "a", "b", "c", keep).count() == 0
+
+
+def test_wall_clock_times(spark):
+    """Both sides of a spring and an autumn change, against the zone table of Python."""
+    from datetime import datetime, timedelta, timezone
+    from zoneinfo import ZoneInfo
+
+    from casewright.operators import zones
+
+    rows = [(z, datetime(2024, m, d) + timedelta(minutes=30 * k)) for z, m, d in (("Europe/Berlin", 3, 31), ("Europe/Berlin", 10, 27), ("America/New_York", 3, 10), ("America/New_York", 11, 3), ("Australia/Lord_Howe", 4, 7), ("UTC", 6, 1)) for k in range(12)]
+    df = spark.createDataFrame([(i, z, t) for i, (z, t) in enumerate(rows)] + [(99, None, datetime(2024, 5, 5)), (100, "UTC", None)], "i int, zone string, t timestamp_ntz")
+    got = {r.i: (r.us, r.or_us, r.basis) for r in zones.local_to_utc(df, "i", "t", "zone", zones.transitions(spark, df.select("zone"), 2024, 2024), keep).collect()}
+    for i, (z, t) in enumerate(rows):
+        made = {t.replace(tzinfo=ZoneInfo(z), fold=f).astimezone(timezone.utc) for f in (0, 1)}
+        made = sorted(u for u in made if u.astimezone(ZoneInfo(z)).replace(tzinfo=None) == t)
+        us = [int(u.timestamp()) * 1_000_000 for u in made]
+        assert got[i] == ((us[0], us[1], "ambiguous") if len(us) == 2 else (us[0], None, "converted") if us else (None, None, "non-existent"))
+    assert {got[i][2] for i in range(len(rows))} == {"ambiguous", "converted", "non-existent"} and got[99] == (None, None, "no zone")
+
+
+def test_event_records(spark):
+    from casewright.sources.readers import parse_event_xml
+
+    rows = ["<Event><System><EventID>zz</EventID></System><EventData><Data Name='a'>1</Data><Data Name='a'>2 &lt; 3</Data><Data> x </Data><Data Name='e'/></EventData></Event>", "<Event><System><EventID>1</System>", None, "", "<Event/>"]
+    got = parse_event_xml(spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string"), "x").collect()
+    assert got[0].event_code is None and got[0].named == {"a": "2 < 3", "e": ""} and [tuple(x) for x in got[0].data] == [("a", "1"), ("a", "2 < 3"), (None, " x "), ("e", "")]
+    assert got[1].rejected == rows[1] and got[2].rejected is None and got[2].data == [] and got[4].rejected is None
 
 
 def test_tenths_round_to_even(spark):
