@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casewright.operators import aggregates as A
 from casewright.operators import trees as T
+from casewright.operators.sweep import sweep
 from casewright.operators.joins import micros
 from casewright.plans.registry import query, table
 from casewright.sources.scratch import keep
@@ -174,22 +175,28 @@ def d20(spark, d):
     return T.coverage(tree, "node", "parent", searched, False, keep).withColumn("reasons", F.array_join("reasons", ";"))
 
 
-@query("d21_touch_coverage", "WITH i AS (SELECT item_id, split_part(text, ' ', 2) AS w FROM benchmark), t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents) SELECT item_id, count(doc_id)::BIGINT AS touched, count(doc_id) > 0 AS covered FROM i LEFT JOIN t USING (w) GROUP BY 1")
+@query("d21_touch_coverage", "SELECT item_id, count(doc_id)::BIGINT AS touched, min(doc_id) AS first, CASE WHEN count(doc_id) = 0 THEN 'untouched' WHEN count(doc_id) = 1 THEN 'once' ELSE 'covered' END AS coverage FROM benchmark b LEFT JOIN (SELECT doc_id, text AS t FROM documents) d ON contains(d.t, b.text) GROUP BY 1")
 def d21(spark, d):
-    """Inputs by their name, a whole word, and the outputs that touch each."""
-    words = table(spark, d, "documents").select(F.explode(F.array_distinct(F.split("text", "[ \\n]+"))).alias("w")).groupBy("w").agg(F.count("*").alias("touched"))
-    inputs = table(spark, d, "benchmark").select("item_id", F.split_part("text", F.lit(" "), F.lit(2)).alias("w"))
-    return inputs.join(words, "w", "left").select("item_id", F.coalesce("touched", F.lit(0)).alias("touched"), F.col("touched").isNotNull().alias("covered"))
+    """Inputs, by their whole text, and the outputs that hold each; one that no output touches is named."""
+    inputs = table(spark, d, "benchmark").select("item_id", "text")
+    held = sweep(table(spark, d, "documents").select("doc_id", F.col("text").alias("t")), "doc_id", "t", inputs, "item_id", "text", keep).select("item_id", "doc_id").distinct()
+    n = held.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    touched = F.coalesce("n", F.lit(0))
+    return inputs.join(n, "item_id", "left").select("item_id", touched.alias("touched"), "first", F.when(touched == 0, "untouched").when(touched == 1, "once").otherwise("covered").alias("coverage"))
 
 
-@query("d22_grounding", "WITH c AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM benchmark), s AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents) SELECT item_id, count(*)::BIGINT AS words, count(s.w)::BIGINT AS grounded, CASE WHEN count(s.w) = count(*) THEN 'grounded' WHEN count(s.w) = 0 THEN 'ungrounded' ELSE 'partly' END AS status FROM c LEFT JOIN s USING (w) GROUP BY 1")
+@query("d22_grounding", "WITH c AS (SELECT DISTINCT conv_id, turn, role, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM conversations), f AS (SELECT conv_id, w, min(turn) AS first FROM c GROUP BY 1, 2), j AS (SELECT DISTINCT doc_id AS conv_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents), g AS (SELECT c.conv_id, c.turn, c.w, f.first < c.turn AS said, j.w IS NOT NULL AS cited FROM c JOIN f USING (conv_id, w) LEFT JOIN j USING (conv_id, w) WHERE c.w <> '' AND c.role = 'assistant') SELECT conv_id, turn, count(*)::BIGINT AS words, count(*) FILTER (said)::BIGINT AS said, count(*) FILTER (cited AND NOT said)::BIGINT AS cited, CASE WHEN bool_and(said OR cited) THEN 'grounded' WHEN bool_or(said OR cited) THEN 'partly' ELSE 'ungrounded' END AS status FROM g GROUP BY 1, 2")
 def d22(spark, d):
-    """Each claim with how many of its words any document has."""
+    """Each claim (an assistant's turn) by its words: said before it in the same conversation, or in the job that it cites, the document of the conversation's number."""
     split = lambda t: F.explode(F.array_distinct(F.split(t, "[ \\n]+"))).alias("w")
-    claims = table(spark, d, "benchmark").select("item_id", split("text"))
-    seen = table(spark, d, "documents").select(split("text")).distinct().withColumn("hit", F.lit(1))
-    out = claims.join(seen, "w", "left").groupBy("item_id").agg(F.count("*").alias("words"), F.count("hit").alias("grounded"))
-    return out.withColumn("status", F.when(F.col("grounded") == F.col("words"), "grounded").when(F.col("grounded") == 0, "ungrounded").otherwise("partly"))
+    turns = keep(table(spark, d, "conversations").select("conv_id", "turn", "role", split("text")).distinct())
+    first = turns.groupBy("conv_id", "w").agg(F.min("turn").alias("first"))
+    jobs = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), split("text")).distinct().withColumn("hit", F.lit(True))
+    claims = turns.where("role = 'assistant' and w <> ''").join(first, ["conv_id", "w"]).join(jobs, ["conv_id", "w"], "left")
+    said, cited = F.col("first") < F.col("turn"), F.coalesce("hit", F.lit(False))
+    out = claims.groupBy("conv_id", "turn").agg(F.count("*").alias("words"), F.count_if(said).alias("said"), F.count_if(cited & ~said).alias("cited"))
+    found = F.col("said") + F.col("cited")
+    return out.withColumn("status", F.when(found == F.col("words"), "grounded").when(found == 0, "ungrounded").otherwise("partly"))
 
 
 @query("d23_answer_scoring", "SELECT lang, count(*) FILTER (regexp_matches(text, 'tion') AND NOT regexp_matches(text, '###'))::BIGINT AS found, count(*) FILTER (regexp_matches(text, '###'))::BIGINT AS contradicted, count(*) FILTER (NOT regexp_matches(text, 'tion') AND NOT regexp_matches(text, '###'))::BIGINT AS not_found FROM documents GROUP BY 1")

@@ -18,7 +18,6 @@ from casewright.operators import scan as W
 from casewright.operators import sequence as S
 from casewright.operators.joins import micros
 from casewright.operators.sweep import sweep
-from casewright.operators.texts import signature_scan
 from casewright.plans.registry import query, table
 from casewright.sources.scratch import keep
 
@@ -288,10 +287,10 @@ def p39(spark, d):
     return rows.select("conv_id", "turn", F.explode(F.array(*stages)).alias("s")).select("conv_id", "turn", "s.*")
 
 
-@query("p40_document_relations", "SELECT md5(regexp_replace(left(text, 40), '[0-9]+', '#', 'g')) AS template, count(*)::BIGINT AS documents, count(DISTINCT source)::BIGINT AS authors, min(doc_id) AS first, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents WHERE text <> '' GROUP BY 1 HAVING count(*) >= 2")
+@query("p40_document_relations", "SELECT md5(regexp_replace(text, '[0-9]+', '#', 'g')) AS template, count(*)::BIGINT AS documents, count(DISTINCT source)::BIGINT AS authors, min(doc_id) AS first, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents WHERE text <> '' GROUP BY 1 HAVING count(*) >= 2")
 def p40(spark, d):
-    """Documents that begin alike, as one template, with the authors that share it."""
-    docs = table(spark, d, "documents").where("text <> ''").withColumn("template", F.md5(F.regexp_replace(F.substring("text", 1, 40), "[0-9]+", "#")))
+    """Documents that are alike but for numbers, as one template, with the authors that share it."""
+    docs = table(spark, d, "documents").where("text <> ''").withColumn("template", F.md5(F.regexp_replace("text", "[0-9]+", "#")))
     out = docs.groupBy("template").agg(F.count("*").alias("documents"), F.count_distinct("source").alias("authors"), F.min("doc_id").alias("first"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
     return out.where("documents >= 2").withColumn("langs", F.when(F.col("langs") != "", F.col("langs")))
 
@@ -300,7 +299,8 @@ def p40(spark, d):
 def p41(spark, d):
     """Every hit of each signature in each block, up to the next one, and its place in time among all of its kind."""
     docs = table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
-    hits = signature_scan(docs, "doc_id", "raw", {"link": "3A2F2F", "mail": "40", "list": "2D20"})
+    marks = spark.createDataFrame([("link", "://"), ("mail", "@"), ("list", "- ")], "name string, mark string").select("name", F.encode("mark", "UTF-8").alias("mark"))
+    hits = sweep(docs, "doc_id", "raw", marks, "name", "mark", keep).select("doc_id", "name", (F.col("at") - 1).alias("at"))
     hits = hits.join(docs.select("doc_id", F.length("raw").cast("long").alias("whole")), "doc_id")
     end = F.lead("at").over(Window.partitionBy("doc_id", "name").orderBy("at"))
     dated = hits.withColumn("size", F.coalesce(end, "whole") - F.col("at")).join(table(spark, d, "events").select(F.col("event_id").alias("doc_id"), micros("ts").alias("dated_us")), "doc_id", "left")

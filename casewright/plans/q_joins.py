@@ -204,7 +204,7 @@ STAGED = "SELECT l_orderkey AS id, l_suppkey % 20 AS host, l_extendedprice AS si
 SENT = "SELECT o_orderkey AS id, o_custkey % 20 AS host, o_totalprice AS size, o_orderdate AS ts FROM orders"
 
 
-@query("c21_match_transfers", f"""WITH RECURSIVE s AS ({STAGED}), o AS ({SENT}), p AS (SELECT row_number() OVER (ORDER BY round(abs(o.size - s.size), 4), o.id, s.id) AS n, o.id AS a, s.id AS b, round(abs(o.size - s.size), 4) AS off FROM o JOIN s ON o.host = s.host AND s.ts BETWEEN o.ts - INTERVAL 20 DAY AND o.ts AND abs(o.size - s.size) <= o.size * 10 / 100),
+@query("c21_match_transfers", f"""WITH RECURSIVE s AS ({STAGED}), o AS ({SENT}), p AS (SELECT row_number() OVER (ORDER BY round(abs(o.size - s.size), 4), o.id, s.id) AS n, o.id AS a, s.id AS b, round(abs(o.size - s.size), 4) AS off FROM o JOIN s ON o.host = s.host AND s.ts BETWEEN o.ts - INTERVAL 7 DAY AND o.ts AND abs(o.size - s.size) <= o.size * 4 / 100),
     g AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS ua, []::BIGINT[] AS ub, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS off UNION ALL SELECT p.n, CASE WHEN list_contains(ua, p.a) OR list_contains(ub, p.b) THEN ua ELSE list_append(ua, p.a) END, CASE WHEN list_contains(ua, p.a) OR list_contains(ub, p.b) THEN ub ELSE list_append(ub, p.b) END,
         CASE WHEN list_contains(ua, p.a) OR list_contains(ub, p.b) THEN NULL ELSE p.a END, p.b, p.off FROM g JOIN p ON p.n = g.n + 1), t AS (SELECT a, b, off FROM g WHERE a IS NOT NULL)
     SELECT a AS transfer, b AS staged, off, 'matched' AS status FROM t UNION ALL SELECT id, NULL, NULL, 'unmatched transfer' FROM o WHERE id NOT IN (SELECT a FROM t) UNION ALL SELECT NULL, id, NULL, 'unmatched item' FROM s WHERE id NOT IN (SELECT b FROM t)""")
@@ -212,7 +212,7 @@ def c21(spark, d):
     """Transfers of a host and the items staged there before them, one to one; what is left on both sides."""
     staged = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 20).alias("host"), F.col("l_extendedprice").alias("size"), F.col("l_shipdate").alias("ts"))
     sent = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 20).alias("host"), F.col("o_totalprice").alias("size"), F.col("o_orderdate").alias("ts"))
-    return J.match_transfers(staged, sent, ["host"], "id", "size", "ts", 10, 20 * 86_400, keep)
+    return J.match_transfers(staged, sent, ["host"], "id", "size", "ts", 4, 7 * 86_400, keep)
 
 
 @query("c22_fold_join", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM (SELECT c_custkey, lower(nfc_normalize(c_name)) AS k FROM customer) a JOIN (SELECT c_custkey, lower(trim(c_name)) AS k FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k")

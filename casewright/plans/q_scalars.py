@@ -172,19 +172,36 @@ def j2(spark, d):
     return out.unionByName(few, allowMissingColumns=True)
 
 
-@query("j3_lookalikes", "SELECT DISTINCT a.n AS name, b.n AS known FROM (SELECT right(c_name, 4) AS n FROM customer) a JOIN (SELECT right(s_name, 4) AS n FROM supplier) b ON a.n <> b.n AND levenshtein(a.n, b.n) <= 1")
+HOSTS = "SELECT DISTINCT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS n FROM pages"
+
+
+@query("j3_lookalikes", f"SELECT DISTINCT a.n AS name, b.n AS known FROM ({HOSTS}) a JOIN ({HOSTS}) b ON b.page_id % 10 = 0 AND a.n <> b.n AND levenshtein(a.n, b.n) <= 2 WHERE a.n <> '' AND b.n <> ''")
 def j3(spark, d):
-    a = table(spark, d, "customer").select(F.right("c_name", F.lit(4)).alias("n"))
-    return T.lookalikes(a, "n", table(spark, d, "supplier").select(F.right("s_name", F.lit(4)).alias("n")), "n")
+    """Whole host names within two edits of a known one."""
+    hosts = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("n")).where("n <> ''")
+    return T.lookalikes(hosts, "n", hosts.where("page_id % 10 = 0"), "n", 2)
 
 
-SIGNATURES = {"doctype": "3C21", "link": "3C61"}
+#: Headers of file types, by name (fixed values, public formats), as hex.
+SIGNATURES = {
+    "bmp": "424D", "gif87": "474946383761", "gif89": "474946383961", "gzip": "1F8B08", "html": "3C21", "jpeg": "FFD8FF", "lnk": "4C00000001140200", "mp4": "66747970", "ole": "D0CF11E0A1B11AE1", "pdf": "255044462D", "pe": "4D5A",
+    "png": "89504E470D0A1A0A", "rar": "526172211A07", "regf": "72656766", "7z": "377ABCAF271C", "sqlite": "53514C69746520666F726D6174203300", "zip": "504B0304",
+}
+#: A signature in hex is inside the page, at a place that its number fixes.
+PLANTED = "SELECT page_id, hex(encode(coalesce(html, ''))) || CASE page_id % 20 " + " ".join(f"WHEN {i} THEN '{h}00{h}'" for i, h in enumerate(SIGNATURES.values())) + " ELSE '' END || '00' AS h FROM pages"
 
 
-@query("j4_signature_scan", "SELECT page_id, CASE n WHEN '<!' THEN 'doctype' ELSE 'link' END AS name, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<!|<a')) AS n FROM pages) GROUP BY 1, 2")
+@query("j4_signature_scan", f"SELECT page_id, name, (o + p - 2) // 2 AS \"at\" FROM (SELECT page_id, name, sig, o, blk, unnest(range(1, 201, 2)) AS p FROM (SELECT page_id, o, substring(h, o::INT, 240) AS blk FROM (SELECT page_id, h, unnest(range(1, length(h) + 1, 200)) AS o FROM ({PLANTED}))), (VALUES " + ", ".join(f"('{n}', '{h}')" for n, h in SIGNATURES.items()) + ") s(name, sig) WHERE contains(blk, sig)) WHERE substring(blk, p::INT, length(sig)) = sig")
 def j4(spark, d):
-    found = T.signature_scan(table(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("c")), "page_id", "c", SIGNATURES)
-    return found.groupBy("page_id", "name").agg(F.count("*").alias("n"))
+    """Every place of every header, at any offset and overlapping too, in binary content; what is found is a candidate, not a file."""
+    k = F.col("page_id") % 20
+    tail = F.lit("")
+    for i, h in enumerate(SIGNATURES.values()):
+        tail = F.when(k == i, F.lit(f"{h}00{h}")).otherwise(tail)
+    raw = F.concat(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), F.unhex(F.concat(tail, F.lit("00"))))
+    known = spark.createDataFrame(list(SIGNATURES.items()), "name string, h string").select("name", F.unhex("h").alias("sig"))
+    found = sweep(table(spark, d, "pages").select("page_id", raw.alias("raw")), "page_id", "raw", known, "name", "sig", keep)
+    return found.select("page_id", "name", (F.col("at") - 1).alias("at"))
 
 
 @query("j5_reverse_sweep", f"SELECT item_id, count(*)::BIGINT AS hits, count(DISTINCT doc_id)::BIGINT AS outputs, count(*) FILTER (doc_id = own)::BIGINT AS named, CASE WHEN bool_or(doc_id <> own) THEN 'held' ELSE 'stands' END AS negative FROM (SELECT DISTINCT doc_id, item_id, own, \"at\" FROM ({NEEDLES})) GROUP BY 1")
@@ -242,10 +259,13 @@ def j7(spark, d):
     return T.features(table(spark, d, "documents"), "doc_id", "text", KINDS).groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 
-@query("j8_new_paths", f"SELECT p AS path, min(page_id) AS first FROM (SELECT page_id, regexp_extract({PATH}, '^/[^/]*') AS p FROM pages) GROUP BY 1 HAVING min(page_id) >= 3")
+@query("j8_new_paths", f"WITH p AS (SELECT page_id, {PATH} AS path, page_id % 4 = 0 AS recovered FROM pages) SELECT path, min(page_id) FILTER (recovered) AS first, count(*) FILTER (recovered)::BIGINT AS recovered, count(*) FILTER (NOT recovered)::BIGINT AS held, CASE WHEN count(*) FILTER (NOT recovered) = 0 THEN 'only recovered' ELSE 'in both' END AS standing FROM p GROUP BY 1 HAVING bool_or(recovered)")
 def j8(spark, d):
-    top = F.regexp_extract(F.regexp_extract("url", "://[^/]*([^?#]*)", 1), "^(/[^/]*)", 1)
-    return table(spark, d, "pages").groupBy(top.alias("path")).agg(F.min("page_id").alias("first")).where("first >= 3")
+    """Whole paths of recovered pages against those of the pages that are held: which of them only the recovery has."""
+    path = F.regexp_extract("url", "://[^/]*([^?#]*)", 1)
+    rows = table(spark, d, "pages").select("page_id", path.alias("path"), (F.col("page_id") % 4 == 0).alias("r"))
+    out = rows.groupBy("path").agg(F.min(F.when(F.col("r"), F.col("page_id"))).alias("first"), F.count_if(F.col("r")).alias("recovered"), F.count_if(~F.col("r")).alias("held")).where("recovered > 0")
+    return out.withColumn("standing", F.when(F.col("held") == 0, "only recovered").otherwise("in both"))
 
 
 L3 = """WITH m AS (SELECT event_type, median(value) AS m FROM events GROUP BY 1), c AS (SELECT event_type, value, sum(event_id % 7 + 1) OVER (PARTITION BY event_type ORDER BY value RANGE UNBOUNDED PRECEDING) AS upto, sum(event_id % 7 + 1) OVER (PARTITION BY event_type) AS whole FROM events),
