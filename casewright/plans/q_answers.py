@@ -9,6 +9,7 @@ from casewright.operators import answers as L
 from casewright.operators import sequence as S
 from casewright.operators.joins import band_join, micros
 from casewright.plans.registry import query, table
+from casewright.sources.scratch import keep
 
 
 @query("l1_registered_operator", "SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE length(text) > 3000")
@@ -30,6 +31,7 @@ def l4(spark, d):
 
 @query("k7_caps_batch", "SELECT event_id, round(sum(value) OVER w, 4) AS total, sum(value) OVER w > 2000 AS over FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)")
 def k7(spark, d):
+    """The batch twin of the budget watch: what each row brings its key to."""
     w = Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, d, "events").select("event_id", F.round(F.sum("value").over(w), 4).alias("total"), (F.sum("value").over(w) > 2000).alias("over"))
 
@@ -48,9 +50,17 @@ def p2(spark, d):
     return both.groupBy("user_id", "event_type").agg(F.count_if(F.col("t") > F.col("first_us")).alias("later"))
 
 
-@query("p22_daily_activity", "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*)::BIGINT AS n, count(DISTINCT event_type)::BIGINT AS kinds FROM events GROUP BY 1, 2")
+@query("p22_daily_activity", "WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, epoch_us(ts) AS t, event_type, hour(ts) AS h, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts) AS gap FROM events), a AS (SELECT user_id, day, count(*)::BIGINT AS n, count(DISTINCT event_type)::BIGINT AS kinds, count(DISTINCT h)::BIGINT AS hours, min(t) AS first_us, max(t) AS last_us, max(gap) AS longest_gap_us, count(*) FILTER (h < 6 OR h >= 22)::BIGINT AS at_night FROM e GROUP BY 1, 2), m AS (SELECT user_id, avg(n) AS usual, count(*)::BIGINT AS days FROM a GROUP BY 1) SELECT a.*, days, round(n / usual, 4) AS against_usual FROM a JOIN m USING (user_id)")
 def p22(spark, d):
-    return table(spark, d, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"))
+    """Each account's days: first and last act, hours with any, the longest pause, acts at night, and how the day compares with the account's usual one."""
+    e = table(spark, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), micros("ts").alias("t"), "event_type", F.hour("ts").alias("h"))
+    gap = F.col("t") - F.lag("t").over(Window.partitionBy("user_id", "day").orderBy("t"))
+    days = e.withColumn("gap", gap).groupBy("user_id", "day").agg(
+        F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"), F.count_distinct("h").alias("hours"), F.min("t").alias("first_us"), F.max("t").alias("last_us"), F.max("gap").alias("longest_gap_us"), F.count_if((F.col("h") < 6) | (F.col("h") >= 22)).alias("at_night"),
+    )
+    days = keep(days)
+    usual = days.groupBy("user_id").agg(F.avg("n").alias("usual"), F.count("*").alias("days"))
+    return days.join(usual, "user_id").withColumn("against_usual", F.round(F.col("n") / F.col("usual"), 4)).drop("usual")
 
 
 @query("p24_additions_with_requests", "SELECT a.event_id, count(b.event_id)::BIGINT AS requests FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type IN ('view', 'click') AND epoch_us(b.ts) - epoch_us(a.ts) BETWEEN 0 AND 86400000000 GROUP BY 1")

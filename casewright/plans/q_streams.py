@@ -93,6 +93,16 @@ def k6(spark, d):
     return got.groupBy("user_id").agg(F.max_by("status", F.struct("batch", F.col("status") != "pending")).alias("status"))
 
 
+GRACE_MS, CAP = 86_400_000, 2000.0
+
+
+@query("k7_caps", f"WITH t AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS total FROM events), s AS (SELECT user_id, min(ms) AS ms, arg_min(total, ms) AS total FROM t WHERE total > {CAP} GROUP BY 1) SELECT user_id, 'steer' AS action, ms AS at_ms, round(total, 4) AS total FROM s UNION ALL SELECT user_id, 'pause', ms + {GRACE_MS}, NULL FROM s")
+def k7s(spark, d):
+    """Spending by seat as it comes in: steered at the cap, paused a day later; what was spent by the pause depends on when the clock rang, so it is not compared."""
+    got = done(K.stream_caps(stream(spark, d, True), "user_id", "ts", "value", CAP, GRACE_MS, DELAY), "append").where("user_id >= 0")
+    return got.select("user_id", "action", "at_ms", F.when(F.col("action") == "steer", F.round("total", 4)).alias("total"))
+
+
 @query("k8_late_evidence", "SELECT event_id, event_type AS hit FROM events WHERE event_type IN ('signup', 'error')")
 def k8(spark, d):
     looked = spark.createDataFrame([("signup",), ("error",), ("absent",)], "word string")
@@ -102,6 +112,7 @@ def k8(spark, d):
 
 @query("k9_dedupe", "SELECT event_id // 2 AS event_id, min(epoch_us(ts)) <= max(epoch_us(ts)) AS one_of_its_times FROM events GROUP BY 1")
 def k9(spark, d):
+    """Of rows with one id the first to arrive stays: one of them, and none twice."""
     twice = stream(spark, d).withColumn("event_id", F.floor(F.col("event_id") / 2))
     got = done(K.stream_dedupe(twice, "ts", "event_id", "40 days"), "append").select("event_id", micros("ts").alias("t"))
     span = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 2).alias("event_id")).agg(F.min(micros("ts")).alias("lo"), F.max(micros("ts")).alias("hi"))

@@ -6,12 +6,13 @@ progress as ``numRowsDroppedByWatermark``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
@@ -27,8 +28,13 @@ def run_available(sdf: DataFrame, mode: str, path: str) -> DataFrame:
 
     spark, kind = sdf.sparkSession, T.StructType([*sdf.schema.fields, T.StructField("batch", T.LongType())])
     spark.createDataFrame([], kind).write.parquet(f"{path}/out/none")
-    query = sdf.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(_STORE[0])
+    spark.conf.set(*_STORE)
+    try:
+        query = sdf.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_STORE[0], before)
     return spark.read.schema(kind).parquet(f"{path}/out/*")
 
 
@@ -67,20 +73,59 @@ def late_evidence(sdf: DataFrame, text: str, id_col: str, looked_for: DataFrame,
     return words.join(looked_for.select(F.lower(F.col(word)).alias("_w"), F.col(word).alias("hit")), "_w").drop("_w")
 
 
-def stream_caps(sdf: DataFrame, key: str, value: str, cap: float) -> DataFrame:
-    """Running total of each key, and whether it has crossed the cap; the state is one number a key."""
+#: Operators with timers and more than one state need this store.
+_STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def step(k, frames, state):
-        total = state.get[0] if state.exists else 0.0
-        n = 0
-        for f in frames:
-            total += float(f[value].sum())
-            n += len(f)
-        state.update((total,))
-        yield pd.DataFrame({key: [k[0]], "total": [total], "rows": [n], "over": [total > cap]})
 
-    kind = sdf.schema[key].dataType.simpleString()
-    return sdf.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, total double, rows long, over boolean", "total double", "update", GroupStateTimeout.NoTimeout)
+class _Budget(StatefulProcessor):
+    """State of a key: what it has spent, and when it was steered and paused, each in a value of its own; a timer ends the grace."""
+
+    def __init__(self, key: str, ts: str, value: str, cap: float, grace_ms: int):
+        self.names, self.cap, self.grace_ms = (key, ts, value), cap, grace_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.spent = handle.getValueState("spent", "total double")
+        self.steered = handle.getValueState("steered", "at long")
+        self.paused = handle.getValueState("paused", "at long")
+
+    def _row(self, key, action: str, at: int, total: float) -> pd.DataFrame:
+        return pd.DataFrame({self.names[0]: [key[0]], "action": [action], "at_ms": [at], "total": [total]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        _, ts, value = self.names
+        total = self.spent.get()[0] if self.spent.exists() else 0.0
+        for part in rows:
+            part = part.sort_values(ts)
+            upto = total + part[value].cumsum()
+            if not self.steered.exists() and (upto > self.cap).any():
+                k = (upto > self.cap).to_numpy().argmax()
+                at = int(part[ts].iloc[k].value // 1_000_000)
+                self.steered.update((at,))
+                # a timer in the past would never ring
+                self.handle.registerTimer(max(at + self.grace_ms, timerValues.getCurrentWatermarkInMs() + 1))
+                yield self._row(key, "steer", at, float(upto.iloc[k]))
+            total = float(upto.iloc[-1]) if len(part) else total
+        self.spent.update((total,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = self.steered.get()[0] + self.grace_ms
+        if not self.paused.exists():
+            self.paused.update((at,))
+            yield self._row(key, "pause", at, self.spent.get()[0])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_caps(sdf: DataFrame, key: str, ts: str, value: str, cap: float, grace_ms: int, delay: str = "10 minutes") -> DataFrame:
+    """``key, action, at_ms, total``: steer at the row with which a key's spending crosses ``cap``, pause when event time has passed that by ``grace_ms``.
+
+    Rows of a key are taken in order within a batch; batches follow each other in time, up to ``delay``. Values are not below zero. A null value spends nothing.
+    """
+    kind = f"{key} {sdf.schema[key].dataType.simpleString()}, action string, at_ms long, total double"
+    rows = sdf.withWatermark(ts, delay).select(key, ts, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias(value))
+    return rows.groupBy(key).transformWithStateInPandas(_Budget(key, ts, value, cap, grace_ms), kind, "Append", "EventTime")
 
 
 def liveness(sdf: DataFrame, key: str, ts: str, quiet_ms: int, delay: str = "10 minutes") -> DataFrame:
