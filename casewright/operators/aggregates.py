@@ -86,6 +86,21 @@ def merge_runs(df: DataFrame, keys: Sequence[str], ts: str, gap_s: float, order:
     return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w).cast("long")).drop("_new")
 
 
+def merge_flows(df: DataFrame, keys: Sequence[str], start: str, end: str, size: str, ended: Column, active_s: float, gap_s: float, keep) -> DataFrame:
+    """One row a flow: ``flow, start_us, end_us, records, bytes, ended``. An exporter that cuts long flows at its active timeout writes one flow as several records.
+
+    A record goes on with the one before if that lasted the active timeout, was not ended (FIN or RST), and left no gap of more than ``gap_s`` seconds. Times are microseconds.
+    """
+    rows = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(size).alias("_b"), ended.alias("_x"))
+    order = ["_s", "_e", "_b"]
+    near = scan(ranged(rows, keys, order, keep), keys, order, previous={"_p": F.struct("_s", "_e", "_x")})
+    last = F.col("_p")
+    goes_on = (last["_e"] - last["_s"] >= int(active_s * 1_000_000)) & ~last["_x"] & (F.col("_s") - last["_e"] <= int(gap_s * 1_000_000))
+    marked = keep(near.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1).cast("long")).drop("_p"))
+    numbered = scan(marked, keys, order, total={"flow": F.col("_new")})
+    return numbered.groupBy(*keys, "flow").agg(F.min("_s").alias("start_us"), F.max("_e").alias("end_us"), F.count("*").alias("records"), F.round(F.sum("_b"), 4).alias("bytes"), F.bool_or("_x").alias("ended"))
+
+
 def runs(df: DataFrame, keys: Sequence[str], ts: str, gap_s: float, order: Sequence[str] = ()) -> DataFrame:
     """One row a run: first and last time and its rows."""
     return merge_runs(df, keys, ts, gap_s, order).groupBy(*keys, "run").agg(F.min(micros(ts)).alias("start_us"), F.max(micros(ts)).alias("end_us"), F.count("*").alias("n"))

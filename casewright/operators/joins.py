@@ -181,6 +181,19 @@ def groups(edges: DataFrame, keep, rounds: int = 50) -> DataFrame:
     raise RuntimeError("groups did not settle")
 
 
+def resolve_refs(refs: DataFrame, producers: DataFrame) -> DataFrame:
+    """``(job, producer)`` of ``refs (job, ref)``: what each job names as its input, by job, digest or path.
+
+    A ref is ``job:<id>``, ``sha256:<digest>`` or ``path:<path>``. ``producers (job long, digest, path)`` lists what jobs put out; of several that put out the same
+    digest or path, the first made it. A ref that names nothing known has no row.
+    """
+    kind, name = F.substring_index("ref", ":", 1), F.expr("substring(ref, instr(ref, ':') + 1)")
+    named = refs.select("job", kind.alias("kind"), name.alias("name"))
+    known = producers.select(F.lit("sha256").alias("kind"), F.lower("digest").alias("name"), "job").unionByName(producers.select(F.lit("path").alias("kind"), F.col("path").alias("name"), "job"))
+    first = known.unionByName(producers.select(F.lit("job").alias("kind"), F.col("job").cast("string").alias("name"), "job")).groupBy("kind", "name").agg(F.min("job").alias("producer"))
+    return named.withColumn("name", F.when(F.col("kind") == "sha256", F.lower("name")).otherwise(F.col("name"))).join(first, ["kind", "name"]).select("job", "producer").distinct()
+
+
 def closure(edges: DataFrame, seeds: DataFrame, keep, max_depth: int | None = None) -> tuple[DataFrame, bool]:
     """``(node, depth)``: what is reached from ``seeds (node)`` along ``edges (src, dst)``, at the least depth; and whether ``max_depth`` cut it.
 

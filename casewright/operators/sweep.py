@@ -10,6 +10,8 @@ Needles go to every task, as many at a time as are under a bound; with more, the
 
 from __future__ import annotations
 
+import base64
+import codecs
 import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -206,6 +208,16 @@ def _portion(texts: DataFrame, key: str, col: str, needles: list[tuple[int, str,
     return texts.select(F.col(key).alias("key"), F.col(col).cast("binary").alias("text")).mapInArrow(run, f"key {kind}, needle long, form string, at long, before string, behind string")
 
 
+def _phases(plain: bytes, form: str) -> list[bytes]:
+    """How a literal shows in base64 or base32 wherever it begins in what was encoded: only characters that its own bits fill."""
+    bits, group, code = (6, 3, base64.b64encode) if form == "base64" else (5, 5, base64.b32encode)
+    out = []
+    for k in range(group):
+        shown = code(bytes(k) + plain)[-(-8 * k // bits) : 8 * (k + len(plain)) // bits]
+        out += [shown] if shown else []
+    return out
+
+
 def _forms(needle: str | bytes, forms: Sequence[str], chars: bool) -> dict[bytes, str]:
     """The bytes of each form, the first named where two are the same."""
     out: dict[bytes, str] = {}
@@ -217,6 +229,12 @@ def _forms(needle: str | bytes, forms: Sequence[str], chars: bool) -> dict[bytes
             made = ["".join(c + "\0" for c in plain.decode()).encode() if chars else plain.decode().encode("utf-16-le")]
         elif f == "json":
             made = [json.dumps(plain.decode())[1:-1].encode(), json.dumps(plain.decode(), ensure_ascii=False)[1:-1].encode()]
+        elif f == "hex":
+            made = [plain.hex().encode(), plain.hex().upper().encode()]
+        elif f == "rot13":
+            made = [codecs.encode(plain.decode(), "rot13").encode()]
+        elif f in ("base64", "base32"):
+            made = _phases(plain, f)
         else:
             raise ValueError(f"no form {f!r}")
         for m in made:
@@ -227,7 +245,7 @@ def _forms(needle: str | bytes, forms: Sequence[str], chars: bool) -> dict[bytes
 def sweep(texts: DataFrame, key: str, col: str, needles: DataFrame, needle_key: str, needle: str, keep: Keep, forms: Sequence[str] = ("plain",), around: int = 0, portion: int = PORTION) -> DataFrame:
     """``(key, needle_key, form, at, before, behind)``: every place (characters from 1; bytes in a binary column) of each needle, overlapping ones too.
 
-    ``forms`` are plain, utf16 and json; where two forms of a needle are the same bytes, the first counts. With ``around``, the characters on both sides of
+    ``forms`` are plain, utf16, json, hex (either case), rot13, base64 and base32 (wherever the needle begins in what was encoded); where two forms of a needle are the same bytes, the first counts. With ``around``, the characters on both sides of
     places of short needles follow. Empty needles and nulls match nothing. ``keep`` writes a table.
     """
     chars = dict(texts.dtypes)[col] == "string"

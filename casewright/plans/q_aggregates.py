@@ -82,9 +82,16 @@ def islands_sql(keys: str, gap_s: int, source: str = "events") -> str:
     return f"SELECT {keys}, run::BIGINT AS run, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) AS end_us, count(*)::BIGINT AS n FROM (SELECT *, sum(new) OVER (PARTITION BY {keys} ORDER BY ts) AS run FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY {keys} ORDER BY ts) > {gap_s}000000 THEN 1 ELSE 0 END AS new FROM {source})) GROUP BY {keys}, run"
 
 
-@query("d9_merge_flows", islands_sql("user_id, event_type", 6 * 3600))
+FLOWS = "SELECT user_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + CASE WHEN event_id % 3 = 0 THEN 1800 ELSE 86400 END * 1000000::BIGINT AS e, value AS b, event_id % 11 = 0 AS x FROM events"
+
+
+@query("d9_merge_flows", f"WITH f AS ({FLOWS}), p AS (SELECT *, lag(s) OVER w AS ps, lag(e) OVER w AS pe, lag(x) OVER w AS px FROM f WINDOW w AS (PARTITION BY user_id, event_type ORDER BY s, e, b)), n AS (SELECT *, sum(CASE WHEN pe - ps >= 3600000000 AND NOT px AND s - pe <= 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, event_type ORDER BY s, e, b ROWS UNBOUNDED PRECEDING) AS flow FROM p) SELECT user_id, event_type, flow::BIGINT AS flow, min(s) AS start_us, max(e) AS end_us, count(*)::BIGINT AS records, round(sum(b), 4) AS bytes, bool_or(x) AS ended FROM n GROUP BY 1, 2, 3")
 def d9(spark, d):
-    return A.runs(table(spark, d, "events"), ["user_id", "event_type"], "ts", 6 * 3600)
+    """Records of one flow that the exporter cut at its active timeout, put together; an end that was seen is an end."""
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    lasted = F.when(F.col("event_id") % 3 == 0, 1800).otherwise(86400).cast("long") * 1_000_000
+    rows = table(spark, d, "events").select("user_id", "event_type", start.alias("s"), (start + lasted).alias("e"), F.col("value").alias("b"), (F.col("event_id") % 11 == 0).alias("x"))
+    return A.merge_flows(rows, ["user_id", "event_type"], "s", "e", "b", F.col("x"), 3600, 6 * 3600, keep)
 
 
 @query("d10_scan_detect", "SELECT l_suppkey, count(DISTINCT l_partkey)::BIGINT AS targets, count(*) FILTER (l_returnflag = 'R')::BIGINT AS failed FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 50")

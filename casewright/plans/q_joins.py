@@ -223,15 +223,23 @@ def c22(spark, d):
     return a.join(b, "k").select("a", "b")
 
 
-EDGES = "SELECT o_orderkey AS src, o_orderkey * 2 AS dst FROM orders WHERE o_orderkey > 0 UNION SELECT o_orderkey, o_orderkey + 100 FROM orders"
+JOBS = "SELECT o_orderkey AS job, sha256((o_custkey // 3)::VARCHAR) AS digest, '/out/' || o_custkey // 2 AS path FROM orders WHERE o_orderkey % 5 = 0"
+REFS = f"SELECT job, CASE job % 3 WHEN 0 THEN 'job:' || coalesce(job - 15, 0) WHEN 1 THEN 'sha256:' || upper(sha256(((o_custkey * 7) % 1000 // 3)::VARCHAR)) ELSE 'path:/out/' || (o_custkey * 3) % 1000 // 2 END AS ref FROM ({JOBS}) JOIN orders ON o_orderkey = job"
 
 
-@query("c23_lineage", f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 5) SELECT node, min(depth) AS depth FROM r GROUP BY 1")
+@query("c23_lineage", f"""WITH RECURSIVE p AS ({JOBS}), r AS ({REFS}), k AS (SELECT 'job:' || job AS name, job FROM p UNION ALL SELECT 'sha256:' || upper(digest), job FROM p UNION ALL SELECT 'path:' || path, job FROM p), f AS (SELECT name, min(job) AS producer FROM k GROUP BY 1),
+    e AS (SELECT DISTINCT producer AS src, job AS dst FROM r JOIN f ON f.name = r.ref), w AS (SELECT job AS node, 0 AS depth FROM p WHERE job % 70 = 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 200), t AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1)
+    SELECT node, depth, digest, path, node % 70 = 0 AS declared FROM t JOIN p ON p.job = t.node""")
 def c23(spark, d):
-    o = table(spark, d, "orders")
-    edges = o.where("o_orderkey > 0").select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") * 2).alias("dst")).union(o.select("o_orderkey", F.col("o_orderkey") + 100)).distinct()
-    seeds = spark.range(1, 2).select(F.col("id").alias("node"))
-    return J.closure(edges, seeds, keep, 5)[0]
+    """Jobs that sensitive ones lead to, by what each names as its input: a job, a digest or a path; with the digest and path of what they put out."""
+    o = table(spark, d, "orders").where("o_orderkey % 5 = 0")
+    jobs = o.select(F.col("o_orderkey").alias("job"), F.sha2(F.floor(F.col("o_custkey") / 3).cast("string"), 256).alias("digest"), F.concat(F.lit("/out/"), F.floor(F.col("o_custkey") / 2).cast("string")).alias("path"))
+    k = F.col("o_orderkey")
+    by_digest = F.upper(F.sha2(F.floor((F.col("o_custkey") * 7) % 1000 / 3).cast("string"), 256))
+    ref = F.when(k % 3 == 0, F.concat(F.lit("job:"), (k - 15).cast("string"))).when(k % 3 == 1, F.concat(F.lit("sha256:"), by_digest)).otherwise(F.concat(F.lit("path:/out/"), F.floor((F.col("o_custkey") * 3) % 1000 / 2).cast("string")))
+    edges = keep(J.resolve_refs(o.select(k.alias("job"), ref.alias("ref")), jobs).select(F.col("producer").alias("src"), F.col("job").alias("dst")))
+    reached, _ = J.closure(edges, jobs.where("job % 70 = 0").select(F.col("job").alias("node")), keep)
+    return reached.join(jobs.withColumnRenamed("job", "node"), "node").select("node", "depth", "digest", "path", (F.col("node") % 70 == 0).alias("declared"))
 
 
 @query("c24_corroborate", "SELECT a.event_id, count(b.event_id)::BIGINT AS n FROM (SELECT * FROM events WHERE event_type = 'error') a LEFT JOIN (SELECT * FROM events WHERE event_type <> 'error') b ON a.user_id = b.user_id AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 600000000 GROUP BY 1")

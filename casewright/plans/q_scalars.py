@@ -75,11 +75,22 @@ def h5(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.transform(flags, lambda x: F.concat(x, F.lit(","))), "").alias("flags"))
 
 
-@query("h6_decode", "SELECT doc_id, left(lang, 2) AS plain, lang AS back FROM documents")
+_AZ, _NM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm"
+CODED = f"SELECT doc_id, coalesce(d.text, '') || ' ' || CASE doc_id % 6 WHEN 0 THEN lower(hex(encode(b.text))) WHEN 1 THEN hex(encode(b.text)) WHEN 2 THEN to_base64(encode(b.text)) WHEN 3 THEN to_base64(encode('a' || b.text || 'z')) WHEN 4 THEN to_base64(encode('bc' || b.text)) ELSE translate(b.text, '{_AZ}', '{_NM}') END AS t FROM documents d JOIN benchmark b ON b.item_id = doc_id % 40"
+_PHASE = "substr(to_base64(encode({0} || text)), {1} + 1, 8 * ({2} + strlen(text)) // 6 - {1})"
+
+
+@query("h6_decode", f"WITH f AS ({CODED}), n AS (SELECT item_id, 'hex' AS form, lower(hex(encode(text))) AS w FROM benchmark UNION ALL SELECT item_id, 'hex', hex(encode(text)) FROM benchmark UNION ALL SELECT item_id, 'base64', {_PHASE.format(chr(39) * 2, 0, 0)} FROM benchmark UNION ALL SELECT item_id, 'base64', {_PHASE.format(chr(39) + 'a' + chr(39), 2, 1)} FROM benchmark UNION ALL SELECT item_id, 'base64', {_PHASE.format(chr(39) + 'aa' + chr(39), 3, 2)} FROM benchmark UNION ALL SELECT item_id, 'rot13', translate(text, '{_AZ}', '{_NM}') FROM benchmark UNION ALL SELECT item_id, 'plain', text FROM benchmark) SELECT doc_id, item_id, form, min(instr(t, w))::BIGINT AS first FROM f JOIN n ON contains(t, w) GROUP BY 1, 2, 3")
 def h6(spark, d):
-    docs = table(spark, d, "documents")
-    hexed, coded = F.hex(F.substring("lang", 1, 2)), F.base64(F.encode(X.rot13(F.col("lang")), "UTF-16LE"))
-    return docs.select("doc_id", F.decode(F.unhex(hexed), "UTF-8").alias("plain"), X.rot13(X.utf16_base64(coded)).alias("back"))
+    """Literals hunted in any text in the forms that hide them: hex, base64 wherever they begin in what was encoded, rot13."""
+    lit = table(spark, d, "benchmark").select("item_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"), (F.col("doc_id") % 40).alias("item_id")).join(lit, "item_id")
+    k, raw = F.col("doc_id") % 6, lambda *c: F.encode(F.concat(*c), "UTF-8")
+    coded = F.when(k == 0, F.lower(F.hex(raw("text")))).when(k == 1, F.hex(raw("text"))).when(k == 2, F.base64(raw("text"))).when(k == 3, F.base64(raw(F.lit("a"), "text", F.lit("z")))).when(k == 4, F.base64(raw(F.lit("bc"), "text"))).otherwise(X.rot13(F.col("text")))
+    plain = F.when(k.isin(2, 3, 4), F.regexp_replace(coded, "[\r\n]", "")).otherwise(coded)
+    files = docs.select("doc_id", F.concat("t", F.lit(" "), plain).alias("t"))
+    found = sweep(files, "doc_id", "t", lit, "item_id", "text", keep, ("plain", "hex", "base64", "rot13"))
+    return found.groupBy("doc_id", "item_id", "form").agg(F.min("at").alias("first"))
 
 
 @query("h7_extract_urls", "SELECT page_id, len(regexp_extract_all(html, 'https?://[^ \"<>]+'))::BIGINT AS n FROM pages")

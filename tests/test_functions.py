@@ -215,3 +215,58 @@ def test_needles_at_every_offset(spark):
     needles = spark.createDataFrame([(i, text[i : i + 31]) for i in range(0, 60)], "n long, needle string")
     got = sweep(spark.createDataFrame([(1, text), (2, None), (3, "")], "k long, t string"), "k", "t", needles, "n", "needle", keep).select("k", "n", "at").collect()
     assert sorted((r.n, r.at) for r in got) == [(i, text.index(text[i : i + 31]) + 1) for i in range(0, 60)]
+
+
+def test_hidden_literals_at_every_phase(spark):
+    import base64
+    import codecs
+
+    word = "hidden literal, ünïcode"
+    texts = [base64.b64encode(b"x" * k + word.encode() + b"tail").decode() for k in range(6)] + [base64.b32encode(b"y" * k + word.encode() + b"tail").decode() for k in range(6)]
+    texts += [word.encode().hex(), word.encode().hex().upper(), codecs.encode(word, "rot13"), base64.b64encode(b"hidden lateral, nothing").decode()]
+    docs = spark.createDataFrame([(i, "before " + t + " behind") for i, t in enumerate(texts)], "k int, t string")
+    got = sweep(docs, "k", "t", spark.createDataFrame([(1, word)], "n int, w string"), "n", "w", keep, ("hex", "base64", "base32", "rot13")).collect()
+    assert sorted((r.k, r.form) for r in got) == [(i, "base64") for i in range(6)] + [(i, "base32") for i in range(6, 12)] + [(12, "hex"), (13, "hex"), (14, "rot13")]
+
+
+def test_short_words_inside_longer_runs(spark):
+    from casewright.operators.sweep import in_longer_run
+
+    cases = [("pin 12", "345", " x", True), ("pin ", "345", " x", False), ("x ", "beef", "0123456789abcdef", True), ("x ", "beef", " cafe", False), ("aGVsbG8gd29y", "bGQh", "MTIzNDU2Nzg5", True), ("see the ", "key", " here", False), ("a/b/c/d/e/f/g1/", "word", "/h/i/j/k/l/m/n", False)]
+    df = spark.createDataFrame([(*c, i) for i, c in enumerate(cases)], "b string, w string, e string, inside boolean, i int")
+    assert all(r.inside == r.got for r in df.withColumn("got", in_longer_run(F.col("b"), F.col("w"), F.col("e"))).collect())
+
+
+def test_leaks_in_every_form(spark):
+    import json
+
+    from casewright.operators.sweep import leak_scan
+
+    words = ['pa"ss\\word', "naïve-key", "7c1d"]
+    digest = "ab" * 32
+    texts = ["x " + json.dumps(words[0]) + " y", json.dumps(words[1]), "".join(c + "\0" for c in "a naïve-key b"), digest.upper() + " " + digest, "id 7c1d.", "ffff7c1d0123456789abcdef", words[0]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    got = leak_scan(df, "k", "t", spark.createDataFrame([(w,) for w in words], "w string"), "w", "w", spark.createDataFrame([(9, digest)], "n int, h string"), "n", "h", keep).collect()
+    assert sorted((r.k, r.kind, r.id, r.form, r.at) for r in got) == [(0, "word", words[0], "json", 4), (1, "word", words[1], "json", 2), (2, "word", words[1], "utf16", 5), (3, "digest", "9", "plain", 1), (3, "digest", "9", "plain", 66), (4, "word", "7c1d", "plain", 4), (6, "word", words[0], "plain", 1)]
+
+
+def test_sweep_equals_a_search_word_by_word(spark):
+    """Random texts, long ones cut in blocks, needles of all lengths up to longer than a block."""
+    import random
+
+    from casewright.operators import sweep as module
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abé", k=rng.choice([0, 5, 300, 5000]))) for _ in range(12)] + ["".join(rng.choices("abé漢", k=400_000))]
+    needles = {t[a : a + n] for t in texts for n in (1, 2, 5, 9, 17, 31, 33, 64, 65, 200) for a in [rng.randrange(max(1, len(t) - n))] if n > 4 or len(t) < 400} | {texts[-1][100:300_000], texts[3]}
+    needles = sorted(n for n in needles if n)
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = [(r.k, r.n, r.at) for r in sweep(df, "k", "t", spark.createDataFrame(list(enumerate(needles)), "n int, w string"), "n", "w", keep).collect()]
+    want = set()
+    for i, t in enumerate(texts):
+        for n, w in enumerate(needles):
+            at = t.find(w)
+            while at >= 0:
+                want.add((i, n, at + 1))
+                at = t.find(w, at + 1)
+    assert set(got) == want and len(got) == len(want) and len(texts[-1].encode()) > 2 * module.BLOCK
