@@ -63,11 +63,6 @@ def rot13(col: Column) -> Column:
     return F.translate(col, a + b, a[13:] + a[:13] + b[13:] + b[:13])
 
 
-def utf16_base64(col: Column) -> Column:
-    """An encoded command line: base64 of UTF-16LE."""
-    return F.decode(F.unbase64(col), "UTF-16LE")
-
-
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 

@@ -101,11 +101,6 @@ def merge_flows(df: DataFrame, keys: Sequence[str], start: str, end: str, size:
     return numbered.groupBy(*keys, "flow").agg(F.min("_s").alias("start_us"), F.max("_e").alias("end_us"), F.count("*").alias("records"), F.round(F.sum("_b"), 4).alias("bytes"), F.bool_or("_x").alias("ended"))
 
 
-def runs(df: DataFrame, keys: Sequence[str], ts: str, gap_s: float, order: Sequence[str] = ()) -> DataFrame:
-    """One row a run: first and last time and its rows."""
-    return merge_runs(df, keys, ts, gap_s, order).groupBy(*keys, "run").agg(F.min(micros(ts)).alias("start_us"), F.max(micros(ts)).alias("end_us"), F.count("*").alias("n"))
-
-
 def round_parts(df: DataFrame, part: str, value: str, order: str) -> DataFrame:
     """Whole numbers that add up to the rounded total: floors, then one more to the largest remainders, ties in order.
 

@@ -250,7 +250,7 @@ _BEATS = f"(SELECT user_id, s, s - lag(s) OVER (PARTITION BY user_id ORDER BY s)
 def p33(spark, d):
     """How regularly each host calls the pool, and the hours its processor was busy."""
     e = ev(spark, d)
-    beat = A.beacon_score(e.where("event_type in ('view', 'click')"), ["user_id"], "ts", 8).select("user_id", F.col("events").alias("connections"), F.col("median_s").alias("every_s"), F.col("mad_s").alias("spread_s"))
+    beat = A.beacon_score(e.where("event_type in ('view', 'click')"), ["user_id"], "ts", keep, 8).select("user_id", F.col("events").alias("connections"), F.col("median_s").alias("every_s"), F.col("mad_s").alias("spread_s"))
     load = e.groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("busy_hours"), F.max("n").alias("busiest"))
     return beat.join(load, "user_id")
 
@@ -455,7 +455,7 @@ def p55(spark, d):
 def p56(spark, d):
     """Days on which an account takes out far more than it does, with the links it shared that day."""
     e, day = ev(spark, d), F.date_trunc("day", "ts")
-    taken = A.against_own_history(e.where("event_type = 'purchase'"), "user_id", day, "value", 3)
+    taken = A.against_own_history(e.where("event_type = 'purchase'"), "user_id", day, "value", 3, keep)
     links = e.groupBy("user_id", day.alias("bucket")).agg(F.count_if(F.col("event_type") == "click").alias("links"))
     return taken.join(links, ["user_id", "bucket"]).select("user_id", micros("bucket").alias("day_us"), "bytes", "links")
 
