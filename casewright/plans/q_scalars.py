@@ -240,9 +240,11 @@ LEAKS = f"""WITH w0 AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(tex
         UNION ALL SELECT DISTINCT 'digest', doc_id::VARCHAR, {WIDE.format('md5(text)')}, 'utf16' FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 UNION ALL SELECT DISTINCT 'digest', doc_id::VARCHAR, {WIDE.format('upper(md5(text))')}, 'utf16' FROM documents JOIN labels USING (doc_id) WHERE toxic = 1
         UNION ALL SELECT 'word', w, replace(replace(w, '\\', '\\\\'), '"', '\\"'), 'json' FROM words WHERE contains(w, '"') OR contains(w, '\\')
         UNION ALL SELECT 'word', w, array_to_string([CASE WHEN unicode(c) > 126 THEN '\\u' || lpad(lower(to_hex(unicode(c))), 4, '0') ELSE c END for c in string_split(replace(replace(w, '\\', '\\\\'), '"', '\\"'), '')], ''), 'json' FROM words WHERE regexp_matches(w, '[^ -~]')),
-    hit AS (SELECT doc_id, kind, id, form, w, t, unnest(range(1, length(t) - length(w) + 2)) AS "at" FROM ({FILES}) f, who WHERE (form = 'utf16') = (doc_id % 7 = 0) AND contains(t, w)),
+    files AS MATERIALIZED ({FILES}), blocks AS MATERIALIZED (SELECT doc_id, o, substring(t, o::INT, 768) AS blk FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1, 512)) AS o FROM files)),
+    near AS (SELECT doc_id, kind, id, form, w, o, blk, unnest(range(1, 513)) AS p FROM blocks, who WHERE (form = 'utf16') = (doc_id % 7 = 0) AND contains(blk, w)),
+    hit AS (SELECT n.*, o + p - 1 AS "at", t FROM near n JOIN files USING (doc_id) WHERE substring(blk, p::INT, length(w)) = w),
     place AS (SELECT doc_id, kind, id, form, "at", CASE WHEN kind = 'word' AND length(id) < 8 THEN id END AS w, CASE WHEN form = 'utf16' THEN replace(b, chr(0), '') ELSE b END AS b, CASE WHEN form = 'utf16' THEN replace(e, chr(0), '') ELSE e END AS e
-        FROM (SELECT *, substring(t, greatest(1, "at" - 64), least("at" - 1, 64)) AS b, substring(t, "at" + length(w), 64) AS e FROM hit WHERE substring(t, "at", length(w)) = w))"""
+        FROM (SELECT *, substring(t, greatest(1, "at" - 64), least("at" - 1, 64)) AS b, substring(t, "at" + length(w), 64) AS e FROM hit))"""
 
 
 @query("j6_leak_scan", f"{LEAKS} SELECT doc_id, kind, form, count(*)::BIGINT AS places, count(DISTINCT id)::BIGINT AS found, min(\"at\")::BIGINT AS first FROM place WHERE w IS NULL OR NOT {IN_RUN} GROUP BY 1, 2, 3")
