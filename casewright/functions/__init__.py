@@ -120,9 +120,42 @@ def leading_command(line: Column) -> Column:
     return F.regexp_extract(line, r"^\s*(?:[A-Za-z_]+=\S*\s+)*(?:sudo\s+)?(?:\S*/)?(\S+)", 1)
 
 
+def _ipv4(addr: Column) -> Column:
+    """The number of an IPv4 address in dotted form, else null."""
+    octet = lambda i: F.try_element_at(F.split(addr, r"\."), F.lit(i)).cast("long")
+    fits = addr.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
+    return F.when(fits, octet(1) * (1 << 24) + octet(2) * (1 << 16) + octet(3) * (1 << 8) + octet(4))
+
+
+#: Address blocks that are not public (fixed values): first address as a number, prefix length, class.
+IPV4_BLOCKS = (
+    (0x00000000, 8, "reserved"), (0x0A000000, 8, "private"), (0x64400000, 10, "shared"), (0x7F000000, 8, "loopback"), (0xA9FE0000, 16, "link_local"), (0xAC100000, 12, "private"), (0xC0A80000, 16, "private"),
+    (0xC0000200, 24, "documentation"), (0xC6120000, 15, "reserved"), (0xC6336400, 24, "documentation"), (0xCB007100, 24, "documentation"), (0xE0000000, 4, "multicast"), (0xF0000000, 4, "reserved"),
+)
+
+
+def address_class(addr: Column) -> Column:
+    """``private, loopback, link_local, shared, documentation, multicast, reserved`` or ``public``; ``invalid`` if it is no address; null for null. IPv6 by its prefix, an IPv4 address in one by itself."""
+    low = F.lower(F.trim(addr))
+    inner = F.regexp_extract(low, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
+    number = _ipv4(F.when(inner != "", inner).otherwise(low))
+    v4 = F.coalesce(*(F.when(F.shiftright(number, 32 - bits) == first >> (32 - bits), name) for first, bits, name in IPV4_BLOCKS), F.lit("public"))
+    six = low.rlike(r"^[0-9a-f:]+(%[0-9a-z]+)?$") & low.contains(":")
+    v6 = F.when(low == "::1", "loopback").when(low == "::", "reserved").when(low.rlike("^fe[89ab][0-9a-f]:"), "link_local").when(low.rlike("^f[cd][0-9a-f]{2}:"), "private")
+    v6 = v6.when(low.rlike("^ff[0-9a-f]{2}:"), "multicast").when(low.rlike("^2001:db8:"), "documentation").otherwise("public")
+    return F.when(addr.isNull(), None).when(number.isNotNull(), v4).when(six, v6).otherwise("invalid")
+
+
 def is_internal(addr: Column) -> Column:
-    """Whether an IPv4 address is private, loopback or link-local."""
-    return addr.rlike(r"^(10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
+    """Whether an address is of this side: private, shared, loopback or link-local."""
+    return address_class(addr).isin("private", "shared", "loopback", "link_local")
+
+
+def traffic_side(source: Column, target: Column) -> Column:
+    """``internal, outbound, inbound`` or ``external``, by which ends are of this side; ``unknown`` where an end is no address."""
+    known = lambda a: F.coalesce(address_class(a) != "invalid", F.lit(False))
+    a, b = is_internal(source), is_internal(target)
+    return F.when(~known(source) | ~known(target), "unknown").when(a & b, "internal").when(a, "outbound").when(b, "inbound").otherwise("external")
 
 
 def luhn(digits: Column) -> Column:

@@ -74,12 +74,6 @@ def fold_lines(df: DataFrame, keys: Sequence[str], order: str, text: str, starts
     return df.withColumn("entry", entry.cast("long")).groupBy(*keys, "entry").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n").alias("text"), F.count("*").alias("lines"))
 
 
-def family_match(obs: DataFrame, key: str, refs: DataFrame, family: str, on: Sequence[str]) -> DataFrame:
-    """``(key, status)``: candidate if one family fits, ambiguous if several, else unidentified."""
-    found = obs.join(refs, list(on), "left").groupBy(key).agg(F.count_distinct(family).alias("_n"))
-    return found.select(key, F.when(F.col("_n") == 0, "unidentified").when(F.col("_n") == 1, "candidate").otherwise("ambiguous").alias("status"))
-
-
 def match_audit(trace: DataFrame, audit: DataFrame, keys: Sequence[str], lt: str, rt: str, id_col: str, within_s: int = 120) -> DataFrame:
     """Ids of actions with an audit line of the same command within so many seconds either side."""
     from casewright.operators.joins import band_join

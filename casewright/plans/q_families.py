@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from casewright.operators import answers as A
 from casewright.operators import families as Q
+from casewright.operators import persistence as P
+from casewright.operators import references as R
+from casewright.operators import survey as S
 from casewright.operators import trees as T
 from casewright.operators.intervals import interval_join
 from casewright.operators.joins import micros
@@ -126,28 +130,137 @@ def q14(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind", "name").agg(F.count("*").alias("n"))
 
 
+LINES = "SELECT 's' || l_suppkey AS unit, CASE l_returnflag WHEN 'A' THEN 'ExecStart' WHEN 'N' THEN 'Environment' ELSE 'User' END AS key, CASE WHEN l_partkey % 29 = 0 THEN '' ELSE 'p' || l_partkey END AS value, l_linenumber AS dropin, l_orderkey AS line, l_partkey AS part FROM lineitem"
+LINKS = "SELECT 's' || s_suppkey AS name, '/dev/null' AS target FROM supplier WHERE s_suppkey % 10 = 3 UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 210 = 0 THEN 'c' || (c_custkey + 1) WHEN c_custkey % 3 = 0 THEN 's' || c_nationkey ELSE 'c' || (c_custkey - 1) END FROM customer UNION ALL SELECT 'c' || c_custkey, 's1' FROM customer WHERE c_custkey % 50 = 7"
+
+
+@query("q14_effective_units", f"""WITH RECURSIVE a AS ({LINES}), cut AS (SELECT unit, max((dropin, line, part)) AS goal FROM a WHERE key = 'ExecStart' AND value = '' GROUP BY 1),
+    k AS (SELECT a.unit, count(*) AS commands FROM a LEFT JOIN cut ON cut.unit = a.unit WHERE key = 'ExecStart' AND value <> '' AND (cut.goal IS NULL OR (dropin, line, part) > cut.goal) GROUP BY 1),
+    n AS (SELECT unit, count(*) FILTER (key = 'ExecStart' AND value = '') AS resets FROM a GROUP BY 1), one AS (SELECT name, min(target) AS target, count(DISTINCT target) > 1 AS bad FROM ({LINKS}) GROUP BY 1), sure AS (SELECT name, target FROM one WHERE NOT bad),
+    r AS (SELECT name, target AS goal, 0 AS n FROM sure UNION ALL SELECT r.name, s.target, n + 1 FROM r JOIN sure s ON s.name = r.goal WHERE n < 9), z AS (SELECT name, goal FROM r WHERE goal NOT IN (SELECT name FROM sure)),
+    u AS (SELECT name, goal AS unit FROM z WHERE goal <> '/dev/null' AND goal NOT IN (SELECT name FROM one)), al AS (SELECT unit, count(*) AS aliases FROM u GROUP BY 1),
+    w AS (SELECT coalesce(u.unit, c.name) AS unit, count(*) AS wants FROM (SELECT 'c' || c_custkey AS name FROM customer WHERE c_mktsegment = 'BUILDING') c LEFT JOIN u ON u.name = c.name GROUP BY 1),
+    x AS (SELECT coalesce(u.unit, e.name) AS unit, count(*) AS runs FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 's' ELSE 'c' END || user_id AS name FROM events) e LEFT JOIN u ON u.name = e.name GROUP BY 1), m AS (SELECT name AS unit FROM z WHERE goal = '/dev/null'),
+    f AS (SELECT v.unit, coalesce(commands, 0) AS commands, coalesce(resets, 0) AS resets, coalesce(aliases, 0) AS aliases, coalesce(wants, 0)::BIGINT AS wants, coalesce(runs, 0)::BIGINT AS runs, m.unit IS NOT NULL AS masked, n.unit IS NOT NULL AS own
+        FROM (SELECT unit FROM n UNION SELECT unit FROM m UNION SELECT unit FROM x) v LEFT JOIN n USING (unit) LEFT JOIN k USING (unit) LEFT JOIN al USING (unit) LEFT JOIN w USING (unit) LEFT JOIN x USING (unit) LEFT JOIN m ON m.unit = v.unit)
+    SELECT unit, commands, resets, aliases, wants, runs, masked, CASE WHEN masked THEN 'masked' WHEN NOT own THEN 'none' WHEN commands = 0 THEN 'no_command' WHEN wants > 0 THEN 'enabled' ELSE 'dormant' END AS configuration, CASE WHEN runs > 0 THEN 'seen' ELSE 'not_seen' END AS execution FROM f""")
+def q14_units(spark, d):
+    """Units as they stand after drop-ins, masks and chains of aliases, and beside that which were seen to run."""
+    rows, c, name = table(spark, d, "lineitem"), table(spark, d, "customer"), lambda letter, n: F.concat(F.lit(letter), F.col(n).cast("string"))
+    key = F.when(F.col("l_returnflag") == "A", "ExecStart").when(F.col("l_returnflag") == "N", "Environment").otherwise("User")
+    value = F.when(F.col("l_partkey") % 29 == 0, "").otherwise(name("p", "l_partkey"))
+    lines = rows.select(name("s", "l_suppkey").alias("unit"), key.alias("key"), value.alias("value"), F.col("l_linenumber").alias("dropin"), F.col("l_orderkey").alias("line"), F.col("l_partkey").alias("part"))
+    k = F.col("c_custkey")
+    target = F.when(k % 210 == 0, F.concat(F.lit("c"), (k + 1).cast("string"))).when(k % 3 == 0, name("s", "c_nationkey")).otherwise(F.concat(F.lit("c"), (k - 1).cast("string")))
+    links = table(spark, d, "supplier").where("s_suppkey % 10 = 3").select(name("s", "s_suppkey").alias("name"), F.lit("/dev/null").alias("target"))
+    links = links.unionByName(c.select(name("c", "c_custkey").alias("name"), target.alias("target"))).unionByName(c.where("c_custkey % 50 = 7").select(name("c", "c_custkey").alias("name"), F.lit("s1").alias("target")))
+    wanted = c.where("c_mktsegment = 'BUILDING'").select(name("c", "c_custkey").alias("name"))
+    ran = table(spark, d, "events").select(F.concat(F.when(F.col("event_id") % 3 == 0, "s").otherwise("c"), F.col("user_id").cast("string")).alias("name"))
+    return P.persistence(lines, ["dropin", "line", "part"], links, wanted, ran, keep)
+
+
 @query("q15_fold_lines", "SELECT conv_id, entry::BIGINT AS entry, string_agg(text, chr(10) ORDER BY turn) AS text, count(*)::BIGINT AS lines FROM (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS entry FROM conversations) GROUP BY 1, 2")
 def q15(spark, d):
     return Q.fold_lines(table(spark, d, "conversations"), ["conv_id"], "turn", "text", F.col("role") == "user")
 
 
-@query("q16_family_match", "SELECT p_partkey, CASE WHEN count(DISTINCT s_name) = 0 THEN 'unidentified' WHEN count(DISTINCT s_name) = 1 THEN 'candidate' ELSE 'ambiguous' END AS status FROM part LEFT JOIN supplier ON p_size % 30 = s_nationkey GROUP BY 1")
-def q16(spark, d):
-    obs = table(spark, d, "part").withColumn("k", F.col("p_size") % 30)
-    return Q.family_match(obs, "p_partkey", table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), "s_name"), "s_name", ["k"])
+SEEN = "SELECT l_orderkey AS key, CASE WHEN l_linenumber % 2 = 1 THEN 'extension' ELSE 'note' END AS kind, CASE WHEN l_linenumber % 2 = 1 THEN 'x' ELSE 'note' END || l_suppkey AS value, l_shipdate AS seen FROM lineitem"
+_SET = "SELECT 'f' || s_nationkey AS family, CASE WHEN s_suppkey % 3 <> 2 THEN 'v' || ({0}) % 2 END AS variant, '{1}' AS kind, '{2}' || s_suppkey AS value, s_suppkey % 3 AS sources, TIMESTAMP '1997-01-01' + to_days((s_suppkey % 100)::INT) AS f, TIMESTAMP '1999-07-01' + to_days((s_suppkey % 100)::INT) AS t, TIMESTAMP '2026-01-01' + to_days((s_suppkey % 400)::INT) AS fresh FROM supplier WHERE {3}"
+REFERENCE = f"{_SET.format('s_suppkey', 'extension', 'x', 's_suppkey % 4 <> 1')} UNION ALL {_SET.format('s_suppkey // 3', 'note', 'note', 's_suppkey % 3 <> 0')}"
+CANDIDATES = f"""s AS ({REFERENCE}), h AS (SELECT o.key, s.family, s.variant, s.kind, s.sources, o.seen, s.fresh FROM ({SEEN}) o JOIN s ON s.kind = o.kind AND s.value = o.value), span AS (SELECT family, min(f) AS f, max(t) AS t FROM s GROUP BY 1),
+    v AS (SELECT key, family, bool_or(e) AND bool_or(n) AND NOT bool_or(e AND n) AS differ FROM (SELECT key, family, variant, bool_or(kind = 'extension') AS e, bool_or(kind = 'note') AS n FROM h WHERE variant IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    g AS (SELECT key, family, count(DISTINCT kind) AS features, max(sources) AS sources, min(seen) AS seen, min(fresh) < TIMESTAMP '2026-06-01' AS stale, bool_or(kind = 'extension') AS e, bool_or(kind = 'note') AS n FROM h GROUP BY 1, 2),
+    c AS (SELECT g.key, g.family, features, CASE WHEN features >= 2 THEN 'corroborated' WHEN sources >= 2 THEN 'single_feature' ELSE 'weak_lead' END AS support, coalesce(differ, false) AS variants_differ,
+        CASE WHEN seen < f THEN 'before_cited_sources' WHEN seen > t THEN 'after_cited_sources' ELSE 'within_cited_sources' END AS period, stale, e, n FROM g JOIN span USING (family) LEFT JOIN v ON v.key = g.key AND v.family = g.family)"""
 
 
-@query("q17_lookup", "SELECT c_custkey, n_name, n_name IS NOT NULL AS known FROM (SELECT c_custkey, c_nationkey + c_custkey % 2 * 100 AS k FROM customer) LEFT JOIN nation ON n_nationkey = k")
-def q17(spark, d):
-    refs = table(spark, d, "nation").select(F.upper("n_name").alias("_u"), "n_name", F.col("n_nationkey").alias("k"))
-    found = table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") + F.col("c_custkey") % 2 * 100).alias("k")).join(refs, "k", "left")
-    return found.select("c_custkey", "n_name", F.col("n_name").isNotNull().alias("known"))
+def candidates(spark, d):
+    """Features by order (what its lines were shipped by, under two kinds of name) against a reference set of suppliers by nation."""
+    odd = F.col("l_linenumber") % 2 == 1
+    obs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.when(odd, "extension").otherwise("note").alias("kind"), F.concat(F.when(odd, "x").otherwise("note"), F.col("l_suppkey").cast("string")).alias("value"), F.col("l_shipdate").alias("seen"))
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    after = lambda day, n: F.lit(day).cast("timestamp_ntz") + F.make_dt_interval(n.cast("int"))
+
+    def known(kind, word, variant):
+        return s.select(
+            F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("family"), F.when(k % 3 != 2, F.concat(F.lit("v"), (variant % 2).cast("string"))).alias("variant"), F.lit(kind).alias("kind"), F.concat(F.lit(word), k.cast("string")).alias("value"),
+            (k % 3).alias("sources"), after("1997-01-01", k % 100).alias("dated_from"), after("1999-07-01", k % 100).alias("dated_to"), after("2026-01-01", k % 400).alias("fresh_until"), k.alias("s"),
+        )
+
+    refs = known("extension", "X", k).where("s % 4 <> 1").unionByName(known("note", "Note", F.floor(k / 3).cast("long")).where("s % 3 <> 0")).drop("s")
+    return R.family_candidates(obs, refs, ["extension", "note"], F.lit("2026-06-01").cast("timestamp_ntz"))
+
 
+@query("q16_family_candidates", f"WITH {CANDIDATES} SELECT key, family, features, support, variants_differ, period, stale FROM c")
+def q16_candidates(spark, d):
+    return candidates(spark, d).drop("mask")
 
-@query("q18_tree_survey", "SELECT source, count(*)::BIGINT AS visited, count(*) FILTER (length(text) < 64)::BIGINT AS unmeasured, round(count(*) FILTER (regexp_matches(text, '[0-9]{9,}')) / count(*), 4) AS share FROM documents GROUP BY 1")
+
+@query("q16_family_match", f"""WITH {CANDIDATES}, k AS (SELECT *, CASE support WHEN 'corroborated' THEN 2 WHEN 'single_feature' THEN 1 ELSE 0 END * 64 + features AS r FROM c),
+    b AS (SELECT key, count(*) AS families, max(r) AS top, bool_or(stale) AS stale, bool_or(variants_differ) OR (bool_or(e) AND bool_or(n) AND NOT bool_or(e AND n)) AS contradiction FROM k GROUP BY 1), w AS (SELECT k.key, count(*) AS n, min(family) AS one FROM k JOIN b ON b.key = k.key AND b.top = k.r GROUP BY 1)
+    SELECT o.key, CASE WHEN b.key IS NULL THEN 'unidentified' WHEN families = 1 THEN 'candidate' WHEN w.n = 1 THEN 'leading_candidate' ELSE 'ambiguous' END AS outcome, CASE WHEN w.n = 1 THEN one END AS leading, coalesce(families, 0) AS families, coalesce(contradiction, false) AS contradiction, CASE WHEN stale THEN 'partial' ELSE 'complete' END AS status
+    FROM (SELECT DISTINCT l_orderkey AS key FROM lineitem) o LEFT JOIN b ON b.key = o.key LEFT JOIN w ON w.key = o.key""")
+def q16(spark, d):
+    """Each order's family by its features: which leads, whether kinds of feature contradict each other, whether what was met is past its date."""
+    return R.family_match(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key")), candidates(spark, d), ["extension", "note"])
+
+
+@query("q17_lookup", """WITH a AS (SELECT c_custkey AS key, CASE c_custkey % 4 WHEN 0 THEN 'nation ' WHEN 1 THEN 'nation ' WHEN 2 THEN 'land ' ELSE 'nobody ' END || c_nationkey AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS variant FROM customer),
+    n AS (SELECT n_nationkey AS entry, 'nation ' || n_nationkey AS name FROM nation UNION SELECT n_nationkey, 'land ' || n_nationkey FROM nation UNION SELECT n_nationkey, 'land ' || (n_nationkey + 1) FROM nation WHERE n_nationkey % 5 = 0),
+    v AS (SELECT n_nationkey AS entry, CASE WHEN n_nationkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS v FROM nation WHERE n_nationkey % 5 <> 0), q AS (SELECT n_nationkey AS entry, '1-URGENT' AS need FROM nation WHERE n_nationkey % 3 <> 0 UNION ALL SELECT n_nationkey, '2-HIGH' FROM nation WHERE n_nationkey % 2 = 0),
+    h AS (SELECT o_custkey AS key, o_orderpriority AS need, bool_or(o_orderstatus <> 'F') AS held FROM orders GROUP BY 1, 2 HAVING bool_or(o_orderstatus <> 'F') = bool_and(o_orderstatus <> 'F')),
+    f AS (SELECT a.key, a.variant, n.entry FROM a LEFT JOIN n USING (name)), c AS (SELECT f.key, f.entry, count(need) AS needs, count(*) FILTER (held) AS met, count(*) FILTER (NOT held) AS unmet FROM f JOIN q USING (entry) LEFT JOIN h USING (key, need) GROUP BY 1, 2)
+    SELECT f.key, f.variant, f.entry, CASE WHEN f.entry IS NULL THEN 'no_entry_in_snapshot' ELSE 'entry_found' END AS result,
+        CASE WHEN f.entry IS NULL THEN NULL WHEN f.variant IS NULL THEN 'variant_not_given' WHEN v.v IS NULL THEN 'source_names_no_versions' WHEN v.v = f.variant THEN 'stated_for_this_variant' ELSE 'not_stated_for_this_variant' END AS variant_status,
+        CASE WHEN f.entry IS NOT NULL THEN coalesce(needs, 0) END AS needs, CASE WHEN f.entry IS NOT NULL THEN coalesce(met, 0) END AS met, CASE WHEN f.entry IS NOT NULL THEN coalesce(unmet, 0) END AS unmet,
+        CASE WHEN f.entry IS NULL THEN NULL WHEN needs IS NULL THEN 'none_stated' WHEN unmet > 0 THEN 'not_met' WHEN met = needs THEN 'all_met' ELSE 'unknown' END AS prerequisites, DATE '2026-01-01' + (f.entry * 30)::INT < DATE '2026-12-01' AS stale
+    FROM f LEFT JOIN v USING (entry) LEFT JOIN c ON c.key = f.key AND c.entry = f.entry""")
+def q17(spark, d):
+    """Names that customers ask for, in any case and by alias, in a snapshot of nations: for their variant or not, with what it needs, in date or not."""
+    c, n, k, e = table(spark, d, "customer"), table(spark, d, "nation"), F.col("c_custkey") % 4, F.col("n_nationkey")
+    no = F.col("c_nationkey").cast("string")
+    name = F.concat(F.when(k == 0, "nation_").when(k == 1, "NATION  ").when(k == 2, "Land-").otherwise("nobody "), no)
+    asked = c.select(F.col("c_custkey").alias("key"), name.alias("name"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("variant"))
+    entries = n.select(e.alias("entry"), F.col("n_name").alias("name"), F.date_add(F.lit("2026-01-01").cast("date"), (e * 30).cast("int")).alias("fresh_until"))
+    land = lambda rows, m: rows.select(e.alias("entry"), F.concat(F.lit("land "), m.cast("string")).alias("name"))
+    variants = n.where("n_nationkey % 5 <> 0").select(e.alias("entry"), F.when(e % 2 == 0, "Building").otherwise("Machinery").alias("variant"))
+    needs = n.where("n_nationkey % 3 <> 0").select(e.alias("entry"), F.lit("1-URGENT").alias("need")).unionByName(n.where("n_nationkey % 2 = 0").select(e.alias("entry"), F.lit("2-HIGH").alias("need")))
+    held = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("need"), (F.col("o_orderstatus") != "F").alias("held"))
+    return R.lookup(asked, entries, land(n, e).unionByName(land(n.where("n_nationkey % 5 = 0"), e + 1)), variants, needs, held, F.lit("2026-12-01").cast("date"))
+
+
+SURVEYED = """f AS (SELECT doc_id, source, 'report' || doc_id || CASE doc_id % 7 WHEN 0 THEN '.docx' WHEN 1 THEN '.docx.locked' WHEN 2 THEN '.PDF.id77.crypt' WHEN 3 THEN '.pdf' WHEN 4 THEN '.xyz' WHEN 5 THEN '.zip' ELSE '' END AS path, doc_id % 37 <> 0 AS ok,
+        CASE WHEN doc_id % 10 = 0 THEN array_to_string([sha256(doc_id || ':' || i) for i in range(256)], '') ELSE hex(encode(coalesce(text, ''))) END AS h FROM documents),
+    b AS (SELECT doc_id, unnest(regexp_extract_all(substring(h, 1, 131072), '..')) AS c FROM f WHERE ok AND length(h) > 8192), n AS (SELECT doc_id, c, count(*) AS n FROM b GROUP BY 1, 2),
+    e AS (SELECT doc_id, -sum(n / t * log2(n / t)) AS bits FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM n) GROUP BY 1),
+    s AS (SELECT f.doc_id, source, path, length(h) // 2 AS size, bits, CASE doc_id % 7 WHEN 1 THEN '.locked' WHEN 2 THEN '.crypt' END AS appended, CASE WHEN NOT ok THEN 'read_failed' WHEN doc_id % 7 IN (1, 2) OR bits >= 7.5 THEN 'candidate' WHEN length(h) <= 8192 THEN 'unmeasured' ELSE 'noncandidate' END AS status FROM f LEFT JOIN e USING (doc_id))"""
+
+
+def survey(spark, d):
+    """Documents as files with names of several shapes; a tenth hold random bytes, some could not be read."""
+    docs, k = table(spark, d, "documents"), F.col("doc_id")
+    ext = F.when(k % 7 == 0, ".docx").when(k % 7 == 1, ".docx.locked").when(k % 7 == 2, ".PDF.id77.crypt").when(k % 7 == 3, ".pdf").when(k % 7 == 4, ".xyz").when(k % 7 == 5, ".zip").otherwise("")
+    noise = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.sha2(F.concat(k.cast("string"), F.lit(":"), i.cast("string")), 256)), ""))
+    raw = F.when(k % 10 == 0, noise).otherwise(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    files = docs.select("doc_id", "source", F.concat(F.lit("report"), k.cast("string"), ext).alias("path"), (k % 37 != 0).alias("ok"), raw.alias("raw"))
+    return S.tree_survey(files.withColumn("size", F.length("raw").cast("long")), "path", "size", "raw", "ok")
+
+
+@query("q18_survey_files", f"WITH {SURVEYED} SELECT doc_id, status, round(bits, 4) AS head_entropy, appended, CASE WHEN status = 'candidate' THEN concat_ws(',', CASE WHEN appended IS NOT NULL THEN 'appended_extension_after_known_extension' END, CASE WHEN bits >= 7.5 THEN 'head_entropy_at_least_7.5' END) ELSE '' END AS reasons FROM s")
+def q18_files(spark, d):
+    return survey(spark, d).select("doc_id", "status", F.round("head_entropy", 4).alias("head_entropy"), "appended", "reasons")
+
+
+@query("q18_tree_survey", f"WITH {SURVEYED} SELECT source, count(*)::BIGINT AS visited, " + ", ".join(f"count(*) FILTER (status = '{x}')::BIGINT AS {x}, coalesce(sum(size) FILTER (status = '{x}'), 0)::BIGINT AS {x}_bytes" for x in ("candidate", "noncandidate", "unmeasured", "read_failed")) + ", round(count(*) FILTER (status = 'candidate') / count(*), 4) AS fraction, CASE WHEN bool_or(status = 'read_failed') THEN 'partial' ELSE 'complete' END AS state FROM s GROUP BY 1")
 def q18(spark, d):
-    odd = F.col("text").rlike("[0-9]{9,}")
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("visited"), F.count_if(F.length("text") < 64).alias("unmeasured"), F.round(F.count_if(odd) / F.count("*"), 4).alias("share"))
+    """Files and bytes that look encrypted, do not, were not measured and were not read, by the tree they are in."""
+    return S.survey_totals(survey(spark, d), ["source"], "size")
+
+
+@query("q18_survey_hours", f"WITH {SURVEYED} SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, count(*)::BIGINT AS files, count(*) FILTER (status = 'candidate')::BIGINT AS candidates FROM s LEFT JOIN events ON event_id = doc_id GROUP BY 1")
+def q18_hours(spark, d):
+    stamps = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), "ts")
+    return S.survey_hours(survey(spark, d).join(stamps, "doc_id", "left"), "ts")
 
 
 @query("q19_match_audit", "SELECT DISTINCT a.event_id FROM events a JOIN events b ON a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND a.event_type = b.event_type AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 120000000")
@@ -168,12 +281,29 @@ def q21(spark, d):
     return Q.citations(table(spark, d, "events").select("event_id", text.alias("t")), "event_id", "t")
 
 
-@query("q22_support_defects", "SELECT o_orderkey, 'no_support' AS code FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT o_orderkey, 'disputed' FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R'")
+ENTRIES = "SELECT DISTINCT conv_id * 1000 + turn AS seq, role = 'assistant' AS answer, conv_id % 9 = 4 AND turn % 4 = 1 AS old FROM conversations"
+
+
+@query("q22_support_defects", f"""WITH e AS ({ENTRIES}), live AS (SELECT * FROM e WHERE NOT old), a AS (SELECT seq FROM live WHERE answer),
+    c AS (SELECT seq, seq - 1 AS cited FROM e WHERE answer AND (seq // 1000) % 7 <> 0 UNION SELECT seq, seq - 2 FROM e WHERE answer AND (seq // 1000) % 2 = 0 AND seq % 1000 >= 2 UNION SELECT seq, seq + 500 FROM e WHERE answer AND (seq // 1000) % 13 = 0),
+    t AS (SELECT DISTINCT conv_id * 1000 + turn AS seq, unnest(list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: length(x) >= 10)) AS w FROM conversations), d AS (SELECT doc_id * 1000 + doc_id % 3 AS seq, count(*) AS n FROM labels WHERE quality = 0 AND toxic = 0 GROUP BY 1),
+    j AS (SELECT DISTINCT (event_id // 100) * 1000 + user_id % 6 AS seq, event_id FROM events WHERE event_type = 'error' AND value >= 50), ca AS (SELECT c.* FROM c JOIN a USING (seq))
+    SELECT seq, 'disputed' AS code, n::BIGINT AS n FROM d WHERE seq IN (SELECT seq FROM live) UNION ALL SELECT seq, 'no_support', 1 FROM a WHERE seq NOT IN (SELECT seq FROM c) UNION ALL SELECT seq, 'missing', count(*) FROM ca WHERE cited NOT IN (SELECT seq FROM e) GROUP BY 1
+    UNION ALL SELECT ca.seq, 'replaced', count(*) FROM ca JOIN e ON e.seq = cited AND e.old GROUP BY 1 UNION ALL SELECT ca.seq, 'rests_on_disputed', count(*) FROM ca JOIN d ON d.seq = cited JOIN e ON e.seq = cited GROUP BY 1
+    UNION ALL SELECT a.seq, 'unsupported_tokens', count(*) FROM a JOIN t USING (seq) WHERE NOT EXISTS (SELECT 1 FROM c JOIN t u ON u.seq = c.cited WHERE c.seq = a.seq AND u.w = t.w) GROUP BY 1 UNION ALL SELECT seq, 'failed_job', count(*) FROM j WHERE seq IN (SELECT seq FROM live) GROUP BY 1""")
 def q22(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey")
-    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
-    bare = o.join(l, "o_orderkey", "left_anti").withColumn("code", F.lit("no_support"))
-    return bare.unionByName(o.join(l.where("l_returnflag = 'R'"), "o_orderkey", "left_semi").withColumn("code", F.lit("disputed")))
+    """What is wrong with the support of turns as entries: answers rest on the turns that they cite, turns on jobs, labels dispute turns."""
+    c, s = table(spark, d, "conversations"), F.col("seq")
+    seq = (F.col("conv_id") * 1000 + F.col("turn")).alias("seq")
+    conv = F.floor(s / 1000)
+    rows = keep(c.select(seq, F.when(F.col("role") == "assistant", "answer").otherwise("entry").alias("kind"), ((F.col("conv_id") % 9 == 4) & (F.col("turn") % 4 == 1)).alias("superseded")).distinct())
+    answers = rows.where("kind = 'answer'")
+    cites = answers.where(conv % 7 != 0).select("seq", (s - 1).alias("cited")).unionByName(answers.where((conv % 2 == 0) & (s % 1000 >= 2)).select("seq", (s - 2).alias("cited"))).unionByName(answers.where(conv % 13 == 0).select("seq", (s + 500).alias("cited")))
+    tokens = c.select(seq, F.explode(F.filter(F.split("text", "[ \n]+"), lambda w: F.length(w) >= 10)).alias("token"))
+    disputes = table(spark, d, "labels").where("quality = 0").select((F.col("doc_id") * 1000 + F.col("doc_id") % 3).alias("target"), (F.col("toxic") == 0).alias("stands"))
+    of = (F.floor(F.col("event_id") / 100) * 1000 + F.col("user_id") % 6).cast("long")
+    rests = table(spark, d, "events").select(of.alias("seq"), F.col("event_id").alias("job"), (F.col("event_type") == "error").alias("failed"), (F.col("value") < 50).alias("qualified"))
+    return A.support_defects(rows, cites, tokens, disputes, rests)
 
 
 ROUTES = "SELECT 'n' || n_nationkey AS route, CASE WHEN n_nationkey % 6 = 5 THEN 'elsewhere' || n_nationkey ELSE 'n' || n_nationkey END AS target FROM nation UNION ALL SELECT 'c' || c_custkey, 'c' || c_custkey FROM customer"
@@ -200,9 +330,16 @@ def q23(spark, d):
     return met.select("route", how.alias("how"), F.when(F.col("held").isNull(), "not tracked").when(F.col("how").isNull() & F.col("record").isNull(), "never searched").alias("why"))
 
 
-@query("q24_quick_negatives", f"WITH h AS ({HOLDINGS}) SELECT lead FROM h WHERE t IS NOT NULL AND epoch_us(t) - epoch_us(f) < 7200000000")
+@query("q24_quick_negatives", f"""WITH h AS ({HOLDINGS}), l AS (SELECT h.*, epoch_us(t) - epoch_us(f) AS held FROM h JOIN events e ON e.event_id = h.lead WHERE e.value < 60 AND t IS NOT NULL AND epoch_us(t) - epoch_us(f) <= 14400000000),
+    j AS (SELECT event_id AS job, user_id % 20 AS seat, ts, user_id AS object FROM events WHERE event_type IN ('view', 'click') UNION ALL SELECT event_id, user_id % 20, ts, user_id + 1000 FROM events WHERE event_type = 'click' AND event_id % 4 = 0)
+    SELECT lead, held AS held_us, min(job) AS job, min(object) AS object FROM l JOIN j ON j.seat = l.seat AND j.ts >= l.f AND j.ts <= l.t GROUP BY 1, 2 HAVING count(DISTINCT job) = 1 AND count(DISTINCT object) = 1""")
 def q24(spark, d):
-    return holdings(spark, d).where("t is not null").where(micros("t") - micros("f") < 7_200_000_000).select("lead")
+    """Negative leads that were closed within four hours after one job over one object."""
+    e = table(spark, d, "events").withColumn("seat", F.col("user_id") % 20)
+    found = e.select(F.col("event_id").alias("lead"), (F.col("value") < 60).alias("negative"))
+    jobs = e.where("event_type in ('view', 'click')").select(F.col("event_id").alias("job"), "seat", "ts", F.col("user_id").alias("object"))
+    more = e.where("event_type = 'click' and event_id % 4 = 0").select(F.col("event_id").alias("job"), "seat", "ts", (F.col("user_id") + 1000).alias("object"))
+    return A.quick_negatives(holdings(spark, d).join(found, "lead"), jobs.unionByName(more), "seat", "f", "t", "ts", 4 * 3600)
 
 
 @query("q25_preparation_findings", "SELECT o_orderkey, CASE WHEN bool_or(l_linestatus = 'O') THEN 'hold' ELSE 'warn' END AS finding FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linestatus = 'O' OR l_returnflag = 'R' GROUP BY 1")

@@ -8,6 +8,7 @@ from casewright import functions as X
 from casewright.operators import joins as J
 from casewright.operators import texts as T
 from casewright.operators.joins import micros
+from casewright.operators.sequence import haversine
 from casewright.operators import quantiles as Z
 from casewright.operators import zones as Zn
 from casewright.operators.sweep import leak_scan, sweep
@@ -143,11 +144,31 @@ def h14(spark, d):
     return table(spark, d, "documents").where(~first.contains("/") & ~first.contains("=")).select("doc_id", X.leading_command(line).alias("command"))
 
 
-@query("h15_address_class", "SELECT a % 4 AS kind, count(*)::BIGINT AS n FROM (SELECT event_id AS a FROM events) WHERE a % 4 IN (0, 1, 2) GROUP BY 1")
+_A, _B = "(event_id * 37) % 256", "(event_id * 101 + 7) % 256"
+ADDRESSES = f"""SELECT event_id, value, user_id, CASE event_id % 10 WHEN 0 THEN '10.' || {_A} || '.0.1' WHEN 1 THEN '172.' || event_id * 7 % 64 || '.3.' || {_B} WHEN 2 THEN '192.' || (160 + event_id % 16) || '.2.' || {_A} WHEN 3 THEN '100.' || event_id * 11 % 256 || '.9.9' WHEN 4 THEN {_B} || '.' || {_A} || '.2.5'
+    WHEN 5 THEN '::ffff:10.0.' || {_A} || '.1' WHEN 6 THEN 'FE80::' || event_id WHEN 7 THEN 'fd12::' || event_id WHEN 8 THEN '2a00::' || event_id ELSE (256 + event_id % 9) || '.1.1.1' END AS a, {_B} || '.' || {_A} || '.' || (event_id % 256) || '.1' AS b FROM events"""
+_CLASS = """CASE WHEN {0} LIKE 'FE80::%' THEN 'link_local' WHEN {0} LIKE 'fd12::%' THEN 'private' WHEN {0} LIKE '2a00::%' THEN 'public' WHEN {0} LIKE '::ffff:10.%' THEN 'private' WHEN {1} > 255 THEN 'invalid' WHEN {1} = 0 OR {1} >= 240 OR ({1} = 198 AND {2} IN (18, 19)) THEN 'reserved'
+    WHEN {1} = 10 OR ({1} = 172 AND {2} BETWEEN 16 AND 31) OR ({1} = 192 AND {2} = 168) THEN 'private' WHEN {1} = 100 AND {2} BETWEEN 64 AND 127 THEN 'shared' WHEN {1} = 127 THEN 'loopback' WHEN {1} = 169 AND {2} = 254 THEN 'link_local'
+    WHEN ({1} = 192 AND {2} = 0 AND {3} = 2) OR ({1} = 198 AND {2} = 51 AND {3} = 100) OR ({1} = 203 AND {2} = 0 AND {3} = 113) THEN 'documentation' WHEN {1} >= 224 THEN 'multicast' ELSE 'public' END"""
+_PART = "TRY_CAST(split_part({}, '.', {}) AS INT)"
+_OWN = "IN ('private', 'shared', 'loopback', 'link_local')"
+
+
+@query("h15_address_class", f"""WITH d AS ({ADDRESSES}), c AS (SELECT *, {_CLASS.format('a', *(_PART.format('a', i) for i in (1, 2, 3)))} AS ca, {_CLASS.format('b', *(_PART.format('b', i) for i in (1, 2, 3)))} AS cb, user_id % 180 - 90 AS y1, user_id * 7 % 360 - 180 AS x1, event_id % 180 - 90 AS y2, event_id * 3 % 360 - 180 AS x2 FROM d)
+    SELECT event_id, ca AS source_class, CASE WHEN ca = 'invalid' OR cb = 'invalid' THEN 'unknown' WHEN ca {_OWN} AND cb {_OWN} THEN 'internal' WHEN ca {_OWN} THEN 'outbound' WHEN cb {_OWN} THEN 'inbound' ELSE 'external' END AS side,
+        round(2 * 6371 * asin(sqrt(least(1.0, sin(radians(y2 - y1) / 2) ** 2 + cos(radians(y1)) * cos(radians(y2)) * sin(radians(x2 - x1) / 2) ** 2))), 3) AS km FROM c""")
 def h15(spark, d):
-    k = F.col("event_id") % 4
-    addr = F.when(k == 0, "10.1.2.3").when(k == 1, "192.168.0.9").when(k == 2, "172.31.1.1").otherwise("8.8.8.8")
-    return table(spark, d, "events").where(X.is_internal(addr)).groupBy(k.alias("kind")).agg(F.count("*").alias("n"))
+    """The class of each source, which way the traffic went, and how far apart two places are."""
+    k, u, s = F.col("event_id"), F.col("user_id"), lambda c: c.cast("string")
+    a, b = s((k * 37) % 256), s((k * 101 + 7) % 256)
+    join = lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in c))
+    forms = [join("10.", a, ".0.1"), join("172.", s(k * 7 % 64), ".3.", b), join("192.", s(k % 16 + 160), ".2.", a), join("100.", s(k * 11 % 256), ".9.9"), join(b, ".", a, ".2.5"), join("::ffff:10.0.", a, ".1"), join("FE80::", s(k)), join("fd12::", s(k)), join("2a00::", s(k))]
+    source = join(s(k % 9 + 256), ".1.1.1")
+    for i, form in enumerate(forms):
+        source = F.when(k % 10 == i, form).otherwise(source)
+    rows = table(spark, d, "events").select("event_id", source.alias("a"), join(b, ".", a, ".", s(k % 256), ".1").alias("b"), (u % 180 - 90).alias("y1"), (u * 7 % 360 - 180).alias("x1"), (k % 180 - 90).alias("y2"), (k * 3 % 360 - 180).alias("x2"))
+    km = haversine(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"))
+    return rows.select("event_id", X.address_class(F.col("a")).alias("source_class"), X.traffic_side(F.col("a"), F.col("b")).alias("side"), F.round(km, 3).alias("km"))
 
 
 @query("h16_time_anomalies", "SELECT l_orderkey, l_linenumber, l_shipdate < o_orderdate AS before_creation, epoch_us(l_shipdate) % 1000000 = 0 AS zero_fraction FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
