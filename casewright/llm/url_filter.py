@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIM, GRAMS, REG = 1024, (3, 4), 0.02
+DIM, GRAMS, REG = 2048, (3, 4), 0.001
 #: The rules are part of the plan; more than this belong in a table of their own.
 MAX_RULES = 2000
 
@@ -32,7 +32,8 @@ def _grams(text: Column, n: int, tag: str) -> Column:
 
 
 def features(host: Column, path: Column) -> Column:
-    """Cells 0..DIM-1 of the n-grams of ``^host$`` and, apart from them, of ``path$``."""
+    """Cells 0..DIM-1 of the n-grams of ``^host$`` and, apart from them, of ``path$``; a run of digits of any length counts as one digit."""
+    host, path = (F.regexp_replace(c, "[0-9]+", "0") for c in (host, path))
     out = [_grams(text, n, f"{side}{n}") for side, text in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.concat(path, F.lit("$")))) for n in GRAMS]
     return F.concat(*out)
 
@@ -47,10 +48,13 @@ def train(labelled: DataFrame, reg: float = REG) -> tuple[list[float], float]:
     if known.isEmpty():
         return [0.0] * DIM, float("-inf")
     counts = known.select("url", F.col("label").cast("double").alias("label"), F.explode(features(host, path)).alias("cell")).groupBy("url", "label", "cell").agg(F.sqrt(F.count("*")).alias("w"))
-    sparse = counts.groupBy("url", "label").agg(F.map_from_entries(F.collect_list(F.struct("cell", "w"))).alias("at"))  # at most DIM entries
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda d: F.coalesce(F.try_element_at("at", d), F.lit(0.0)))
+    sparse = counts.groupBy("url", "label").agg(F.array_sort(F.collect_list(F.struct("cell", "w"))).alias("at"))  # at most DIM entries
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    before = lambda i: F.coalesce(F.get("at", i - 1)["cell"], F.lit(-1))
+    upto = F.flatten(F.transform("at", lambda e, i: F.concat(zeros(e["cell"] - before(i) - 1), F.array(e["w"]))))
+    dense = F.concat(upto, zeros(F.lit(DIM) - F.size(upto)))
     rows = sparse.select("label", array_to_vector(dense).alias("features"))
-    model = LogisticRegression(regParam=reg, standardization=False, maxIter=100).fit(rows)
+    model = LogisticRegression(regParam=reg, standardization=False, maxIter=40, tol=1e-4).fit(rows)
     return [float(w) for w in model.coefficients], float(model.intercept)
 
 

@@ -448,6 +448,22 @@ def test_url_filter(spark):
     assert url_filter.url_filter(pages.limit(0), url_labels.labelled(spark), []).count() == 0
 
 
+def test_url_verdicts_on_urls_not_learned(spark):
+    """Urls of the series past those learned from, and hosts under several paths: all of an unwanted host is blocked, at most one in fifty of the others."""
+    held = url_labels.made(1000, 300)
+    learned = {u for u, _ in url_labels.made(0, url_labels.MADE)}
+    pages = [(i, u, k) for i, (u, k) in enumerate(held) if u not in learned]
+    assert len(pages) > 800
+    hosts = [(f"{p}{h}.example.com", k) for k, names in ((1, ("casino-bets", "cheap-loans", "free-prize", "ads-click")), (0, ("city-library", "museum-garden", "weather-maps", "school-news"))) for h in names for p in ("", "m.", "www.")]
+    many = [(10_000 + 10 * i + j, f"https://{h}/{lang}/{37 * j * i + 5}{end}", k) for i, (h, k) in enumerate(hosts) for j, (lang, end) in enumerate((("en", ""), ("en", ".html"), ("de", "/"), ("fr", "?page=2"), ("es", "#top")))]
+    df = spark.createDataFrame(pages + many, "page_id long, url string, k int")
+    got = {r.page_id: r.verdict == "block" for r in url_filter.url_filter(df, url_labels.labelled(spark), []).collect()}
+    caught = sum(got[i] and k for i, _, k in pages)
+    assert caught / sum(k for _, _, k in pages) >= 0.95 and caught / sum(got[i] for i, _, _ in pages) >= 0.95
+    assert all(got[i] for i, _, k in many if k)
+    assert sum(got[i] for i, _, k in many if not k) <= sum(1 - k for _, _, k in many) / 50
+
+
 def test_ann(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 16)).astype(np.float32)
