@@ -96,9 +96,13 @@ def withheld_names(url: Column, names: Sequence[str] = SECRET_NAMES) -> Column:
     return F.array_sort(F.array_distinct(F.concat(user, F.regexp_extract_all(url, F.lit(rf"[?&#]({'|'.join(names)})=[^&#]+"), F.lit(1)))))
 
 
+#: No letter, mark, digit or underscore of any script, or an end of the text; what ``\b`` takes for a letter depends on the engine.
+EDGE = r"(^|[^\p{L}\p{M}\p{N}_])", r"([^\p{L}\p{M}\p{N}_]|$)"
+
+
 def flag_phrases(col: Column, phrases: Sequence[str]) -> Column:
-    """The phrases that a text uses as whole words, in the given order."""
-    return F.filter(F.array(*(F.when(col.rlike(rf"(?i)\b{re.escape(p)}\b"), F.lit(p)) for p in phrases)), lambda x: x.isNotNull())
+    """The phrases that a text uses as whole words, in the given order and in any case; letters of all scripts make up words."""
+    return F.filter(F.array(*(F.when(col.rlike(f"(?iu){EDGE[0]}{re.escape(p)}{EDGE[1]}"), F.lit(p)) for p in phrases)), lambda x: x.isNotNull())
 
 
 def refang(col: Column) -> Column:

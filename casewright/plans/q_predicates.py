@@ -111,7 +111,7 @@ def b9(spark, d):
     return table(spark, d, "events").groupBy("event_type", kind.alias("category"), failed.alias("failed")).agg(F.count("*").alias("n"))
 
 
-@query("b10_flag_phrases", "SELECT doc_id, " + " || ".join(f"CASE WHEN regexp_matches(text, '(?i)\\b{p}\\b') THEN '{p};' ELSE '' END" for p in FLAGS) + " AS flags FROM documents")
+@query("b10_flag_phrases", "SELECT doc_id, " + " || ".join(f"CASE WHEN regexp_matches(text, '(?i){P.EDGE[0]}{p}{P.EDGE[1]}') THEN '{p};' ELSE '' END" for p in FLAGS) + " AS flags FROM documents")
 def b10(spark, d):
     used = P.flag_phrases(F.col("text"), FLAGS)
     return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(used, lambda x: F.concat(x, F.lit(";"))), "").alias("flags"))

@@ -270,3 +270,9 @@ def test_sweep_equals_a_search_word_by_word(spark):
                 want.add((i, n, at + 1))
                 at = t.find(w, at + 1)
     assert set(got) == want and len(got) == len(want) and len(texts[-1].encode()) > 2 * module.BLOCK
+
+
+def test_phrases_are_whole_words_of_any_script(spark):
+    texts = ["no", "NO!", "noć", "año no", "éno", "no\u0301", "no_", "9no", "was\nthis", "thiſ", "«no»", "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", P.flag_phrases(F.col("t"), ("this", "was", "no")).alias("x")).collect()
+    assert {r.i: r.x for r in got} == {0: ["no"], 1: ["no"], 3: ["no"], 8: ["this", "was"], 9: ["this"], 10: ["no"]} | {i: [] for i in (2, 4, 5, 6, 7, 11, 12)}
