@@ -29,11 +29,12 @@ def l4(spark, d):
     return L.status(table(spark, d, "events"), F.col("event_id") % 11 != 0, F.col("event_id") % 11 == 0)
 
 
-@query("k7_caps_batch", "SELECT event_id, round(sum(value) OVER w, 4) AS total, sum(value) OVER w > 2000 AS over FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)")
+@query("k7_caps_batch", "SELECT event_id, round(sum(value::DECIMAL(28, 6)) OVER w, 4)::DOUBLE AS total, sum(value::DECIMAL(28, 6)) OVER w > 2000 AS over FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def k7(spark, d):
-    """The batch twin of the budget watch: what each row brings its key to."""
-    w = Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.round(F.sum("value").over(w), 4).alias("total"), (F.sum("value").over(w) > 2000).alias("over"))
+    """The batch twin of the budget watch: what each row brings its key to, in order of time and, at one instant, of id. Values count to a millionth."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    spent = F.sum(F.col("value").cast("decimal(28,6)")).over(w)
+    return table(spark, d, "events").select("event_id", F.round(spent, 4).cast("double").alias("total"), (spent > 2000).alias("over"))
 
 
 @query("p1_logons_after_failures", "WITH r AS (SELECT user_id, ts, event_type = 'error' AS f FROM events WHERE event_type IN ('error', 'signup')), i AS (SELECT *, coalesce(sum((NOT f)::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM r) SELECT user_id, count(*) FILTER (f)::BIGINT AS failures FROM i GROUP BY user_id, i HAVING count(*) FILTER (f) >= 1 AND count(*) FILTER (NOT f) > 0")
