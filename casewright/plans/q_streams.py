@@ -96,10 +96,10 @@ def k6(spark, d):
 GRACE_MS, CAP = 86_400_000, 2000.0
 
 
-@query("k7_caps", f"WITH t AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS total FROM events), s AS (SELECT user_id, min(ms) AS ms, arg_min(total, ms) AS total FROM t WHERE total > {CAP} GROUP BY 1) SELECT user_id, 'steer' AS action, ms AS at_ms, round(total, 4) AS total FROM s UNION ALL SELECT user_id, 'pause', ms + {GRACE_MS}, NULL FROM s")
+@query("k7_caps", f"WITH t AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, row_number() OVER w AS n, sum(value::DECIMAL(28, 6)) OVER w AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), s AS (SELECT user_id, arg_min(ms, n) AS ms, arg_min(total, n) AS total FROM t WHERE total > {CAP} GROUP BY 1) SELECT user_id, 'steer' AS action, ms AS at_ms, round(total, 4)::DOUBLE AS total FROM s UNION ALL SELECT user_id, 'pause', ms + {GRACE_MS}, NULL FROM s")
 def k7s(spark, d):
     """Spending by seat as it comes in: steered at the cap, paused a day later; what was spent by the pause depends on when the clock rang, so it is not compared."""
-    got = done(K.stream_caps(stream(spark, d, True), "user_id", "ts", "value", CAP, GRACE_MS, DELAY), "append").where("user_id >= 0")
+    got = done(K.stream_caps(stream(spark, d, True), "user_id", "ts", "value", CAP, GRACE_MS, DELAY, ["event_id"]), "append").where("user_id >= 0")
     return got.select("user_id", "action", "at_ms", F.when(F.col("action") == "steer", F.round("total", 4)).alias("total"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -143,3 +143,20 @@ def test_offers(spark, days):
     want = {r.user_id for r in first.where("took < made + interval 1 day").collect()}
     assert {r.user_id for r in got.where("status = 'accepted'").collect()} == want
     assert got.where("status = 'lapsed'").count() > 0
+
+
+def test_caps_do_not_depend_on_how_rows_are_cut_or_tied(spark, tmp_path):
+    """A key's rows come in many parts and out of order, some at one instant, and some bring it just to the cap, which does not cross it."""
+    base = datetime(2024, 1, 1)
+    rows = [(i, base + timedelta(seconds=i // 4), 1, 0.1) for i in range(60)] + [(100 + i, base + timedelta(seconds=i), 2, 0.1) for i in range(10)] + [(200, base, 3, 7.0), (201, base, 3, 0.5), (202, base, 3, 0.25)]
+    folder = str(tmp_path / "rows")
+    spark.createDataFrame(rows[::-1], "event_id long, ts timestamp, user_id long, value double").coalesce(1).write.parquet(folder)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        sdf = K.stream_register(spark, folder, "event_id long, ts timestamp, user_id long, value double", "parquet", 1)
+        got = K.run_available(K.stream_caps(sdf, "user_id", "ts", "value", 1.0, 1000, "7 days", ["event_id"]), "append", str(tmp_path / "run")).where("action = 'steer'").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    start = int(base.timestamp() * 1000)
+    assert sorted((r.user_id, r.at_ms - start, r.total) for r in got) == [(1, 2000, 1.1), (3, 0, 7.0)]
