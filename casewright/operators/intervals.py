@@ -3,6 +3,7 @@
 Time between the first and last point is cut in cells, and those in cells twice as large, and so on. An interval is
 cut into the few aligned cells that cover it, at most two of each size, and a point lies in one cell of each size. So the join is an
 equality on size and cell; it makes no candidate that is not a match, but at the two smallest cells of an interval, which it covers in part.
+A key of few intervals needs no cells: its points meet all of them.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.operators.joins import micros
+from casewright.operators.joins import micros, small
 
 #: Sizes of cells: the smallest is a 2^-DEEPEST of the time between the points at the least.
 DEEPEST = 40
+#: Up to so many intervals of a key are compared with each of its points; cells would file and ask more rows than that.
+FEW = 32
 
 
 def _number(df: DataFrame, col: str) -> Column:
@@ -40,32 +43,52 @@ def cells(first: Column, last: Column, depth: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(depth)), at))
 
 
+def _meet(points: DataFrame, held: DataFrame, on: Sequence[str]) -> DataFrame:
+    """An equi-join in which Spark's estimate, which knows nothing of the cells, chooses no broadcast."""
+    looked = small(held)
+    return points.join(looked if looked is not held else held.hint("merge"), list(on))
+
+
 def candidates(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str, end: str) -> DataFrame:
-    """Pairs of a point and an interval from ``start`` to ``end`` that share a cell: all matches, and few other pairs."""
+    """Pairs of a point and an interval from ``start`` to ``end`` that share a cell, or a key of few intervals: all matches, and few other pairs."""
     rest = [c for c in intervals.columns if c not in keys]
     lo, hi = points.agg(F.min(_number(points, at)), F.max(_number(points, at))).first()
     if lo is None:
         return points.limit(0).join(intervals, list(keys))
-    n = intervals.count()
-    depth = min(DEEPEST, math.ceil(math.log2(n + 2)) + 4)  # cells as fine as there are interval ends, and somewhat finer
+    begin, stop = _number(intervals, start), F.coalesce(_number(intervals, end), F.lit(math.inf))
+    held = intervals.where(begin.isNotNull() & (F.col(end).isNull() | (F.col(start) <= F.col(end))) & (begin <= hi) & (stop >= lo)).dropna(subset=list(keys))
+    sizes = held.groupBy(*keys).agg(F.count("*").alias("_n"))
+    some, most = sizes.agg(F.count_if(F.col("_n") <= FEW), F.max("_n")).first()
+    if keys and (most or 0) <= FEW:
+        return _meet(points, held, keys).select(*points.columns, *rest)
+    if not keys or not some:
+        return _filed(points, held, keys, at, begin, stop, lo, hi, most)
+    busy = small(sizes.where(F.col("_n") > FEW).select(*keys))  # a row for every FEW intervals at the most
+    part = lambda df, how: df.join(busy, list(keys), how)
+    plain = _meet(part(points, "left_anti"), part(held, "left_anti"), keys).select(*points.columns, *rest)
+    return plain.unionByName(_filed(part(points, "left_semi"), part(held, "left_semi"), keys, at, begin, stop, lo, hi, most))
+
+
+def _filed(points: DataFrame, held: DataFrame, keys: Sequence[str], at: str, begin: Column, stop: Column, lo: float, hi: float, most: int) -> DataFrame:
+    """Pairs that share a cell; ``most`` is the number of intervals of the key that has most."""
+    rest = [c for c in held.columns if c not in keys]
+    depth = min(DEEPEST, math.ceil(math.log2(most + 2)) + 4)  # cells as fine as there are interval ends of a key, and somewhat finer
     unit = max((hi - lo) / ((1 << depth) - 1), 1e-9)
     cell = lambda x: F.floor((x - F.lit(lo)) / F.lit(unit)).cast("long")
-    begin, stop = _number(intervals, start), F.coalesce(_number(intervals, end), F.lit(math.inf))
-    held = intervals.where(begin.isNotNull() & (F.col(end).isNull() | (F.col(start) <= F.col(end))) & (begin <= hi) & (stop >= lo))
     filed = held.withColumn("_in", F.explode(cells(cell(F.greatest(begin, F.lit(lo))), cell(F.least(stop, F.lit(hi))), depth)))
     filed = filed.select(*keys, F.col("_in.level").alias("_level"), F.col("_in.cell").alias("_cell"), *rest)
     levels = sorted(r[0] for r in filed.select("_level").distinct().collect())  # depth + 1 at the most
     ask = F.array(*(F.struct(F.lit(v).alias("level"), F.shiftright("_fine", v).alias("cell")) for v in levels)) if levels else F.array().cast("array<struct<level:int,cell:bigint>>")
     asked = points.withColumn("_fine", cell(_number(points, at))).withColumn("_in", F.explode(ask))
     asked = asked.select(*points.columns, F.col("_in.level").alias("_level"), F.col("_in.cell").alias("_cell"))
-    return asked.join(filed, [*keys, "_level", "_cell"]).select(*points.columns, *rest)
+    return _meet(asked, filed, [*keys, "_level", "_cell"]).select(*points.columns, *rest)
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str, end: str, closed: bool = False) -> DataFrame:
     """Points with each interval ``[start, end)`` of their key that they lie in, or ``[start, end]`` if ``closed``; an open end is null and never closes.
 
     Intervals without a start, or that end before they begin, hold nothing. Columns of ``intervals`` other than the keys follow those of
-    ``points``. A key with very many points and intervals is spread over its cells.
+    ``points``. A key with very many intervals is spread over its cells.
     """
     before = F.col(at) <= F.col(end) if closed else F.col(at) < F.col(end)
     return candidates(points, intervals, keys, at, start, end).where((F.col(at) >= F.col(start)) & (F.col(end).isNull() | before))

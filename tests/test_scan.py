@@ -92,3 +92,25 @@ def test_the_plan_has_no_range_condition_alone(spark, capsys):
     made.explain("formatted")
     joins = [x for x in capsys.readouterr().out.splitlines() if x.startswith("Left keys")]
     assert joins and all("_level" in x and "_cell" in x for x in joins)
+
+
+def test_keys_of_few_intervals_are_filed_in_no_cells(spark):
+    """Many small keys, a busy one and a null one: a row a point and interval of a small key, not a row a size of cell."""
+    s = spark.range(4000).selectExpr("if(id < 300, 0, if(id % 50 = 1, null, id div 10)) as k", "id as s", "(id * 37) % 1000 as f", "(id * 37) % 1000 + id % 60 as t")
+    p = spark.range(4000).selectExpr("if(id < 300, 0, if(id % 50 = 2, null, id div 10)) as k", "id as p", "(id * 91) % 1000 as at")
+    small_s, small_p = s.where("k > 0"), p.where("k > 0")
+    plan = I.interval_join(small_p, small_s, ["k"], "at", "f", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "_cell" not in plan
+    for a, b in ((p, s), (small_p, small_s)):
+        got = sorted(tuple(r) for r in I.interval_join(a, b, ["k"], "at", "f", "t").select("p", "s").collect())
+        assert got == sorted(tuple(r) for r in a.join(b, "k").where("at >= f and at < t").select("p", "s").collect()) and got
+
+
+def test_filed_intervals_are_not_broadcast_by_their_estimate(spark, tmp_path):
+    """Spark takes a filed side for as small as the file it is read from; 300,000 rows of cells are no broadcast."""
+    path = str(tmp_path / "s")
+    spark.range(20_000).selectExpr("id % 4 as k", "id as f", "id + 900 as t").coalesce(1).write.parquet(path)
+    s = spark.read.parquet(path)
+    made = I.interval_join(spark.range(20_000).selectExpr("id % 4 as k", "id as at"), s, ["k"], "at", "f", "t")
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
