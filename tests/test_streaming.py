@@ -160,3 +160,13 @@ def test_caps_do_not_depend_on_how_rows_are_cut_or_tied(spark, tmp_path):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     start = int(base.timestamp() * 1000)
     assert sorted((r.user_id, r.at_ms - start, r.total) for r in got) == [(1, 2000, 1.1), (3, 0, 7.0)]
+
+
+def test_caps_batch_by_id_at_one_instant(spark, tmp_path):
+    """Rows of one instant count in the order of their ids, however they lie, and just the cap is not over it."""
+    from casewright.plans import all_queries
+
+    rows = [(i, datetime(2024, 1, 1), 1, 66.6 if i < 30 else 2.0) for i in range(32)]
+    spark.createDataFrame(rows[::-1], "event_id long, ts timestamp, user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: (r.total, r.over) for r in all_queries()["k7_caps_batch"](spark, str(tmp_path)).collect()}
+    assert got == {i: (round(66.6 * min(i + 1, 30) + 2.0 * max(i - 29, 0), 4), i == 31) for i in range(32)}
