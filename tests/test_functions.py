@@ -156,6 +156,38 @@ def test_similar_pairs_by_hand(spark):
     assert {tuple(r) for r in T.similar_texts(df, "i", "t", keep).collect()} == links
 
 
+def test_similar_texts_write_less_than_the_texts(spark, monkeypatch):
+    import random
+
+    for name, value in (("FREQUENT", 12), ("_PART", 1 << 12), ("BLOCK", 4)):
+        monkeypatch.setattr(T, name, value, raising=False)
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghijkl", k=6)) for _ in range(900)]
+    rows = []
+    for i in range(240):
+        if i % 3:
+            text = rows[-1][1].split()
+            for _ in range(rng.randrange(40)):
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+        else:
+            text = [vocabulary[min(int(rng.expovariate(0.004)), 899)] for _ in range(rng.choice([8, 60, 400]))] + ["".join(rng.choices("mnopqrstu", k=9)) for _ in range(rng.randrange(30))]
+        rows.append((i, " ".join(text)))
+    written = []
+
+    def watched(df):
+        out = keep(df)
+        size = F.octet_length("words") if "words" in out.columns else F.size("w") * 8 if "w" in out.columns else F.lit(0)
+        written.append(out.agg(F.sum(size)).first()[0] or 0)
+        return out
+
+    got = {(r.id, r.links) for r in T.similar_texts(spark.createDataFrame(rows, "i long, t string").coalesce(1), "i", "t", watched).collect()}
+    sets = {i: frozenset(t.split()) for i, t in rows if len(set(t.split())) >= 5}
+    links = {i: sum(len(s & u) * 5 >= 4 * len(s | u) for u in sets.values()) - 1 for i, s in sets.items()}
+    assert got == set(links.items()) and sum(links.values()) > 100
+    # a table of 64-bit hashes of all words, written twice, is longer than the texts
+    assert 0 < sum(written) < sum(len(t) for _, t in rows)
+
+
 def test_assignment_is_that_of_the_cheapest_first(spark):
     import random
 
