@@ -19,6 +19,15 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= most and (size or 0) <= BROADCAST_BYTES else df
 
 
+#: Rows that a task is given where each of them, or nearly, is a key that the task holds in memory.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *cols: str) -> DataFrame:
+    """``df``, which has about that many rows, dealt by ``cols`` to as many tasks as its rows need, however many the session asks for."""
+    return df.repartition(max(-(-rows // TASK_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *cols)
+
+
 def micros(col: str | Column) -> Column:
     """Microseconds since the epoch; a time without zone counts in the session's zone, which is UTC here."""
     return F.unix_micros((F.col(col) if isinstance(col, str) else col).cast("timestamp"))
@@ -162,6 +171,37 @@ def fold_key(col: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(composed(col), r"\s+", " ")))
 
 
+#: Objects of a job up to which all pairs of them are listed.
+PAIRED = 32
+
+
+def shared_pairs(items: DataFrame, job: str, obj: str, keep, paired: int = PAIRED) -> DataFrame:
+    """``(a, b, shared)``, ``a < b``: jobs that share two objects or more, and how many; ``items`` are distinct and read more than once.
+
+    Most jobs that meet share one object, so jobs meet by pairs of objects: who shares n of them meets n * (n - 1) / 2 times. Of a job with more than ``paired`` objects not all pairs
+    are listed; it meets the others by single objects.
+    """
+    rows = items.select(F.col(job).alias("job"), F.col(obj).alias("obj")).where("job is not null and obj is not null")
+    sizes = keep(rows.groupBy("job").agg(F.count("*").alias("_n")).where("_n > 1"))
+    few = rows.join(sizes.where(F.col("_n") <= paired).select("job"), "job", "left_semi")
+    ends = few.groupBy("job").agg(F.array_sort(F.collect_list("obj")).alias("_o"))
+    of_job = F.flatten(F.transform("_o", lambda x, i: F.transform(F.slice("_o", i + 2, F.size("_o")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    total = sizes.where(F.col("_n") <= paired).agg(F.sum(F.expr("_n * (_n - 1) div 2"))).first()[0] or 0
+    listed = dealt(ends.select("job", F.explode(of_job).alias("_p")).select("job", "_p.x", "_p.y"), total, "x", "y")
+    # a pair of objects that one job alone has joins nothing
+    met = keep(listed.join(listed.groupBy("x", "y").agg(F.count("*").alias("_m")).where("_m > 1").select("x", "y"), ["x", "y"], "left_semi"))
+    times = met.withColumnRenamed("job", "a").join(met.withColumnRenamed("job", "b"), ["x", "y"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("_t"))
+    out = times.select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("_t"))) / 2).cast("long").alias("shared"))
+    long = keep(sizes.where(F.col("_n") > paired).select("job"))
+    if long.isEmpty():
+        return out
+    mine = rows.join(long, "job", "left_semi").select(F.col("job").alias("l"), "obj")
+    other = rows.join(long.withColumn("_long", F.lit(True)), "job", "left").select(F.col("job").alias("o"), "obj", "_long")
+    # two long jobs meet once, from the smaller
+    pairs = mine.join(other, "obj").where("l <> o and (_long is null or l < o)").groupBy("l", "o").agg(F.count("*").alias("shared")).where("shared >= 2")
+    return out.unionByName(pairs.select(F.least("l", "o").alias("a"), F.greatest("l", "o").alias("b"), "shared"))
+
+
 def groups(edges: DataFrame, keep, rounds: int = 50) -> DataFrame:
     """``(node, group)`` of ``edges (a, b)``: the smallest node that each reaches.
 
