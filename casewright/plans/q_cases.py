@@ -497,9 +497,12 @@ def p59(spark, d):
 @query("p60_exposure", "SELECT l_partkey AS item, CASE WHEN count(*) FILTER (l_returnflag = 'R' AND o_orderstatus = 'F') > 0 THEN 'left' WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN 'copied' ELSE 'accessed' END AS state, count(DISTINCT l_orderkey)::BIGINT AS artefacts, count(*) FILTER (l_returnflag = 'R' AND o_orderstatus = 'F') > 1 AS agreed FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
 def p60(spark, d):
     """For each item how far the evidence carries it, and whether a second artefact agrees."""
-    both = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    both = J.dealt(lines, lines.count(), "l_orderkey").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey")
     copied = F.col("l_returnflag") == "R"
-    out = both.groupBy(F.col("l_partkey").alias("item")).agg(F.count_if(copied & (F.col("o_orderstatus") == "F")).alias("gone"), F.count_if(copied).alias("copies"), F.count_distinct("l_orderkey").alias("artefacts"))
+    # a row an item and artefact, where they lie, so that artefacts are counted and not held
+    seen = both.groupBy("l_orderkey", "l_partkey").agg(F.count_if(copied & (F.col("o_orderstatus") == "F")).alias("gone"), F.count_if(copied).alias("copies"))
+    out = seen.groupBy(F.col("l_partkey").alias("item")).agg(F.sum("gone").alias("gone"), F.sum("copies").alias("copies"), F.count("*").alias("artefacts"))
     return out.select("item", F.when(F.col("gone") > 0, "left").when(F.col("copies") > 0, "copied").otherwise("accessed").alias("state"), "artefacts", (F.col("gone") > 1).alias("agreed"))
 
 

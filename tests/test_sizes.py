@@ -27,3 +27,12 @@ def test_shared_pairs(spark):
     for paired in (32, 4):
         got = [tuple(r) for r in J.shared_pairs(items, "j", "o", keep, paired).collect()]
         assert Counter(got) == Counter(want)
+
+
+@tables
+def test_exposure_gives_each_task_a_bounded_number_of_rows(spark, monkeypatch):
+    """Six thousand lines, at most a thousand a task: six tasks or more where the session asks for four."""
+    monkeypatch.setattr(J, "TASK_ROWS", 1000, raising=False)
+    plan = all_queries()["p60_exposure"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert max(int(n) for n in re.findall(r"hashpartitioning\(l_orderkey#\d+L, (\d+)\)", plan)) >= 6
+    assert "distinct" not in plan
