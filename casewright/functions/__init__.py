@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,11 +120,16 @@ def leading_command(line: Column) -> Column:
     return F.regexp_extract(line, r"^\s*(?:[A-Za-z_]+=\S*\s+)*(?:sudo\s+)?(?:\S*/)?(\S+)", 1)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, with the value worked out once: an expression that is used in many branches would be worked out in each."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _ipv4(addr: Column) -> Column:
     """The number of an IPv4 address in dotted form, else null."""
-    octet = lambda i: F.try_element_at(F.split(addr, r"\."), F.lit(i)).cast("long")
+    octet = lambda p, i: F.get(p, i).cast("long")
     fits = addr.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
-    return F.when(fits, octet(1) * (1 << 24) + octet(2) * (1 << 16) + octet(3) * (1 << 8) + octet(4))
+    return F.when(fits, _let(F.split(addr, r"\."), lambda p: octet(p, 0) * (1 << 24) + octet(p, 1) * (1 << 16) + octet(p, 2) * (1 << 8) + octet(p, 3)))
 
 
 #: Address blocks that are not public (fixed values): first address as a number, prefix length, class.
@@ -136,28 +141,38 @@ IPV4_BLOCKS = (
 
 def address_class(addr: Column) -> Column:
     """``private, loopback, link_local, shared, documentation, multicast, reserved`` or ``public``; ``invalid`` if it is no address; null for null. IPv6 by its prefix, an IPv4 address in one by itself."""
-    low = F.lower(F.trim(addr))
-    inner = F.regexp_extract(low, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    number = _ipv4(F.when(inner != "", inner).otherwise(low))
+    return _let(F.lower(F.trim(addr)), lambda low: _let(_ipv4(F.regexp_replace(low, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", "$1")), lambda number: _class_of(low, number)))
+
+
+def _class_of(low: Column, number: Column) -> Column:
     v4 = F.coalesce(*(F.when(F.shiftright(number, 32 - bits) == first >> (32 - bits), name) for first, bits, name in IPV4_BLOCKS), F.lit("public"))
     six = low.rlike(r"^[0-9a-f:]+(%[0-9a-z]+)?$") & low.contains(":")
     v6 = F.when(low == "::1", "loopback").when(low == "::", "reserved").when(low.rlike("^fe[89ab][0-9a-f]:"), "link_local").when(low.rlike("^f[cd][0-9a-f]{2}:"), "private")
     v6 = v6.when(low.rlike("^ff[0-9a-f]{2}:"), "multicast").when(low.rlike("^2001:db8:"), "documentation").otherwise("public")
-    return F.when(addr.isNull(), None).when(number.isNotNull(), v4).when(six, v6).otherwise("invalid")
+    return F.when(low.isNull(), None).when(number.isNotNull(), v4).when(six, v6).otherwise("invalid")
+
+
+def _own(kind: Column) -> Column:
+    return kind.isin("private", "shared", "loopback", "link_local")
 
 
 def is_internal(addr: Column) -> Column:
     """Whether an address is of this side: private, shared, loopback or link-local."""
-    return address_class(addr).isin("private", "shared", "loopback", "link_local")
+    return _own(address_class(addr))
 
 
-def traffic_side(source: Column, target: Column) -> Column:
-    """``internal, outbound, inbound`` or ``external``, by which ends are of this side; ``unknown`` where an end is no address."""
-    known = lambda a: F.coalesce(address_class(a) != "invalid", F.lit(False))
-    a, b = is_internal(source), is_internal(target)
+def side_of(source: Column, target: Column) -> Column:
+    """``internal, outbound, inbound`` or ``external``, by the classes of both ends; ``unknown`` where an end is no address."""
+    known = lambda a: F.coalesce(a != "invalid", F.lit(False))
+    a, b = _own(source), _own(target)
     return F.when(~known(source) | ~known(target), "unknown").when(a & b, "internal").when(a, "outbound").when(b, "inbound").otherwise("external")
 
 
+def traffic_side(source: Column, target: Column) -> Column:
+    """:func:`side_of` two addresses."""
+    return _let(address_class(source), lambda a: _let(address_class(target), lambda b: side_of(a, b)))
+
+
 def luhn(digits: Column) -> Column:
     """Whether a number passes the check-digit rule of payment cards."""
     values = F.transform(F.filter(F.split(F.reverse(digits), ""), lambda c: c != ""), lambda c, i: F.when(i % 2 == 1, F.expr("0") + F.when(c.cast("int") >= 5, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))

@@ -36,3 +36,16 @@ def test_exposure_gives_each_task_a_bounded_number_of_rows(spark, monkeypatch):
     plan = all_queries()["p60_exposure"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert max(int(n) for n in re.findall(r"hashpartitioning\(l_orderkey#\d+L, (\d+)\)", plan)) >= 6
     assert "distinct" not in plan
+
+
+def test_an_address_is_read_once(spark):
+    """Its class and side in an expression that does not grow with the branches that use it."""
+    from pyspark.sql import functions as F
+
+    from casewright import functions as X
+
+    one = spark.createDataFrame([("::ffff:10.0.0.1", " 8.8.8.8 "), ("fe80::1", "192.168.1.2"), ("1.2.3.4", None), ("10.1.2.256", "10.0.0.1")], "a string, b string")
+    out = one.select("a", X.address_class(F.col("a")).alias("kind"), X.traffic_side(F.col("a"), F.col("b")).alias("side"))
+    assert {tuple(r)[1:] for r in out.collect()} == {("private", "outbound"), ("link_local", "internal"), ("public", "unknown"), ("invalid", "unknown")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("25[0-5]") <= 6  # twice in the pattern of each address that is read
