@@ -28,13 +28,13 @@ def _same(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner", f
     return a.join(F.broadcast(named) if few else named, cond, how).drop(*(f"_k{i}" for i in range(len(keys))))
 
 
-def quantile(df: DataFrame, keys: Sequence[str], value: Column, keep: Keep, p: float = 0.5, weight: Column | None = None, name: str = "quantile", most: int = MOST) -> DataFrame:
+def quantile(df: DataFrame, keys: Sequence[str], value: Column, keep: Keep, p: float = 0.5, weight: Column | None = None, name: str = "quantile", most: int = MOST, times: Column | None = None) -> DataFrame:
     """``(keys, name double)``: the quantile of each group; ``keys`` are one at least, and ``df`` is read more than once.
 
     Without ``weight``, places between two values are interpolated, so ``p = 0.5`` is the median. With it, the least value at which the weight so far reaches
-    ``p`` of the whole. Null and NaN values, and weights that are null or not above zero, count for nothing; a group without any other is left out.
+    ``p`` of the whole. ``times``, without it, says how often a row counts, for tables that have each value once. Null and NaN values, and weights that are null or not above zero, count for nothing; a group without any other is left out.
     """
-    rows = df.select(*keys, value.cast("double").alias("_v"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("_w")).where("_v is not null and not isnan(_v) and _w > 0")
+    rows = df.select(*keys, value.cast("double").alias("_v"), next((c for c in (weight, times) if c is not None), F.lit(1.0)).cast("double").alias("_w")).where("_v is not null and not isnan(_v) and _w > 0")
     at = F.col("_all") * p if weight is not None else (F.col("_all") - 1) * p
     total = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_w").alias("_all")).withColumn("_at", at)
     # of each group: the ranks wanted (from 0, or as weights), and the weight that was dropped below what is left
@@ -92,12 +92,12 @@ def median(df: DataFrame, keys: Sequence[str], value: Column, keep: Keep, name:
     return quantile(df, keys, value, keep, name=name, **more)
 
 
-def spread(df: DataFrame, keys: Sequence[str], value: Column, keep: Keep, weight: Column | None = None, middle: str = "median", name: str = "mad", most: int = MOST) -> DataFrame:
+def spread(df: DataFrame, keys: Sequence[str], value: Column, keep: Keep, weight: Column | None = None, middle: str = "median", name: str = "mad", most: int = MOST, times: Column | None = None) -> DataFrame:
     """``(keys, middle, name)``: the (weighted) median of each group and the (weighted) median of distances from it."""
-    mid = keep(quantile(df, keys, value, keep, 0.5, weight, middle, most))
-    rows = df.select(*keys, value.cast("double").alias("_x"), *([] if weight is None else [weight.alias("_u")]))
+    mid = keep(quantile(df, keys, value, keep, 0.5, weight, middle, most, times))
+    rows = df.select(*keys, value.cast("double").alias("_x"), *([] if weight is None else [weight.alias("_u")]), *([] if times is None else [times.alias("_n_of")]))
     off = _same(rows, mid.select(*keys, F.col(middle).alias("_m")), keys)
-    dev = quantile(off, keys, F.abs(F.col("_x") - F.col("_m")), keep, 0.5, None if weight is None else F.col("_u"), name, most)
+    dev = quantile(off, keys, F.abs(F.col("_x") - F.col("_m")), keep, 0.5, None if weight is None else F.col("_u"), name, most, None if times is None else F.col("_n_of"))
     return _same(mid, dev, keys)
 
 

@@ -49,3 +49,17 @@ def test_an_address_is_read_once(spark):
     assert {tuple(r)[1:] for r in out.collect()} == {("private", "outbound"), ("link_local", "internal"), ("public", "unknown"), ("invalid", "unknown")}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("25[0-5]") <= 6  # twice in the pattern of each address that is read
+
+
+def test_spread_of_values_that_say_how_often_they_occur(spark):
+    from pyspark.sql import functions as F
+
+    from casewright.operators import quantiles as Z
+
+    rng = random.Random(3)
+    rows = [("ab"[i % 2], float(rng.randrange(9)), rng.randrange(1, 6)) for i in range(40)]
+    once = spark.createDataFrame(rows, "k string, v double, n int")
+    many = spark.createDataFrame([(k, v) for k, v, n in rows for _ in range(n)], "k string, v double")
+    for most in (100_000, 5):
+        want = {tuple(r) for r in Z.spread(many, ["k"], F.col("v"), keep).select("k", "median", "mad").collect()}
+        assert {tuple(r) for r in Z.spread(once, ["k"], F.col("v"), keep, most=most, times=F.col("n")).select("k", "median", "mad").collect()} == want
