@@ -51,6 +51,26 @@ def test_an_address_is_read_once(spark):
     assert plan.count("25[0-5]") <= 6  # twice in the pattern of each address that is read
 
 
+def test_a_directory_is_looked_up_once_for_all_paths_in_it(spark):
+    """No table of a view has a row for each path and directory above it."""
+    from pyspark.sql import functions as F
+
+    from casewright.operators import trees as T
+
+    sizes = []
+
+    def held(df):
+        out = df.localCheckpoint()
+        sizes.append(out.count() if "_above" in out.columns and len(out.columns) == 2 and "_dir" in out.columns else 0)
+        return out
+
+    entries = spark.range(2000).select(F.concat(F.lit("/a/b/"), (F.col("id") % 2).cast("string"), F.lit("/"), F.col("id").cast("string")).alias("path"), F.lit(0).alias("layer"), F.lit("file").alias("kind"))
+    marks = spark.createDataFrame([("/a/b", 1, "whiteout"), ("/a/b/0/4", 1, "file"), ("/a/b/1/3", 2, "whiteout"), ("/a/b/1/5", 2, "file")], "path string, layer int, kind string")
+    got = {tuple(r) for r in T.effective_view(entries.unionByName(marks), spark.createDataFrame([(0,), (1,), (2,)], "layer int"), held).select("path", "layer", F.array_join("hidden_in", ",")).collect()}
+    assert got == {("/a/b/0/4", 1, "0"), ("/a/b/1/5", 2, "0")}
+    assert 0 < max(sizes) <= 8
+
+
 def test_spread_of_values_that_say_how_often_they_occur(spark):
     from pyspark.sql import functions as F
 
