@@ -83,3 +83,38 @@ def test_spread_of_values_that_say_how_often_they_occur(spark):
     for most in (100_000, 5):
         want = {tuple(r) for r in Z.spread(many, ["k"], F.col("v"), keep).select("k", "median", "mad").collect()}
         assert {tuple(r) for r in Z.spread(once, ["k"], F.col("v"), keep, most=most, times=F.col("n")).select("k", "median", "mad").collect()} == want
+
+
+def test_stalls_visit_no_row_by_itself(monkeypatch):
+    """A key's frames, in two batches, against a walk from row to row."""
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    from casewright import streaming as K
+
+    sdf = MagicMock()
+    K.stream_stall(sdf, "k", "ts", "v", 5000)
+    step = sdf.groupBy.return_value.applyInPandasWithState.call_args[0][0]
+    rng = random.Random(4)
+    parts = [[(1000 * (100 * p + i), float(rng.randrange(2))) for i in range(50)] + [(1000 * (100 * p + 60 + i), 1.0) for i in range(9)] for p in range(3)]
+
+    class State(SimpleNamespace):
+        exists, get = False, None
+
+        def update(self, new):
+            self.exists, self.get = True, new
+
+    state, value, since = State(), None, 0
+    monkeypatch.setattr(pd.DataFrame, "itertuples", MagicMock(side_effect=AssertionError("row by row")))
+    for batch in (parts[:1], parts[1:]):
+        frames = []
+        for rows in batch:
+            for t, v in rows:
+                value, since = (value, since) if v == value else (v, t)
+            mixed = rng.sample(rows, len(rows))
+            frames.append(pd.DataFrame({"k": 7, "ts": pd.to_datetime([t for t, _ in mixed], unit="ms"), "v": [v for _, v in mixed]}))
+        (out,) = list(step((7,), iter(frames), state))
+        still = batch[-1][-1][0] - since
+        assert out.iloc[0].tolist() == [7, still, "suspected_stall" if still >= 5000 else "moving"]
