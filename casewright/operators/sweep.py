@@ -2,16 +2,18 @@
 
 Windows of 1, 2, 4, 8 ... bytes at all places of a block of texts are hashed by doubling. A needle of up to 32
 bytes is looked up by its length: two windows that cover it, one at each end. A longer one is looked up by its first window of the largest
-power of two that it holds, then by its last. What agrees is compared byte by byte. So the time grows with the bytes read and with the
+power of two that it holds, then by its last. What agrees is compared byte by byte, a longer needle by its digest. So the time grows with the bytes read and with the
 number of different short lengths, not with the number of needles.
 
-Needles go to every task, as many at a time as are under a bound; with more, the texts are read once for each portion.
+Needles are hashed in tasks, once. What goes to every task is some 50 bytes a needle, however long it is, held in arrays; as many at a time as are under a
+bound. With more, the texts are read once for each portion.
 """
 
 from __future__ import annotations
 
 import base64
 import codecs
+import hashlib
 import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -23,10 +25,14 @@ from pyspark.sql import functions as F
 
 Keep = Callable[[DataFrame], DataFrame]
 
-#: Bytes of needles sent at a time, and bytes of texts that are looked at together.
-PORTION, BLOCK = 32 << 20, 1 << 18
+#: Bytes of what is sent of needles at a time, and bytes of texts that are looked at together.
+PORTION, BLOCK = 96 << 20, 1 << 18
 #: Lengths looked up one by one.
 SHORT = 32
+#: Bytes of the digest of a longer needle, and of what else is sent of any.
+DIGEST, SENT = 16, 40
+#: Bytes of needles that are hashed together.
+_HASHED = 4 << 20
 #: Characters kept before and behind a place, for rules about what a needle stands in.
 AROUND = 64
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -42,12 +48,30 @@ def _both(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (first ^ (first >> np.uint64(31))) * _C + last * _A
 
 
+def _ends(needles: Sequence[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first and of the last window of needles of ``n`` bytes."""
+    g = 1 << (n.bit_length() - 1)
+    rows = np.frombuffer(b"".join(needles), np.uint8).reshape(-1, n)
+    out = []
+    for part in (rows[:, :g], rows[:, n - g :]):
+        w = part.astype(np.uint64) + np.uint64(1)
+        while w.shape[1] > 1:  # of the windows that doubling makes, those that the first is made of
+            left = w[:, 0::2]
+            w = (left ^ (left >> np.uint64(29))) * _A + w[:, 1::2] * _B
+        out.append(w[:, 0])
+    return out[0], out[1]
+
+
+def _digest(needle: bytes | memoryview) -> bytes:
+    return hashlib.blake2b(needle, digest_size=DIGEST).digest()
+
+
 class _Table:
     """Different needles of one length, or of one class of lengths, by hash."""
 
     def __init__(self, hashes: np.ndarray, which: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, self.which = hashes[order], which[order]
+        self.hashes, self.which = hashes[order], which[order].astype(np.int32)
         bits = min(22, max(12, int(len(hashes)).bit_length() + 6))
         self.shift = np.uint64(64 - bits)
         self.seen = np.zeros(1 << bits, bool)
@@ -68,42 +92,26 @@ class _Table:
 
 
 class Needles:
-    def __init__(self, needles: Sequence[bytes]):
-        self.bytes = list(needles)
-        self.size = np.array([len(x) for x in self.bytes], np.int64)
-        self.longest = int(self.size.max(initial=0))
+    """Needles by size, hashes of both ends and mark: its bytes up to ``SHORT``, else its digest; ``marks`` are one behind the other."""
+
+    def __init__(self, size: np.ndarray, first: np.ndarray, last: np.ndarray, marks: np.ndarray):
+        self.size, self.last, self.marks = size, last, marks
+        width = np.where(size <= SHORT, size, DIGEST)
+        self.mark = np.cumsum(width) - width
+        self.longest = int(size.max(initial=0))
         self.short: dict[int, _Table] = {}
         self.long: dict[int, _Table] = {}
-        self.last = np.zeros(len(self.bytes), np.uint64)
         heads: dict[int, list[np.ndarray]] = {}
-        for n in np.unique(self.size[(self.size > 0) & (self.size <= SHORT)]).tolist():
-            which = np.flatnonzero(self.size == n)
-            first, last = self._ends(which, n)
-            self.short[n] = _Table(_both(first, last), which)
-            heads.setdefault(1 << (n.bit_length() - 1), []).append(first)
+        for n in np.unique(size[(size > 0) & (size <= SHORT)]).tolist():
+            which = np.flatnonzero(size == n)
+            self.short[n] = _Table(_both(first[which], last[which]), which)
+            heads.setdefault(1 << (n.bit_length() - 1), []).append(first[which])
         # first windows of all short needles of one class, so that most places are passed over once for all its lengths
         self.heads = {g: _Table(h := np.unique(np.concatenate(x)), np.arange(len(h))) for g, x in heads.items()}
-        power = np.where(self.size > SHORT, 2 ** np.floor(np.log2(np.maximum(self.size, 1))).astype(np.int64), 0)
+        power = np.where(size > SHORT, 2 ** np.floor(np.log2(np.maximum(size, 1))).astype(np.int64), 0)
         for g in np.unique(power[power > 0]).tolist():
             which = np.flatnonzero(power == g)
-            first, last = [], []
-            for i in which.tolist():
-                a, b = self._ends(np.array([i]), int(self.size[i]))
-                first.append(a[0])
-                last.append(b[0])
-            self.long[g] = _Table(np.array(first, np.uint64), which)
-            self.last[which] = np.array(last, np.uint64)
-
-    def _ends(self, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        g = 1 << (n.bit_length() - 1)
-        rows = np.frombuffer(b"".join(self.bytes[i] for i in which), np.uint8).reshape(-1, n)
-        out = []
-        for part in (rows[:, :g], rows[:, n - g :]):
-            w, k = part.astype(np.uint64) + np.uint64(1), 1
-            while k < g:
-                w, k = _double(w, k), 2 * k
-            out.append(w[:, 0])
-        return out[0], out[1]
+            self.long[g] = _Table(first[which], which)
 
     def find(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(place, needle)``: every place where a needle begins."""
@@ -115,10 +123,9 @@ class Needles:
                 near = begin[begin <= len(data) - n]
                 at, which = self.short[n].look(_both(w[near], w[near + n - g]))
                 at = near[at]
-                same = np.ones(len(at), bool)
-                rows = np.frombuffer(b"".join(self.bytes[i] for i in which.tolist()), np.uint8).reshape(-1, n)
+                same, mark = np.ones(len(at), bool), self.mark[which]
                 for k in range(n):
-                    same &= data[at + k] == rows[:, k]
+                    same &= data[at + k] == self.marks[mark + k]
                 found.append((at[same], which[same]))
             if g in self.long:
                 at, which = self.long[g].look(w)
@@ -127,7 +134,8 @@ class Needles:
                 at, which, end = at[ok], which[ok], end[ok]
                 ok = w[end] == self.last[which]
                 at, which = at[ok], which[ok]
-                same = np.array([data[a : a + len(self.bytes[i])].tobytes() == self.bytes[i] for a, i in zip(at.tolist(), which.tolist())], bool)
+                ends = zip(at.tolist(), self.size[which].tolist(), self.mark[which].tolist())
+                same = np.array([_digest(data[a : a + n]) == self.marks[m : m + DIGEST].tobytes() for a, n, m in ends], bool)
                 found.append((at[same], which[same]))
             w = _double(w, g) if len(w) > g else w[:0]
             g *= 2
@@ -140,13 +148,42 @@ class Needles:
 _MADE: dict[str, Needles] = {}
 
 
-def _made(name: str, needles: list[bytes]) -> Needles:
+def _made(name: str, sent: Sequence[np.ndarray]) -> Needles:
     if name not in _MADE:
         _MADE.clear()
-        _MADE[name] = Needles(needles)
+        _MADE[name] = Needles(*sent)
     return _MADE[name]
 
 
+def _prepared(needles: DataFrame, forms: Sequence[str], chars: bool) -> DataFrame:
+    """``(n, form, size, first, last, mark)`` of each form of the needles ``(n, needle)``: the form's number, and what :class:`Needles` is made of."""
+
+    def batch(made: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        size = np.array([len(m) for _, _, m in made], np.int64)
+        first, last = np.zeros(len(made), np.uint64), np.zeros(len(made), np.uint64)
+        order = np.argsort(size, kind="stable")
+        for which in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+            first[which], last[which] = _ends([made[i][2] for i in which.tolist()], int(size[which[0]]))
+        marks = [m if len(m) <= SHORT else _digest(m) for _, _, m in made]
+        cols = [pa.array([n for n, _, _ in made], pa.int64()), pa.array([f for _, f, _ in made], pa.int32()), pa.array(size), pa.array(first.view(np.int64)), pa.array(last.view(np.int64)), pa.array(marks, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["n", "form", "size", "first", "last", "mark"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, size = [], 0
+        for b in batches:
+            for n, w in zip(b.column(0), b.column(1)):
+                for m, form in _forms(w.as_py(), forms, chars).items():
+                    made.append((n.as_py(), forms.index(form), m))
+                    size += len(m) + SENT
+                if size > _HASHED:
+                    yield batch(made)
+                    made, size = [], 0
+        if made:
+            yield batch(made)
+
+    return needles.mapInArrow(run, "n long, form int, size long, first long, last long, mark binary")
+
+
 def _blocks(texts: list[bytes], longest: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, int, int]]:
     """``(texts, where each begins, bytes, bytes before these, places that count)``: short texts together, a long one in parts that overlap."""
     held, size = [], 0
@@ -165,16 +202,19 @@ def _blocks(texts: list[bytes], longest: int) -> Iterator[tuple[list[int], np.nd
             size += len(t)
 
 
-def _portion(texts: DataFrame, key: str, col: str, needles: list[tuple[int, str, bytes]], around: int) -> DataFrame:
-    """``(key, needle number, form, at, before, behind)`` for one portion of ``(number, form, bytes)``."""
+def _portion(texts: DataFrame, key: str, col: str, needles: DataFrame, forms: Sequence[str], around: int) -> DataFrame:
+    """``(key, needle number, form, at, before, behind)`` for one portion of prepared needles."""
     spark = texts.sparkSession
-    sent, name = spark.sparkContext.broadcast(needles), uuid.uuid4().hex
+    listed = needles.toArrow()  # a portion
+    n, form, size, first, last = (listed[c].to_numpy() for c in ("n", "form", "size", "first", "last"))
+    marks = np.frombuffer(b"".join(b"".join(c.to_pylist()) for c in listed["mark"].chunks), np.uint8)
+    sent, name = spark.sparkContext.broadcast((n, form.astype(np.int8), size, first.view(np.uint64), last.view(np.uint64), marks)), uuid.uuid4().hex
+    del listed, n, form, size, first, last, marks
     chars = dict(texts.dtypes)[col] == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = sent.value
-        own = _made(name, [x[2] for x in listed])
-        number, forms = np.array([x[0] for x in listed], np.int64), np.array([x[1] for x in listed], object)
+        number, form, *rest = sent.value
+        own, named = _made(name, rest), np.array(forms, object)
         for b in batches:
             rows = [x or b"" for x in b.column(1).to_pylist()]
             passed: dict[int, int] = {}
@@ -200,7 +240,7 @@ def _portion(texts: DataFrame, key: str, col: str, needles: list[tuple[int, str,
                         right[k] = t[z : z + 4 * around].decode("utf-8", "ignore")[:around]
                 rows_of = pa.array(np.array(held)[text])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(rows_of), pa.array(number[which]), pa.array(forms[which], pa.string()), pa.array(place, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())],
+                    [b.column(0).take(rows_of), pa.array(number[which]), pa.array(named[form[which]], pa.string()), pa.array(place, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())],
                     names=["key", "needle", "form", "at", "before", "behind"],
                 )
 
@@ -252,13 +292,13 @@ def sweep(texts: DataFrame, key: str, col: str, needles: DataFrame, needle_key:
     asked = needles.where(F.length(needle) > 0).select(F.col(needle_key).alias("_key"), F.col(needle).alias("_needle"))
     numbered = keep(asked.select("_needle").distinct().withColumn("_n", F.monotonically_increasing_id()))
     asked = keep(asked.distinct().join(numbered, "_needle").select("_key", "_n"))
-    total = numbered.agg(F.sum(F.octet_length("_needle"))).first()[0] or 0
+    prepared = keep(_prepared(numbered.select("_n", "_needle"), list(forms), chars))
+    total = prepared.agg(F.sum(F.octet_length("mark") + SENT)).first()[0] or 0
     portions = max(1, -(-total // portion))
     out = None
     for k in range(portions):
-        mine = numbered if portions == 1 else numbered.where(F.pmod(F.xxhash64("_n"), F.lit(portions)) == k)
-        listed = [(r._n, form, m) for r in mine.toLocalIterator() for m, form in _forms(bytes(r._needle) if isinstance(r._needle, bytearray) else r._needle, forms, chars).items()]  # about a portion
-        made = _portion(texts, key, col, listed, around)
+        mine = prepared if portions == 1 else prepared.where(F.pmod(F.xxhash64("n"), F.lit(portions)) == k)
+        made = _portion(texts, key, col, mine, forms, around)
         out = made if out is None else out.unionByName(made)
     found = out.join(asked, out.needle == asked._n)
     return found.select(F.col("key").alias(key), F.col("_key").alias(needle_key), "form", "at", "before", "behind")

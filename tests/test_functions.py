@@ -304,6 +304,29 @@ def test_sweep_equals_a_search_word_by_word(spark):
     assert set(got) == want and len(got) == len(want) and len(texts[-1].encode()) > 2 * module.BLOCK
 
 
+def test_long_needles_are_sent_as_hashes(spark):
+    """What is sent does not grow with a needle's length, so the texts are read once where they were read 40 times; no object is held a needle."""
+    import tracemalloc
+
+    import numpy as np
+
+    from casewright.operators import sweep as module
+
+    texts = [f"{i} " * 2_000 for i in range(100, 140)]
+    docs, needles = (spark.createDataFrame(list(enumerate(texts)), "k int, t string") for _ in range(2))
+    got = sweep(docs, "k", "t", needles.withColumnRenamed("k", "n"), "n", "t", keep, portion=4_096)
+    assert "Union" not in got._jdf.queryExecution().toString()
+    assert sorted((r.k, r.n, r.at) for r in got.collect()) == [(i, i, 1) for i in range(40)]
+    words = spark.range(200_000).select("id", F.concat(F.lit("secret-"), F.col("id").cast("string")).alias("w"))
+    sent = module._prepared(words, ["plain"], True).toPandas()
+    arrays = [sent[c].to_numpy() for c in ("size", "first", "last")]
+    tracemalloc.start()
+    held = module.Needles(arrays[0], arrays[1].view(np.uint64), arrays[2].view(np.uint64), np.frombuffer(b"".join(sent["mark"]), np.uint8))
+    grown = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(held.size) == 200_000 and grown < 200 * 200_000
+
+
 def test_phrases_are_whole_words_of_any_script(spark):
     texts = ["no", "NO!", "noć", "año no", "éno", "no\u0301", "no_", "9no", "was\nthis", "thiſ", "«no»", "", None]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", P.flag_phrases(F.col("t"), ("this", "was", "no")).alias("x")).collect()
