@@ -269,6 +269,40 @@ def test_short_words_inside_longer_runs(spark):
     assert all(r.inside == r.got for r in df.withColumn("got", in_longer_run(F.col("b"), F.col("w"), F.col("e"))).collect())
 
 
+def test_copies_of_transfers_are_matched_together(spark):
+    """Copies of transfers and items that all cost the same take a round, not one each; ids of several rows, ties between classes and odd sizes come out as the cheapest first."""
+    import datetime
+    import random
+
+    rng = random.Random(9)
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    written = []
+
+    def watched(df):
+        written.append(1)
+        return keep(df)
+
+    def matched(out, staged, percent=4):
+        frames = (spark.createDataFrame(x, "id long, host long, size double, ts timestamp") for x in (staged, out))
+        got = J.match_transfers(*frames, ["host"], "id", "size", "ts", percent, 7 * 86_400, watched).collect()
+        pairs = sorted({(round(abs(o[2] - s[2]), 4), o[0], s[0]) for o in out for s in staged if o[1] == s[1] and datetime.timedelta(0) <= o[3] - s[3] <= datetime.timedelta(7) and abs(o[2] - s[2]) <= o[2] * percent / 100})
+        want, a, b = set(), set(), set()
+        for off, x, y in pairs:
+            if x not in a and y not in b:
+                want.add((x, y, off))
+                a.add(x), b.add(y)
+        assert {(r.transfer, r.staged, r.off) for r in got if r.status == "matched"} == want
+        assert sum(r.status == "unmatched transfer" for r in got) == sum(o[0] not in a for o in out) and sum(r.status == "unmatched item" for r in got) == sum(s[0] not in b for s in staged)
+        return len(want)
+
+    assert matched([(i, 1, 100.0, day(9)) for i in range(40)] + [(i, 1, 200.0, day(9)) for i in range(40, 50)], [(i, 1, 101.0, day(5)) for i in range(30)] + [(i, 1, 203.0, day(4)) for i in range(30, 50)]) == 40
+    assert len(written) < 30
+    some = lambda n, ids, sizes: [(rng.randrange(ids), rng.randrange(2), float(rng.choice(sizes)), day(rng.randrange(9))) for _ in range(n)]
+    assert matched(some(60, 1000, [100, 102]), some(60, 30, [99, 100, 101, 103])) > 10
+    assert matched(some(40, 1000, [0, 5, 100, -3]), some(40, 60, [0, 5, -3, 104, 96])) > 10
+    assert matched(some(20, 1000, [7]), some(20, 1000, [7, 8]), 0) > 3
+
+
 def test_leaks_in_every_form(spark):
     import json
 
