@@ -289,7 +289,7 @@ def sweep(texts: DataFrame, key: str, col: str, needles: DataFrame, needle_key:
     places of short needles follow. Empty needles and nulls match nothing. ``keep`` writes a table.
     """
     chars = dict(texts.dtypes)[col] == "string"
-    asked = needles.where(F.length(needle) > 0).select(F.col(needle_key).alias("_key"), F.col(needle).alias("_needle"))
+    asked = keep(needles.where(F.length(needle) > 0).select(F.col(needle_key).alias("_key"), F.col(needle).alias("_needle")))
     numbered = keep(asked.select("_needle").distinct().withColumn("_n", F.monotonically_increasing_id()))
     asked = keep(asked.distinct().join(numbered, "_needle").select("_key", "_n"))
     prepared = keep(_prepared(numbered.select("_n", "_needle"), list(forms), chars))
