@@ -115,9 +115,22 @@ def canonical_digest(entries: Column) -> Column:
     return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries)))), 256)
 
 
+#: White space between the words of a command line; a vertical tab is part of a word.
+BLANK = r"[\t\n\f\r ]"
+_WORD = r"[^\t\n\f\r ]"
+
+
+def first_word(text: Column) -> Column:
+    """The first word of a text, past white space of any kind; empty if there is none."""
+    return F.regexp_extract(text, f"^{BLANK}*({_WORD}+)", 1)
+
+
 def leading_command(line: Column) -> Column:
-    """The program a command line starts: past assignments and sudo, without its directory."""
-    return F.regexp_extract(line, r"^\s*(?:[A-Za-z_]+=\S*\s+)*(?:sudo\s+)?(?:\S*/)?(\S+)", 1)
+    """The program a command line starts: past assignments and sudo, without its directory; empty if a directory is all there is.
+
+    What is passed is not taken back, or a line that ends in a directory would yield a part of that.
+    """
+    return F.regexp_extract(line, f"^{BLANK}*+(?:[A-Za-z_]+={_WORD}*{BLANK}+)*+(?:sudo{BLANK}+(?={_WORD}))?+(?:{_WORD}*/)?+({_WORD}+)", 1)
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:

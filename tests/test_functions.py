@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from casewright import functions as X
@@ -50,6 +51,21 @@ def test_cells_and_numbers(spark):
     assert {v: one(spark, P.indicator_type(F.lit(v))) for v in kinds} == kinds
 
 
+def test_leading_command_of_odd_texts(spark, tmp_path):
+    """Empty texts, and white space of every kind in front, against the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    from casewright.plans import all_queries, all_sql
+
+    texts = ["", " ", "\n", " \t\r\n", "\nls -l", "\t ls", " \r\n\fls\n", "\x0bls -l", " \x0b ls", "\x85ls", "\u00a0ls", "\u3000 ls", "ls", "sudo", "sudo ", "ls/x", "\n/x", "\ta=1 ls", "ls a=1 /x", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(con.execute(all_sql()["h14_leading_command"]).fetchall())
+    assert dict(map(tuple, all_queries()["h14_leading_command"](spark, str(tmp_path)).collect())) == want and len(want) == 16
+    lines = {"sudo /usr/bin/": "", "A=1 sudo /bin/ls -l": "ls", "sudo": "sudo", " sudo ": "sudo", "B=2 A= ls /x": "ls", "/a/b/": "", "": ""}
+    assert {v: one(spark, X.leading_command(F.lit(v))) for v in lines} == lines
+
+
 def test_a_bare_upper_date_covers_its_day(spark):
     df = spark.createDataFrame([("2024-01-02 23:59:59.999999",), ("2024-01-03 00:00:00",), (None,)], "t string").select(F.to_timestamp("t").alias("t"))
     assert P.time_window(df, "t", None, "2024-01-02").count() == 1 and P.time_window(df, "t", "2024-01-03", "2024-01-03 00:00:00").count() == 1
