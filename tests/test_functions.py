@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +206,36 @@ def test_similar_texts_write_less_than_the_texts(spark, monkeypatch):
     assert 0 < sum(written) < sum(len(t) for _, t in rows)
 
 
+def test_similar_texts_meet_in_portions(spark, monkeypatch):
+    """Near copies by the hundred: pairs before they are compared, and sets beside them, are never written all at once, and each pair is found once."""
+    import random
+
+    for name, value in (("MET", 0), ("LEAST_MET", 800), ("SAMPLE", 2), ("SENT", 0), ("LEAST_SENT", 40), ("BLOCK", 8)):
+        monkeypatch.setattr(T, name, value, raising=False)
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(600)]
+    base = [rng.sample(vocabulary, n) for n in (12, 30, 30, 90)]
+    rows = [(i, " ".join({*base[i % 4], *rng.sample(vocabulary, rng.randrange(1 + len(base[i % 4]) // 6))})) for i in range(160)]
+    sizes, all_there = [], []
+
+    def watched(df):
+        out = keep(df)
+        sizes.append(out.count() if out.columns == ["a", "b"] else 0)
+        all_there.append(out)
+        return out
+
+    members, classes = T.word_classes(spark.createDataFrame(rows, "i long, t string"), "i", "t", keep)
+    got = [(r.a, r.b) for r in T.similar_classes(classes, watched).collect()]
+    first = {}
+    for i, t in rows:
+        first.setdefault(frozenset(t.split()), i)
+    want = {(min(a, b), max(a, b)) for s, a in first.items() for u, b in first.items() if a < b and len(s & u) * 5 >= 4 * len(s | u)}
+    assert sorted(got) == sorted(want) and len(want) > 1000
+    assert sum(sizes) >= len(want) and max(sizes) < len(want) / 2
+    # of the tables between, only the answer is still there
+    assert {"/".join(f.split("/")[:-1]) for df in all_there for f in df.inputFiles() if Path(f.removeprefix("file:")).exists()} == {"/".join(f.split("/")[:-1]) for df in all_there if "jaccard" in df.columns for f in df.inputFiles()}
+
+
 def test_assignment_is_that_of_the_cheapest_first(spark):
     import random
 
