@@ -236,6 +236,19 @@ def test_similar_texts_meet_in_portions(spark, monkeypatch):
     assert {"/".join(f.split("/")[:-1]) for df in all_there for f in df.inputFiles() if Path(f.removeprefix("file:")).exists()} == {"/".join(f.split("/")[:-1]) for df in all_there if "jaccard" in df.columns for f in df.inputFiles()}
 
 
+def test_groups_leave_only_their_answer(spark):
+    """Of the tables that the rounds write, one is still there."""
+    held = []
+
+    def watched(df):
+        held.append(keep(df))
+        return held[-1]
+
+    got = J.groups(spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (32, 31)], "a int, b int"), watched)
+    assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(21)} | {(30, 30), (31, 30), (32, 30)}
+    assert len(held) > 3 and len({str(Path(f).parent) for df in held for f in df.inputFiles() if Path(f.removeprefix("file:")).exists()}) == 1
+
+
 def test_assignment_is_that_of_the_cheapest_first(spark):
     import random
 
