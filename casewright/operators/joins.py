@@ -119,8 +119,9 @@ def assign_alike(edges: DataFrame, xs: DataFrame, ys: DataFrame, keep) -> DataFr
     size = lambda m, c: m.groupBy(c).agg(F.count("*").alias(f"n{c}"))
     zero = F.lit(0).cast("long")
     left = keep(edges.join(size(xs, "x"), "x").join(size(ys, "y"), "y").select("x", "y", "cost", "nx", "ny", zero.alias("ux"), zero.alias("uy")))
-    runs, pairs = [], []
+    runs, pairs, held = [], [], []
     while not left.isEmpty():
+        before = left
         least = lambda c: left.groupBy(c).agg(F.min("cost").alias(f"c{c}"))  # noqa: B023, E731
         of_x, of_y = F.col("cost") == F.col("cx"), F.col("cost") == F.col("cy")
         near = keep(left.join(least("x"), "x").join(least("y"), "y").where(of_x | of_y).withColumn("tight", of_x & of_y))
@@ -131,22 +132,29 @@ def assign_alike(edges: DataFrame, xs: DataFrame, ys: DataFrame, keep) -> DataFr
         runs.append(run)
         gone = {c: run.select(c, "k") for c in "xy"}
         ties = tight.where(~single)
+        held.append(tight)
         if not ties.isEmpty():
-            met = keep(_ties(near, ties, xs, ys, keep))
+            found, used = _ties(near, ties, xs, ys, keep)
+            met = keep(found)
+            drop(*used)
+            held.append(met)
             pairs.append(met.select("a", "b", "cost"))
             gone = {c: gone[c].unionByName(met.groupBy(c).agg(F.count("*").alias("k"))) for c in "xy"}
         for c in "xy":
             left = left.join(gone[c], c, "left").withColumn(f"u{c}", F.col(f"u{c}") + F.coalesce("k", zero)).drop("k")
         left = keep(left.where("ux < nx and uy < ny"))
+        drop(before, near)
     if not runs:
         return edges.select(F.col("x").alias("a"), F.col("y").alias("b"), "cost")
     all_runs = reduce(DataFrame.unionByName, runs)
     first = all_runs.join(xs, "x").where("rank >= ux and rank < ux + k").select(F.col("id").alias("a"), "y", "cost", (F.col("rank") - F.col("ux") + F.col("uy")).alias("rank"))
-    return reduce(DataFrame.unionByName, [first.join(ys, ["y", "rank"]).select("a", F.col("id").alias("b"), "cost"), *pairs])
+    out = keep(reduce(DataFrame.unionByName, [first.join(ys, ["y", "rank"]).select("a", F.col("id").alias("b"), "cost"), *pairs]))
+    drop(left, *held)
+    return out
 
 
-def _ties(near: DataFrame, ties: DataFrame, xs: DataFrame, ys: DataFrame, keep) -> DataFrame:
-    """``(x, y, a, b, cost)`` that a round of :func:`assign_alike` takes of edges that have others of their cost at an end."""
+def _ties(near: DataFrame, ties: DataFrame, xs: DataFrame, ys: DataFrame, keep) -> tuple[DataFrame, list[DataFrame]]:
+    """``(x, y, a, b, cost)`` that a round of :func:`assign_alike` takes of edges that have others of their cost at an end, and the tables that it reads."""
     shape = ties.groupBy(F.col("ly").alias("group"), "cost").agg(
         F.count("*").alias("m"), F.count_distinct("x").alias("mx"), F.count_distinct("y").alias("my"), F.max("dx").alias("dx"), F.max("dy").alias("dy"), F.bool_and((F.col("dx") == F.col("tx")) & (F.col("dy") == F.col("ty"))).alias("all"),
     )
@@ -162,13 +170,13 @@ def _ties(near: DataFrame, ties: DataFrame, xs: DataFrame, ys: DataFrame, keep)
     met = ranked("x", xs, "a").join(ranked("y", ys, "b"), ["group", "cost", "i"]).select("x", "y", "a", "b", "cost")
     odd = keep(inside.join(whole, ["group", "cost"], "left_anti").select("x", "y"))
     if odd.isEmpty():
-        return met
+        return met, [whole, own, odd]
     first = lambda members, c, name: members.select(c, F.col("rank").alias(f"u{c}"), F.col("id").alias(name))
     told = keep(near.join(first(xs, "x", "a"), ["x", "ux"]).join(first(ys, "y", "b"), ["y", "uy"]))
     best_x = told.where("cost = cx").groupBy("x").agg(F.min("b").alias("fb"))
     best_y = told.where("cost = cy").groupBy("y").agg(F.min("a").alias("fa"))
     one = told.where("tight").join(odd, ["x", "y"], "left_semi").join(best_x, "x").join(best_y, "y").where("a = fa and b = fb")
-    return met.unionByName(one.select("x", "y", "a", "b", "cost"))
+    return met.unionByName(one.select("x", "y", "a", "b", "cost")), [whole, own, odd, told]
 
 
 def _alike(rows: DataFrame, id_col: str, keep) -> tuple[DataFrame, DataFrame]:
@@ -182,40 +190,94 @@ def _alike(rows: DataFrame, id_col: str, keep) -> tuple[DataFrame, DataFrame]:
     return members, own.join(members.where("rank = 0").select(F.col("id").alias(id_col)), id_col, "left_semi").withColumnRenamed(id_col, "cls")
 
 
-def _size_band(size: str, percent: float) -> Column:
-    """A number of sizes above zero, so that those within ``percent`` of one have its number or one beside it."""
-    width = max(-math.log1p(-percent / 100) * 1.001, 1e-6)
-    return F.when(F.col(size) > 0, F.floor(F.ln(F.col(size).cast("double")) / width)).when(F.col(size) == 0, F.lit(1 << 40))
+def _size_band(size: str, percent: float, most: float | None = None) -> Column:
+    """A number of sizes above zero, so that those within ``percent`` of one, and no further off than ``most``, have its number or one beside it."""
+    slack = 1.001 / (1 - percent / 100)
+    width, value = max(-math.log1p(-percent / 100) * slack, 1e-6), F.col(size).cast("double")
+    place = F.ln(value) / width
+    if most is not None:  # from the size on of which ``most`` is a smaller part than ``percent``, all steps are as wide
+        turn = most * 100 / max(percent, 1e-6)
+        place = F.when(value <= turn, place).otherwise(math.log(turn) / width + (value - turn) / (most * slack))
+    return F.when(F.col(size) > 0, F.floor(place)).when(F.col(size) == 0, F.lit(1 << 40))
 
 
-def match_transfers(staged: DataFrame, out: DataFrame, keys: Sequence[str], id_col: str, size: str, ts: str, percent: float, within_s: int, keep) -> DataFrame:
-    """``(transfer, staged, off, status)``: transfers matched to items staged before them, within ``within_s`` seconds and ``percent`` of their size.
+#: Pairs of transfers and items that are listed at once, for each of both and at least; estimated from one transfer of SAMPLE.
+LISTED, LEAST_LISTED, SAMPLE = 1, 1 << 21, 16
 
-    No item serves two transfers; unmatched ones of both sides are listed. Ids with the same rows are compared once, and only with those of a like size.
-    """
-    names = [*keys, ts, id_col, size]
-    (sent, left), (items, right) = (_alike(df.select(*names), id_col, keep) for df in (out, staged))
-    left, right = left.withColumnsRenamed({"cls": "transfer", size: "_sent"}), right.withColumnsRenamed({"cls": "item", size: "held"})
+
+def _near(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, percent: float, within_s: int, low: float, high: float) -> DataFrame:
+    """``(x, y, cost)`` of rows of ``left (transfer, _sent)`` and ``right (item, held)`` that fit, at a cost above ``low`` and up to ``high``."""
     finite = lambda c: F.abs(F.col(c).cast("double")) < float("inf")
     if percent < 100:
-        band = _size_band("held", percent)
+        most = None if high == math.inf else max(high, 1e-4) * 1.001 + 1e-4  # costs are rounded
+        band = _size_band("held", percent, most)
         right_of = right.where(finite("held")).where("held >= 0").withColumn("_z", F.explode(F.array(band - 1, band, band + 1)))
-        near = band_join(left.where(finite("_sent")).where("_sent >= 0").withColumn("_z", _size_band("_sent", percent)), right_of, [*keys, "_z"], ts, ts, -within_s, 0).drop("_z")
+        near = band_join(left.where(finite("_sent")).where("_sent >= 0").withColumn("_z", _size_band("_sent", percent, most)), right_of, [*keys, "_z"], ts, ts, -within_s, 0).drop("_z")
         odd = left.where(~finite("_sent"))
-        if not odd.isEmpty():
+        if high == math.inf and not odd.isEmpty():
             near = near.unionByName(band_join(odd, right, keys, ts, ts, -within_s, 0))
     else:
         near = band_join(left, right, keys, ts, ts, -within_s, 0)
     off = F.abs(F.col("_sent") - F.col("r_held"))
     fit = near.where(off <= F.col("_sent") * percent / 100).select(F.col("transfer").alias("x"), F.col("r_item").alias("y"), F.round(off, 4).alias("cost"))
-    edges = keep(fit.groupBy("x", "y").agg(F.min("cost").alias("cost")))
-    got = assign_alike(edges, sent.withColumnRenamed("cls", "x"), items.withColumnRenamed("cls", "y"), keep)
+    fit = fit.where(F.col("cost") > low) if low >= 0 else fit
+    return fit.where(F.col("cost") <= high) if high < math.inf else fit
+
+
+def _reach(near: DataFrame, most: int) -> float:
+    """The cost up to which about ``most`` pairs have one, from the pairs of one transfer of SAMPLE; infinite if all are no more."""
+    step = F.ceil(4 * F.log2(F.greatest(F.col("cost").cast("double"), F.lit(1e-4))))
+    many, last = 0, None
+    for at, n in sorted(map(tuple, near.groupBy(step.alias("at")).agg(F.count("*").alias("n")).collect())):  # some 200 steps
+        many += n * SAMPLE
+        if many > most:
+            at = at if last is None else last
+            return 2 ** (at / 4) * (1 + 1e-9) if at < 4000 else math.inf
+        last = at
+    return math.inf
+
+
+def match_transfers(staged: DataFrame, out: DataFrame, keys: Sequence[str], id_col: str, size: str, ts: str, percent: float, within_s: int, keep) -> DataFrame:
+    """``(transfer, staged, off, status)``: transfers matched to items staged before them, within ``within_s`` seconds and ``percent`` of their size.
+
+    No item serves two transfers; unmatched ones of both sides are listed. Ids with the same rows are compared once, and only with those of a like size. The cheapest
+    pairs come first, so where there are many, those up to some cost are listed and settled, and then those of what is left: what is written grows with the rows, not with all pairs, unless
+    a great many pairs have one cost.
+    """
+    names = [*keys, ts, id_col, size]
+    (sent, left), (items, right) = (_alike(df.select(*names), id_col, keep) for df in (out, staged))
+    left, right = keep(left.withColumnsRenamed({"cls": "transfer", size: "_sent"})), keep(right.withColumnsRenamed({"cls": "item", size: "held"}))
+    sent, items, low, parts = sent.withColumnRenamed("cls", "x"), items.withColumnRenamed("cls", "y"), -1.0, []
+    most = max(LEAST_LISTED, LISTED * (sent.count() + items.count()))
+    while True:
+        some = left.where(F.pmod(F.xxhash64("transfer"), F.lit(SAMPLE)) == 0)
+        high = _reach(_near(some, right, keys, ts, percent, within_s, low, math.inf), most)
+        edges = keep(_near(left, right, keys, ts, percent, within_s, low, high).groupBy("x", "y").agg(F.min("cost").alias("cost")))
+        parts.append(assign_alike(edges, sent, items, keep))
+        if high == math.inf:
+            break
+        if parts[-1].inputFiles() != edges.inputFiles():
+            drop(edges)
+        low = high
+        before = sent, items, left, right
+        (sent, left), (items, right) = _left_over(sent, left, "x", "transfer", parts[-1], "a", keep), _left_over(items, right, "y", "item", parts[-1], "b", keep)
+        drop(*before)
+    got = reduce(DataFrame.unionByName, parts)
     taken = keep(got.select(F.col("a").alias("transfer"), F.col("b").alias("staged"), F.col("cost").alias("off")))
+    drop(edges, sent, items, left, right, *parts)
     rest = out.select(F.col(id_col).alias("transfer")).join(taken, "transfer", "left_anti").withColumn("status", F.lit("unmatched transfer"))
     spare = staged.select(F.col(id_col).alias("staged")).join(taken, "staged", "left_anti").withColumn("status", F.lit("unmatched item"))
     return taken.withColumn("status", F.lit("matched")).unionByName(rest, allowMissingColumns=True).unionByName(spare, allowMissingColumns=True)
 
 
+def _left_over(members: DataFrame, rows: DataFrame, c: str, cls: str, taken: DataFrame, end: str, keep) -> tuple[DataFrame, DataFrame]:
+    """Members of classes that are not taken, ranked anew, since a class is taken in order of its ids; and the rows of classes that have any."""
+    gone = members.join(taken.select(F.col(end).alias("id")), "id").groupBy(c).agg(F.count("*").alias("_u"))
+    used = F.coalesce("_u", F.lit(0))
+    still = keep(members.join(gone, c, "left").where(F.col("rank") >= used).select(c, "id", (F.col("rank") - used).alias("rank")))
+    return still, keep(rows.join(still.where("rank = 0").select(F.col(c).alias(cls)), cls, "left_semi"))
+
+
 def reconcile(expected: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:
     """``(key, status)``: matched, mismatch, missing, added, digest_missing, duplicate."""
     side = lambda df, n: df.groupBy(key).agg(F.first(value, ignorenulls=True).alias(n), F.count("*").alias(f"{n}_n"))

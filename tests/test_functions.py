@@ -364,6 +364,37 @@ def test_copies_of_transfers_are_matched_together(spark):
     assert matched(some(20, 1000, [7]), some(20, 1000, [7, 8]), 0) > 3
 
 
+def test_transfers_are_listed_by_rising_cost(spark, monkeypatch):
+    """Every transfer fits most items of its host: pairs are listed some at a time, and settled as if all were; ids of several rows, sizes from nothing to much and ties among them."""
+    import datetime
+    import random
+
+    for name, value in (("LISTED", 0), ("LEAST_LISTED", 400), ("SAMPLE", 1)):
+        monkeypatch.setattr(J, name, value, raising=False)
+    rng = random.Random(6)
+    day = datetime.datetime(2024, 1, 9)
+    some = lambda n, ids: [(rng.randrange(ids), rng.randrange(2), rng.choice([rng.randrange(9000, 9300) / 1, rng.randrange(9000, 9300) / 7, 0.0, rng.randrange(100) / 8]), day - datetime.timedelta(rng.randrange(3))) for _ in range(n)]
+    out, staged = [(*o[:3], day) for o in some(120, 100)], some(130, 90)
+    sizes, held = [], []
+
+    def watched(df):
+        held.append(keep(df))
+        sizes.append(held[-1].count() if held[-1].columns == ["x", "y", "cost"] else 0)
+        return held[-1]
+
+    pairs = sorted({(round(abs(o[2] - s[2]), 4), o[0], s[0]) for o in out for s in staged if o[1] == s[1] and abs(o[2] - s[2]) <= o[2] * 4 / 100})
+    want, a, b = set(), set(), set()
+    for off, x, y in pairs:
+        if x not in a and y not in b:
+            want.add((x, y, off))
+            a.add(x), b.add(y)
+    frames = (spark.createDataFrame(x, "id long, host long, size double, ts timestamp") for x in (staged, out))
+    got = J.match_transfers(*frames, ["host"], "id", "size", "ts", 4, 7 * 86_400, watched)
+    assert {(r.transfer, r.staged, r.off) for r in got.collect() if r.status == "matched"} == want and len(want) > 50
+    assert len(pairs) > 1500 and max(sizes) < 700 and sum(map(bool, sizes)) > 1
+    assert len({str(Path(f).parent) for df in held for f in df.inputFiles() if Path(f.removeprefix("file:")).exists()}) == 1
+
+
 def test_leaks_in_every_form(spark):
     import json
 
